@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_num, year_of
 from ..functions.predicates import DEFAULT_CHECKPOINT_INTERVAL, DEFAULT_MAX_ROW_ERRORS, is_credit, is_debit
+from ..session import ensure_checkpoint_dir
 from .ordinals import block_totals, running_totals
 from .validate import is_valid
 
@@ -62,6 +63,33 @@ def finish_monthly(state: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
+def accepted_monthly_summary(classified: DataFrame, max_errors: int = DEFAULT_MAX_ROW_ERRORS,
+                             keys: Sequence[str] = KEYS) -> DataFrame:
+    """A11 + A2-A6 in one ledger scan: month rows of files that stay ``done``.
+
+    Invalid rows are counted in a per-file bucket with NULL year/month inside
+    the same aggregate; a window over the (few) aggregated rows of each file
+    then adds up the file's invalid rows, and the file is dropped when they
+    exceed ``max_errors``.
+    """
+    amt = F.col("amount")
+    ok = is_valid()
+    per_month = classified.groupBy(
+        *keys, F.when(ok, year_of("pdate")).alias("year"), F.when(ok, month_num("pdate")).alias("month_num")
+    ).agg(
+        F.count_if(ok).alias("txn_count"),
+        F.count_if(ok & is_credit(amt)).alias("credit_count"),
+        F.count_if(ok & is_debit(amt)).alias("debit_count"),
+        F.coalesce(F.sum(F.when(ok & is_credit(amt), amt)), F.lit(0)).alias("credit_sum"),
+        F.coalesce(F.sum(F.when(ok & is_debit(amt), amt)), F.lit(0)).alias("debit_sum"),
+        F.count_if(~ok).alias("_invalid"),
+    )
+    file_invalid = F.sum("_invalid").over(Window.partitionBy(*keys))
+    kept = per_month.withColumn("_file_invalid", file_invalid).filter(
+        (F.col("_file_invalid") <= max_errors) & F.col("year").isNotNull())
+    return finish_monthly(kept, keys)
+
+
 def monthly_summary(ledger: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Per (account, file, year, month) counts and means."""
     return finish_monthly(monthly_state(ledger, keys), keys)
@@ -142,19 +170,32 @@ def resume_delta(classified: DataFrame, checkpoints: DataFrame, block_col: str,
 
     ``checkpoints`` has ``file_key, checkpoint_row`` (files without a row
     start at 0). It is joined into the small per-block table, never into the
-    ledger. Blocks wholly after the checkpoint pass without sorting, blocks
-    wholly before it are dropped, and only the one block that straddles it
-    per file gets a window.
+    ledger. Each block is marked once: wholly after the checkpoint (rows pass
+    without sorting), straddling it (only this block per file gets a window)
+    or wholly before it (dropped by the join).
     """
     meas = {"row_no": F.when(is_valid(), 1).otherwise(0)}
     blocks = block_totals(classified, file_cols, block_col, meas).join(
         checkpoints.select(*file_cols, "checkpoint_row"), list(file_cols), "left"
     ).withColumn("checkpoint_row", F.coalesce(F.col("checkpoint_row"), F.lit(0)))
     start, end = F.col("row_no_before"), F.col("row_no_before") + F.col("row_no_in_block")
-    whole = blocks.filter(start >= F.col("checkpoint_row")).select(*file_cols, block_col)
-    straddle = blocks.filter((start < F.col("checkpoint_row")) & (end > F.col("checkpoint_row")))
+    mode = (F.when(start >= F.col("checkpoint_row"), F.lit("whole"))
+            .when(end > F.col("checkpoint_row"), F.lit("part")))
+    marked = blocks.withColumn("_mode", mode).filter(F.col("_mode").isNotNull()).select(
+        *file_cols, block_col, "_mode", "checkpoint_row", "row_no_before")
+    # The marked block table (one row per block) feeds two branches; a
+    # reliable checkpoint in the session's shared checkpoint folder computes
+    # it once and cuts its lineage.
+    ensure_checkpoint_dir(marked.sparkSession)
+    marked = marked.checkpoint(eager=True)
     valid = classified.filter(is_valid())
-    after_whole = valid.join(whole, [*file_cols, block_col], "left_semi")
-    ran = running_totals(valid, straddle, file_cols, block_col, order_cols, meas, keep_block_cols=["checkpoint_row"])
-    after_part = ran.filter(F.col("row_no") > F.col("checkpoint_row")).select(*after_whole.columns)
-    return after_whole.unionByName(after_part)
+    cols = valid.columns
+    # One join with the marked blocks (broadcast by AQE when small); rows of
+    # "whole" blocks leave without a window, only "part" rows are sorted.
+    joined = valid.join(marked, [*file_cols, block_col], "inner")
+    whole = joined.filter(F.col("_mode") == "whole").select(*cols)
+    part = joined.filter(F.col("_mode") == "part")
+    w = (Window.partitionBy(*file_cols, block_col).orderBy(*order_cols)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    part = part.withColumn("_row_no", F.col("row_no_before") + F.count(F.lit(1)).over(w))
+    return whole.unionByName(part.filter(F.col("_row_no") > F.col("checkpoint_row")).select(*cols))

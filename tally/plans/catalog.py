@@ -107,16 +107,14 @@ def row_error_details(spark, sf_dir):
 
 def file_status(spark, sf_dir):
     c = _l2_classified(spark, sf_dir)
-    out = validate.file_outcome(c, _l2_errors(c), L.L2_MAX_ROW_ERRORS)
+    _, out = validate.error_report(c, "blk", ["event_id"], L.L2_MAX_ROW_ERRORS)
     return out.select("account_id", "file_key", "status", "checkpoint_row", "valid_rows", "invalid_rows",
                       F.to_json("row_errors").alias("row_errors_json"))
 
 
 def monthly_summary_accepted(spark, sf_dir):
     c = _l2_classified(spark, sf_dir)
-    monthly = summary.monthly_summary(validate.valid_rows(c))
-    outcome = validate.file_outcome(c, _l2_errors(c), L.L2_MAX_ROW_ERRORS)
-    return validate.accepted(monthly, outcome).select(*MONTHLY_COLS)
+    return summary.accepted_monthly_summary(c, L.L2_MAX_ROW_ERRORS).select(*MONTHLY_COLS)
 
 
 def checkpoint_snapshots(spark, sf_dir):

@@ -33,6 +33,16 @@ DOC_AVG_CREDIT = "AvgCredit"
 DOC_AVG_DEBIT = "AvgDebit"
 DOC_CREDIT_COUNT = "CreditCount"
 DOC_DEBIT_COUNT = "DebitCount"
+# Field names of a statement payload (months as an ordered list).
+PAY_BALANCE = "TotalBalance"
+PAY_MONTHS = "ByYear"
+PAY_INVALID = "InvalidRows"
+PAY_YEAR = "Year"
+PAY_MONTH_NUM = "MonthNum"
+PAY_MONTH = "Month"
+PAY_TXN_COUNT = "TxnCount"
+PAY_AVG_CREDIT = "AvgCredit"
+PAY_AVG_DEBIT = "AvgDebit"
 # ---------------------------------------------------------------------------
 
 MONTH_DOC_TYPE = T.StructType([
@@ -161,3 +171,37 @@ def outbox(status: DataFrame, summaries: DataFrame, accounts: DataFrame, key: st
     due = summaries.filter(not_delivered("email_sent")).join(done, key, "left_semi")
     acc = accounts.filter(valid_email("email")).select("account_id", "email")
     return due.join(acc, "account_id", "inner")
+
+
+def statement_payloads(monthly: DataFrame, file_totals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """K6 payload per file: balance, months in calendar order (O1), invalid rows.
+
+    ``payload`` is a struct, ``payload_json`` its JSON text. The month list is
+    ``sort_array`` of structs led by (year, month): at most one element per
+    calendar month of the file.
+    """
+    months = monthly.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
+        F.col("year").alias(PAY_YEAR), F.col("month_num").alias(PAY_MONTH_NUM), F.col("month").alias(PAY_MONTH),
+        F.col("txn_count").alias(PAY_TXN_COUNT), F.col("avg_credit").alias(PAY_AVG_CREDIT),
+        F.col("avg_debit").alias(PAY_AVG_DEBIT)))).alias("_months"))
+    j = file_totals.join(months, list(keys), "left")
+    payload = F.struct(
+        F.col("total_balance").cast("double").alias(PAY_BALANCE),
+        F.coalesce(F.col("_months"), F.array()).alias(PAY_MONTHS),
+        F.coalesce(F.col("invalid_rows"), F.lit(0)).cast("bigint").alias(PAY_INVALID))
+    return j.select(*keys, payload.alias("payload"), F.to_json(payload).alias("payload_json"))
+
+
+def statements(due: DataFrame, payloads: DataFrame, html: DataFrame | None = None, key: str = "file_key") -> DataFrame:
+    """K6: the statement sink's rows: recipient, subject, payload (and HTML).
+
+    ``due`` is :func:`outbox` output (``file_key, account_id, email``). The
+    result is written with any ``DataFrameWriter``; transport is not part of
+    this library. Rows are keyed by ``file_key`` so a re-sent batch replaces,
+    never duplicates.
+    """
+    out = due.join(payloads.drop("account_id"), key, "inner")
+    if html is not None:
+        out = out.join(html.select(key, "html"), key, "left")
+    return out.withColumn("to", F.col("email")).withColumn(
+        "subject", F.concat(F.lit("Account statement "), F.col("account_id").cast("string")))

@@ -121,4 +121,34 @@ def with_parent(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return child.join(parent, key, "inner")
 
 
+def write_snapshot(df: DataFrame, base: str, version: int, partition_by: Sequence[str] = ()) -> str:
+    """Write the next version of a keyed table to ``<base>/v=<version>``.
+
+    A new snapshot never overwrites the folder it was computed from;
+    re-writing the same version (a retried job) replaces it whole.
+    """
+    path = f"{base.rstrip('/')}/v={int(version)}"
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return path
+
+
+def latest_snapshot_path(spark, base: str) -> str | None:
+    """Folder of the highest ``v=<n>`` version under ``base`` (a listing, no scan)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(base)
+    fs = p.getFileSystem(conf)
+    if not fs.exists(p):
+        return None
+    versions = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("v=") and name[2:].isdigit():
+            versions.append(int(name[2:]))
+    return f"{base.rstrip('/')}/v={max(versions)}" if versions else None
+
+
 KNOWN_STATUSES = (STATUS_PROCESSING, STATUS_DONE, STATUS_FAILED, STATUS_TO_REVIEW)

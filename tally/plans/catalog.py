@@ -80,6 +80,17 @@ def summary_json(spark, sf_dir):
     return docs.select("account_id", "file_key", "summary_json")
 
 
+def summary_roundtrip(spark, sf_dir):
+    """A12/F14 -> F15 -> R1: nest, serialise, parse back and flatten."""
+    ledger = L.orders_ledger(spark, sf_dir)
+    docs = report.summary_documents(summary.monthly_summary(ledger), _l1_file_totals(spark, sf_dir))
+    back = report.parse_documents(docs.select("account_id", "file_key", "summary_json"))
+    flat = report.flatten_documents(back)
+    heads = back.select("account_id", "file_key", F.col("summary.TotalBalance").alias("total_balance"),
+                        F.col("summary.InvalidRows").alias("invalid_rows"))
+    return flat.join(heads, ["account_id", "file_key"], "inner")
+
+
 def statement_html(spark, sf_dir):
     monthly = summary.monthly_summary(L.orders_ledger(spark, sf_dir))
     return report.statement_html(monthly, _l1_file_totals(spark, sf_dir))
@@ -154,6 +165,25 @@ def pending_statements(spark, sf_dir):
         "file_key", "account_id", "email")
 
 
+def statement_payloads(spark, sf_dir):
+    """R4 + K6: due statements (L3 files, accounts with a usable address)
+    with their payload from the accepted L2 ledger summaries."""
+    _, status, summaries = L.file_states(spark, sf_dir)
+    due = report.outbox(status, summaries, L.account_registry(spark, sf_dir)).select(
+        "file_key", "account_id", "email")
+    c = _l2_classified(spark, sf_dir)
+    monthly = summary.accepted_monthly_summary(c, L.L2_MAX_ROW_ERRORS)
+    _, outcome = validate.error_report(c, "blk", ["event_id"], L.L2_MAX_ROW_ERRORS)
+    totals = summary.totals(validate.valid_rows(c)).join(
+        outcome.filter(F.col("status") == "done").select("file_key", "invalid_rows"), "file_key", "inner")
+    rows = report.statements(due, report.statement_payloads(monthly, totals))
+    return rows.select("file_key", "account_id", "to", "subject",
+                       F.col("payload.TotalBalance").alias("total_balance"),
+                       F.size("payload.ByYear").alias("months"),
+                       F.col("payload.ByYear")[0]["TxnCount"].alias("first_month_txns"),
+                       F.col("payload.InvalidRows").alias("invalid_rows"))
+
+
 def summary_upsert(spark, sf_dir):
     old, new = L.summary_snapshots(spark, sf_dir)
     return state.upsert_summaries(old, new)
@@ -211,6 +241,7 @@ QUERIES: dict[str, Query] = {
     "merge_partial_summaries": merge_partial_summaries,
     "latest_per_key": latest_per_key,
     "summary_upsert": summary_upsert,
+    "statement_payloads": statement_payloads,
     "file_keys": file_keys,
     "file_triage": file_triage,
     "unprocessed_files": unprocessed_files,
@@ -218,6 +249,7 @@ QUERIES: dict[str, Query] = {
     "constraint_report": constraint_report,
     "statement_rows": statement_rows,
     "summary_json": summary_json,
+    "summary_roundtrip": summary_roundtrip,
     "statement_html": statement_html,
 }
 

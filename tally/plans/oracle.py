@@ -246,4 +246,30 @@ SELECT m.account_id, m.file_key,
   m.year, m.month_num, m.month || ' ' || CAST(m.year AS VARCHAR) AS month_label, m.txn_count,
   m.avg_credit, m.avg_debit, abs(m.avg_debit) AS avg_debit_abs, t.total_balance, CAST(0 AS BIGINT) AS invalid_rows
 FROM (""" + _monthly("l1") + """) m JOIN l1_totals t ON m.account_id = t.account_id AND m.file_key = t.file_key""",
+
+    "summary_roundtrip": _with(L1, L1_TOTALS) + """
+SELECT m.account_id, m.file_key, m.year, m.month_num, m.month, m.txn_count, m.avg_credit, m.avg_debit,
+  t.total_balance, CAST(0 AS BIGINT) AS invalid_rows
+FROM (""" + _monthly("l1") + """) m JOIN l1_totals t ON m.account_id = t.account_id AND m.file_key = t.file_key""",
+
+    "statement_payloads": _with(L2, L3, ACCOUNTS) + r"""
+, due AS (
+  SELECT f.file_key, f.account_id, a.email
+  FROM fsummary f JOIN accounts a ON f.account_id = a.account_id
+  WHERE NOT coalesce(f.email_sent, false)
+    AND f.file_key IN (SELECT file_key FROM fstatus WHERE status = 'done')
+    AND regexp_full_match(trim(a.email), '[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+(\.[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+)*@[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+(\.[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+)*')),
+months AS (
+  SELECT file_key, year(date) AS y, month(date) AS m, count(*) AS n FROM valid GROUP BY ALL),
+first_month AS (
+  SELECT file_key, CAST(arg_min(n, y * 12 + m) AS BIGINT) AS first_month_txns, CAST(count(*) AS INT) AS months
+  FROM months GROUP BY file_key),
+totals AS (
+  SELECT file_key, CAST(sum(amount) AS DOUBLE) AS total_balance FROM valid GROUP BY file_key)
+SELECT d.file_key, d.account_id, d.email AS "to", 'Account statement ' || CAST(d.account_id AS VARCHAR) AS subject,
+  t.total_balance, fm.months, fm.first_month_txns, o.invalid_rows
+FROM due d
+JOIN outcome o ON o.file_key = d.file_key AND o.invalid_rows <= 3
+JOIN totals t ON t.file_key = d.file_key
+JOIN first_month fm ON fm.file_key = d.file_key""",
 }

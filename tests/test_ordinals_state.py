@@ -107,3 +107,33 @@ def test_merge_partials_equals_whole(spark):
     tot = summary.totals(ledger.withColumn("account_id", F.lit(0)).withColumn("file_key", F.lit(0))).first()
     agg = whole.agg(F.sum("txn_count").alias("n"), F.sum(F.col("credit_sum") + F.col("debit_sum")).alias("s")).first()
     assert agg["n"] == tot["txn_count"] and abs(agg["s"] - tot["total_balance"]) < 1e-6
+
+
+def test_snapshots_versioned(spark, tmp_path):
+    base = str(tmp_path / "accounts")
+    assert state.latest_snapshot_path(spark, base) is None
+    v1 = spark.createDataFrame([("A", 1, "a@x.io")], "account_id string, v long, email string")
+    state.write_snapshot(v1, base, 1)
+    chg = spark.createDataFrame([("A", 2, "b@x.io"), ("B", 1, "c@x.io")], "account_id string, v long, email string")
+    cur = spark.read.parquet(state.latest_snapshot_path(spark, base))
+    state.write_snapshot(state.upsert(cur, chg, ["account_id"], ["v"]), base, 2)
+    state.write_snapshot(state.upsert(cur, chg, ["account_id"], ["v"]), base, 2)  # retried job: same result
+    latest = spark.read.parquet(state.latest_snapshot_path(spark, base))
+    assert sorted((r["account_id"], r["email"]) for r in latest.collect()) == [("A", "b@x.io"), ("B", "c@x.io")]
+
+
+def test_statement_payload(spark):
+    from tally.operators import report
+    monthly = spark.createDataFrame(
+        [("ACC-001", "k", 2026, 8, "August", 1, -20.46, -20.46), ("ACC-001", "k", 2026, 7, "July", 2, 60.5, -10.3)],
+        "account_id string, file_key string, year int, month_num int, month string, txn_count long, "
+        "avg_credit double, avg_debit double").withColumn("avg_credit", F.when(F.col("month_num") == 8, 0.0)
+                                                          .otherwise(F.col("avg_credit")))
+    totals = spark.createDataFrame([("ACC-001", "k", 29.74, 0)], "account_id string, file_key string, "
+                                   "total_balance double, invalid_rows long")
+    due = spark.createDataFrame([("k", "ACC-001", "user@example.com")], "file_key string, account_id string, email string")
+    out = report.statements(due, report.statement_payloads(monthly, totals)).first()
+    assert out["to"] == "user@example.com"
+    months = out["payload"]["ByYear"]
+    assert [(m["Month"], m["Year"], m["TxnCount"]) for m in months] == [("July", 2026, 2), ("August", 2026, 1)]
+    assert out["payload_json"].startswith('{"TotalBalance":29.74,"ByYear":[{"Year":2026,"MonthNum":7')

@@ -51,6 +51,28 @@ def build_session(master: str | None = None, app: str = "tally",
     return spark
 
 
+def cluster_conf(total_cores: int, input_bytes: int) -> dict[str, str]:
+    """Suggested settings for a large cluster run (pass to the session builder).
+
+    * shuffle partitions: enough that each holds ~128 MB of shuffled data at
+      the input size, but at least 3 waves of the cores; AQE coalesces small
+      ones and splits skewed ones at run time.
+    * file splits of 256 MB: fewer, larger scan tasks for parquet and CSV.
+    """
+    mb = 1 << 20
+    by_size = max(1, input_bytes // (128 * mb))
+    partitions = max(3 * total_cores, min(by_size, 100_000))
+    return {
+        **SESSION_DEFAULTS,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * mb),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.files.maxPartitionBytes": str(256 * mb),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * mb),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * mb),
+    }
+
+
 def apply_defaults(spark: SparkSession) -> None:
     """Set the runtime SQL defaults on an existing session (cluster case)."""
     for k, v in SESSION_DEFAULTS.items():
@@ -73,6 +95,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        # A machine-local folder is not visible to other executors and is lost
+        # with its host: on a cluster the shared folder must be configured.
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, object store)")
     local = tempfile.mkdtemp(prefix="tally-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

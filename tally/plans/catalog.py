@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.keys import file_key
 from ..operators import quality, report, state, summary, validate
 from ..operators.state import KNOWN_STATUSES
+from ..session import scratch_path
+from ..sources.csv_ledger import list_files, read_ledger_csv
+from ..streaming.intake import LedgerIntake
 from . import ledgers as L
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +149,72 @@ def ledger_rollup(spark, sf_dir):
     return summary.ledger_rollup(validate.valid_rows(_l2_classified(spark, sf_dir)))
 
 
+# --- L5: ledger CSV files (source and stream) -------------------------------
+
+FILE_STATUS_COLS = ["account_id", "chunk", "status", "checkpoint_row", "valid_rows", "invalid_rows",
+                    "row_errors_json", "reason"]
+
+
+def _chunk_of(path_col):
+    return F.regexp_extract(path_col, r"chunk=([0-9]+)", 1).cast("bigint")
+
+
+def _account_of(path_col):
+    return F.regexp_extract(path_col, r"account_id=([0-9]+)", 1).cast("bigint")
+
+
+def _rejected_rows(rejected):
+    return rejected.select(
+        _account_of("file_path").alias("account_id"), _chunk_of("file_path").alias("chunk"),
+        F.lit("rejected").alias("status"), F.lit(0).cast("bigint").alias("checkpoint_row"),
+        F.lit(0).cast("bigint").alias("valid_rows"), F.lit(0).cast("bigint").alias("invalid_rows"),
+        F.lit("[]").alias("row_errors_json"), F.col("reject_reason").alias("reason"))
+
+
+def _status_rows(outcome):
+    return outcome.select(
+        F.col("account_id").cast("bigint").alias("account_id"), _chunk_of("file_path").alias("chunk"),
+        "status", "checkpoint_row", "valid_rows", "invalid_rows",
+        F.to_json("row_errors").alias("row_errors_json"), F.lit(None).cast("string").alias("reason"))
+
+
+_L5_WRITTEN: dict[tuple, tuple[str, list[str]]] = {}
+
+
+def _l5_files(spark, sf_dir):
+    """Write the L5 CSV files once per session and source table version."""
+    import os
+    src = os.path.join(sf_dir, "events.parquet")
+    st = os.stat(src) if os.path.exists(src) else None
+    key = (id(spark.sparkContext), os.path.abspath(sf_dir), st.st_size if st else None, st.st_mtime if st else None)
+    if key not in _L5_WRITTEN:
+        base = scratch_path(spark, "ledger-csv")
+        L.write_csv_ledgers(spark, sf_dir, base)
+        _L5_WRITTEN[key] = (base, list_files(spark, base, ".txt"))
+    return _L5_WRITTEN[key]
+
+
+def csv_file_status(spark, sf_dir):
+    """S1/S2/S4/P4 + A9-A11: ledger CSV files read back and judged per file."""
+    base, paths = _l5_files(spark, sf_dir)
+    raw, rejected = read_ledger_csv(spark, paths, base_path=base)
+    c = validate.classify(raw)
+    _, outcome = validate.error_report(c, "blk", ["blk", "mid"], L.L2_MAX_ROW_ERRORS, carry=["file_path"])
+    return _status_rows(outcome).unionByName(_rejected_rows(rejected)).select(*FILE_STATUS_COLS)
+
+
+def stream_file_status(spark, sf_dir):
+    """The same files through the Structured Streaming intake
+    (``availableNow``), read back from its tables. Several micro-batches,
+    replays and late files are covered by ``tests/test_streaming.py``."""
+    base, _ = _l5_files(spark, sf_dir)
+    intake = LedgerIntake(spark, base, scratch_path(spark, "intake-out"), max_errors=L.L2_MAX_ROW_ERRORS,
+                          suffix=".txt")
+    intake.run_available()
+    st = intake.file_status()
+    return _status_rows(st).unionByName(_rejected_rows(intake.table("rejected_files"))).select(*FILE_STATUS_COLS)
+
+
 # --- L3 / L4: state tables --------------------------------------------------
 
 def file_triage(spark, sf_dir):
@@ -251,5 +320,7 @@ QUERIES: dict[str, Query] = {
     "summary_json": summary_json,
     "summary_roundtrip": summary_roundtrip,
     "statement_html": statement_html,
+    "csv_file_status": csv_file_status,
+    "stream_file_status": stream_file_status,
 }
 

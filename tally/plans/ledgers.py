@@ -10,6 +10,9 @@ check cheaper):
   user, file order = ``event_id``.
 * L3 ``file_states``: manifest, file status and summary tables.
 * L4 ``summary_snapshots``: an old and a new ``file_summary`` snapshot.
+* L5 ``write_csv_ledgers``: L2 written out as real ledger CSV files, one
+  per (user, chunk of event ids), with three header layouts and short
+  records, to be read back through the CSV source and the stream intake.
 * ``account_registry``: accounts with e-mail addresses, from ``customer``.
 """
 
@@ -27,6 +30,7 @@ from ..functions.predicates import (STATUS_DONE, STATUS_FAILED, STATUS_PROCESSIN
 L2_MAX_ROW_ERRORS = 3          # per-file threshold used on L2
 L2_CHECKPOINT_INTERVAL = 20    # checkpoint cadence used on L2
 L2_BLOCK_IDS = 1 << 12         # event ids per ordinal block (see operators.ordinals)
+L5_CHUNK_IDS = 1 << 20         # event ids per CSV file of a user
 L3_NOW = dt.datetime(2024, 2, 1, 0, 0, 0)
 L3_TIMEOUT_SECS = 20
 
@@ -107,3 +111,40 @@ def summary_snapshots(spark: SparkSession, sf_dir: str):
                F.col("file_key") % 2 == 0)
     new = snap(o.filter(F.col("o_custkey") % 5 != 0), F.lit(False))
     return old, new
+
+
+def write_csv_ledgers(spark: SparkSession, sf_dir: str, out_dir: str, chunk_ids: int = L5_CHUNK_IDS) -> None:
+    """Write L2 as ledger CSV files under ``out_dir``.
+
+    One file per (user, ``event_id // chunk_ids``), laid out as
+    ``account_id=<user>/chunk=<n>/part-*.txt``, header first, records in
+    ``event_id`` order. Layouts: even users ``id,date,transaction``; odd
+    users `` Transaction ,memo,ID,Date`` (permuted, extra column, case and
+    spaces); users divisible by 5 have a header without ``date`` and are
+    rejected. Every 101st event is written one field short.
+
+    Each file is written by the one task that holds its (user, chunk), so a
+    file is bounded by ``chunk_ids`` events, not by the user's size.
+    """
+    raw = events_raw_ledger(spark, sf_dir)
+    memo = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("memo"))
+    rows = raw.join(memo, "event_id", "inner")
+    odd = F.col("account_id") % 2 == 1
+    short = F.col("event_id") % 101 == 0
+    cells_odd = [F.col("transaction"), F.col("memo"), F.col("id"), F.col("date")]
+    cells_even = [F.col("id"), F.col("date"), F.col("transaction")]
+    line = (F.when(odd & short, F.concat_ws(",", *cells_odd[:-1]))
+            .when(odd, F.concat_ws(",", *cells_odd))
+            .when(short, F.concat_ws(",", *cells_even[:-1]))
+            .otherwise(F.concat_ws(",", *cells_even)))
+    chunk = F.floor(F.col("event_id") / chunk_ids).cast("bigint")
+    body = rows.select("account_id", chunk.alias("chunk"), F.col("event_id").alias("_ord"), line.alias("value"))
+    header = (F.when(F.col("account_id") % 5 == 0, F.lit("id,day,transaction"))
+              .when(odd, F.lit(" Transaction ,memo,ID,Date")).otherwise(F.lit("id,date,transaction")))
+    heads = body.select("account_id", "chunk").distinct().select(
+        "account_id", "chunk", F.lit(-1).cast("bigint").alias("_ord"), header.alias("value"))
+    (heads.unionByName(body)
+     .repartition("account_id", "chunk")
+     .sortWithinPartitions("account_id", "chunk", "_ord")
+     .drop("_ord")
+     .write.mode("overwrite").partitionBy("account_id", "chunk").text(out_dir))

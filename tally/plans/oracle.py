@@ -113,6 +113,65 @@ l1_totals AS (
   FROM l1 GROUP BY account_id, file_key)"""
 
 
+L5_STATUS = r"""
+WITH ev AS (
+  SELECT user_id AS account_id, CAST(floor(event_id / 1048576) AS BIGINT) AS chunk, event_id,
+         CASE WHEN event_id % 97 = 0 THEN '' ELSE CAST(event_id AS VARCHAR) END AS id,
+         CASE WHEN event_id % 89 = 0 THEN '32/01/2024' ELSE strftime(ts, '%d/%m/%Y') END AS date,
+         CASE WHEN event_id % 83 = 0 THEN 'not-a-number'
+              ELSE (CASE WHEN event_type IN ('purchase', 'error') THEN '-' ELSE '+' END)
+                   || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) END AS "transaction",
+         (event_id % 101 = 0) AS malformed
+  FROM events),
+parsed AS (
+  SELECT *,
+    CASE WHEN regexp_full_match(trim(id), '[+-]?[0-9]+') THEN TRY_CAST(trim(id) AS BIGINT) END AS pid,
+    CASE WHEN regexp_full_match(trim(date), '[0-9]{2}/[0-9]{2}/[0-9]{4}')
+         THEN CAST(try_strptime(trim(date), '%d/%m/%Y') AS DATE) END AS pdate,
+    CASE WHEN regexp_full_match(CASE WHEN starts_with(trim("transaction"), '+') THEN substr(trim("transaction"), 2)
+                                     ELSE trim("transaction") END,
+                                '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')
+         THEN TRY_CAST(CASE WHEN starts_with(trim("transaction"), '+') THEN substr(trim("transaction"), 2)
+                            ELSE trim("transaction") END AS DECIMAL(24,6)) END AS amount
+  FROM ev WHERE account_id % 5 <> 0),
+classified AS (
+  SELECT *,
+    CASE WHEN malformed THEN 'Record' WHEN pid IS NULL THEN 'ID' WHEN pdate IS NULL THEN 'Date'
+         WHEN amount IS NULL THEN 'Amount' END AS error_field
+  FROM parsed),
+ordered AS (
+  SELECT *,
+    CAST(sum(CASE WHEN error_field IS NULL THEN 1 ELSE 0 END) OVER w AS BIGINT) AS row_no,
+    CAST(sum(CASE WHEN error_field IS NULL THEN 0 ELSE 1 END) OVER w AS BIGINT) AS err_no,
+    CAST(row_number() OVER w AS BIGINT) AS rec_no
+  FROM classified
+  WINDOW w AS (PARTITION BY account_id, chunk ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+errors AS (
+  SELECT account_id, chunk, err_no, row_no AS "row",
+    CASE WHEN error_field = 'Record' THEN 'record on line ' || CAST(rec_no + 1 AS VARCHAR) || ': wrong number of fields'
+         WHEN error_field = 'ID' THEN 'parser: field ID: expected int, got "' || coalesce(id, '') || '"'
+         WHEN error_field = 'Date' THEN 'parser: field Date: expected dd/mm/yyyy, got "' || coalesce(date, '') || '"'
+         ELSE 'parser: field Amount: expected float, got "' || coalesce(trim("transaction"), '') || '"' END AS error
+  FROM ordered WHERE error_field IS NOT NULL AND err_no <= 4),
+outcome AS (
+  SELECT account_id, chunk,
+    CAST(count(*) FILTER (WHERE error_field IS NULL) AS BIGINT) AS valid_rows,
+    CAST(count(*) FILTER (WHERE error_field IS NOT NULL) AS BIGINT) AS invalid_rows
+  FROM classified GROUP BY account_id, chunk),
+lists AS (
+  SELECT account_id, chunk, CAST(to_json(list({'row': "row", 'error': error} ORDER BY err_no)) AS VARCHAR) AS j
+  FROM errors GROUP BY account_id, chunk)
+SELECT o.account_id, o.chunk,
+  CASE WHEN o.invalid_rows > 3 THEN 'to_review' ELSE 'done' END AS status,
+  CAST(CASE WHEN o.invalid_rows > 3 THEN 0 ELSE o.valid_rows END AS BIGINT) AS checkpoint_row,
+  o.valid_rows, o.invalid_rows, coalesce(l.j, '[]') AS row_errors_json, CAST(NULL AS VARCHAR) AS reason
+FROM outcome o LEFT JOIN lists l ON o.account_id = l.account_id AND o.chunk = l.chunk
+UNION ALL
+SELECT DISTINCT account_id, chunk, 'rejected', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '[]',
+  'parser: missing required column "date"'
+FROM ev WHERE account_id % 5 = 0"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "monthly_summary": _with(L1) + _monthly("l1"),
 
@@ -272,4 +331,6 @@ FROM due d
 JOIN outcome o ON o.file_key = d.file_key AND o.invalid_rows <= 3
 JOIN totals t ON t.file_key = d.file_key
 JOIN first_month fm ON fm.file_key = d.file_key""",
+    "csv_file_status": L5_STATUS,
+    "stream_file_status": L5_STATUS,
 }

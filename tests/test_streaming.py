@@ -50,3 +50,11 @@ def test_stream_once_per_file_replay_and_batch_equality(spark, write_csv, tmp_pa
     assert _rows(intake.account_monthly_summary()) == acc_before
     acc = {(r["account_id"], r["year"], r["month_num"]): r["txn_count"] for r in intake.account_monthly_summary().collect()}
     assert acc == {("A", 2025, 1): 2, ("A", 2026, 1): 1, ("C", 2025, 3): 1}
+
+
+def test_file_totals_from_month_states(spark, write_csv, tmp_path):
+    base, _ = write_csv({("A", "1.csv"): HEADER + "1,01/01/2025,+10\n2,05/02/2025,-4\n"})
+    intake = LedgerIntake(spark, base, str(tmp_path / "o"), checkpoint_dir=str(tmp_path / "c"), max_errors=1)
+    intake.run_available()
+    t = intake.file_totals().first()
+    assert (t["total_balance"], t["txn_count"]) == (6.0, 2)

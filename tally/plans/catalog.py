@@ -181,13 +181,19 @@ def _status_rows(outcome):
 _L5_WRITTEN: dict[tuple, tuple[str, list[str]]] = {}
 
 
+def _exists(spark, path):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _l5_files(spark, sf_dir):
     """Write the L5 CSV files once per session and source table version."""
     import os
     src = os.path.join(sf_dir, "events.parquet")
     st = os.stat(src) if os.path.exists(src) else None
     key = (id(spark.sparkContext), os.path.abspath(sf_dir), st.st_size if st else None, st.st_mtime if st else None)
-    if key not in _L5_WRITTEN:
+    if key not in _L5_WRITTEN or not _exists(spark, _L5_WRITTEN[key][0]):
         base = scratch_path(spark, "ledger-csv")
         L.write_csv_ledgers(spark, sf_dir, base)
         _L5_WRITTEN[key] = (base, list_files(spark, base, ".txt"))

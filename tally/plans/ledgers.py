@@ -50,7 +50,8 @@ def orders_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         signed.cast("decimal(18,2)").alias("amount"))
 
 
-def events_raw_ledger(spark: SparkSession, sf_dir: str, block_ids: int = L2_BLOCK_IDS) -> DataFrame:
+def events_raw_ledger(spark: SparkSession, sf_dir: str, block_ids: int = L2_BLOCK_IDS,
+                      carry: tuple[str, ...] = ()) -> DataFrame:
     """L2: ``id``, ``date``, ``transaction`` as text, with injected faults:
     an empty id every 97th event, day 32 every 89th, a non-number every 83rd.
     ``blk`` is the ordinal block (a range of the order key ``event_id``)."""
@@ -64,7 +65,7 @@ def events_raw_ledger(spark: SparkSession, sf_dir: str, block_ids: int = L2_BLOC
         F.when(eid % 89 == 0, F.lit("32/01/2024")).otherwise(F.date_format("ts", "dd/MM/yyyy")).alias("date"),
         F.when(eid % 83 == 0, F.lit("not-a-number"))
          .otherwise(F.concat(sign, F.col("value").cast("decimal(18,2)").cast("string"))).alias("transaction"),
-        F.lit(False).alias("malformed"))
+        F.lit(False).alias("malformed"), *carry)
 
 
 def account_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +127,7 @@ def write_csv_ledgers(spark: SparkSession, sf_dir: str, out_dir: str, chunk_ids:
     Each file is written by the one task that holds its (user, chunk), so a
     file is bounded by ``chunk_ids`` events, not by the user's size.
     """
-    raw = events_raw_ledger(spark, sf_dir)
-    memo = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("memo"))
-    rows = raw.join(memo, "event_id", "inner")
+    rows = events_raw_ledger(spark, sf_dir, carry=("event_type",)).withColumnRenamed("event_type", "memo")
     odd = F.col("account_id") % 2 == 1
     short = F.col("event_id") % 101 == 0
     cells_odd = [F.col("transaction"), F.col("memo"), F.col("id"), F.col("date")]

@@ -1,5 +1,4 @@
 """Structured Streaming intake."""
-from pyspark.sql import functions as F
 
 from tally.operators import summary, validate
 from tally.sources.csv_ledger import read_ledger_csv

@@ -16,7 +16,7 @@ from ..functions.keys import file_key
 from ..operators import quality, report, state, summary, validate
 from ..operators.state import KNOWN_STATUSES
 from ..session import scratch_path
-from ..sources.csv_ledger import list_files, read_ledger_csv
+from ..sources.csv_ledger import list_files, read_ledger_files
 from ..streaming.intake import LedgerIntake
 from . import ledgers as L
 
@@ -203,10 +203,11 @@ def _l5_files(spark, sf_dir):
 def csv_file_status(spark, sf_dir):
     """S1/S2/S4/P4 + A9-A11: ledger CSV files read back and judged per file."""
     base, paths = _l5_files(spark, sf_dir)
-    raw, rejected = read_ledger_csv(spark, paths, base_path=base)
-    c = validate.classify(raw)
-    _, outcome = validate.error_report(c, "blk", ["blk", "mid"], L.L2_MAX_ROW_ERRORS, carry=["file_path"])
-    return _status_rows(outcome).unionByName(_rejected_rows(rejected)).select(*FILE_STATUS_COLS)
+    lf = read_ledger_files(spark, paths)
+    c = validate.classify(lf.raw)
+    _, outcome = validate.error_report(c, "blk", ["blk", "mid"], L.L2_MAX_ROW_ERRORS, carry=["file_path"],
+                                       files=lf.files)
+    return _status_rows(outcome).unionByName(_rejected_rows(lf.rejected)).select(*FILE_STATUS_COLS)
 
 
 def stream_file_status(spark, sf_dir):

@@ -72,11 +72,22 @@ def _by_key(entries):
                         .when(a["key"] > b["key"], 1).otherwise(0))
 
 
-def summary_documents(monthly: DataFrame, file_totals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def _with_files(per_file: DataFrame, files: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Attach per-file columns (``invalid_rows``); with ``files`` every listed
+    file is kept, including files without a single valid month."""
+    if files is None:
+        return per_file.withColumn("invalid_rows", F.lit(0).cast("bigint"))
+    f = files.select(*keys, F.coalesce(F.col("invalid_rows"), F.lit(0)).cast("bigint").alias("invalid_rows"))
+    return f.join(per_file, list(keys), "left")
+
+
+def summary_documents(monthly: DataFrame, files: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """One nested summary per file, as a struct and as JSON text.
 
-    ``monthly`` is :func:`summary.monthly_summary` output; ``file_totals``
-    has ``total_balance`` and ``invalid_rows`` per file.
+    ``monthly`` is :func:`summary.monthly_summary` output. The file balance
+    is the exact sum of the month balances, taken in the same aggregation
+    that nests the months, so the ledger is read once. ``files`` (keys +
+    ``invalid_rows``) is optional.
     """
     month_doc = F.struct(
         F.col("month").alias(DOC_MONTH), F.col("month_num").alias(DOC_MONTH_NUM),
@@ -85,19 +96,21 @@ def summary_documents(monthly: DataFrame, file_totals: DataFrame, keys: Sequence
         F.col("debit_count").alias(DOC_DEBIT_COUNT))
     years = monthly.groupBy(*keys, "year").agg(
         F.sum("txn_count").alias("_year_count"),
+        F.sum("month_balance").alias("_year_balance"),
         F.map_from_entries(_by_key(F.collect_list(F.struct(F.col("month").alias("key"),
                                                            month_doc.alias("value"))))).alias("_by_month"))
     year_doc = F.struct(F.col("_year_count").alias(DOC_TXN_COUNT), F.col("_by_month").alias(DOC_BY_MONTH))
-    files = years.groupBy(*keys).agg(
+    per_file = years.groupBy(*keys).agg(
+        F.sum("_year_balance").alias("total_balance"),
         F.map_from_entries(_by_key(F.collect_list(F.struct(
             F.format_string("%04d", F.col("year")).alias("key"), year_doc.alias("value"))))).alias("_by_year"))
-    docs = file_totals.join(files, list(keys), "left")
+    docs = _with_files(per_file, files, keys)
     doc = F.struct(
         F.col("account_id").cast("string").alias(DOC_ACCOUNT),
-        F.col("total_balance").cast("double").alias(DOC_BALANCE),
+        F.coalesce(F.col("total_balance").cast("double"), F.lit(0.0)).alias(DOC_BALANCE),
         F.coalesce(F.col("_by_year"), F.create_map().cast(T.MapType(T.StringType(), YEAR_DOC_TYPE)))
          .alias(DOC_BY_YEAR),
-        F.coalesce(F.col("invalid_rows"), F.lit(0)).cast("bigint").alias(DOC_INVALID))
+        F.col("invalid_rows").alias(DOC_INVALID))
     return docs.select(*keys, doc.alias("summary"), F.to_json(doc).alias("summary_json"))
 
 
@@ -117,20 +130,26 @@ def flatten_documents(df: DataFrame, keys: Sequence[str] = KEYS, col: str = "sum
         F.col(f"_m.{DOC_AVG_DEBIT}").alias("avg_debit"))
 
 
-def statement_rows(monthly: DataFrame, file_totals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def statement_rows(monthly: DataFrame, files: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """One statement line per (file, month), in calendar order.
 
-    ``seq`` numbers the months of a file chronologically (a window over month
-    rows: at most one row per calendar month per file).
+    ``seq`` numbers the months of a file chronologically and the file balance
+    is a window sum of the exact month balances: both windows run over month
+    rows (at most one row per calendar month per file), no second scan.
     """
-    w = Window.partitionBy(*keys).orderBy("year", "month_num")
-    rows = monthly.join(file_totals.select(*keys, "total_balance", "invalid_rows"), list(keys), "inner")
+    by_file = Window.partitionBy(*keys)
+    rows = monthly.withColumn("total_balance", F.sum("month_balance").over(by_file).cast("double"))
+    if files is not None:
+        rows = rows.join(files.select(*keys, F.col("invalid_rows").cast("bigint")), list(keys), "inner")
+    else:
+        rows = rows.withColumn("invalid_rows", F.lit(0).cast("bigint"))
+    w = by_file.orderBy("year", "month_num")
     return rows.select(
         *keys, F.row_number().over(w).alias("seq"), "year", "month_num",
         month_label("month", "year").alias("month_label"),
         "txn_count", "avg_credit", "avg_debit",
         F.abs(F.col("avg_debit")).alias("avg_debit_abs"),
-        "total_balance", F.col("invalid_rows").cast("bigint").alias("invalid_rows"),
+        "total_balance", "invalid_rows",
         credit_cell("avg_credit").alias("credit_cell"), debit_cell("avg_debit").alias("debit_cell"),
         balance_cell("total_balance").alias("balance_cell"))
 
@@ -142,16 +161,20 @@ def _row_html(m):
         F.lit("</td><td>"), debit_cell(m["avg_debit"]), F.lit("</td></tr>"))
 
 
-def statement_html(monthly: DataFrame, file_totals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def statement_html(monthly: DataFrame, files: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """One HTML statement per file (our own neutral markup).
 
     The month table is ``array_join(transform(months, row_html))`` over the
-    file's months sorted by (year, month); the skipped-rows note appears
-    only when ``invalid_rows > 0``. No UDF.
+    file's months sorted by (year, month); the balance is the exact sum of
+    the month balances from the same aggregation; the skipped-rows note
+    appears only when ``invalid_rows > 0``. No UDF.
     """
-    months = monthly.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
-        "year", "month_num", "month", "txn_count", "avg_credit", "avg_debit"))).alias("_months"))
-    j = file_totals.join(months, list(keys), "left")
+    months = monthly.groupBy(*keys).agg(
+        F.sum("month_balance").cast("double").alias("total_balance"),
+        F.sort_array(F.collect_list(F.struct(
+            "year", "month_num", "month", "txn_count", "avg_credit", "avg_debit"))).alias("_months"))
+    j = _with_files(months, files, keys).withColumn(
+        "total_balance", F.coalesce(F.col("total_balance"), F.lit(0.0)))
     table = F.array_join(F.transform(F.coalesce(F.col("_months"), F.array()), _row_html), "")
     note = when_positive("invalid_rows", F.concat(
         F.lit("<p class=\"note\">"), F.col("invalid_rows").cast("string"),
@@ -173,20 +196,22 @@ def outbox(status: DataFrame, summaries: DataFrame, accounts: DataFrame, key: st
     return due.join(acc, "account_id", "inner")
 
 
-def statement_payloads(monthly: DataFrame, file_totals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def statement_payloads(monthly: DataFrame, files: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """K6 payload per file: balance, months in calendar order (O1), invalid rows.
 
     ``payload`` is a struct, ``payload_json`` its JSON text. The month list is
     ``sort_array`` of structs led by (year, month): at most one element per
-    calendar month of the file.
+    calendar month of the file; the balance is summed in the same aggregation.
     """
-    months = monthly.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
+    months = monthly.groupBy(*keys).agg(
+        F.sum("month_balance").cast("double").alias("total_balance"),
+        F.sort_array(F.collect_list(F.struct(
         F.col("year").alias(PAY_YEAR), F.col("month_num").alias(PAY_MONTH_NUM), F.col("month").alias(PAY_MONTH),
         F.col("txn_count").alias(PAY_TXN_COUNT), F.col("avg_credit").alias(PAY_AVG_CREDIT),
         F.col("avg_debit").alias(PAY_AVG_DEBIT)))).alias("_months"))
-    j = file_totals.join(months, list(keys), "left")
+    j = _with_files(months, files, keys)
     payload = F.struct(
-        F.col("total_balance").cast("double").alias(PAY_BALANCE),
+        F.coalesce(F.col("total_balance"), F.lit(0.0)).alias(PAY_BALANCE),
         F.coalesce(F.col("_months"), F.array()).alias(PAY_MONTHS),
         F.coalesce(F.col("invalid_rows"), F.lit(0)).cast("bigint").alias(PAY_INVALID))
     return j.select(*keys, payload.alias("payload"), F.to_json(payload).alias("payload_json"))

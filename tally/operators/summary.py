@@ -51,7 +51,8 @@ def mean_or_zero(total, count):
 
 
 def finish_monthly(state: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Month rows with name, means and sums as DOUBLE."""
+    """Month rows with name, means and sums as DOUBLE, plus the exact
+    ``month_balance`` (DECIMAL) from which file totals are summed."""
     return state.select(
         *keys, "year", "month_num",
         F.date_format(F.make_date("year", "month_num", F.lit(1)), "MMMM").alias("month"),
@@ -60,6 +61,7 @@ def finish_monthly(state: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         F.col("debit_sum").cast("double").alias("debit_sum"),
         mean_or_zero("credit_sum", "credit_count").alias("avg_credit"),
         mean_or_zero("debit_sum", "debit_count").alias("avg_debit"),
+        (F.col("credit_sum") + F.col("debit_sum")).alias("month_balance"),
     )
 
 

@@ -64,13 +64,8 @@ def merge_partial_summaries(spark, sf_dir):
     return summary.finish_monthly(summary.merge_states(even, odd)).select(*MONTHLY_COLS)
 
 
-def _l1_file_totals(spark, sf_dir):
-    return summary.totals(L.orders_ledger(spark, sf_dir)).withColumn("invalid_rows", F.lit(0).cast("bigint"))
-
-
 def statement_rows(spark, sf_dir):
-    monthly = summary.monthly_summary(L.orders_ledger(spark, sf_dir))
-    rows = report.statement_rows(monthly, _l1_file_totals(spark, sf_dir))
+    rows = report.statement_rows(summary.monthly_summary(L.orders_ledger(spark, sf_dir)))
     # Text cells (credit_cell, ...) are display-only: %.2f ties are printed
     # differently by different engines, so the checked output is numeric.
     return rows.select("account_id", "file_key", "seq", "year", "month_num", "month_label", "txn_count",
@@ -78,15 +73,13 @@ def statement_rows(spark, sf_dir):
 
 
 def summary_json(spark, sf_dir):
-    ledger = L.orders_ledger(spark, sf_dir)
-    docs = report.summary_documents(summary.monthly_summary(ledger), _l1_file_totals(spark, sf_dir))
+    docs = report.summary_documents(summary.monthly_summary(L.orders_ledger(spark, sf_dir)))
     return docs.select("account_id", "file_key", "summary_json")
 
 
 def summary_roundtrip(spark, sf_dir):
     """A12/F14 -> F15 -> R1: nest, serialise, parse back and flatten."""
-    ledger = L.orders_ledger(spark, sf_dir)
-    docs = report.summary_documents(summary.monthly_summary(ledger), _l1_file_totals(spark, sf_dir))
+    docs = report.summary_documents(summary.monthly_summary(L.orders_ledger(spark, sf_dir)))
     back = report.parse_documents(docs.select("account_id", "file_key", "summary_json"))
     flat = report.flatten_documents(back)
     heads = back.select("account_id", "file_key", F.col("summary.TotalBalance").alias("total_balance"),
@@ -95,8 +88,7 @@ def summary_roundtrip(spark, sf_dir):
 
 
 def statement_html(spark, sf_dir):
-    monthly = summary.monthly_summary(L.orders_ledger(spark, sf_dir))
-    return report.statement_html(monthly, _l1_file_totals(spark, sf_dir))
+    return report.statement_html(summary.monthly_summary(L.orders_ledger(spark, sf_dir)))
 
 
 # --- L2: raw text ledger with faults from events ----------------------------
@@ -250,9 +242,8 @@ def statement_payloads(spark, sf_dir):
     c = _l2_classified(spark, sf_dir)
     monthly = summary.accepted_monthly_summary(c, L.L2_MAX_ROW_ERRORS)
     _, outcome = validate.error_report(c, "blk", ["event_id"], L.L2_MAX_ROW_ERRORS)
-    totals = summary.totals(validate.valid_rows(c)).join(
-        outcome.filter(F.col("status") == "done").select("file_key", "invalid_rows"), "file_key", "inner")
-    rows = report.statements(due, report.statement_payloads(monthly, totals))
+    done = outcome.filter(F.col("status") == "done").select("account_id", "file_key", "invalid_rows")
+    rows = report.statements(due, report.statement_payloads(monthly, done))
     return rows.select("file_key", "account_id", "to", "subject",
                        F.col("payload.TotalBalance").alias("total_balance"),
                        F.size("payload.ByYear").alias("months"),

@@ -129,8 +129,9 @@ def test_statement_payload(spark):
         "account_id string, file_key string, year int, month_num int, month string, txn_count long, "
         "avg_credit double, avg_debit double").withColumn("avg_credit", F.when(F.col("month_num") == 8, 0.0)
                                                           .otherwise(F.col("avg_credit")))
-    totals = spark.createDataFrame([("ACC-001", "k", 29.74, 0)], "account_id string, file_key string, "
-                                   "total_balance double, invalid_rows long")
+    monthly = monthly.withColumn("month_balance", F.when(F.col("month_num") == 7, F.lit(50.2))
+                                 .otherwise(F.lit(-20.46)).cast("decimal(24,6)"))
+    totals = spark.createDataFrame([("ACC-001", "k", 0)], "account_id string, file_key string, invalid_rows long")
     due = spark.createDataFrame([("k", "ACC-001", "user@example.com")], "file_key string, account_id string, email string")
     out = report.statements(due, report.statement_payloads(monthly, totals)).first()
     assert out["to"] == "user@example.com"

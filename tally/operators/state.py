@@ -121,6 +121,14 @@ def with_parent(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return child.join(parent, key, "inner")
 
 
+def account_bucket(account_col, buckets: int):
+    """K5 layout: a stable hash bucket of the account, to ``partitionBy`` a
+    summary table so that reading one account's summaries lists and scans a
+    single bucket folder (partition pruning), without one folder per account."""
+    c = F.col(account_col) if isinstance(account_col, str) else account_col
+    return F.pmod(F.xxhash64(c.cast("string")), F.lit(buckets)).cast("int")
+
+
 def write_snapshot(df: DataFrame, base: str, version: int, partition_by: Sequence[str] = ()) -> str:
     """Write the next version of a keyed table to ``<base>/v=<version>``.
 

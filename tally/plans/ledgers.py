@@ -23,6 +23,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordinals import range_block
 from ..functions.predicates import (STATUS_DONE, STATUS_FAILED, STATUS_PROCESSING, STATUS_TO_REVIEW,
                                     as_timestamp)
 
@@ -60,7 +61,7 @@ def events_raw_ledger(spark: SparkSession, sf_dir: str, block_ids: int = L2_BLOC
     sign = F.when(F.col("event_type").isin("purchase", "error"), F.lit("-")).otherwise(F.lit("+"))
     return e.select(
         F.col("user_id").alias("account_id"), F.col("user_id").alias("file_key"), eid,
-        F.floor(eid / block_ids).cast("bigint").alias("blk"),
+        range_block(eid, block_ids).alias("blk"),
         F.when(eid % 97 == 0, F.lit("")).otherwise(eid.cast("string")).alias("id"),
         F.when(eid % 89 == 0, F.lit("32/01/2024")).otherwise(F.date_format("ts", "dd/MM/yyyy")).alias("date"),
         F.when(eid % 83 == 0, F.lit("not-a-number"))

@@ -138,3 +138,15 @@ def test_statement_payload(spark):
     months = out["payload"]["ByYear"]
     assert [(m["Month"], m["Year"], m["TxnCount"]) for m in months] == [("July", 2026, 2), ("August", 2026, 1)]
     assert out["payload_json"].startswith('{"TotalBalance":29.74,"ByYear":[{"Year":2026,"MonthNum":7')
+
+
+def test_account_bucket_layout_prunes(spark, tmp_path):
+    df = spark.createDataFrame([(f"A{i}", float(i)) for i in range(50)], "account_id string, total double")
+    base = str(tmp_path / "summaries")
+    path = state.write_snapshot(df.withColumn("bucket", state.account_bucket("account_id", 8)), base, 1,
+                                partition_by=["bucket"])
+    one = spark.read.parquet(path).filter(
+        (F.col("bucket") == state.account_bucket(F.lit("A7"), 8)) & (F.col("account_id") == "A7"))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+    assert [r["total"] for r in one.collect()] == [7.0]

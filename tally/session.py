@@ -47,6 +47,10 @@ def build_session(master: str | None = None, app: str = "tally",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # File listing jobs (many explicit ledger paths): a few listing tasks per
+    # core instead of one task per path.
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism",
+                   str(4 * spark.sparkContext.defaultParallelism))
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -70,6 +74,7 @@ def cluster_conf(total_cores: int, input_bytes: int) -> dict[str, str]:
         "spark.sql.files.maxPartitionBytes": str(256 * mb),
         "spark.sql.autoBroadcastJoinThreshold": str(64 * mb),
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * mb),
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * total_cores),
     }
 
 

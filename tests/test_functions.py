@@ -100,3 +100,13 @@ def test_parse_date_equals_formatter_form(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v string")
     bad = df.filter(~parse.parse_date("v").eqNullSafe(parse.parse_date_with_formatter("v"))).count()
     assert bad == 0
+
+
+def test_parse_id_cast_equals_pattern(spark):
+    vals = ["7", "+7", "-7", "007", "1.0", "1.", ".1", "1e2", "0x10", "", " ", "+", "-", "--1", "+-1",
+            "9223372036854775807", "9223372036854775808", "-9223372036854775808", "-9223372036854775809",
+            "١٢", "７", "1_000", "1 000", "12a", "\t7", "7 ", "0", "-0", "+0", "00000000000000000000001"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    t = text.trim_space("v")
+    gated = F.when(t.rlike(parse.ID_PATTERN), t.try_cast("bigint"))
+    assert df.filter(~parse.parse_id("v").eqNullSafe(gated)).count() == 0

@@ -91,17 +91,6 @@ def test_lease(spark):
     assert got == [True, False, False, False]
 
 
-def test_parse_date_equals_formatter_form(spark):
-    import itertools
-    days = ["00", "01", "28", "29", "30", "31", "32", "5/", "aa"]
-    months = ["00", "01", "02", "04", "12", "13"]
-    years = ["0000", "0001", "1900", "2000", "2023", "2024", "9999", "20x4"]
-    vals = [f"{d}/{m}/{y}" for d, m, y in itertools.product(days, months, years)] + ["5/1/2025", " 01/01/2025 ", ""]
-    df = spark.createDataFrame([(v,) for v in vals], "v string")
-    bad = df.filter(~parse.parse_date("v").eqNullSafe(parse.parse_date_with_formatter("v"))).count()
-    assert bad == 0
-
-
 def test_parse_id_cast_equals_pattern(spark):
     vals = ["7", "+7", "-7", "007", "1.0", "1.", ".1", "1e2", "0x10", "", " ", "+", "-", "--1", "+-1",
             "9223372036854775807", "9223372036854775808", "-9223372036854775808", "-9223372036854775809",

@@ -204,11 +204,13 @@ def csv_file_status(spark, sf_dir):
 
 def stream_file_status(spark, sf_dir):
     """The same files through the Structured Streaming intake
-    (``availableNow``), read back from its tables. Several micro-batches,
-    replays and late files are covered by ``tests/test_streaming.py``."""
-    base, _ = _l5_files(spark, sf_dir)
+    (``availableNow``, two micro-batches), read back from its tables.
+    Replays and late files are covered by ``tests/test_streaming.py``."""
+    base, paths = _l5_files(spark, sf_dir)
+    # Two micro-batches: the tables accumulate across batches and are merged
+    # on read.
     intake = LedgerIntake(spark, base, scratch_path(spark, "intake-out"), max_errors=L.L2_MAX_ROW_ERRORS,
-                          suffix=".txt")
+                          max_files_per_trigger=max(1, (len(paths) + 1) // 2), suffix=".txt")
     intake.run_available()
     st = intake.file_status()
     return _status_rows(st).unionByName(_rejected_rows(intake.table("rejected_files"))).select(*FILE_STATUS_COLS)

@@ -230,3 +230,38 @@ def statements(due: DataFrame, payloads: DataFrame, html: DataFrame | None = Non
         out = out.join(html.select(key, "html"), key, "left")
     return out.withColumn("to", F.col("email")).withColumn(
         "subject", F.concat(F.lit("Account statement "), F.col("account_id").cast("string")))
+
+
+def payload_from_documents(docs: DataFrame, col: str = "summary") -> DataFrame:
+    """R1 + K6 from stored documents: the statement payload of each parsed
+    summary (:func:`parse_documents`), months flattened from the nested maps
+    and sorted by (year, month) with higher-order functions on each row (no
+    explode, no shuffle)."""
+    by_year = F.map_entries(F.col(f"{col}.{DOC_BY_YEAR}"))
+    months = F.flatten(F.transform(by_year, lambda y: F.transform(
+        F.map_values(y["value"][DOC_BY_MONTH]), lambda m: F.struct(
+            y["key"].cast("int").alias(PAY_YEAR), m[DOC_MONTH_NUM].alias(PAY_MONTH_NUM),
+            m[DOC_MONTH].alias(PAY_MONTH), m[DOC_TXN_COUNT].alias(PAY_TXN_COUNT),
+            m[DOC_AVG_CREDIT].alias(PAY_AVG_CREDIT), m[DOC_AVG_DEBIT].alias(PAY_AVG_DEBIT)))))
+    payload = F.struct(
+        F.col(f"{col}.{DOC_BALANCE}").alias(PAY_BALANCE),
+        F.sort_array(F.coalesce(months, F.array())).alias(PAY_MONTHS),
+        F.col(f"{col}.{DOC_INVALID}").alias(PAY_INVALID))
+    return docs.withColumn("payload", payload).withColumn("payload_json", F.to_json("payload"))
+
+
+def html_from_payload(payload_col: str = "payload"):
+    """R3 from a payload struct: the same neutral markup as :func:`statement_html`."""
+    p = F.col(payload_col)
+    rows = F.transform(p[PAY_MONTHS], lambda m: _row_html({
+        "month": m[PAY_MONTH], "year": m[PAY_YEAR], "txn_count": m[PAY_TXN_COUNT],
+        "avg_credit": m[PAY_AVG_CREDIT], "avg_debit": m[PAY_AVG_DEBIT]}))
+    invalid = p[PAY_INVALID]
+    note = F.when(invalid > 0, F.concat(
+        F.lit("<p class=\"note\">"), invalid.cast("string"),
+        F.lit(" row(s) of the file could not be read and are not part of this summary.</p>"))).otherwise(F.lit(""))
+    return F.concat(
+        F.lit("<html><body><h1>Account statement</h1><p>Balance: "), balance_cell(p[PAY_BALANCE]),
+        F.lit("</p><table><tr><th>Month</th><th>Transactions</th><th>Average credit</th>"
+              "<th>Average debit</th></tr>"),
+        F.array_join(rows, ""), F.lit("</table>"), note, F.lit("</body></html>"))

@@ -333,4 +333,22 @@ JOIN totals t ON t.file_key = d.file_key
 JOIN first_month fm ON fm.file_key = d.file_key""",
     "csv_file_status": L5_STATUS,
     "stream_file_status": L5_STATUS,
+    "summary_json": _with(L1) + """
+, m AS (""" + _monthly("l1") + """),
+yrs AS (
+  SELECT account_id, file_key, year, sum(txn_count) AS ycount,
+    map_from_entries(list({'key': month, 'value': {'Month': month, 'MonthNum': month_num, 'TxnCount': txn_count,
+        'AvgCredit': avg_credit, 'AvgDebit': avg_debit, 'CreditCount': credit_count, 'DebitCount': debit_count}}
+        ORDER BY month)) AS by_month
+  FROM m GROUP BY ALL),
+files AS (
+  SELECT account_id, file_key,
+    map_from_entries(list({'key': lpad(CAST(year AS VARCHAR), 4, '0'),
+                           'value': {'TxnCount': CAST(ycount AS BIGINT), 'ByMonth': by_month}} ORDER BY year)) AS by_year
+  FROM yrs GROUP BY ALL),
+tot AS (SELECT account_id, file_key, CAST(sum(amount) AS DOUBLE) AS total FROM l1 GROUP BY ALL)
+SELECT t.account_id, t.file_key,
+  CAST(to_json({'AccountID': CAST(t.account_id AS VARCHAR), 'TotalBalance': t.total, 'ByYear': f.by_year,
+                'InvalidRows': CAST(0 AS BIGINT)}) AS VARCHAR) AS summary_json
+FROM tot t JOIN files f ON t.account_id = f.account_id AND t.file_key = f.file_key""",
 }

@@ -88,6 +88,12 @@ accounts AS (
   FROM customer WHERE c_custkey % 10 <> 0)"""
 
 
+def _fmt2(x: str) -> str:
+    """``%.2f`` as Spark's ``format_string`` prints a double: the shortest
+    decimal text of the value, rounded half away from zero to 2 places."""
+    return f"CAST(CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,20)), 2) AS DECIMAL(38,2)) AS VARCHAR)"
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n"
 
@@ -303,7 +309,10 @@ UNION ALL SELECT 'account_key_duplicates', CAST(count(*) AS BIGINT) FROM (SELECT
 SELECT m.account_id, m.file_key,
   CAST(row_number() OVER (PARTITION BY m.account_id, m.file_key ORDER BY m.year, m.month_num) AS INT) AS seq,
   m.year, m.month_num, m.month || ' ' || CAST(m.year AS VARCHAR) AS month_label, m.txn_count,
-  m.avg_credit, m.avg_debit, abs(m.avg_debit) AS avg_debit_abs, t.total_balance, CAST(0 AS BIGINT) AS invalid_rows
+  m.avg_credit, m.avg_debit, abs(m.avg_debit) AS avg_debit_abs, t.total_balance, CAST(0 AS BIGINT) AS invalid_rows,
+  '+$' || """ + _fmt2("m.avg_credit") + """ AS credit_cell,
+  '-$' || """ + _fmt2("abs(m.avg_debit)") + """ AS debit_cell,
+  '$' || """ + _fmt2("t.total_balance") + """ AS balance_cell
 FROM (""" + _monthly("l1") + """) m JOIN l1_totals t ON m.account_id = t.account_id AND m.file_key = t.file_key""",
 
     "summary_roundtrip": _with(L1, L1_TOTALS) + """
@@ -351,4 +360,18 @@ SELECT t.account_id, t.file_key,
   CAST(to_json({'AccountID': CAST(t.account_id AS VARCHAR), 'TotalBalance': t.total, 'ByYear': f.by_year,
                 'InvalidRows': CAST(0 AS BIGINT)}) AS VARCHAR) AS summary_json
 FROM tot t JOIN files f ON t.account_id = f.account_id AND t.file_key = f.file_key""",
+    "statement_html": _with(L1) + """
+, m AS (""" + _monthly("l1") + """),
+rows AS (
+  SELECT account_id, file_key,
+    string_agg('<tr><td>' || month || ' ' || CAST(year AS VARCHAR) || '</td><td>' || CAST(txn_count AS VARCHAR)
+               || '</td><td>+$' || """ + _fmt2("avg_credit") + """
+               || '</td><td>-$' || """ + _fmt2("abs(avg_debit)") + """ || '</td></tr>', '' ORDER BY year, month_num) AS body
+  FROM m GROUP BY ALL),
+tot AS (SELECT account_id, file_key, CAST(sum(amount) AS DOUBLE) AS total FROM l1 GROUP BY ALL)
+SELECT t.account_id, t.file_key,
+  '<html><body><h1>Account statement</h1><p>Balance: $' || """ + _fmt2("t.total") + """
+  || '</p><table><tr><th>Month</th><th>Transactions</th><th>Average credit</th><th>Average debit</th></tr>'
+  || r.body || '</table></body></html>' AS html
+FROM tot t JOIN rows r ON t.account_id = r.account_id AND t.file_key = r.file_key""",
 }

@@ -16,8 +16,7 @@ def test_entry_smoke(spark):
 def test_queries_have_oracles():
     from __spark_entry__ import oracle_sql, queries
     missing = set(queries()) - set(oracle_sql())
-    # Only the HTML statement (display text with %.2f cells) is rows-only.
-    assert missing == {"statement_html"}
+    assert missing == set()
 
 
 @pytest.mark.skipif(not os.path.exists(SF_CHECK), reason="driver data not present")

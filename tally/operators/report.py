@@ -119,13 +119,21 @@ def parse_documents(df: DataFrame, col: str = "summary_json") -> DataFrame:
     return df.withColumn("summary", F.from_json(F.col(col), SUMMARY_DOC_TYPE))
 
 
-def flatten_documents(df: DataFrame, keys: Sequence[str] = KEYS, col: str = "summary") -> DataFrame:
-    """Nested summary -> one row per month, in calendar order (O1)."""
-    years = df.select(*keys, F.explode(F.col(f"{col}.{DOC_BY_YEAR}")).alias("_year", "_ydoc"))
-    months = years.select(*keys, F.col("_year").cast("int").alias("year"),
+def flatten_documents(df: DataFrame, keys: Sequence[str] = KEYS, col: str = "summary",
+                      doc_fields: dict[str, str] | None = None) -> DataFrame:
+    """Nested summary -> one row per month, in calendar order (O1).
+
+    ``doc_fields`` maps output names to document-level fields (e.g.
+    ``{"total_balance": "TotalBalance"}``) carried onto every month row, so
+    no join back to the documents is needed.
+    """
+    carried = [F.col(f"{col}.{f}").alias(name) for name, f in (doc_fields or {}).items()]
+    names = list(doc_fields or {})
+    years = df.select(*keys, *carried, F.explode(F.col(f"{col}.{DOC_BY_YEAR}")).alias("_year", "_ydoc"))
+    months = years.select(*keys, *names, F.col("_year").cast("int").alias("year"),
                           F.explode(F.col(f"_ydoc.{DOC_BY_MONTH}")).alias("_mname", "_m"))
     return months.select(
-        *keys, "year", F.col(f"_m.{DOC_MONTH_NUM}").alias("month_num"), F.col(f"_m.{DOC_MONTH}").alias("month"),
+        *keys, *names, "year", F.col(f"_m.{DOC_MONTH_NUM}").alias("month_num"), F.col(f"_m.{DOC_MONTH}").alias("month"),
         F.col(f"_m.{DOC_TXN_COUNT}").alias("txn_count"), F.col(f"_m.{DOC_AVG_CREDIT}").alias("avg_credit"),
         F.col(f"_m.{DOC_AVG_DEBIT}").alias("avg_debit"))
 

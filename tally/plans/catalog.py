@@ -77,10 +77,8 @@ def summary_roundtrip(spark, sf_dir):
     """A12/F14 -> F15 -> R1: nest, serialise, parse back and flatten."""
     docs = report.summary_documents(summary.monthly_summary(L.orders_ledger(spark, sf_dir)))
     back = report.parse_documents(docs.select("account_id", "file_key", "summary_json"))
-    flat = report.flatten_documents(back)
-    heads = back.select("account_id", "file_key", F.col("summary.TotalBalance").alias("total_balance"),
-                        F.col("summary.InvalidRows").alias("invalid_rows"))
-    return flat.join(heads, ["account_id", "file_key"], "inner")
+    return report.flatten_documents(back, doc_fields={"total_balance": "TotalBalance",
+                                                      "invalid_rows": "InvalidRows"})
 
 
 def statement_html(spark, sf_dir):

@@ -26,10 +26,30 @@ def duplicate_keys(df: DataFrame, name: str, key_cols: Sequence[str]) -> DataFra
     return dup.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("rule"), "violations")
 
 
+def table_checks(df: DataFrame, rules: Mapping[str, Column], unique_name: str,
+                 key_cols: Sequence[str]) -> DataFrame:
+    """Row rules and one key-uniqueness rule of a table in a single scan.
+
+    Rows are grouped by the key (partial aggregation); each group counts its
+    rows and its violations of every rule; a second, tiny aggregate sums the
+    violations and counts the keys seen more than once.
+    """
+    per_key = df.groupBy(*key_cols).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.count_if(F.coalesce(pred, F.lit(False))).alias(name) for name, pred in rules.items()])
+    totals = per_key.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in rules],
+                         F.count_if(F.col("_n") > 1).alias(unique_name))
+    return totals.unpivot([], [*rules, unique_name], "rule", "violations")
+
+
 def constraint_report(checks: Sequence[tuple[DataFrame, Mapping[str, Column]]],
-                      unique_keys: Sequence[tuple[DataFrame, str, Sequence[str]]] = ()) -> DataFrame:
+                      unique_keys: Sequence[tuple[DataFrame, str, Sequence[str]]] = (),
+                      tables: Sequence[tuple[DataFrame, Mapping[str, Column], str, Sequence[str]]] = ()) -> DataFrame:
+    """``(rule, violations)`` rows. ``tables`` entries (table, rules,
+    uniqueness rule name, key columns) are checked in one scan each."""
     parts = [rule_violations(df, rules) for df, rules in checks]
     parts += [duplicate_keys(df, name, keys) for df, name, keys in unique_keys]
+    parts += [table_checks(df, rules, name, keys) for df, rules, name, keys in tables]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -271,21 +271,17 @@ def constraint_report(spark, sf_dir):
     raw = L.events_raw_ledger(spark, sf_dir)
     _, status, summaries = L.file_states(spark, sf_dir)
     acc = L.account_registry(spark, sf_dir)
-    checks = [
+    tables = [
         (raw, {"ledger_id_missing": F.col("id").isNull() | (F.trim(F.col("id")) == ""),
-               "ledger_date_missing": F.col("date").isNull() | (F.trim(F.col("date")) == "")}),
+               "ledger_date_missing": F.col("date").isNull() | (F.trim(F.col("date")) == "")},
+         "ledger_file_date_repeats", ["file_key", "date"]),
         (status, {"status_not_in_enum": ~F.col("status").isin(*KNOWN_STATUSES) | F.col("status").isNull(),
-                  "heartbeat_null": F.col("heartbeat_at").isNull()}),
-        (summaries, {"email_sent_null": F.col("email_sent").isNull()}),
-        (acc, {"email_null": F.col("email").isNull()}),
+                  "heartbeat_null": F.col("heartbeat_at").isNull()},
+         "status_key_duplicates", ["file_key"]),
+        (summaries, {"email_sent_null": F.col("email_sent").isNull()}, "summary_key_duplicates", ["file_key"]),
+        (acc, {"email_null": F.col("email").isNull()}, "account_key_duplicates", ["account_id"]),
     ]
-    unique = [
-        (raw, "ledger_file_date_repeats", ["file_key", "date"]),
-        (status, "status_key_duplicates", ["file_key"]),
-        (summaries, "summary_key_duplicates", ["file_key"]),
-        (acc, "account_key_duplicates", ["account_id"]),
-    ]
-    return quality.constraint_report(checks, unique)
+    return quality.constraint_report([], tables=tables)
 
 
 QUERIES: dict[str, Query] = {

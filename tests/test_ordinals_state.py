@@ -166,3 +166,15 @@ def test_results_independent_of_partitioning(spark):
                      sorted((r["file_key"], r["status"], r["valid_rows"]) for r in outcome.collect()),
                      sorted(map(tuple, monthly.collect()))))
     assert outs[0] == outs[1] == outs[2]
+
+
+def test_table_checks_one_scan_and_empty_table(spark):
+    from tally.operators import quality
+    df = spark.createDataFrame([("a", None), ("a", "x"), ("b", "y")], "k string, v string")
+    got = {r["rule"]: r["violations"] for r in quality.constraint_report(
+        [], tables=[(df, {"v_null": F.col("v").isNull()}, "k_dup", ["k"])]).collect()}
+    assert got == {"v_null": 1, "k_dup": 1}
+    empty = df.limit(0)
+    got = {r["rule"]: r["violations"] for r in quality.constraint_report(
+        [], tables=[(empty, {"v_null": F.col("v").isNull()}, "k_dup", ["k"])]).collect()}
+    assert got == {"v_null": 0, "k_dup": 0}

@@ -191,7 +191,7 @@ def csv_file_status(spark, sf_dir):
     """S1/S2/S4/P4 + A9-A11: ledger CSV files read back and judged per file."""
     base, paths = _l5_files(spark, sf_dir)
     lf = read_ledger_files(spark, paths)
-    c = validate.classify(lf.raw)
+    c = validate.stage_classified(validate.classify(lf.raw), "csv-rows")
     _, outcome = validate.error_report(c, "blk", ["blk", "mid"], L.L2_MAX_ROW_ERRORS, carry=["file_path"],
                                        files=lf.files)
     return _status_rows(outcome).unionByName(_rejected_rows(lf.rejected)).select(*FILE_STATUS_COLS)

@@ -91,7 +91,8 @@ def run_batch(spark: SparkSession, paths: list[str], state_dir: str, accounts: D
     if todo:
         # 2-3. read only the files to (re)process
         lf = read_ledger_files(spark, todo)
-        rows = validate.classify(lf.raw)
+        # parse the CSV once; every later scan reads the staged parquet
+        rows = validate.stage_classified(validate.classify(lf.raw), f"run-{version}-rows")
         _, outcome = validate.error_report(rows, "blk", ["blk", "mid"], max_errors, carry=["file_path"],
                                            files=lf.files)
         new_status = outcome.select(

@@ -114,3 +114,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     (stream checkpoints, sink outputs, lineage cuts)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def stage(df, name: str):
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    read it back: later scans are columnar and pruned, and the lineage (for
+    example a CSV parse) is cut, so a lost executor re-reads the staged
+    files instead of re-parsing the source."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -35,6 +35,7 @@ from ..operators import report, state, summary, validate
 from ..operators.state import ACTION_PROCESS, ACTION_RESUME
 from ..sources.csv_ledger import account_from_path, header_layouts, read_headers, read_ledger_files
 from ..functions.keys import file_key
+from ..session import remove_path, scratch_path
 
 STATUS_SCHEMA = ("file_key string, account_id string, file_path string, status string, checkpoint_row bigint, "
                  "valid_rows bigint, invalid_rows bigint, row_errors_json string, heartbeat_at timestamp_ntz, "
@@ -92,7 +93,8 @@ def run_batch(spark: SparkSession, paths: list[str], state_dir: str, accounts: D
         # 2-3. read only the files to (re)process
         lf = read_ledger_files(spark, todo)
         # parse the CSV once; every later scan reads the staged parquet
-        rows = validate.stage_classified(validate.classify(lf.raw), f"run-{version}-rows")
+        staging = scratch_path(spark, f"run-{version}-rows")
+        rows = validate.stage_classified(validate.classify(lf.raw), path=staging)
         _, outcome = validate.error_report(rows, "blk", ["blk", "mid"], max_errors, carry=["file_path"],
                                            files=lf.files)
         new_status = outcome.select(
@@ -120,6 +122,8 @@ def run_batch(spark: SparkSession, paths: list[str], state_dir: str, accounts: D
     st_path = state.write_snapshot(status_next, f"{state_dir}/file_status", version)
     sm_path = state.write_snapshot(summary_next, f"{state_dir}/file_summary", version)
     status_snap, summary_snap = spark.read.parquet(st_path), spark.read.parquet(sm_path)
+    if todo:
+        remove_path(spark, staging)  # the snapshots are written; nothing reads the staged rows any more
 
     # 5. due statements from the stored documents
     return RunResult(version, tri, status_snap, summary_snap, statements(status_snap, summary_snap, accounts))

@@ -116,12 +116,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def stage(df, name: str):
-    """Write ``df`` once as parquet under the shared checkpoint folder and
-    read it back: later scans are columnar and pruned, and the lineage (for
-    example a CSV parse) is cut, so a lost executor re-reads the staged
-    files instead of re-parsing the source."""
+def stage(df, name: str, path: str | None = None):
+    """Write ``df`` once as parquet under the shared checkpoint folder (or
+    ``path``) and read it back: later scans are columnar and pruned, and the
+    lineage (for example a CSV parse) is cut, so a lost executor re-reads the
+    staged files instead of re-parsing the source."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a staging folder once nothing lazy refers to it any more."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -143,20 +143,30 @@ def write_snapshot(df: DataFrame, base: str, version: int, partition_by: Sequenc
     return path
 
 
-def latest_snapshot_path(spark, base: str) -> str | None:
-    """Folder of the highest ``v=<n>`` version under ``base`` (a listing, no scan)."""
+def snapshot_versions(spark, base: str, committed_only: bool = True) -> list[int]:
+    """Versions ``v=<n>`` under ``base`` (a listing, no scan). With
+    ``committed_only`` a version counts only when its write finished (the
+    ``_SUCCESS`` marker of the job commit), so a folder left by a failed or
+    killed job is never read."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(base)
     fs = p.getFileSystem(conf)
     if not fs.exists(p):
-        return None
-    versions = []
+        return []
+    out = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith("v=") and name[2:].isdigit():
-            versions.append(int(name[2:]))
-    return f"{base.rstrip('/')}/v={max(versions)}" if versions else None
+            if not committed_only or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                out.append(int(name[2:]))
+    return sorted(out)
+
+
+def latest_snapshot_path(spark, base: str) -> str | None:
+    """Folder of the highest committed ``v=<n>`` version under ``base``."""
+    versions = snapshot_versions(spark, base)
+    return f"{base.rstrip('/')}/v={versions[-1]}" if versions else None
 
 
 KNOWN_STATUSES = (STATUS_PROCESSING, STATUS_DONE, STATUS_FAILED, STATUS_TO_REVIEW)

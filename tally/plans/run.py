@@ -53,16 +53,25 @@ class RunResult:
     statements: DataFrame   # due statements: file_key, account_id, to, subject, payload_json, html
 
 
-def _table(spark: SparkSession, state_dir: str, name: str, schema: str) -> tuple[DataFrame, int]:
-    path = state.latest_snapshot_path(spark, f"{state_dir}/{name}")
-    if path is None:
-        return spark.createDataFrame([], schema), 0
-    return spark.read.parquet(path), int(path.rsplit("v=", 1)[1])
+TABLES = ("file_status", "file_summary")
 
 
-def _versions(spark: SparkSession, state_dir: str) -> int:
-    latest = [state.latest_snapshot_path(spark, f"{state_dir}/{t}") for t in ("file_status", "file_summary")]
-    return max([int(p.rsplit("v=", 1)[1]) for p in latest if p] + [0])
+def committed_version(spark: SparkSession, state_dir: str) -> int:
+    """The state version: the highest ``v=<n>`` committed for *both* tables.
+
+    Both tables of a version are written by the same run; a run that died
+    between the two writes leaves an uncommitted pair, which is ignored (the
+    next run takes that version number again and overwrites it).
+    """
+    sets = [set(state.snapshot_versions(spark, f"{state_dir}/{t}")) for t in TABLES]
+    both = set.intersection(*sets)
+    return max(both) if both else 0
+
+
+def _table(spark: SparkSession, state_dir: str, name: str, schema: str, version: int) -> DataFrame:
+    if version == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(f"{state_dir}/{name}/v={version}")
 
 
 def run_batch(spark: SparkSession, paths: list[str], state_dir: str, accounts: DataFrame,
@@ -73,10 +82,11 @@ def run_batch(spark: SparkSession, paths: list[str], state_dir: str, accounts: D
     ``accounts`` has ``account_id, email``. ``now`` stamps heartbeats and
     summaries and decides stale leases, so a run is reproducible.
     """
-    version = _versions(spark, state_dir) + 1
+    current = committed_version(spark, state_dir)
+    version = current + 1
     ts = as_timestamp(now)
-    old_status, _ = _table(spark, state_dir, "file_status", STATUS_SCHEMA)
-    old_summary, _ = _table(spark, state_dir, "file_summary", SUMMARY_SCHEMA)
+    old_status = _table(spark, state_dir, "file_status", STATUS_SCHEMA, current)
+    old_summary = _table(spark, state_dir, "file_summary", SUMMARY_SCHEMA, current)
 
     # 1. every file of the run with its key, then triage
     heads = header_layouts(read_headers(spark, paths)).select("file_path")
@@ -139,8 +149,12 @@ def statements(status: DataFrame, summaries: DataFrame, accounts: DataFrame) ->
 
 
 def acknowledge(spark: SparkSession, state_dir: str, delivered: DataFrame, now: dt.datetime) -> DataFrame:
-    """Mark ``delivered`` keys (``file_key``) as sent in a new version."""
-    summaries, version = _table(spark, state_dir, "file_summary", SUMMARY_SCHEMA)
+    """Mark ``delivered`` keys (``file_key``) as sent in a new version
+    (both tables advance together; ``file_status`` is carried over)."""
+    current = committed_version(spark, state_dir)
+    summaries = _table(spark, state_dir, "file_summary", SUMMARY_SCHEMA, current)
+    status = _table(spark, state_dir, "file_status", STATUS_SCHEMA, current)
     marked = state.mark_delivered(summaries, delivered, now=as_timestamp(now))
-    path = state.write_snapshot(marked, f"{state_dir}/file_summary", _versions(spark, state_dir) + 1)
+    state.write_snapshot(status, f"{state_dir}/file_status", current + 1)
+    path = state.write_snapshot(marked, f"{state_dir}/file_summary", current + 1)
     return spark.read.parquet(path)

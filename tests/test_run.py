@@ -47,3 +47,21 @@ def test_two_runs_are_idempotent(spark, write_csv, tmp_path):
     sent = {r["account_id"]: r["email_sent"] for r in r2.file_summary.filter(F.col("account_id") != "C").collect()}
     assert sent == {"A": True, "B": False}
     assert r2.file_status.count() == 4 and r2.file_summary.count() == 2
+
+
+def test_uncommitted_versions_are_ignored(spark, write_csv, tmp_path):
+    import os
+    from tally.plans.run import committed_version
+    base, paths = write_csv({("A", "1.csv"): HEADER + "0,15/07/2026,+60.5\n"})
+    accounts = spark.createDataFrame([("A", "user@example.com")], "account_id string, email string")
+    state_dir = str(tmp_path / "state")
+    r1 = run_batch(spark, paths, state_dir, accounts, dt.datetime(2026, 8, 1))
+    assert committed_version(spark, state_dir) == 1
+    # a run that died after writing only file_status v=2 (and a stray partial folder)
+    r1.file_status.limit(0).write.parquet(os.path.join(state_dir, "file_status", "v=2"))
+    os.makedirs(os.path.join(state_dir, "file_summary", "v=7"))
+    assert committed_version(spark, state_dir) == 1
+    r2 = run_batch(spark, paths, state_dir, accounts, dt.datetime(2026, 8, 2))
+    assert r2.version == 2
+    assert {r["action"] for r in r2.triage.collect()} == {"send_only"}
+    assert r2.statements.count() == 1  # still due: stored summary, not delivered

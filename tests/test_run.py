@@ -65,3 +65,18 @@ def test_uncommitted_versions_are_ignored(spark, write_csv, tmp_path):
     assert r2.version == 2
     assert {r["action"] for r in r2.triage.collect()} == {"send_only"}
     assert r2.statements.count() == 1  # still due: stored summary, not delivered
+
+
+def test_command_line_run(spark, write_csv, tmp_path):
+    from tally.__main__ import main
+    base, _ = write_csv({("A", "1.csv"): HEADER + "0,15/07/2026,+60.5\n", ("B", "1.csv"): HEADER + "1,x,+1\n"})
+    acc = tmp_path / "accounts.csv"
+    acc.write_text("account_id,email\nA,old@example.com\nB,b@example.com\nA,a@example.com\n")
+    args = ["--ledgers", base, "--state", str(tmp_path / "st"), "--accounts", str(acc),
+            "--outbox", str(tmp_path / "out"), "--now", "2026-08-01T00:00:00"]
+    rep = main(args)
+    assert rep["files"] == 2 and rep["actions"] == {"process": 2}
+    out = spark.read.parquet(rep["outbox"]).collect()
+    assert sorted(r["to"] for r in out) == ["a@example.com", "b@example.com"]
+    rep2 = main(args[:-1] + ["2026-08-01T01:00:00"])
+    assert rep2["actions"] == {"send_only": 2}

@@ -5,7 +5,9 @@ compute, persist the summary, hand the statement to delivery, mark it sent),
 re-aimed at many files per run:
 
 1. ``read_headers`` for every path, which is cheap, gives each file its
-   ``file_key``; ``triage`` against the latest ``file_status`` and
+   ``file_key``; a file whose account is missing or has an unusable address
+   is left alone (``missing_account`` / ``invalid_email``); otherwise
+   ``triage`` against the latest ``file_status`` and
    ``file_summary`` snapshots decides per file: skip, send_only, process,
    error_already_processed, locked or resume.
 2. Only files to *process* or *resume* are read (pruning at the file level,
@@ -30,13 +32,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.predicates import DEFAULT_HEARTBEAT_TIMEOUT_SECS, DEFAULT_MAX_ROW_ERRORS, STATUS_DONE, as_timestamp
+from ..functions.predicates import (DEFAULT_HEARTBEAT_TIMEOUT_SECS, DEFAULT_MAX_ROW_ERRORS, STATUS_DONE, as_timestamp,
+                                    valid_email)
 from ..operators import report, state, summary, validate
 from ..operators.state import ACTION_PROCESS, ACTION_RESUME
 from ..sources.csv_ledger import account_from_path, header_layouts, read_headers, read_ledger_files
 from ..functions.keys import file_key
 from ..session import remove_path, scratch_path
 
+# --- fixed values -----------------------------------------------------------
+# Account errors, checked before the file triage.
+ACTION_MISSING_ACCOUNT = "missing_account"
+ACTION_INVALID_EMAIL = "invalid_email"
+# ---------------------------------------------------------------------------
+
 STATUS_SCHEMA = ("file_key string, account_id string, file_path string, status string, checkpoint_row bigint, "
                  "valid_rows bigint, invalid_rows bigint, row_errors_json string, heartbeat_at timestamp_ntz, "
                  "version bigint")
@@ -94,6 +103,12 @@ def run_batch(spark: SparkSession, paths: list[str], state_dir: str, accounts: D
         "file_key", file_key(F.col("account_id"), F.col("file_path")))
     tri = state.triage(manifest, old_status.select("file_key", "status", "heartbeat_at"),
                        old_summary.select("file_key", "email_sent"), ts, timeout_secs)
+    # J1 + P10 come first, as in the reference: a file whose account is
+    # missing or has an unusable address is not touched at all.
+    acc = accounts.select("account_id", valid_email("email").alias("_ok"))
+    tri = tri.join(acc, "account_id", "left").withColumn(
+        "action", F.when(F.col("_ok").isNull(), F.lit(ACTION_MISSING_ACCOUNT))
+        .when(~F.col("_ok"), F.lit(ACTION_INVALID_EMAIL)).otherwise(F.col("action"))).drop("_ok")
     todo = [r["file_path"] for r in tri.filter(F.col("action").isin(ACTION_PROCESS, ACTION_RESUME))
             .select("file_path").collect()]
 

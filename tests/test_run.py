@@ -15,6 +15,7 @@ def test_two_runs_are_idempotent(spark, write_csv, tmp_path):
         ("A", "2.csv"): HEADER + "1,x,+1\n2,y,+1\n3,z,+1\n4,w,+1\n",
         ("B", "1.csv"): HEADER + "1,01/01/2025,+3\n",
         ("C", "1.csv"): "id,when,transaction\n1,01/01/2025,+3\n",
+        ("MISSING", "1.csv"): HEADER + "1,01/01/2025,+3\n",
     })
     accounts = spark.createDataFrame([("A", "user@example.com"), ("B", "not-an-email"), ("C", "c@example.com")],
                                      "account_id string, email string")
@@ -23,7 +24,8 @@ def test_two_runs_are_idempotent(spark, write_csv, tmp_path):
 
     r1 = run_batch(spark, paths, state_dir, accounts, now, max_errors=3)
     assert r1.version == 1
-    assert sorted(r["action"] for r in r1.triage.collect()) == ["invalid_email", "process", "process", "process"]
+    assert sorted(r["action"] for r in r1.triage.collect()) == \
+        ["invalid_email", "missing_account", "process", "process", "process"]
     st = {r["file_path"].rsplit("/", 2)[1] + "/" + r["file_path"].rsplit("/", 1)[1]: r["status"]
           for r in r1.file_status.collect()}
     assert st == {"account_id=A/1.csv": "done", "account_id=A/2.csv": "to_review",
@@ -34,6 +36,7 @@ def test_two_runs_are_idempotent(spark, write_csv, tmp_path):
     assert payload["TotalBalance"] == 50.2 and payload["InvalidRows"] == 0
     assert [(m["Month"], m["Year"], m["TxnCount"]) for m in payload["ByYear"]] == [("July", 2026, 2)]
     assert "July 2026" in stm[0]["html"] and "+$60.50" in stm[0]["html"]
+    assert "could not be read" not in stm[0]["html"]  # no skipped-rows note when nothing was skipped
 
     acknowledge(spark, state_dir, r1.statements.select("file_key"), now)
 
@@ -42,7 +45,8 @@ def test_two_runs_are_idempotent(spark, write_csv, tmp_path):
     actions = {r["file_path"].rsplit("/", 2)[1] + "/" + r["file_path"].rsplit("/", 1)[1]: r["action"]
                for r in r2.triage.collect()}
     assert actions == {"account_id=A/1.csv": "skip", "account_id=A/2.csv": "resume",
-                       "account_id=B/1.csv": "invalid_email", "account_id=C/1.csv": "resume"}
+                       "account_id=B/1.csv": "invalid_email", "account_id=C/1.csv": "resume",
+                       "account_id=MISSING/1.csv": "missing_account"}
     assert r2.statements.count() == 0  # A/1 delivered
     sent = {r["account_id"]: r["email_sent"] for r in r2.file_summary.collect()}
     assert sent == {"A": True}

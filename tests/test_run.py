@@ -82,5 +82,9 @@ def test_command_line_run(spark, write_csv, tmp_path):
     assert rep["files"] == 2 and rep["actions"] == {"process": 2}
     out = spark.read.parquet(rep["outbox"]).collect()
     assert sorted(r["to"] for r in out) == ["a@example.com", "b@example.com"]
+    html = {r["account_id"]: r["html"] for r in out}
+    assert "1 row(s)" in html["B"] and "row(s)" not in html["A"]
+    assert json.loads([r for r in out if r["account_id"] == "B"][0]["payload_json"]) == \
+        {"TotalBalance": 0.0, "ByYear": [], "InvalidRows": 1}
     rep2 = main(args[:-1] + ["2026-08-01T01:00:00"])
     assert rep2["actions"] == {"send_only": 2}

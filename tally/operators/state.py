@@ -107,8 +107,15 @@ def unprocessed(manifest: DataFrame, status: DataFrame, key: str = "file_key") -
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Child keys without a parent row."""
-    return child.join(parent.select(key), key, "left_anti")
+    """Child keys without a parent row.
+
+    Written as a left outer join and a NULL test rather than ``left_anti``:
+    Catalyst pushes a left-anti join below an aggregate on the same key, which
+    would shuffle ledger rows instead of the (map-side combined) aggregate,
+    and a hot key would then reach one reducer whole.
+    """
+    p = parent.select(key).distinct().withColumn("_parent", F.lit(True))
+    return child.join(p, key, "left").filter(F.col("_parent").isNull()).drop("_parent")
 
 
 def with_parent(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:

@@ -33,8 +33,9 @@ def test_date_filter_reaches_the_scan(spark):
     assert re.search(r"PushedFilters: \[[^\]]*LessThan\(o_orderdate", plan)
 
 
-def test_aggregate_before_account_join(spark):
-    plan = _plan(spark, "ledger_with_account")
+@pytest.mark.parametrize("name", ["ledger_with_account", "orphan_accounts"])
+def test_aggregate_before_account_join(spark, name):
+    plan = _plan(spark, name)
     join = _first_line(plan, r"(HashJoin|SortMergeJoin)")
     agg = _first_line(plan, r"HashAggregate")
     assert join is not None and agg is not None and join < agg  # aggregate is below (a child of) the join

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.money import balance_cell, credit_cell, debit_cell, month_label, when_positive
 from ..functions.predicates import STATUS_DONE, not_delivered, valid_email
+from .state import keep_keys
 
 KEYS = ("account_id", "file_key")
 
@@ -198,8 +199,8 @@ def statement_html(monthly: DataFrame, files: DataFrame | None = None, keys: Seq
 def outbox(status: DataFrame, summaries: DataFrame, accounts: DataFrame, key: str = "file_key") -> DataFrame:
     """Statements due: finished files with a stored, undelivered summary
     whose account has a usable address."""
-    done = status.filter(F.col("status") == STATUS_DONE).select(key)
-    due = summaries.filter(not_delivered("email_sent")).join(done, key, "left_semi")
+    done = status.filter(F.col("status") == STATUS_DONE)
+    due = keep_keys(summaries.filter(not_delivered("email_sent")), done, key)
     acc = accounts.filter(valid_email("email")).select("account_id", "email")
     return due.join(acc, "account_id", "inner")
 

@@ -100,22 +100,36 @@ def triage(manifest: DataFrame, status: DataFrame, summaries: DataFrame, now, ti
     return j.withColumn("action", action).drop("_has_summary")
 
 
+def keep_keys(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose key is in ``keys`` (a semi join).
+
+    Written as an inner join with the distinct keys: Catalyst pushes a
+    ``left_semi``/``left_anti`` join below an aggregate on the same key,
+    which would move the aggregate's input rows (ledger rows) through the
+    join instead of its map-side combined output, and a hot key would reach
+    one reducer whole.
+    """
+    cols = [on] if isinstance(on, str) else list(on)
+    return df.join(keys.select(*cols).distinct(), cols, "inner")
+
+
+def drop_keys(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``keys`` (an anti join), written as
+    a left outer join and a NULL test for the reason given in
+    :func:`keep_keys`."""
+    cols = [on] if isinstance(on, str) else list(on)
+    marked = keys.select(*cols).distinct().withColumn("_present", F.lit(True))
+    return df.join(marked, cols, "left").filter(F.col("_present").isNull()).drop("_present")
+
+
 def unprocessed(manifest: DataFrame, status: DataFrame, key: str = "file_key") -> DataFrame:
-    """Files of the manifest that are not finished (anti-join on done)."""
-    done = status.filter(F.col("status") == STATUS_DONE).select(key)
-    return manifest.join(done, key, "left_anti")
+    """Files of the manifest that are not finished."""
+    return drop_keys(manifest, status.filter(F.col("status") == STATUS_DONE), key)
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Child keys without a parent row.
-
-    Written as a left outer join and a NULL test rather than ``left_anti``:
-    Catalyst pushes a left-anti join below an aggregate on the same key, which
-    would shuffle ledger rows instead of the (map-side combined) aggregate,
-    and a hot key would then reach one reducer whole.
-    """
-    p = parent.select(key).distinct().withColumn("_parent", F.lit(True))
-    return child.join(p, key, "left").filter(F.col("_parent").isNull()).drop("_parent")
+    """Child keys without a parent row (see :func:`drop_keys`)."""
+    return drop_keys(child, parent, key)
 
 
 def with_parent(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:

@@ -71,5 +71,11 @@ def main(argv: list[str] | None = None) -> dict:
     return report
 
 
-if __name__ == "__main__":
+def cli() -> int:
+    """Console entry point (exit status 0 on success)."""
     main()
+    return 0
+
+
+if __name__ == "__main__":
+    cli()

@@ -2,7 +2,6 @@
 import datetime as dt
 import json
 
-from pyspark.sql import functions as F
 
 from tally.plans.run import acknowledge, run_batch
 

@@ -57,3 +57,23 @@ def test_file_totals_from_month_states(spark, write_csv, tmp_path):
     intake.run_available()
     t = intake.file_totals().first()
     assert (t["total_balance"], t["txn_count"]) == (6.0, 2)
+
+
+def test_processed_files_can_be_archived(spark, write_csv, tmp_path):
+    base, paths = write_csv({("A", "1.csv"): HEADER + "1,01/01/2025,+10\n"})
+    archive = tmp_path / "archive"
+    intake = LedgerIntake(spark, base, str(tmp_path / "o"), checkpoint_dir=str(tmp_path / "c"),
+                          archive_dir=str(archive))
+    intake.run_available()
+    assert intake.file_status().count() == 1
+    # files of a batch are archived once the batch is committed to the
+    # source, i.e. when a later batch runs; the move itself is asynchronous
+    write_csv({("A", "2.csv"): HEADER + "2,01/02/2025,+5\n"})
+    intake.run_available()
+    import time
+    for _ in range(50):
+        if list(archive.rglob("*.csv")):
+            break
+        time.sleep(0.2)
+    assert list(archive.rglob("1.csv"))
+    assert intake.file_status().count() == 2

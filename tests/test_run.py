@@ -87,3 +87,11 @@ def test_command_line_run(spark, write_csv, tmp_path):
         {"TotalBalance": 0.0, "ByYear": [], "InvalidRows": 1}
     rep2 = main(args[:-1] + ["2026-08-01T01:00:00"])
     assert rep2["actions"] == {"send_only": 2}
+
+
+def test_run_with_only_rejected_files(spark, write_csv, tmp_path):
+    base, paths = write_csv({("A", "bad.csv"): "id,when,transaction\n1,01/01/2025,+3\n"})
+    accounts = spark.createDataFrame([("A", "a@example.com")], "account_id string, email string")
+    r = run_batch(spark, paths, str(tmp_path / "s"), accounts, dt.datetime(2026, 8, 1))
+    assert [(x["status"], x["valid_rows"]) for x in r.file_status.collect()] == [("failed", 0)]
+    assert r.statements.count() == 0

@@ -1,8 +1,10 @@
 """Command line: one batch run over a folder of ledger files.
 
-    spark-submit -m tally --ledgers s3a://b/ledgers --state s3a://b/state \\
+    python -m tally --ledgers s3a://b/ledgers --state s3a://b/state \\
         --accounts s3a://b/accounts.csv --outbox s3a://b/outbox [--max-row-errors 10]
 
+(or the ``tally`` console script once the package is installed).
+
 ``--accounts`` is a CSV with ``account_id,email``; its rows are upserted
 (last write wins per account) into ``<state>/accounts``. Ledger files live
 under ``account_id=<id>/`` folders. Due statements are written to

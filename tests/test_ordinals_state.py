@@ -178,3 +178,23 @@ def test_table_checks_one_scan_and_empty_table(spark):
     got = {r["rule"]: r["violations"] for r in quality.constraint_report(
         [], tables=[(empty, {"v_null": F.col("v").isNull()}, "k_dup", ["k"])]).collect()}
     assert got == {"v_null": 0, "k_dup": 0}
+
+
+def test_range_block_and_cluster_conf(spark):
+    from tally.session import cluster_conf
+    df = spark.createDataFrame([(0,), (4095,), (4096,), (-1,)], "k long")
+    assert [r["b"] for r in df.select(ordinals.range_block("k", 4096).alias("b")).collect()] == [0, 0, 1, -1]
+    conf = cluster_conf(total_cores=8000, input_bytes=100 * 2 ** 40)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 100_000  # 819,200 by size, capped; above 3 waves (24,000)
+    assert conf["spark.sql.adaptive.enabled"] == "true" and conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert int(conf["spark.sql.sources.parallelPartitionDiscovery.parallelism"]) == 32000
+
+
+def test_mark_delivered_stamps_only_acknowledged(spark):
+    import datetime as dt
+    sm = spark.createDataFrame([("k1", False, dt.datetime(2026, 1, 1)), ("k2", False, dt.datetime(2026, 1, 1))],
+                               "file_key string, email_sent boolean, updated_at timestamp_ntz")
+    ack = spark.createDataFrame([("k1",), ("k1",)], "file_key string")
+    now = F.lit("2026-02-01 00:00:00").cast("timestamp_ntz")
+    got = {r["file_key"]: (r["email_sent"], r["updated_at"]) for r in state.mark_delivered(sm, ack, now=now).collect()}
+    assert got == {"k1": (True, dt.datetime(2026, 2, 1)), "k2": (False, dt.datetime(2026, 1, 1))}

@@ -33,3 +33,21 @@ def test_all_queries_match_duckdb_small(spark):
     from oracle_check import compare
     res = compare(spark, SF_SMALL, verbose=False)
     assert not {k: v for k, v in res.items() if v[0] == "MISMATCH"}
+
+
+@pytest.mark.skipif(not os.path.exists(SF_CHECK), reason="driver data not present")
+def test_results_independent_of_ansi_mode_and_time_zone(spark):
+    """Parsing, timestamp literals and formatting do not depend on the
+    session's ANSI mode or time zone."""
+    from oracle_check import compare
+    names = ["ledger_valid_rows", "row_error_details", "file_triage", "summary_upsert", "latest_per_key",
+             "statement_html"]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.ansi.enabled", "spark.sql.session.timeZone")}
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        res = compare(spark, SF_CHECK, names, verbose=False)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {k: v[0] for k, v in res.items()} == {k: "ok" for k in names}

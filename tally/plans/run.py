@@ -88,8 +88,10 @@ def run_batch(spark: SparkSession, paths: list[str], state_dir: str, accounts: D
               timeout_secs: int = DEFAULT_HEARTBEAT_TIMEOUT_SECS) -> RunResult:
     """Run once over ``paths`` (files under ``account_id=<id>/`` folders).
 
-    ``accounts`` has ``account_id, email``. ``now`` stamps heartbeats and
-    summaries and decides stale leases, so a run is reproducible.
+    ``accounts`` has ``account_id, email``, one row per account (the command
+    line keeps it that way with a last-write-wins upsert). ``now`` stamps
+    heartbeats and summaries and decides stale leases, so a run is
+    reproducible.
     """
     current = committed_version(spark, state_dir)
     version = current + 1

@@ -88,8 +88,12 @@ def statement_html(spark, sf_dir):
 
 # --- L2: raw text ledger with faults from events ----------------------------
 
-def _l2_classified(spark, sf_dir):
-    return validate.classify(L.events_raw_ledger(spark, sf_dir))
+def _l2_classified(spark, sf_dir, staged: bool = False):
+    """L2 classified. ``staged``: parse once and write the classified rows to
+    the checkpoint folder, for queries whose outputs scan the ledger more
+    than once (block counts, error blocks, month rows)."""
+    c = validate.classify(L.events_raw_ledger(spark, sf_dir))
+    return validate.stage_classified(c, "l2-rows") if staged else c
 
 
 def _l2_errors(classified):
@@ -103,11 +107,11 @@ def ledger_valid_rows(spark, sf_dir):
 
 
 def row_error_details(spark, sf_dir):
-    return _l2_errors(_l2_classified(spark, sf_dir))
+    return _l2_errors(_l2_classified(spark, sf_dir, staged=True))
 
 
 def file_status(spark, sf_dir):
-    c = _l2_classified(spark, sf_dir)
+    c = _l2_classified(spark, sf_dir, staged=True)
     _, out = validate.error_report(c, "blk", ["event_id"], L.L2_MAX_ROW_ERRORS)
     return out.select("account_id", "file_key", "status", "checkpoint_row", "valid_rows", "invalid_rows",
                       F.to_json("row_errors").alias("row_errors_json"))
@@ -119,12 +123,12 @@ def monthly_summary_accepted(spark, sf_dir):
 
 
 def checkpoint_snapshots(spark, sf_dir):
-    return summary.checkpoint_snapshots(_l2_classified(spark, sf_dir), "blk", ["event_id"],
+    return summary.checkpoint_snapshots(_l2_classified(spark, sf_dir, staged=True), "blk", ["event_id"],
                                         L.L2_CHECKPOINT_INTERVAL, L.L2_MAX_ROW_ERRORS)
 
 
 def resume_from_checkpoint(spark, sf_dir):
-    c = _l2_classified(spark, sf_dir)
+    c = _l2_classified(spark, sf_dir, staged=True)
     manifest, _, _ = L.file_states(spark, sf_dir)
     checkpoints = manifest.select("file_key", (F.col("file_key") % 30).alias("checkpoint_row"))
     rest = summary.resume_delta(c, checkpoints, "blk", ["event_id"])
@@ -236,7 +240,7 @@ def statement_payloads(spark, sf_dir):
     _, status, summaries = L.file_states(spark, sf_dir)
     due = report.outbox(status, summaries, L.account_registry(spark, sf_dir)).select(
         "file_key", "account_id", "email")
-    c = _l2_classified(spark, sf_dir)
+    c = _l2_classified(spark, sf_dir, staged=True)
     monthly = summary.accepted_monthly_summary(c, L.L2_MAX_ROW_ERRORS)
     _, outcome = validate.error_report(c, "blk", ["event_id"], L.L2_MAX_ROW_ERRORS)
     done = outcome.filter(F.col("status") == "done").select("account_id", "file_key", "invalid_rows")

@@ -198,3 +198,18 @@ def test_mark_delivered_stamps_only_acknowledged(spark):
     now = F.lit("2026-02-01 00:00:00").cast("timestamp_ntz")
     got = {r["file_key"]: (r["email_sent"], r["updated_at"]) for r in state.mark_delivered(sm, ack, now=now).collect()}
     assert got == {"k1": (True, dt.datetime(2026, 2, 1)), "k2": (False, dt.datetime(2026, 1, 1))}
+
+
+def test_documents_for_files_without_months(spark):
+    import json
+    from tally.operators import report
+    ledger = spark.createDataFrame([("A", "k1", 1, None, None)],
+                                   "account_id string, file_key string, id long, date date, amount decimal(24,6)")
+    monthly = summary.monthly_summary(ledger.filter(F.col("id") < 0))  # no valid rows at all
+    files = spark.createDataFrame([("A", "k1", 2)], "account_id string, file_key string, invalid_rows long")
+    doc = json.loads(report.summary_documents(monthly, files).first()["summary_json"])
+    assert doc == {"AccountID": "A", "TotalBalance": 0.0, "ByYear": {}, "InvalidRows": 2}
+    html = report.statement_html(monthly, files).first()["html"]
+    assert "Balance: $0.00" in html and "2 row(s)" in html
+    pay = json.loads(report.statement_payloads(monthly, files).first()["payload_json"])
+    assert pay == {"TotalBalance": 0.0, "ByYear": [], "InvalidRows": 2}

@@ -59,3 +59,18 @@ def test_ledger_windows_are_per_block(spark, name):
     specs = re.findall(r"windowspecdefinition\(([^)]*)\)", plan)
     row_windows = [s for s in specs if "event_id" in s]
     assert row_windows and all("blk" in s for s in row_windows)
+
+
+def test_queries_stay_in_the_jvm(spark):
+    """No Python operator in any registered query's plan, except the CSV
+    header reader (which runs before the ledger scan, in its own job)."""
+    python_ops = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
+    offenders = {}
+    for name in catalog.QUERIES:
+        if name in ("csv_file_status", "stream_file_status"):
+            continue
+        plan = _plan(spark, name)
+        hits = [op for op in python_ops if op in plan]
+        if hits:
+            offenders[name] = hits
+    assert offenders == {}

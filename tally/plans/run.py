@@ -21,7 +21,8 @@ re-aimed at many files per run:
    not delivered, usable address), built from the stored JSON summaries.
    ``acknowledge`` marks delivered keys in a new ``file_summary`` version.
 
-Driver-side data is file metadata only: the path lists of the files to read.
+Driver-side data is file metadata only: the path lists of the files to read
+(grouped by header layout).
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from ..functions.predicates import (DEFAULT_HEARTBEAT_TIMEOUT_SECS, DEFAULT_MAX_
                                     valid_email)
 from ..operators import report, state, summary, validate
 from ..operators.state import ACTION_PROCESS, ACTION_RESUME
-from ..sources.csv_ledger import account_from_path, header_layouts, read_headers, read_ledger_files
+from ..sources.csv_ledger import account_from_path, read_layouts, read_ledger_files
 from ..functions.keys import file_key
 from ..session import remove_path, scratch_path
 
@@ -99,9 +100,11 @@ def run_batch(spark: SparkSession, paths: list[str], state_dir: str, accounts: D
     old_status = _table(spark, state_dir, "file_status", STATUS_SCHEMA, current)
     old_summary = _table(spark, state_dir, "file_summary", SUMMARY_SCHEMA, current)
 
-    # 1. every file of the run with its key, then triage
-    heads = header_layouts(read_headers(spark, paths)).select("file_path")
-    manifest = heads.withColumn("account_id", account_from_path(F.col("file_path"))).withColumn(
+    # 1. every file of the run with its key, then triage (J2); headers are
+    #    read once (checkpointed layouts) and reused for the files to read
+    layouts = read_layouts(spark, paths)
+    manifest = layouts.select("file_path").withColumn(
+        "account_id", account_from_path(F.col("file_path"))).withColumn(
         "file_key", file_key(F.col("account_id"), F.col("file_path")))
     tri = state.triage(manifest, old_status.select("file_key", "status", "heartbeat_at"),
                        old_summary.select("file_key", "email_sent"), ts, timeout_secs)
@@ -111,14 +114,15 @@ def run_batch(spark: SparkSession, paths: list[str], state_dir: str, accounts: D
     tri = tri.join(acc, "account_id", "left").withColumn(
         "action", F.when(F.col("_ok").isNull(), F.lit(ACTION_MISSING_ACCOUNT))
         .when(~F.col("_ok"), F.lit(ACTION_INVALID_EMAIL)).otherwise(F.col("action"))).drop("_ok")
-    todo = [r["file_path"] for r in tri.filter(F.col("action").isin(ACTION_PROCESS, ACTION_RESUME))
-            .select("file_path").collect()]
+    tri = tri.checkpoint(eager=True)  # one row per file, reused below and returned
+    todo_files = tri.filter(F.col("action").isin(ACTION_PROCESS, ACTION_RESUME)).select("file_path")
+    todo = todo_files.count() > 0
 
     new_status = spark.createDataFrame([], STATUS_SCHEMA)
     new_summary = spark.createDataFrame([], SUMMARY_SCHEMA)
     if todo:
         # 2-3. read only the files to (re)process
-        lf = read_ledger_files(spark, todo)
+        lf = read_ledger_files(spark, layouts=layouts.join(todo_files, "file_path", "inner"))
         # parse the CSV once; every later scan reads the staged parquet
         staging = scratch_path(spark, f"run-{version}-rows")
         rows = validate.stage_classified(validate.classify(lf.raw), path=staging)

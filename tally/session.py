@@ -75,6 +75,8 @@ def cluster_conf(total_cores: int, input_bytes: int) -> dict[str, str]:
         "spark.sql.autoBroadcastJoinThreshold": str(64 * mb),
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * mb),
         "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * total_cores),
+        # reclaim checkpoint files (per-block tables, layouts) once unused
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
 
 

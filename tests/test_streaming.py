@@ -71,7 +71,7 @@ def test_processed_files_can_be_archived(spark, write_csv, tmp_path):
     write_csv({("A", "2.csv"): HEADER + "2,01/02/2025,+5\n"})
     intake.run_available()
     import time
-    for _ in range(50):
+    for _ in range(150):  # the move is asynchronous; allow up to 30 s on a busy machine
         if list(archive.rglob("*.csv")):
             break
         time.sleep(0.2)

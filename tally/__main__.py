@@ -46,13 +46,15 @@ def upsert_accounts(spark: SparkSession, state_dir: str, accounts_csv: str, vers
 
 def main(argv: list[str] | None = None) -> dict:
     ap = argparse.ArgumentParser(prog="tally")
-    ap.add_argument("--ledgers", required=True)
-    ap.add_argument("--state", required=True)
-    ap.add_argument("--accounts", required=True)
-    ap.add_argument("--outbox", required=True)
-    ap.add_argument("--suffix", default=".csv")
-    ap.add_argument("--max-row-errors", type=int, default=DEFAULT_MAX_ROW_ERRORS)
-    ap.add_argument("--heartbeat-timeout", type=int, default=DEFAULT_HEARTBEAT_TIMEOUT_SECS)
+    ap.add_argument("--ledgers", required=True, help="folder of ledger files under account_id=<id>/ folders")
+    ap.add_argument("--state", required=True, help="folder of the versioned state tables")
+    ap.add_argument("--accounts", required=True, help="CSV with account_id,email (upserted, last line wins)")
+    ap.add_argument("--outbox", required=True, help="folder for the due statements of this run")
+    ap.add_argument("--suffix", default=".csv", help="ledger file name suffix (default .csv)")
+    ap.add_argument("--max-row-errors", type=int, default=DEFAULT_MAX_ROW_ERRORS,
+                    help="bad rows tolerated per file; more sends the file to review")
+    ap.add_argument("--heartbeat-timeout", type=int, default=DEFAULT_HEARTBEAT_TIMEOUT_SECS,
+                    help="seconds after which a processing lease is stale")
     ap.add_argument("--now", default=None, help="ISO timestamp; defaults to the current UTC time")
     a = ap.parse_args(argv)
 

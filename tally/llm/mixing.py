@@ -95,7 +95,7 @@ def _number(text: Column, start: int = 1) -> Column:
 
 
 def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, seed: int = 17,
-                n_blocks: int = 20_000, docs_per_shard: int = 50_000, broadcast_rows: int = 10_000) -> DataFrame:
+                n_blocks: int = 20_000, docs_per_shard: int = 5_000, broadcast_rows: int = 10_000) -> DataFrame:
     """How many words of each document the mix takes.
 
     ``docs`` has ``doc_id``, ``text`` and ``source``. The result has one row

@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tally.llm.chunk_dedup import dedup_chunks
 from tally.llm.common import read
 from tally.llm.mixing import mix_sources
+from tally.llm.suffix_dedup import dedup_substrings
+
+
+def _kept_digest(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing,)}
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_digest(dedup_substrings(read(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_digest(dedup_chunks(read(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+QUERIES = {f.__name__: f for f in (op4_mixing, op5_suffix_dedup, op10_chunk_dedup)}

@@ -91,20 +91,20 @@ def chunks(docs: DataFrame, *, mask_bits: int, min_bytes: int, max_bytes: int) -
     return docs.mapInArrow(cut, "doc_id long, part int, start long, length long, digest binary")
 
 
-def number_parts(docs: DataFrame) -> DataFrame:
-    """``doc_id, part, text``: ``part`` is 0 where an id is unique; the rows of
-    a repeated id are numbered by text. Only repeated ids are shuffled with
-    their texts."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def number_parts(docs: DataFrame, *others: str) -> DataFrame:
+    """``doc_id, part, text`` and the columns ``others``: ``part`` is 0 where an
+    id is unique; the rows of a repeated id are numbered by text. Only rows of
+    repeated ids are shuffled with their texts."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others)
     twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     if twice.isEmpty():
-        return docs.select("doc_id", F.lit(0).alias("part"), "text")
+        return docs.select("doc_id", F.lit(0).alias("part"), "text", *others)
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
     twice = twice.select(F.col("doc_id").alias("_id"))
-    once = docs.join(twice, same, "left_anti").select("doc_id", F.lit(0).alias("part"), "text")
+    once = docs.join(twice, same, "left_anti").select("doc_id", F.lit(0).alias("part"), "text", *others)
     again = docs.join(twice, same, "left_semi").withColumn(
-        "part", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1)
-    return once.unionByName(again.select("doc_id", "part", "text"))
+        "part", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *others)) - 1)
+    return once.unionByName(again.select("doc_id", "part", "text", *others))
 
 
 def remove_spans(parts: DataFrame, spans: DataFrame) -> DataFrame:

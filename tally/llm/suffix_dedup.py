@@ -116,7 +116,7 @@ def bounded_suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(7):
         key = (key << 9) | padded[j:j + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     ordered = key[sa]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     rank = np.zeros(n + 1, np.int64)
@@ -128,7 +128,7 @@ def bounded_suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     while reach < depth and len(slots):
         suffix = sa[slots]
         key = (rank[suffix] << 32) | rank[np.minimum(suffix + reach, n)]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         suffix, key = suffix[order], key[order]
         sa[slots] = suffix
         new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -151,17 +151,17 @@ def bounded_prefix_breaks(symbols: np.ndarray, sa: np.ndarray, length: int) -> n
     """
     n = len(symbols)
     bwt = symbols[sa - 1]
-    forward = np.empty(n, np.int64)
+    forward = np.empty(n, np.int32)
     forward[np.argsort(bwt, kind="stable")] = np.arange(n)
     border = np.full(n + 1, -1, np.int64)  # border[i]: between suffixes i - 1 and i
     border[0] = border[n] = 0
-    rows, owner = np.arange(n), np.zeros(n, np.int64)
+    rows, owner = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
     for level in range(length):
         if not len(rows):
             break
-        to, symbol = forward[rows], bwt[rows]
-        order = np.argsort(to, kind="stable")
-        to, owner, symbol = to[order], owner[order], symbol[order]
+        symbol = bwt[rows]
+        order = np.argsort(symbol, kind="stable")  # also the order of the rows they move to
+        to, owner, symbol = forward[rows[order]], owner[order], symbol[order]
         new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])])
         heads = np.flatnonzero(new)
         sizes = np.diff(np.append(heads, len(to)))
@@ -170,36 +170,35 @@ def bounded_prefix_breaks(symbols: np.ndarray, sa: np.ndarray, length: int) -> n
         border[right[open_]] = level
         keep = np.repeat(open_, sizes)
         rows = to[keep]
-        owner = np.repeat(np.arange(len(heads)), sizes)[keep]
+        owner = np.repeat(np.arange(len(heads), dtype=np.int32), sizes)[keep]
     return border[:n]
 
 
-def repeated_starts(texts: list[bytes], windows: list[int], copies: list[int], length: int) -> list[np.ndarray]:
-    """For every text (given ``copies`` times in the corpus) the starts below
-    ``windows`` whose ``length`` bytes start elsewhere too, as (start, n) runs."""
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+def repeated_starts(texts: list[bytes], windows: np.ndarray, copies: np.ndarray,
+                    length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every text (given ``copies`` times in the corpus) the starts below
+    its ``windows`` whose ``length`` bytes start elsewhere too, as runs: text,
+    first start and number of starts. A text is longer than its windows."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    symbols = np.zeros(begin[-1], np.uint16)  # 0 ends a text, bytes are 1 to 256
-    flat = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8)
-    symbols[:] = flat.astype(np.uint16) + 1
+    flat = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+    used, symbols = np.unique(flat, return_inverse=True)
+    symbols = symbols.astype(np.uint8 if len(used) < 256 else np.uint16) + 1  # 0 ends a text
     symbols[begin[1:] - 1] = 0
     which = np.repeat(np.arange(len(texts)), sizes)
     inside = np.arange(begin[-1]) - begin[which]
-    weight = np.where(inside < np.array(windows)[which], np.array(copies)[which], 0)
+    weight = np.where(inside < windows[which], copies[which], 0)
     sa = bounded_suffix_order(symbols, length + 1)
     breaks = bounded_prefix_breaks(symbols, sa, length)
     breaks[0] = 0
     heads = np.flatnonzero(breaks >= 0)
     total = np.add.reduceat(weight[sa], heads)
-    twice = np.zeros(begin[-1], bool)
+    twice = np.zeros(begin[-1], np.int8)
     twice[sa] = np.repeat(total >= 2, np.diff(np.append(heads, len(sa))))
-    twice &= weight > 0
-    out = []
-    for i in range(len(texts)):
-        flags = twice[begin[i]:begin[i] + windows[i]].astype(np.int8)
-        change = np.flatnonzero(np.diff(np.concatenate([[0], flags, [0]])))
-        out.append(np.stack([change[::2], change[1::2] - change[::2]], 1))
-    return out
+    twice[weight == 0] = 0
+    change = np.diff(twice, prepend=0, append=0)
+    start, end = np.flatnonzero(change > 0), np.flatnonzero(change < 0)
+    return which[start], inside[start], end - start
 
 
 _PIECE = "gram long, digest long, n int, anchor int, copies long, bytes binary"
@@ -211,12 +210,13 @@ def shard_runs(distinct: DataFrame, length: int, shards: int) -> DataFrame:
     all fragments of a gram meet in one shard."""
 
     def run(table: pa.Table) -> pa.Table:
-        runs = repeated_starts(table.column("bytes").to_pylist(), table.column("n").to_pylist(),
-                               table.column("copies").to_pylist(), length)
-        return pa.table({
-            "gram": table.column("gram"), "digest": table.column("digest"),
-            "runs": pa.array([[{"start": int(a), "n": int(b)} for a, b in r] for r in runs],
-                             pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())])))})
+        text, start, n = repeated_starts(table.column("bytes").to_pylist(), table.column("n").to_numpy(),
+                                         table.column("copies").to_numpy(), length)
+        ends = np.searchsorted(text, np.arange(table.num_rows + 1)).astype(np.int32)
+        runs = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
+                                          ["start", "n"])
+        return pa.table({"gram": table.column("gram"), "digest": table.column("digest"),
+                         "runs": pa.ListArray.from_arrays(pa.array(ends), runs)})
 
     return (distinct.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
             .groupBy("shard").applyInArrow(run, _RUN).filter(F.size("runs") > 0))

@@ -117,3 +117,13 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
         value = value * np.uint64(0x9FB21C651E98DF25) + part
         value ^= value >> np.uint64(29)
     return mix64(value), out_first
+
+
+def sequence_hashes(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hash of every run ``hashes[low:high]``, by prefix sums."""
+    n = len(hashes)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * _power(_BASE, n)[:n], out=total[1:])
+    value = (total[high] - total[low]) * _power(_INVERSE, n + 1)[low]
+    value += (high - low).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    return mix64(value)

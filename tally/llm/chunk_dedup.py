@@ -144,7 +144,7 @@ def remove_spans(parts: DataFrame, spans: DataFrame) -> DataFrame:
         apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def dedup_chunks(docs: DataFrame, *, mask_bits: int = 6, min_bytes: int = 32, max_bytes: int = 512) -> DataFrame:
+def dedup_chunks(docs: DataFrame, *, mask_bits: int = 6, min_bytes: int = 16, max_bytes: int = 512) -> DataFrame:
     """Documents without the chunks seen before: one row per row of ``docs``
     (``doc_id, n_bytes, n_removed, n_spans, kept``)."""
     parts = number_parts(docs)

@@ -127,3 +127,21 @@ def sequence_hashes(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np
     value = (total[high] - total[low]) * _power(_INVERSE, n + 1)[low]
     value += (high - low).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
     return mix64(value)
+
+
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends (white space at both ends left out), row and
+    number in the row (from 0, by line feeds) of the lines that hold a word."""
+    starts, ends, _ = words(data, offsets)
+    feeds = np.flatnonzero(data == 10)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    # A word opens a line when a line feed or a row border lies before it.
+    feed_no = np.searchsorted(feeds, starts)
+    row = np.searchsorted(offsets, starts, "right") - 1
+    opens = np.concatenate([[True], (feed_no[1:] != feed_no[:-1]) | (row[1:] != row[:-1])])
+    head = np.flatnonzero(opens)
+    last = np.append(head[1:], len(starts)) - 1
+    row = row[head]
+    return starts[head], ends[last], row, feed_no[head] - np.searchsorted(feeds, offsets[row])

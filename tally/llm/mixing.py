@@ -110,7 +110,9 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_re
                .withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("total") / n_blocks)).cast("long"))
                .withColumn("_all", F.round(F.col("total") / F.col("block")).cast("long"))
                .withColumn("shards", F.ceil(F.col("n_docs") / docs_per_shard).cast("long")))
-    plan = stage(apportion(targets, [], "sid", "target", "_all", "seats"), "mix-targets")
+    # Whole words as votes: their sums do not depend on the order of addition.
+    targets = targets.withColumn("votes", F.round("target"))
+    plan = stage(apportion(targets, [], "sid", "votes", "_all", "seats"), "mix-targets")
 
     per_source = small(plan.select(F.col("source").alias("_source"), "sid", "shards"), broadcast_rows)
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))

@@ -1,5 +1,161 @@
-"""DuckDB SQL of the registered queries that SQL can express."""
+"""DuckDB SQL of the registered queries that SQL can express.
+
+The others have no SQL form (rolling hashes, trained models, edit joins) or
+none that is quick on whole tables (windows of 200 bytes); ``tests/llm``
+compares them with brute force.
+"""
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _apportion(name: str, table: str, group: str, key: str, votes: str, seats: str) -> str:
+    """CTEs of Sainte-Laguë seats: ``name`` has the columns of ``table`` and ``won``."""
+    over = f"OVER (PARTITION BY {group})" if group else "OVER ()"
+    part = f"PARTITION BY {group}" if group else ""
+    keys = f"{group}, {key}" if group else key
+    using = f"USING ({keys})"
+    return f"""
+{name}_1 AS (
+  SELECT *, sum({votes}) {over} AS all_votes, count(*) {over} AS n_rows,
+         CASE WHEN sum({votes}) {over} > 0
+              THEN CAST(floor(CAST({votes} AS DOUBLE) * {seats} / sum({votes}) {over} + 0.5) AS BIGINT)
+              ELSE 0 END AS got
+  FROM {table}),
+{name}_2 AS (
+  SELECT *, CASE WHEN all_votes > 0 THEN {seats} - sum(got) {over} ELSE 0 END AS open_seats FROM {name}_1),
+{name}_3 AS (
+  SELECT *, CASE WHEN all_votes > 0
+                 THEN CAST(ceil(CAST((abs(open_seats) + n_rows) AS DOUBLE) * {votes} / all_votes) AS BIGINT) + 1
+                 ELSE 0 END AS reach FROM {name}_2),
+{name}_4 AS (
+  SELECT {keys}, open_seats, {votes} AS v,
+         unnest(CASE WHEN open_seats > 0 THEN range(CAST(got AS BIGINT), CAST(got + reach + 1 AS BIGINT))
+                     WHEN open_seats < 0 THEN range(CAST(greatest(0, got - reach) AS BIGINT), CAST(got AS BIGINT))
+                     ELSE range(0, 0) END) AS j
+  FROM {name}_3),
+{name}_5 AS (
+  SELECT {keys}, open_seats, row_number() OVER ({part}
+           ORDER BY -(CAST(v AS DOUBLE) / (2 * j + 1)) * sign(open_seats), {key} * sign(open_seats),
+                    j * sign(open_seats)) AS place
+  FROM {name}_4),
+{name}_6 AS (
+  SELECT {keys}, sum(sign(open_seats)) AS moved FROM {name}_5 WHERE place <= abs(open_seats) GROUP BY {keys}),
+{name} AS (
+  SELECT {name}_3.* EXCLUDE (all_votes, n_rows, got, open_seats, reach),
+         CAST(got + coalesce(moved, 0) AS BIGINT) AS won
+  FROM {name}_3 LEFT JOIN {name}_6 {using})"""
+
+
+_DRAWN = "(({k}) + shift) * part // blocks - shift * part // blocks"
+
+
+def _words(c: str) -> str:
+    k = f"({c}) // block"
+    before, after = _DRAWN.format(k=k), _DRAWN.format(k=k + " + 1")
+    return f"(block * ({before}) + (({after}) - ({before})) * (({c}) % block))"
+
+
+OP4 = rf"""
+WITH sized AS (
+  SELECT doc_id, source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM sized GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM sums),
+weighed AS (
+  SELECT *, CASE sid % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
+         CAST(3 * source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM ranked),
+levels AS (
+  SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / (sum(w) OVER ()
+               - coalesce(sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            AS level FROM weighed),
+chosen AS (SELECT level FROM levels WHERE level * w <= cap ORDER BY cap / w, sid LIMIT 1),
+targets AS (
+  SELECT source, source_size, sid, total, n_docs, least(cap, (SELECT level FROM chosen) * w) AS target,
+         round(least(cap, (SELECT level FROM chosen) * w)) AS votes,
+         greatest(1, CAST(ceil(total / 20000.0::DOUBLE) AS BIGINT)) AS block,
+         CAST(ceil(n_docs / 5000.0::DOUBLE) AS BIGINT) AS shards FROM levels),
+sought AS (SELECT *, CAST(round(total / CAST(block AS DOUBLE)) AS BIGINT) AS all_seats FROM targets),
+{_apportion("plan", "sought", "", "sid", "votes", "all_seats")},
+dealt AS (
+  SELECT s.doc_id, s.source, s.size, p.sid, md5(concat_ws(':', '17', CAST(s.doc_id AS VARCHAR))) AS h, p.shards
+  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+placed AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % shards AS shard FROM dealt),
+shard_sizes AS (SELECT sid, shard, CAST(sum(size) AS BIGINT) AS shard_size FROM placed GROUP BY sid, shard),
+asked AS (
+  SELECT z.*, p.won AS seats, p.block, p.source_size, p.target FROM shard_sizes z JOIN plan p USING (sid)),
+{_apportion("quotas", "asked", "sid", "shard", "shard_size", "seats")},
+cut AS (
+  SELECT *, CAST(ceil(shard_size / CAST(block AS DOUBLE)) AS BIGINT) AS blocks FROM quotas),
+drawn AS (
+  SELECT *, coalesce(least(won, 3 * blocks) // nullif(blocks, 0), 0) AS whole,
+         coalesce(least(won, 3 * blocks) % nullif(blocks, 0), 0) AS part,
+         coalesce(CAST('0x' || substr(md5(concat_ws(':', '17', 'start', CAST(sid AS VARCHAR), CAST(shard AS VARCHAR))),
+                                      1, 8) AS BIGINT) % nullif(blocks, 0), 0) AS shift FROM cut),
+ends AS (
+  SELECT *, CAST(sum(size) OVER (PARTITION BY sid, shard ORDER BY h, doc_id, size
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS top FROM placed)
+SELECT e.doc_id, e.source, e.size, d.source_size, d.target,
+       CASE WHEN size > 0 THEN CAST(whole * size + {_words("top")} - {_words("top - size")} AS BIGINT) ELSE 0 END AS taken
+FROM ends e JOIN drawn d USING (sid, shard)
+"""
+
+OP1 = r"""
+WITH turns AS (
+  SELECT conv_id, role, text,
+         '<|' || replace(coalesce(role, 'unknown'), '<|', '< |') || '|>' || chr(10)
+         || replace(coalesce(text, ''), '<|', '< |') || chr(10) || '<|end|>' || chr(10) AS r,
+         row_number() OVER (PARTITION BY conv_id
+                            ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+ends AS (SELECT conv_id, max(k) AS k FROM turns WHERE role = 'assistant' GROUP BY conv_id),
+replies AS (SELECT t.conv_id, t.k, t.text, t.r FROM turns t JOIN ends USING (conv_id, k)),
+paired AS (
+  SELECT conv_id, k, text, r,
+         coalesce(lead(conv_id) OVER w, first_value(conv_id) OVER w) AS donor_id
+  FROM replies WINDOW w AS (PARTITION BY CAST(floor(conv_id / 512.0) AS BIGINT) ORDER BY conv_id)),
+told AS (
+  SELECT p.conv_id, p.donor_id, p.k, p.r AS mine, o.r AS other, p.text IS NOT DISTINCT FROM o.text AS same
+  FROM paired p JOIN replies o ON o.conv_id = p.donor_id WHERE p.donor_id <> p.conv_id),
+prompts AS (
+  SELECT d.conv_id, coalesce(string_agg(t.r, '' ORDER BY t.k), '') AS prompt
+  FROM told d LEFT JOIN turns t ON t.conv_id = d.conv_id AND (t.k < d.k OR (d.same AND t.k = d.k))
+  GROUP BY d.conv_id)
+SELECT conv_id, donor_id, CAST(CASE WHEN same THEN k ELSE k - 1 END AS INTEGER) AS n_prompt_turns, prompt,
+       CASE WHEN same THEN '' ELSE mine END AS chosen, CASE WHEN same THEN '' ELSE other END AS rejected,
+       CASE WHEN same THEN '' ELSE '14-' || CAST(length(mine) - 1 AS VARCHAR) END AS chosen_mask,
+       CASE WHEN same THEN '' ELSE '14-' || CAST(length(other) - 1 AS VARCHAR) END AS rejected_mask,
+       NOT same AS trainable
+FROM told JOIN prompts USING (conv_id)
+"""
+
+_RECORD = r"""'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+         || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
+         || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13)
+         || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10)
+         || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)"""
+
+OP6 = rf"""
+WITH records AS (
+  SELECT page_id, {_RECORD} AS body,
+         CASE WHEN page_id IS NULL THEN 'crawl-n' || substr(md5(coalesce(url, '')), 1, 3)
+              ELSE 'crawl-' || CAST(CAST(floor(page_id / 256.0) AS BIGINT) AS VARCHAR) END AS file FROM pages),
+hashed AS (SELECT page_id, file, CAST(strlen(body) AS BIGINT) AS length, sha256(body) AS digest FROM records),
+mine AS (
+  SELECT *, CAST(sum(length) OVER (PARTITION BY file ORDER BY page_id, digest
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - length AS start
+  FROM hashed),
+rot AS (
+  SELECT page_id, url, CASE WHEN (page_id * 31 + 7) % 97 = 5 AND length(html) > 0
+                            THEN chr(127) || substr(html, 2) ELSE html END AS html
+  FROM pages WHERE coalesce((page_id * 31 + 7) % 97, 0) <> 11),
+rot_records AS (SELECT page_id, {_RECORD} AS body FROM rot),
+found AS (
+  SELECT page_id, CAST(strlen(body) AS BIGINT) AS found_length, sha256(body) AS found_digest FROM rot_records)
+SELECT m.file, m.start AS "offset", CASE WHEN f.found_digest IS NULL THEN 'missing' ELSE 'corrupt' END AS status,
+       m.length, m.digest, f.found_length, f.found_digest
+FROM mine m LEFT JOIN found f ON f.page_id IS NOT DISTINCT FROM m.page_id
+WHERE f.found_digest IS DISTINCT FROM m.digest
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1, "op4_mixing": OP4, "op6_warc_audit": OP6}

@@ -165,7 +165,7 @@ def line_decisions(parts: DataFrame, *, max_edits: int = 1, near_bytes: int = 32
     ``near`` tells lines whose class holds different lines."""
     ship("tally.llm.textkernel", __name__)
     table = stage(line_table(parts, max_edits, near_bytes), "lines")
-    members = table.select("id", F.explode("keys").alias("key"))
+    members = table.select("id", F.explode("keys").alias("key")).withColumn("near", F.col("id"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -199,7 +199,7 @@ def line_decisions(parts: DataFrame, *, max_edits: int = 1, near_bytes: int = 32
 
         return both.select("a", "b", "_la", "_lb").mapInArrow(compare, "a long, b long")
 
-    classes, _ = link_classes(members, verify)
+    classes = link_classes(members, verify)
     # The half digest names the class; a line that only shares the half digest
     # with a verified one stays on its own.
     known = (table.join(classes, "id").groupBy("id").agg(F.min("digest").alias("_digest"), F.min("root").alias("root")))

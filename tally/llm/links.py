@@ -1,22 +1,26 @@
 """Classes of near-equal items from candidate groups, without all pairs.
 
 Members of a group (items that share a key) are first compared with one
-centre, so a group of n gives n - 1 comparisons and a large family of copies
-is joined at once. Groups whose members are not all in one class by then go
-on: their members are compared with the next ``CENTRES`` centres of the group,
-class by class, until every pair of a group is either in one class or tested.
+centre, the smallest id, so a group of n gives n - 1 comparisons and a large
+family of copies is joined at once. In groups whose members are not all in one
+class by then, every member is compared with ``CENTRES`` centres, taken class
+by class, and with its ``NEIGHBOURS`` predecessors by the ``near`` column,
+which brings members that share more than this key side by side. Groups of up
+to ``CENTRES`` + 1 members are so compared in full; in larger ones a link is
+lost only if neither a centre nor a neighbour nor another shared key leads
+from one of its ends to the other. The number of comparisons stays linear.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tally.llm.common import stage
 
 CENTRES = 16
+NEIGHBOURS = 4
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,57 +28,52 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` (``a, b``), by alternating large and small stars. Every step is
     a partial aggregation and a join, written out to cut the lineage; the
     number of steps is logarithmic in the size of the largest component."""
-    edges = stage(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                  .distinct(), "edges")
-    print_ = None
+    edges = edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = stage(edges.distinct(), "edges")
+    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a != b")
-        large = stage(large.distinct(), "edges")
+        large = both.join(low, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a != b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(low, "b")
-        small = joined.select(F.col("m").alias("a"), "b").unionByName(
-            joined.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a != b")
-        edges = stage(small.distinct(), "edges")
+        ends = F.explode(F.array("a", "b"))
+        small = large.join(low, "b").select(F.col("m"), ends.alias("b")).filter("m != b").select(
+            F.col("m").alias("a"), "b").distinct()
+        edges = stage(small, "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first()
-        if now == print_:
+        if now == before:
             break
-        print_ = now
+        before = now
     return edges.select(F.col("b").alias("id"), F.col("a").alias("root")).unionByName(
         edges.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
 
 
-def link_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(``id, root``, links ``a, b``) of the items in ``members`` (``key, id``,
-    both long). ``verify`` keeps of distinct pairs ``a, b`` those that are
-    links. Ids without a link are not in the result."""
+def link_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``id, root`` of the items in ``members`` (``key, id, near``, all long)
+    that have a link. ``verify`` keeps of distinct pairs ``a, b`` those that
+    are links."""
     groups = (members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("_z")).filter("a < _z")
               .select("key", "a"))
-    live = stage(members.join(groups, "key").select("key", "id", "a").distinct(), "group-members")
-    pairs = stage(live.filter("id != a").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    links = [stage(verify(pairs), "links")]
-    tested = [pairs]
-    live = live.filter("id != a").select("key", "id")
-    while True:
-        found = reduce(DataFrame.unionByName, links)
-        classes = stage(components(found), "classes")
-        rooted = live.join(classes, "id", "left").select(
-            "key", "id", F.coalesce("root", "id").alias("root"))
-        open_ = (rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_z"))
-                 .filter("_a < _z").select("key"))
-        rooted = stage(rooted.join(open_, "key"), "group-open")
-        if rooted.isEmpty():
-            return classes, found
-        ranked = stage(rooted.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("root", "id"))),
-                       "group-ranked")
-        centres = ranked.filter(F.col("rank") <= CENTRES).select(
-            "key", F.col("id").alias("a"), F.col("root").alias("_root"), F.col("rank").alias("_rank"))
-        pairs = (ranked.join(centres, "key").filter("rank > _rank and root != _root")
-                 .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
-        for done in tested:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        tested.append(pairs)
-        links.append(stage(verify(pairs), "links"))
-        live = ranked.filter(F.col("rank") > CENTRES).select("key", "id")
+    live = stage(members.join(groups, "key").select("key", "id", "near", "a"), "group-members")
+    first = stage(live.filter("id != a").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    links = stage(verify(first), "links")
+    classes = stage(components(links), "classes")
+    rooted = live.join(classes, "id", "left").select("key", "id", "near", F.coalesce("root", "id").alias("root"))
+    open_ = (rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_z"))
+             .filter("_a < _z").select("key"))
+    rooted = stage(rooted.join(open_, "key").distinct(), "group-open")
+    if rooted.isEmpty():
+        return classes
+    here = Window.partitionBy("key")
+    ranked = stage(rooted.select(
+        "key", "id", "root", F.row_number().over(here.orderBy("root", "id")).alias("rank"),
+        *[F.lag(F.struct("id", "root"), k).over(here.orderBy("near", "id")).alias(f"_n{k}")
+          for k in range(1, NEIGHBOURS + 1)]), "group-ranked")
+    centres = ranked.filter(F.col("rank") <= CENTRES).select(
+        "key", F.col("id").alias("_b"), F.col("root").alias("_root"), F.col("rank").alias("_rank"))
+    wanted = ranked.join(centres, "key").filter("rank > _rank and root != _root").select("id", "_b")
+    beside = ranked.select("id", "root", F.explode(F.array(*[f"_n{k}" for k in range(1, NEIGHBOURS + 1)])).alias("_n"))
+    wanted = wanted.unionByName(beside.filter("_n is not null and _n.root != root").select("id", F.col("_n.id").alias("_b")))
+    more = wanted.select(F.least("id", "_b").alias("a"), F.greatest("id", "_b").alias("b")).distinct()
+    more = stage(more.join(first, ["a", "b"], "left_anti"), "pairs")
+    return components(links.unionByName(stage(verify(more), "links")))

@@ -12,10 +12,11 @@ strings are first brought together: every window of ``length`` bytes belongs
 to the smallest hash of a 32-byte gram inside it, and equal windows have equal
 grams at equal offsets. The windows of one gram occurrence form a *fragment*.
 Fragments whose gram occurs once need no more work; equal fragments are
-aggregated to one with a multiplicity; the distinct fragments of a gram go to
-one shard of about ``shard_bytes``, where the transform runs with the
-multiplicities. A gram with more than ``split_rows`` distinct fragments (a
-common line in different contexts) is split: windows are keyed by the longer
+aggregated to one with a multiplicity; fragments that share no more than the
+gram with another (a common line in different contexts) drop out by their
+cores; the other distinct fragments of a gram go to one shard of about ``shard_bytes``, where the transform runs with the
+multiplicities. A gram with more than ``split_rows`` distinct fragments is
+split: windows are keyed by the longer
 core that all windows of a piece of the fragment share, down to the window
 itself, so no group grows with the corpus and no pair of equal windows is
 separated.
@@ -35,22 +36,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from tally.llm.chunk_dedup import number_parts, remove_spans
 from tally.llm.common import ship, small, stage
-from tally.llm.textkernel import SLICE_BYTES, mix64, slices, span_hashes
+from tally.llm.textkernel import gram_hashes, mix64, slices, span_hashes
 
 GRAM = 32
+START = 7  # symbols compared at once before the expansion begins
 _FRAGMENT = "doc_id long, part int, start int, n int, anchor int, gram long, digest long"
 
 
 def window_minima(value: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every ``width`` neighbours, in three passes."""
-    n = len(value)
-    blocks = -(-n // width)
-    padded = np.full(blocks * width, np.iinfo(value.dtype).max, value.dtype)
-    padded[:n] = value
-    grid = padded.reshape(blocks, width)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n - width + 1], ahead[width - 1:n])
+    """Minimum of every ``width`` neighbours, by doubling."""
+    done = 1
+    while 2 * done <= width:
+        value = np.minimum(value[:-done], value[done:])
+        done *= 2
+    rest = width - done
+    return np.minimum(value[:-rest], value[rest:]) if rest else value
 
 
 def fragments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -60,11 +60,10 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none, none, none
-    at = np.arange(n - GRAM + 1)
-    gram = span_hashes(data, at, at + GRAM)
+    gram = gram_hashes(data, GRAM)
     # Order by 40 bits of the hash, then by place: equal windows choose the
     # same offset. A slice is under 2**24 bytes, see ``pieces``.
-    order = (gram & np.uint64(0xFFFFFFFFFF000000)) | at.astype(np.uint64)
+    order = (gram & np.uint64(0xFFFFFFFFFF000000)) | np.arange(n - GRAM + 1, dtype=np.uint64)
     chosen = (window_minima(order, length - GRAM + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:len(chosen)]
     start = np.flatnonzero(np.arange(len(chosen)) + length <= offsets[row + 1])
@@ -95,7 +94,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int, limit: int = 1 <<
 def find_fragments(parts: DataFrame, length: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, offsets in slices(batch.column(2), SLICE_BYTES):
+            for row, data, offsets in slices(batch.column(2), 1 << 18):
                 for shift, piece, ends in pieces(data, offsets, length):
                     rows, start, count, anchor, gram, digest = fragments(piece, ends, length)
                     take = pa.array(rows + row)
@@ -108,13 +107,14 @@ def find_fragments(parts: DataFrame, length: int) -> DataFrame:
     return parts.mapInArrow(scan, _FRAGMENT)
 
 
-def bounded_suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
+def bounded_suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes by their first ``depth`` symbols or more (ties in any order);
-    ranks double in reach and only suffixes that still tie are sorted."""
+    ranks double in reach and only suffixes that still tie are sorted. Also
+    the first ``START`` symbols of every suffix in that order, as numbers."""
     n = len(symbols)
     padded = np.concatenate([symbols, np.zeros(8, symbols.dtype)]).astype(np.int64)
     key = np.zeros(n, np.int64)
-    for j in range(7):
+    for j in range(START):
         key = (key << 9) | padded[j:j + n]
     sa = np.argsort(key)
     ordered = key[sa]
@@ -122,7 +122,7 @@ def bounded_suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     rank = np.zeros(n + 1, np.int64)
     heads = np.flatnonzero(new)
     rank[sa] = np.repeat(heads, np.diff(np.append(heads, n))) + 1
-    reach = 7
+    reach = START
     single = new & np.append(new[1:], True)
     slots = np.flatnonzero(~single)  # places in ``sa`` that still tie
     while reach < depth and len(slots):
@@ -137,26 +137,36 @@ def bounded_suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         single = new & np.append(new[1:], True)
         slots = slots[~single]
         reach *= 2
-    return sa
+    return sa, ordered
 
 
-def bounded_prefix_breaks(symbols: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
+def bounded_prefix_breaks(symbols: np.ndarray, sa: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Common prefix of every suffix in ``sa`` with the one before it, as far
     as it is under ``length``; -1 where at least ``length`` symbols agree.
 
     Breadth first over the intervals of the transform: the rows of an interval
     with prefix w move, by the last-to-first mapping, to the intervals of cw.
     An interval whose right border has no value yet sets it to the present
-    length and lives on; the others are known already.
+    length and lives on; the others are known already. Values under ``START``
+    (at most ``length``) come from the suffixes' first symbols; the intervals
+    of their length that would live on are the first ones.
     """
     n = len(symbols)
     bwt = symbols[sa - 1]
     forward = np.empty(n, np.int32)
-    forward[np.argsort(bwt, kind="stable")] = np.arange(n)
+    forward[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
     border = np.full(n + 1, -1, np.int64)  # border[i]: between suffixes i - 1 and i
+    differ = starts[1:] ^ starts[:-1]
+    inner = np.flatnonzero(differ) + 1
+    border[inner] = sum((differ[inner - 1] >> (9 * j) == 0).astype(np.int64) for j in range(START - 1, 0, -1))
     border[0] = border[n] = 0
-    rows, owner = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
-    for level in range(length):
+    heads = np.append(0, inner)
+    sizes = np.diff(np.append(heads, n))
+    keep = np.repeat(border[heads + sizes] == START - 1, sizes)
+    keep[n - sizes[-1]:] = False
+    rows = np.flatnonzero(keep).astype(np.int32)
+    owner = np.repeat(np.arange(len(heads), dtype=np.int32), sizes)[keep]
+    for level in range(START, length):
         if not len(rows):
             break
         symbol = bwt[rows]
@@ -188,8 +198,8 @@ def repeated_starts(texts: list[bytes], windows: np.ndarray, copies: np.ndarray,
     which = np.repeat(np.arange(len(texts)), sizes)
     inside = np.arange(begin[-1]) - begin[which]
     weight = np.where(inside < windows[which], copies[which], 0)
-    sa = bounded_suffix_order(symbols, length + 1)
-    breaks = bounded_prefix_breaks(symbols, sa, length)
+    sa, starts = bounded_suffix_order(symbols, length + 1)
+    breaks = bounded_prefix_breaks(symbols, sa, starts, length)
     breaks[0] = 0
     heads = np.flatnonzero(breaks >= 0)
     total = np.add.reduceat(weight[sa], heads)
@@ -202,6 +212,7 @@ def repeated_starts(texts: list[bytes], windows: np.ndarray, copies: np.ndarray,
 
 
 _PIECE = "gram long, digest long, n int, anchor int, copies long, bytes binary"
+_CORED = _PIECE + ", left long, right long"
 _RUN = "gram long, digest long, runs array<struct<start:int,n:int>>"
 
 
@@ -222,6 +233,34 @@ def shard_runs(distinct: DataFrame, length: int, shards: int) -> DataFrame:
             .groupBy("shard").applyInArrow(run, _RUN).filter(F.size("runs") > 0))
 
 
+def cores(data: bytes, n: int, anchor: int, length: int) -> tuple[int | None, int | None]:
+    """Hashes of what all windows of a fragment contain whose gram lies in
+    their right half (the gram and as much before it), and of what all others
+    contain (the gram and as much after it); None without such windows."""
+    half = (length - GRAM) // 2
+    raw = np.frombuffer(data, np.uint8)
+    one = np.zeros(1, np.int64)
+
+    def of(a: int, b: int) -> int:
+        return int(span_hashes(raw[a:b], one, one + (b - a)).view(np.int64)[0])
+
+    return (of(anchor - half, anchor + GRAM) if anchor >= half else None,
+            of(anchor, anchor + length - half) if anchor - n + 1 < half else None)
+
+
+def with_partners(distinct: DataFrame) -> DataFrame:
+    """Fragments (``_CORED``) that may hold a repeated window: those with
+    copies, and those that share a core with another one."""
+    parts = distinct.select("gram", "digest", "copies", F.explode(F.array(
+        F.struct(F.lit("l").alias("side"), F.col("left").alias("core")),
+        F.struct(F.lit("r").alias("side"), F.col("right").alias("core")))).alias("_c")).select(
+        "gram", "digest", "copies", "_c.side", "_c.core").filter("core is not null")
+    shared = (parts.groupBy("gram", "side", "core").agg(F.sum("copies").alias("_all")).filter("_all > 1")
+              .drop("_all"))
+    wanted = parts.join(shared, ["gram", "side", "core"]).select("gram", "digest").distinct()
+    return distinct.join(wanted, ["gram", "digest"]).drop("left", "right")
+
+
 def split_fragments(hot: DataFrame, length: int, step: int) -> DataFrame:
     """Fragments in pieces of at most ``step`` windows. The new ``gram`` is the
     hash of the core that all ``step`` windows of a piece contain, so equal
@@ -305,20 +344,26 @@ def dedup_substrings(docs: DataFrame, *, length: int = 200, shard_bytes: int = 1
               .groupBy("doc_id", "part").agg(F.collect_list("_f").alias("_fragments")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("gram", pa.int64()), ("digest", pa.int64()), ("n", pa.int32()), ("anchor", pa.int32()),
+                            ("copies", pa.int64()), ("bytes", pa.binary()), ("left", pa.int64()),
+                            ("right", pa.int64())])
         for batch in batches:
-            for raw, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_pylist(
-                    [{"gram": w["gram"], "digest": w["digest"], "n": w["n"], "anchor": w["anchor"],
-                      "copies": w["copies"], "bytes": raw[w["start"]:w["start"] + w["n"] - 1 + length]}
-                     for w in want],
-                    schema=pa.schema([("gram", pa.int64()), ("digest", pa.int64()), ("n", pa.int32()),
-                                      ("anchor", pa.int32()), ("copies", pa.int64()), ("bytes", pa.binary())]))
+            rows = []
+            for raw, want in zip(batch.column(0), batch.column(1).to_pylist()):
+                raw = raw.as_py()
+                for w in want:
+                    data = raw[w["start"]:w["start"] + w["n"] - 1 + length]
+                    left, right = cores(data, w["n"], w["anchor"], length)
+                    rows.append({"gram": w["gram"], "digest": w["digest"], "n": w["n"], "anchor": w["anchor"],
+                                 "copies": w["copies"], "bytes": data, "left": left, "right": right})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     texts = parts.select(F.col("doc_id").alias("_id"), F.col("part").alias("_p"),
                          F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_raw"))
     distinct = stage(
         texts.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_p") == F.col("part")))
-        .select("_raw", "_fragments").mapInArrow(cut, _PIECE), "suffix-distinct")
+        .select("_raw", "_fragments").mapInArrow(cut, _CORED), "suffix-distinct")
+    distinct = stage(with_partners(distinct), "suffix-partners")
     runs = distinct_runs(distinct, length, shard_bytes, split_rows, steps)
     spans = (near.select("gram", "digest", "doc_id", "part", "start").join(runs, ["gram", "digest"])
              .select("doc_id", "part", "start", F.explode("runs").alias("_r"))

@@ -97,6 +97,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(value)
 
 
+def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the ``k`` bytes from every place on."""
+    n = len(data)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _power(_BASE, n)[:n], out=total[1:])
+    return mix64((total[k:] - total[:-k]) * _power(_INVERSE, n + 1)[:n + 1 - k])
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of ``k`` words of every row and the row's first
     shingle. A row with 1 to ``k - 1`` words has one shingle of them all."""

@@ -6,8 +6,8 @@ family of copies is joined at once. In groups whose members are not all in one
 class by then, every member is compared with ``CENTRES`` centres, taken class
 by class, and with its ``NEIGHBOURS`` predecessors by the ``near`` column,
 which brings members that share more than this key side by side. Groups of up
-to ``CENTRES`` + 1 members are so compared in full; in larger ones a link is
-lost only if neither a centre nor a neighbour nor another shared key leads
+to ``NEIGHBOURS`` + 1 members are so compared in full; in larger ones a link is
+lost only if no chain of compared members, in this or another group, leads
 from one of its ends to the other. The number of comparisons stays linear.
 """
 
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tally.llm.common import stage
 
-CENTRES = 16
-NEIGHBOURS = 4
+CENTRES = 8
+NEIGHBOURS = 12
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -20,11 +20,20 @@ def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+#: Rows per batch between Spark and Python: texts are long, and both sides
+#: hold whole batches (off the heap, and kept by their allocators).
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(*modules: str) -> None:
     """Pickle the functions of these modules by value, so that executors need
-    no installation of this package."""
+    no installation of this package, and bound the session's batches."""
     for m in modules:
         cloudpickle.register_pickle_by_value(sys.modules[m])
+    spark = SparkSession.getActiveSession()
+    if spark is not None and not 0 < int(spark.conf.get(_BATCH, "10000")) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 #: Odd multiplier of the word hash and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15

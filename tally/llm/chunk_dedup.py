@@ -152,6 +152,8 @@ def dedup_chunks(docs: DataFrame, *, mask_bits: int = 6, min_bytes: int = 16, ma
     first = (found.groupBy("digest").agg(F.min(F.struct("doc_id", "part", "start")).alias("_first"),
                                          F.count(F.lit(1)).alias("_n"))
              .filter("_n > 1").select("digest", "_first"))
+    # Written, so that the join shuffles both sides anew and may split a hot digest.
+    first = stage(first, "chunk-firsts")
     again = (found.join(first, "digest")
              .filter(~F.struct("doc_id", "part", "start").eqNullSafe(F.col("_first")))
              .select("doc_id", "part", "start", "length"))

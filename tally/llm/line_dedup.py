@@ -213,6 +213,8 @@ def line_decisions(parts: DataFrame, *, max_edits: int = 1, near_bytes: int = 32
                       F.coalesce("class.b", F.encode(F.col("class.a").cast("string"), "UTF-8")).alias("name")))
     first = placed.groupBy("class", "name").agg(F.min(F.struct("doc_id", "part", "line_no")).alias("_first"),
                                                 F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    # Written, so that the join shuffles both sides anew and may split a hot class.
+    first = stage(first, "line-firsts")
     return (placed.join(first, ["class", "name"], "left")
             .select("doc_id", "part", "line_no", "near",
                     F.coalesce(F.col("_first").isNotNull()

@@ -335,7 +335,9 @@ def dedup_substrings(docs: DataFrame, *, length: int = 200, shard_bytes: int = 1
     ship("tally.llm.textkernel", "tally.llm.chunk_dedup", __name__)
     parts = number_parts(docs)
     found = stage(find_fragments(parts, length), "suffix-fragments")
-    twice = found.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("gram")
+    # Written, so that the join below shuffles both sides anew and may split a hot gram.
+    twice = stage(found.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("gram"),
+                  "suffix-grams")
     near = stage(found.join(twice, "gram"), "suffix-candidates")
     one = near.groupBy("gram", "digest").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "part", "start", "n", "anchor")).alias("_at"))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tally.llm.common import ship, stage
+from tally.llm.common import ship, stage, stage_as_is
 from tally.llm.textkernel import mix64, slices
 
 _GEAR = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
@@ -148,7 +148,7 @@ def dedup_chunks(docs: DataFrame, *, mask_bits: int = 6, min_bytes: int = 16, ma
     """Documents without the chunks seen before: one row per row of ``docs``
     (``doc_id, n_bytes, n_removed, n_spans, kept``)."""
     parts = number_parts(docs)
-    found = stage(chunks(parts, mask_bits=mask_bits, min_bytes=min_bytes, max_bytes=max_bytes), "chunks")
+    found = stage_as_is(chunks(parts, mask_bits=mask_bits, min_bytes=min_bytes, max_bytes=max_bytes), "chunks")
     first = (found.groupBy("digest").agg(F.min(F.struct("doc_id", "part", "start")).alias("_first"),
                                          F.count(F.lit(1)).alias("_n"))
              .filter("_n > 1").select("digest", "_first"))

@@ -7,12 +7,12 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tally.session import stage
+from tally.session import stage as stage_as_is
 
 #: A word is a run of bytes other than space and the five ASCII controls 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "read", "stage", "ship", "small", "word_count"]
+__all__ = ["WORD", "read", "stage", "stage_as_is", "ship", "small", "word_count"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -36,6 +36,12 @@ def ship(*modules: str) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``tally.session.stage`` for the result of a shuffle: at most four files
+    (and last tasks) per core. ``stage_as_is`` writes one per task, for scans."""
+    return stage_as_is(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism), name)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` (cheap to count: a staged table) marked for broadcast when it
     has at most ``rows`` rows; beyond that the planner joins it by shuffle."""

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tally.llm.chunk_dedup import number_parts
-from tally.llm.common import ship, stage
+from tally.llm.common import ship, stage, stage_as_is
 from tally.llm.links import link_classes
 from tally.llm.textkernel import lines, mix64, slices, span_hashes
 
@@ -164,7 +164,7 @@ def line_decisions(parts: DataFrame, *, max_edits: int = 1, near_bytes: int = 32
     """``doc_id, part, line_no, removed, near`` of every line with a word;
     ``near`` tells lines whose class holds different lines."""
     ship("tally.llm.textkernel", __name__)
-    table = stage(line_table(parts, max_edits, near_bytes), "lines")
+    table = stage_as_is(line_table(parts, max_edits, near_bytes), "lines")
     members = table.select("id", F.explode("keys").alias("key")).withColumn("near", F.col("id"))
 
     def verify(pairs: DataFrame) -> DataFrame:

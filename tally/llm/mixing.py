@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tally.llm.common import small, stage, word_count
+from tally.llm.common import small, stage, stage_as_is, word_count
 
 
 def apportion(df: DataFrame, group: list[str], key: str, votes: str, seats: str, out: str) -> DataFrame:
@@ -104,7 +104,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_re
     ``max_repeats`` times ``size``). ``n_blocks`` sets the block length, the
     total divided by it.
     """
-    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sized = stage_as_is(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = (source_targets(sources, weights, max_repeats)
                .withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("total") / n_blocks)).cast("long"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tally.llm.chunk_dedup import number_parts
-from tally.llm.common import ship, small, stage
+from tally.llm.common import ship, small, stage, stage_as_is
 from tally.llm.textkernel import mix64, sequence_hashes, slices, span_hashes, words
 
 WINDOW = 8
@@ -142,7 +142,7 @@ def judge(parts: DataFrame, *, min_words: int = 20, max_repeat_pct: int = 30, mi
     ``host_share`` of the host's distinct documents hold it. A document is
     kept unless it fails the base rules or loses over ``max_lost`` of its words.
     """
-    stats = stage(line_stats(parts), "quality-stats")
+    stats = stage_as_is(line_stats(parts), "quality-stats")
     hosts = (stats.groupBy("host", "sketch").agg(F.lit(1).alias("_one"))
              .groupBy("host").agg(F.count(F.lit(1)).alias("_docs"))
              .select(F.col("host").alias("_host"), F.greatest(F.lit(float(min_docs)), F.col("_docs") * host_share)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tally.llm.chunk_dedup import number_parts, remove_spans
-from tally.llm.common import ship, small, stage
+from tally.llm.common import ship, small, stage, stage_as_is
 from tally.llm.textkernel import gram_hashes, mix64, slices, span_hashes
 
 GRAM = 32
@@ -334,7 +334,7 @@ def dedup_substrings(docs: DataFrame, *, length: int = 200, shard_bytes: int = 1
     the first included; strings are judged on the input."""
     ship("tally.llm.textkernel", "tally.llm.chunk_dedup", __name__)
     parts = number_parts(docs)
-    found = stage(find_fragments(parts, length), "suffix-fragments")
+    found = stage_as_is(find_fragments(parts, length), "suffix-fragments")
     # Written, so that the join below shuffles both sides anew and may split a hot gram.
     twice = stage(found.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("gram"),
                   "suffix-grams")
@@ -362,7 +362,7 @@ def dedup_substrings(docs: DataFrame, *, length: int = 200, shard_bytes: int = 1
 
     texts = parts.select(F.col("doc_id").alias("_id"), F.col("part").alias("_p"),
                          F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_raw"))
-    distinct = stage(
+    distinct = stage_as_is(
         texts.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_p") == F.col("part")))
         .select("_raw", "_fragments").mapInArrow(cut, _CORED), "suffix-distinct")
     distinct = stage(with_partners(distinct), "suffix-partners")

@@ -12,7 +12,8 @@ from tally.session import stage as stage_as_is
 #: A word is a run of bytes other than space and the five ASCII controls 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "read", "stage", "stage_as_is", "ship", "small", "word_count"]
+__all__ = ["WORD", "read", "stage", "stage_as_is", "ship", "small", "word_count", "pack",
+           "unpack"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -48,6 +49,19 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def pack(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, rest``: all other columns (and ``doc_id`` as it came) in
+    one, so that their names cannot clash with those of an operator."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
+
+
+def unpack(packed: DataFrame, columns: list[str], text=None) -> DataFrame:
+    """The columns of the frame that ``pack`` took, perhaps with a new text."""
+    text = F.col("text") if text is None else text
+    return packed.select(*[(text if c == "text" else F.col("rest")[c]).alias(c) for c in columns])
+
+
 def word_count(text):
     """Words of a text column; null counts 0."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

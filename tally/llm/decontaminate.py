@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tally.llm.common import ship
+from tally.llm.common import pack, ship, unpack
 from tally.llm.textkernel import mix64, slices, span_hashes, words
 
 BLOCK = 16
@@ -241,7 +241,7 @@ def search(texts: DataFrame, items: list[Item], idf: np.ndarray, basis: np.ndarr
                         common = lcs_length(x.masks, len(x.words), text)
                         if common < paraphrase * len(x.words):
                             continue
-                        told = lcs_length(x.answer_masks, len(x.answer), text) >= answer_share * len(x.answer)
+                        told = bool(x.answer) and lcs_length(x.answer_masks, len(x.answer), text) >= answer_share * len(x.answer)
                         exact = common >= verbatim * len(x.words)
                         if exact or told:
                             score = (common, told, -a)
@@ -293,4 +293,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, features: int = 1024, r
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **rules) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     bad = find_leaks(docs, benchmark, **rules).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return unpack(pack(docs).join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti"), docs.columns)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tally.llm.chunk_dedup import number_parts
-from tally.llm.common import ship, stage, stage_as_is
+from tally.llm.common import pack, ship, stage, stage_as_is, unpack
 from tally.llm.links import link_classes
 from tally.llm.textkernel import lines, mix64, slices, span_hashes
 
@@ -237,11 +237,10 @@ def line_report(docs: DataFrame, **parameters) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with its columns, texts without the removed lines."""
-    parts = number_parts(docs, *[c for c in docs.columns if c not in ("doc_id", "text")])
+    parts = number_parts(pack(docs), "rest")
     gone = (line_decisions(parts.select("doc_id", "part", "text"), **parameters).filter("removed")
             .groupBy(F.col("doc_id").alias("_id"), F.col("part").alias("_p"))
             .agg(F.collect_set("line_no").alias("_gone")))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    return (parts.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("part") == F.col("_p")), "left")
-            .withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-            .select(*docs.columns))
+    joined = parts.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("part") == F.col("_p")), "left")
+    return unpack(joined, docs.columns, F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tally.llm.chunk_dedup import number_parts
-from tally.llm.common import ship, small, stage, stage_as_is
+from tally.llm.common import pack, ship, small, stage, stage_as_is, unpack
 from tally.llm.textkernel import mix64, sequence_hashes, slices, span_hashes, words
 
 WINDOW = 8
@@ -175,9 +175,8 @@ def quality_rules(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
 
 def keep_good(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    parts = number_parts(docs, *others)
-    verdict = judge(parts.withColumn("host", F.col(host)).select("doc_id", "part", "text", "host"), **limits)
+    parts = number_parts(pack(docs), "rest")
+    verdict = judge(parts.select("doc_id", "part", "text", F.col("rest")[host].alias("host")), **limits)
     bad = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("part").alias("_p"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("part") == F.col("_p"))
-    return parts.join(bad, same, "left_anti").select(*docs.columns)
+    return unpack(parts.join(bad, same, "left_anti"), docs.columns)

@@ -261,8 +261,8 @@ def test_awkward_cases(spark):
         assert all(len(r.kept) == r.n_bytes - r.n_removed for r in out)
     assert [r.n_removed for r in dedup_substrings(docs).collect() if r.doc_id == 6] == [0]
     near = find_near_duplicates(docs).collect()
-    assert len(near) == n and sum(r.kept for r in near) == len({(r.class_id, r.class_size) for r in near if r.class_id}
-                                                              ) + len([r for r in near if r.class_id is None and r.kept])
+    # Copies of 1, the empty ones and the ten others; the two rows of 9 and of no id differ.
+    assert len(near) == n and sum(r.kept for r in near) == 12
     by = defaultdict(list)
     for r in near:
         by[r.doc_id].append(r)

@@ -6,10 +6,10 @@ counted; lines above the host's limit are removed, and a document that loses
 too many of its words is rejected. A few counts over the single text (words,
 symbols, repeated lines and windows) come from the same pass.
 
-Distinct documents are told apart by the smallest hash of their eight-word
-windows, so copies and most light edits of one document count once: a text
-that was copied a thousand times is not boilerplate, a line that stands in a
-thousand different texts is.
+Distinct documents are told apart, for each line, by the smallest hash of the
+eight-word windows that do not lie inside the line, so copies and most light
+edits of one document count once: a text that was copied a thousand times is
+not boilerplate, a line that stands in a thousand different texts is.
 
 Scale: one pass over the texts gives a narrow table (counts and line hashes);
 the counts are two partial aggregations, so a line or host with a third of
@@ -43,7 +43,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 _STATS = ("doc_id long, part int, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-          "n_repeat_words long, sketch long, lines array<struct<hash:long,words:int>>")
+          "n_repeat_words long, sketch long, lines array<struct<hash:long,words:int,sketch:long>>")
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -98,15 +98,27 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     lower = sequence_hashes(span_hashes(_LOWER[data], starts, ends), low, high)
 
     line_first = np.searchsorted(line_row, np.arange(n_rows + 1))
-    sketch = np.full(n_rows, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(sketch, row[begin], window)
+    # The least window of a row, and the least one outside the line that holds it.
+    line_of = np.full(n_words + 1, -1, np.int64)
+    line_of[:n_words] = np.repeat(np.arange(len(low)), high - low)
+    within = np.where(line_of[begin] == line_of[begin + WINDOW - 1], line_of[begin], -1)
+    most = np.iinfo(np.uint64).max
+    sketch, beside, owner = np.full(n_rows, most, np.uint64), np.full(n_rows, most, np.uint64), np.full(n_rows, -1)
+    at = row[begin]
+    np.minimum.at(sketch, at, window)
+    least = window == sketch[at]
+    owner[at[least]] = within[least]
+    outside = (within < 0) | (within != owner[at])
+    np.minimum.at(beside, at[outside], window[outside])
     short = np.flatnonzero(np.diff(first) < WINDOW)  # no window: the whole text
     if len(short):
         sketch[short] = sequence_hashes(span_hashes(data, starts, ends), first[short], first[short + 1])
+    line_sketch = np.where(owner[line_row] == np.arange(len(line_row)), beside[line_row], sketch[line_row])
     return {"n_words": np.diff(first), "word_chars": _sums(inside & (data & 0xC0 != 0x80), offsets),
             "n_symbols": _sums(_SYMBOL[data], offsets), "n_dup_lines": _sums(before, line_first),
             "n_repeat_words": _sums(covered, first), "sketch": sketch.view(np.int64),
-            "line_first": line_first, "line_hash": lower.view(np.int64), "line_words": high - low}
+            "line_first": line_first, "line_hash": lower.view(np.int64), "line_words": high - low,
+            "line_sketch": line_sketch.view(np.int64)}
 
 
 def line_stats(parts: DataFrame) -> DataFrame:
@@ -120,7 +132,8 @@ def line_stats(parts: DataFrame) -> DataFrame:
                 lines = pa.ListArray.from_arrays(
                     pa.array(s["line_first"].astype(np.int32)),
                     pa.StructArray.from_arrays([pa.array(s["line_hash"]),
-                                                pa.array(s["line_words"].astype(np.int32))], ["hash", "words"]))
+                                                pa.array(s["line_words"].astype(np.int32)),
+                                                pa.array(s["line_sketch"])], ["hash", "words", "sketch"]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, n), batch.column(1).slice(row, n), batch.column(3).slice(row, n)]
                     + [pa.array(s[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -148,8 +161,8 @@ def judge(parts: DataFrame, *, min_words: int = 20, max_repeat_pct: int = 30, mi
              .select(F.col("host").alias("_host"), F.greatest(F.lit(float(min_docs)), F.col("_docs") * host_share)
                      .alias("_limit")))
     hosts = small(stage(hosts, "quality-hosts"), 10_000)
-    lines = stats.select("doc_id", "part", "host", "sketch", F.explode("lines").alias("_l")).select(
-        "doc_id", "part", "host", "sketch", "_l.hash", "_l.words")
+    lines = stats.select("doc_id", "part", "host", F.explode("lines").alias("_l")).select(
+        "doc_id", "part", "host", "_l.sketch", "_l.hash", "_l.words")
     frequent = (lines.groupBy("host", "hash", "sketch").agg(F.lit(1).alias("_one"))
                 .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("_n"))
                 .filter(F.col("_n") > min_docs)

@@ -15,11 +15,6 @@ def year_of(d) -> Column:
     return F.year(_c(d))
 
 
-def year_key(d) -> Column:
-    """four-digit year as the text key of the nested summary."""
-    return F.date_format(_c(d), "yyyy")
-
-
 def month_num(d) -> Column:
     """month number 1-12 as INT."""
     return F.month(_c(d))
@@ -29,7 +24,3 @@ def month_name(d) -> Column:
     """F8: English month name (``July``)."""
     return F.date_format(_c(d), "MMMM")
 
-
-def month_index(year, month) -> Column:
-    """O1 sort key: ``year*12 + month``."""
-    return _c(year) * 12 + _c(month)

@@ -10,6 +10,38 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+#: Amounts of up to 16 digits before and 12 after the point are summed exactly.
+EXACT_TYPE = "decimal(38,12)"
+EXACT_BELOW = 1e16
+
+
+def exact_part(amount) -> Column:
+    """The amount as a decimal where that is the same number, else NULL."""
+    a = _c(amount)
+    d = a.try_cast(EXACT_TYPE)
+    return F.when((F.abs(a) < EXACT_BELOW) & (d.cast("double") == a.cast("double")), d)
+
+
+def rest_part(amount) -> Column:
+    """The amount as a double where it has no exact part, else NULL."""
+    a = _c(amount)
+    return F.when(exact_part(a).isNull(), a.cast("double"))
+
+
+def exact_sum(amount) -> Column:
+    return F.coalesce(F.sum(exact_part(amount)), F.lit(0).cast(EXACT_TYPE))
+
+
+def rest_sum(amount) -> Column:
+    return F.coalesce(F.sum(rest_part(amount)), F.lit(0.0))
+
+
+def total(amount) -> Column:
+    """Sum of amounts as a double: exact, and hence independent of the order
+    of the rows, but for amounts that no decimal holds."""
+    return exact_sum(amount).cast("double") + rest_sum(amount)
+
+
 def two_decimals(x) -> Column:
     """``%.2f`` of a number."""
     return F.format_string("%.2f", _c(x).cast("double"))

@@ -21,10 +21,15 @@ STATUSES = (STATUS_PROCESSING, STATUS_DONE, STATUS_FAILED, STATUS_TO_REVIEW)
 DEFAULT_MAX_ROW_ERRORS = 10
 DEFAULT_CHECKPOINT_INTERVAL = 100
 DEFAULT_HEARTBEAT_TIMEOUT_SECS = 20
-# E-mail address: addr-spec with dot-atom local part and dot-atom domain
-# (RFC 5322 section 3.4.1, without display names, comments or quoted parts).
-_ATEXT = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]"
-EMAIL_PATTERN = rf"^{_ATEXT}+(\.{_ATEXT}+)*@{_ATEXT}+(\.{_ATEXT}+)*$"
+# E-mail address (RFC 5322 section 3.4, letters beyond ASCII allowed, without
+# comments): an addr-spec with a dot-atom or quoted local part, alone or in
+# angle brackets after an optional display name.
+_ATEXT = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~\x{80}-\x{10FFFF}-]"
+_DOT_ATOM = rf"{_ATEXT}++(?:\.{_ATEXT}++)*+"
+_QUOTED = r'"(?:[^"\\\x00-\x1F\x7F]|\\[^\x00-\x1F\x7F])*+"'
+_ADDRESS = rf"(?:{_DOT_ATOM}|{_QUOTED})@{_DOT_ATOM}"
+_NAME = rf"(?:(?:{_DOT_ATOM}|{_QUOTED})[ \t]*+)*+"
+EMAIL_PATTERN = rf"^(?:{_ADDRESS}|{_NAME}<[ \t]*{_ADDRESS}[ \t]*>)$"
 # ---------------------------------------------------------------------------
 
 
@@ -65,7 +70,3 @@ def lease_is_fresh(status, heartbeat_at, now, timeout_secs: int) -> Column:
     cutoff = as_timestamp(now) - F.make_dt_interval(secs=F.lit(timeout_secs))
     return (_c(status) == STATUS_PROCESSING) & (_c(heartbeat_at) > cutoff)
 
-
-def lease_is_stale(status, heartbeat_at, now, timeout_secs: int) -> Column:
-    cutoff = as_timestamp(now) - F.make_dt_interval(secs=F.lit(timeout_secs))
-    return (_c(status) == STATUS_PROCESSING) & (_c(heartbeat_at) <= cutoff)

@@ -37,15 +37,10 @@ def trim_space(col) -> Column:
     return F.trim(_c(col), F.lit(UNICODE_WHITE_SPACE))
 
 
-def lower_name(col) -> Column:
-    """F2 applied to header names: trimmed, lower-cased."""
-    return F.lower(trim_space(col))
-
-
 def strip_one_plus(col) -> Column:
     """drop exactly one leading ``+`` (``++5`` keeps one)."""
     c = _c(col)
-    return F.when(c.startswith("+"), F.substring(c, 2, 1 << 30)).otherwise(c)
+    return F.when(c.startswith("+"), F.substr(c, F.lit(2))).otherwise(c)
 
 
 def quote_text(col) -> Column:

@@ -1,9 +1,9 @@
 """Data-quality report over table constraints.
 
-Each table is scanned once: all its NOT NULL / CHECK style rules become
-``count_if`` aggregates of one ``agg`` and are unpivoted into
-``(rule, violations)`` rows. Key-uniqueness rules are a ``groupBy(key)``
-(partially aggregated) counting keys seen more than once.
+Each table is scanned once: rows are grouped by the table's key (partially
+aggregated), its NOT NULL / CHECK style rules are ``count_if`` aggregates, and
+keys seen more than once break the uniqueness rule. The results are unpivoted
+into ``(rule, violations)`` rows.
 """
 
 from __future__ import annotations
@@ -14,18 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def rule_violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
-    """One row per rule: number of rows where the violation predicate holds."""
-    counts = df.agg(*[F.count_if(F.coalesce(pred, F.lit(False))).alias(name) for name, pred in rules.items()])
-    return counts.unpivot([], list(rules), "rule", "violations")
-
-
-def duplicate_keys(df: DataFrame, name: str, key_cols: Sequence[str]) -> DataFrame:
-    """Number of key values that occur more than once."""
-    dup = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    return dup.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("rule"), "violations")
-
-
 def table_checks(df: DataFrame, rules: Mapping[str, Column], unique_name: str,
                  key_cols: Sequence[str]) -> DataFrame:
     """Row rules and one key-uniqueness rule of a table in a single scan.
@@ -42,14 +30,10 @@ def table_checks(df: DataFrame, rules: Mapping[str, Column], unique_name: str,
     return totals.unpivot([], [*rules, unique_name], "rule", "violations")
 
 
-def constraint_report(checks: Sequence[tuple[DataFrame, Mapping[str, Column]]],
-                      unique_keys: Sequence[tuple[DataFrame, str, Sequence[str]]] = (),
-                      tables: Sequence[tuple[DataFrame, Mapping[str, Column], str, Sequence[str]]] = ()) -> DataFrame:
+def constraint_report(tables: Sequence[tuple[DataFrame, Mapping[str, Column], str, Sequence[str]]]) -> DataFrame:
     """``(rule, violations)`` rows. ``tables`` entries (table, rules,
     uniqueness rule name, key columns) are checked in one scan each."""
-    parts = [rule_violations(df, rules) for df, rules in checks]
-    parts += [duplicate_keys(df, name, keys) for df, name, keys in unique_keys]
-    parts += [table_checks(df, rules, name, keys) for df, rules, name, keys in tables]
+    parts = [table_checks(df, rules, name, keys) for df, rules, name, keys in tables]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

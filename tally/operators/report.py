@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.money import balance_cell, credit_cell, debit_cell, month_label, when_positive
 from ..functions.predicates import STATUS_DONE, not_delivered, valid_email
 from .state import keep_keys
+from .summary import balance
 
 KEYS = ("account_id", "file_key")
 
@@ -75,9 +76,12 @@ def _by_key(entries):
 
 def _with_files(per_file: DataFrame, files: DataFrame | None, keys: Sequence[str]) -> DataFrame:
     """Attach per-file columns (``invalid_rows``); with ``files`` every listed
-    file is kept, including files without a single valid month."""
+    file is kept, including files without a single valid month; without it,
+    ``invalid_rows`` carried by the month rows are used if there are any."""
     if files is None:
-        return per_file.withColumn("invalid_rows", F.lit(0).cast("bigint"))
+        return per_file if "invalid_rows" in per_file.columns else per_file.withColumn(
+            "invalid_rows", F.lit(0).cast("bigint"))
+    per_file = per_file.drop("invalid_rows")
     f = files.select(*keys, F.coalesce(F.col("invalid_rows"), F.lit(0)).cast("bigint").alias("invalid_rows"))
     return f.join(per_file, list(keys), "left")
 
@@ -86,8 +90,9 @@ def summary_documents(monthly: DataFrame, files: DataFrame | None = None, keys:
     """One nested summary per file, as a struct and as JSON text.
 
     ``monthly`` is :func:`summary.monthly_summary` output. The file balance
-    is the exact sum of the month balances, taken in the same aggregation
-    that nests the months, so the ledger is read once. ``files`` (keys +
+    is the sum of the month balances, taken in the one aggregation that
+    gathers a file's months (at most one per calendar month); the years are
+    nested on each row, without another shuffle. ``files`` (keys +
     ``invalid_rows``) is optional.
     """
     month_doc = F.struct(
@@ -95,16 +100,22 @@ def summary_documents(monthly: DataFrame, files: DataFrame | None = None, keys:
         F.col("txn_count").alias(DOC_TXN_COUNT), F.col("avg_credit").alias(DOC_AVG_CREDIT),
         F.col("avg_debit").alias(DOC_AVG_DEBIT), F.col("credit_count").alias(DOC_CREDIT_COUNT),
         F.col("debit_count").alias(DOC_DEBIT_COUNT))
-    years = monthly.groupBy(*keys, "year").agg(
-        F.sum("txn_count").alias("_year_count"),
-        F.sum("month_balance").alias("_year_balance"),
-        F.map_from_entries(_by_key(F.collect_list(F.struct(F.col("month").alias("key"),
-                                                           month_doc.alias("value"))))).alias("_by_month"))
-    year_doc = F.struct(F.col("_year_count").alias(DOC_TXN_COUNT), F.col("_by_month").alias(DOC_BY_MONTH))
-    per_file = years.groupBy(*keys).agg(
-        F.sum("_year_balance").alias("total_balance"),
-        F.map_from_entries(_by_key(F.collect_list(F.struct(
-            F.format_string("%04d", F.col("year")).alias("key"), year_doc.alias("value"))))).alias("_by_year"))
+    per_file = monthly.groupBy(*keys).agg(
+        balance().alias("total_balance"),
+        F.collect_list(F.struct(F.format_string("%04d", F.col("year")).alias("key"), F.col("month").alias("name"),
+                                month_doc.alias("value"))).alias("_months"))
+
+    def year_entry(year):
+        mine = F.filter("_months", lambda m: m["key"] == year)
+        by_month = F.map_from_entries(_by_key(F.transform(
+            mine, lambda m: F.struct(m["name"].alias("key"), m["value"].alias("value")))))
+        count = F.aggregate(mine, F.lit(0).cast("bigint"), lambda n, m: n + m["value"][DOC_TXN_COUNT])
+        return F.struct(year.alias("key"),
+                        F.struct(count.alias(DOC_TXN_COUNT), by_month.alias(DOC_BY_MONTH)).alias("value"))
+
+    years = F.array_sort(F.array_distinct(F.transform("_months", lambda m: m["key"])))
+    per_file = per_file.select(*keys, "total_balance",
+                               F.map_from_entries(F.transform(years, year_entry)).alias("_by_year"))
     docs = _with_files(per_file, files, keys)
     doc = F.struct(
         F.col("account_id").cast("string").alias(DOC_ACCOUNT),
@@ -147,7 +158,8 @@ def statement_rows(monthly: DataFrame, files: DataFrame | None = None, keys: Seq
     rows (at most one row per calendar month per file), no second scan.
     """
     by_file = Window.partitionBy(*keys)
-    rows = monthly.withColumn("total_balance", F.sum("month_balance").over(by_file).cast("double"))
+    rows = monthly.withColumn("total_balance", F.sum("month_balance").over(by_file).cast("double")
+                              + F.sum("month_rest").over(by_file))
     if files is not None:
         rows = rows.join(files.select(*keys, F.col("invalid_rows").cast("bigint")), list(keys), "inner")
     else:
@@ -171,29 +183,9 @@ def _row_html(m):
 
 
 def statement_html(monthly: DataFrame, files: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One HTML statement per file (our own neutral markup).
-
-    The month table is ``array_join(transform(months, row_html))`` over the
-    file's months sorted by (year, month); the balance is the exact sum of
-    the month balances from the same aggregation; the skipped-rows note
-    appears only when ``invalid_rows > 0``. No UDF.
-    """
-    months = monthly.groupBy(*keys).agg(
-        F.sum("month_balance").cast("double").alias("total_balance"),
-        F.sort_array(F.collect_list(F.struct(
-            "year", "month_num", "month", "txn_count", "avg_credit", "avg_debit"))).alias("_months"))
-    j = _with_files(months, files, keys).withColumn(
-        "total_balance", F.coalesce(F.col("total_balance"), F.lit(0.0)))
-    table = F.array_join(F.transform(F.coalesce(F.col("_months"), F.array()), _row_html), "")
-    note = when_positive("invalid_rows", F.concat(
-        F.lit("<p class=\"note\">"), F.col("invalid_rows").cast("string"),
-        F.lit(" row(s) of the file could not be read and are not part of this summary.</p>")))
-    html = F.concat(
-        F.lit("<html><body><h1>Account statement</h1><p>Balance: "), balance_cell("total_balance"),
-        F.lit("</p><table><tr><th>Month</th><th>Transactions</th><th>Average credit</th>"
-              "<th>Average debit</th></tr>"),
-        table, F.lit("</table>"), note, F.lit("</body></html>"))
-    return j.select(*keys, html.alias("html"))
+    """One HTML statement per file, from its payload."""
+    payloads = statement_payloads(monthly, files, keys)
+    return payloads.select(*keys, html_from_payload("payload").alias("html"))
 
 
 def outbox(status: DataFrame, summaries: DataFrame, accounts: DataFrame, key: str = "file_key") -> DataFrame:
@@ -212,8 +204,9 @@ def statement_payloads(monthly: DataFrame, files: DataFrame | None = None, keys:
     ``sort_array`` of structs led by (year, month): at most one element per
     calendar month of the file; the balance is summed in the same aggregation.
     """
+    carried = [F.max("invalid_rows").alias("invalid_rows")] if "invalid_rows" in monthly.columns else []
     months = monthly.groupBy(*keys).agg(
-        F.sum("month_balance").cast("double").alias("total_balance"),
+        balance().alias("total_balance"), *carried,
         F.sort_array(F.collect_list(F.struct(
         F.col("year").alias(PAY_YEAR), F.col("month_num").alias(PAY_MONTH_NUM), F.col("month").alias(PAY_MONTH),
         F.col("txn_count").alias(PAY_TXN_COUNT), F.col("avg_credit").alias(PAY_AVG_CREDIT),
@@ -260,15 +253,17 @@ def payload_from_documents(docs: DataFrame, col: str = "summary") -> DataFrame:
 
 
 def html_from_payload(payload_col: str = "payload"):
-    """R3 from a payload struct: the same neutral markup as :func:`statement_html`."""
+    """The HTML statement of a payload struct (our own neutral
+    markup): the months are in calendar order already, and the note on
+    skipped rows appears only when there are some. No UDF."""
     p = F.col(payload_col)
     rows = F.transform(p[PAY_MONTHS], lambda m: _row_html({
         "month": m[PAY_MONTH], "year": m[PAY_YEAR], "txn_count": m[PAY_TXN_COUNT],
         "avg_credit": m[PAY_AVG_CREDIT], "avg_debit": m[PAY_AVG_DEBIT]}))
     invalid = p[PAY_INVALID]
-    note = F.when(invalid > 0, F.concat(
+    note = when_positive(invalid, F.concat(
         F.lit("<p class=\"note\">"), invalid.cast("string"),
-        F.lit(" row(s) of the file could not be read and are not part of this summary.</p>"))).otherwise(F.lit(""))
+        F.lit(" row(s) of the file could not be read and are not part of this summary.</p>")))
     return F.concat(
         F.lit("<html><body><h1>Account statement</h1><p>Balance: "), balance_cell(p[PAY_BALANCE]),
         F.lit("</p><table><tr><th>Month</th><th>Transactions</th><th>Average credit</th>"

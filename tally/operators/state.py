@@ -46,6 +46,16 @@ def upsert(current: DataFrame, changes: DataFrame, key_cols: Sequence[str],
     return latest_per_key(current.unionByName(changes), key_cols, version_cols)
 
 
+def upsert_created(current: DataFrame, changes: DataFrame, key_cols: Sequence[str],
+                   version_cols: Sequence[str]) -> DataFrame:
+    """K1: :func:`upsert` that keeps the earliest ``created_at`` of a key."""
+    rows = current.unionByName(changes)
+    payload = [c for c in rows.columns if c not in (*key_cols, *version_cols, "created_at")]
+    best = F.max(F.struct(*version_cols, *payload)).alias("_best")
+    return rows.groupBy(*key_cols).agg(best, F.min("created_at").alias("created_at")).select(
+        *key_cols, *[F.col(f"_best.{c}").alias(c) for c in [*version_cols, *payload]], "created_at")
+
+
 def upsert_summaries(old: DataFrame, new: DataFrame, key: str = "file_key") -> DataFrame:
     """K3: next ``file_summary`` snapshot.
 
@@ -150,6 +160,22 @@ def account_bucket(account_col, buckets: int):
     return F.pmod(F.xxhash64(c.cast("string")), F.lit(buckets)).cast("int")
 
 
+def write_by_account(df: DataFrame, path: str, buckets: int) -> str:
+    """K5: a summary table laid out by account bucket (folder ``bucket=<n>``)."""
+    df.withColumn("bucket", account_bucket("account_id", buckets)).write.mode("overwrite").partitionBy(
+        "bucket").parquet(path)
+    return path
+
+
+def read_account(spark, path: str, account_id, buckets: int) -> DataFrame:
+    """K5: the summaries of one account. The bucket is a constant, so one
+    folder is listed and scanned."""
+    account = F.lit(account_id)
+    return (spark.read.parquet(path)
+            .filter((F.col("bucket") == account_bucket(account, buckets)) & (F.col("account_id") == account))
+            .drop("bucket"))
+
+
 def write_snapshot(df: DataFrame, base: str, version: int, partition_by: Sequence[str] = ()) -> str:
     """Write the next version of a keyed table to ``<base>/v=<version>``.
 

@@ -15,13 +15,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_num, year_of
+from ..functions.money import EXACT_TYPE, exact_part, exact_sum, rest_part, rest_sum, total
 from ..functions.predicates import DEFAULT_CHECKPOINT_INTERVAL, DEFAULT_MAX_ROW_ERRORS, is_credit, is_debit
 from ..session import ensure_checkpoint_dir
 from .ordinals import block_totals, running_totals
 from .validate import is_valid
 
 KEYS = ("account_id", "file_key")
-STATE_COLS = ("txn_count", "credit_count", "debit_count", "credit_sum", "debit_sum")
+STATE_COLS = ("txn_count", "credit_count", "debit_count", "credit_sum", "debit_sum", "credit_rest", "debit_rest")
+
+
+def _sums(credit, debit) -> list:
+    """Exact decimal sums and the sums of amounts that no decimal holds."""
+    return [exact_sum(credit).alias("credit_sum"), exact_sum(debit).alias("debit_sum"),
+            rest_sum(credit).alias("credit_rest"), rest_sum(debit).alias("debit_rest")]
 
 
 def monthly_state(ledger: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -31,8 +38,7 @@ def monthly_state(ledger: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         F.count(F.lit(1)).alias("txn_count"),
         F.count_if(is_credit(amt)).alias("credit_count"),
         F.count_if(is_debit(amt)).alias("debit_count"),
-        F.coalesce(F.sum(F.when(is_credit(amt), amt)), F.lit(0)).alias("credit_sum"),
-        F.coalesce(F.sum(F.when(is_debit(amt), amt)), F.lit(0)).alias("debit_sum"),
+        *_sums(F.when(is_credit(amt), amt), F.when(is_debit(amt), amt)),
     )
 
 
@@ -45,23 +51,33 @@ def merge_states(*states: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         *[F.sum(c).alias(c) for c in STATE_COLS])
 
 
-def mean_or_zero(total, count):
+def mean_or_zero(whole, count):
     """A4/A5: mean of a conditional set, 0 when the set is empty."""
-    return F.coalesce(F.try_divide(F.col(total).cast("double"), F.col(count)), F.lit(0.0))
+    return F.coalesce(F.try_divide(whole, F.col(count)), F.lit(0.0))
+
+
+def balance():
+    """Balance of a group of month rows as a double (an aggregate)."""
+    return F.sum("month_balance").cast("double") + F.sum("month_rest")
 
 
 def finish_monthly(state: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Month rows with name, means and sums as DOUBLE, plus the exact
-    ``month_balance`` (DECIMAL) from which file totals are summed."""
+    ``month_balance`` (DECIMAL) and ``month_rest`` (DOUBLE, amounts that no
+    decimal holds) from which file totals are summed (:func:`balance`).
+    ``invalid_rows`` is kept where present."""
+    credit = F.col("credit_sum").cast("double") + F.col("credit_rest")
+    debit = F.col("debit_sum").cast("double") + F.col("debit_rest")
+    extra = ["invalid_rows"] if "invalid_rows" in state.columns else []
     return state.select(
         *keys, "year", "month_num",
         F.date_format(F.make_date("year", "month_num", F.lit(1)), "MMMM").alias("month"),
         "txn_count", "credit_count", "debit_count",
-        F.col("credit_sum").cast("double").alias("credit_sum"),
-        F.col("debit_sum").cast("double").alias("debit_sum"),
-        mean_or_zero("credit_sum", "credit_count").alias("avg_credit"),
-        mean_or_zero("debit_sum", "debit_count").alias("avg_debit"),
-        (F.col("credit_sum") + F.col("debit_sum")).alias("month_balance"),
+        credit.alias("credit_sum"), debit.alias("debit_sum"),
+        mean_or_zero(credit, "credit_count").alias("avg_credit"),
+        mean_or_zero(debit, "debit_count").alias("avg_debit"),
+        (F.col("credit_sum") + F.col("debit_sum")).cast(EXACT_TYPE).alias("month_balance"),
+        (F.col("credit_rest") + F.col("debit_rest")).alias("month_rest"), *extra,
     )
 
 
@@ -72,7 +88,7 @@ def accepted_monthly_summary(classified: DataFrame, max_errors: int = DEFAULT_MA
     Invalid rows are counted in a per-file bucket with NULL year/month inside
     the same aggregate; a window over the (few) aggregated rows of each file
     then adds up the file's invalid rows, and the file is dropped when they
-    exceed ``max_errors``.
+    exceed ``max_errors``. The file's number is kept as ``invalid_rows``.
     """
     amt = F.col("amount")
     ok = is_valid()
@@ -82,13 +98,12 @@ def accepted_monthly_summary(classified: DataFrame, max_errors: int = DEFAULT_MA
         F.count_if(ok).alias("txn_count"),
         F.count_if(ok & is_credit(amt)).alias("credit_count"),
         F.count_if(ok & is_debit(amt)).alias("debit_count"),
-        F.coalesce(F.sum(F.when(ok & is_credit(amt), amt)), F.lit(0)).alias("credit_sum"),
-        F.coalesce(F.sum(F.when(ok & is_debit(amt), amt)), F.lit(0)).alias("debit_sum"),
+        *_sums(F.when(ok & is_credit(amt), amt), F.when(ok & is_debit(amt), amt)),
         F.count_if(~ok).alias("_invalid"),
     )
     file_invalid = F.sum("_invalid").over(Window.partitionBy(*keys))
-    kept = per_month.withColumn("_file_invalid", file_invalid).filter(
-        (F.col("_file_invalid") <= max_errors) & F.col("year").isNotNull())
+    kept = per_month.withColumn("invalid_rows", file_invalid.cast("bigint")).filter(
+        (F.col("invalid_rows") <= max_errors) & F.col("year").isNotNull())
     return finish_monthly(kept, keys)
 
 
@@ -100,7 +115,7 @@ def monthly_summary(ledger: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def totals(ledger: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """A1: total balance and transaction count per (account, file)."""
     return ledger.groupBy(*keys).agg(
-        F.sum("amount").cast("double").alias("total_balance"),
+        total("amount").alias("total_balance"),
         F.count(F.lit(1)).alias("txn_count"),
     )
 
@@ -116,8 +131,8 @@ def credit_debit_totals(ledger: DataFrame, keys: Sequence[str] = KEYS) -> DataFr
     return ledger.groupBy(*keys).agg(
         F.count_if(is_credit(amt)).alias("credit_count"),
         F.count_if(is_debit(amt)).alias("debit_count"),
-        F.coalesce(F.sum(F.when(is_credit(amt), amt)), F.lit(0)).cast("double").alias("credit_total"),
-        F.coalesce(F.sum(F.when(is_debit(amt), amt)), F.lit(0)).cast("double").alias("debit_total"),
+        total(F.when(is_credit(amt), amt)).alias("credit_total"),
+        total(F.when(is_debit(amt), amt)).alias("debit_total"),
     )
 
 
@@ -129,11 +144,11 @@ def ledger_rollup(ledger: DataFrame, keys: Sequence[str] = ("account_id",)) -> D
     expansion applies to month rows, not to ledger rows.
     """
     month_rows = ledger.groupBy(*keys, year_of("date").alias("year"), month_num("date").alias("month_num")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("s"))
+        F.count(F.lit(1)).alias("n"), exact_sum("amount").alias("s"), rest_sum("amount").alias("r"))
     return month_rows.rollup(*keys, "year", "month_num").agg(
         F.grouping_id().cast("int").alias("level"),
         F.sum("n").alias("txn_count"),
-        F.sum("s").cast("double").alias("balance"),
+        (F.sum("s").cast("double") + F.sum("r")).alias("balance"),
     )
 
 
@@ -150,7 +165,8 @@ def checkpoint_snapshots(classified: DataFrame, block_col: str, order_cols: Sequ
     meas = {
         "row_no": F.when(is_valid(), 1).otherwise(0),
         "err_no": F.when(is_valid(), 0).otherwise(1),
-        "balance": F.when(is_valid(), F.col("amount")).otherwise(F.lit(0)),
+        "balance": F.coalesce(F.when(is_valid(), exact_part("amount")), F.lit(0).cast(EXACT_TYPE)),
+        "rest": F.coalesce(F.when(is_valid(), rest_part("amount")), F.lit(0.0)),
         "credit_count": F.when(is_valid() & is_credit(F.col("amount")), 1).otherwise(0),
     }
     blocks = block_totals(classified, file_cols, block_col, meas)
@@ -161,7 +177,7 @@ def checkpoint_snapshots(classified: DataFrame, block_col: str, order_cols: Sequ
     snaps = ran.filter(is_valid() & (F.col("row_no") % interval == 0) & (F.col("err_no") <= max_errors))
     return snaps.select(
         "account_id", *file_cols, F.col("row_no").alias("checkpoint_row"),
-        F.col("balance").cast("double").alias("balance"),
+        (F.col("balance").cast("double") + F.col("rest")).alias("balance"),
         "credit_count", (F.col("row_no") - F.col("credit_count")).alias("debit_count"),
     )
 

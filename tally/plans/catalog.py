@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import file_key
+from ..functions.money import total
 from ..operators import quality, report, state, summary, validate
 from ..operators.state import KNOWN_STATUSES
-from ..session import scratch_path
-from ..sources.csv_ledger import list_files, read_ledger_files
+from ..session import scratch_path, stage
+from ..sources.csv_ledger import list_ledgers, read_ledger_files
 from ..streaming.intake import LedgerIntake
 from . import ledgers as L
 
@@ -54,7 +55,7 @@ def ledger_with_account(spark, sf_dir):
 
 def orphan_accounts(spark, sf_dir):
     per_account = L.orders_ledger(spark, sf_dir).groupBy("account_id").agg(F.count(F.lit(1)).alias("txn_count"))
-    return state.orphans(per_account, L.account_registry(spark, sf_dir), "account_id")
+    return state.orphans(per_account, L.account_registry(spark, sf_dir, orphan_every=10), "account_id")
 
 
 def merge_partial_summaries(spark, sf_dir):
@@ -88,12 +89,12 @@ def statement_html(spark, sf_dir):
 
 # --- L2: raw text ledger with faults from events ----------------------------
 
-def _l2_classified(spark, sf_dir, staged: bool = False):
-    """L2 classified. ``staged``: parse once and write the classified rows to
-    the checkpoint folder, for queries whose outputs scan the ledger more
-    than once (block counts, error blocks, month rows)."""
-    c = validate.classify(L.events_raw_ledger(spark, sf_dir))
-    return validate.stage_classified(c, "l2-rows") if staged else c
+def _l2_classified(spark, sf_dir, blocks: bool = False):
+    """L2 classified, with its ordinal blocks for queries along the file
+    order. The source is a columnar table: queries that scan it twice parse it
+    twice, which is cheaper than writing a parsed copy."""
+    raw = L.events_raw_ledger(spark, sf_dir)
+    return validate.classify(L.l2_blocks(raw) if blocks else raw)
 
 
 def _l2_errors(classified):
@@ -107,11 +108,11 @@ def ledger_valid_rows(spark, sf_dir):
 
 
 def row_error_details(spark, sf_dir):
-    return _l2_errors(_l2_classified(spark, sf_dir, staged=True))
+    return _l2_errors(_l2_classified(spark, sf_dir, blocks=True))
 
 
 def file_status(spark, sf_dir):
-    c = _l2_classified(spark, sf_dir, staged=True)
+    c = _l2_classified(spark, sf_dir, blocks=True)
     _, out = validate.error_report(c, "blk", ["event_id"], L.L2_MAX_ROW_ERRORS)
     return out.select("account_id", "file_key", "status", "checkpoint_row", "valid_rows", "invalid_rows",
                       F.to_json("row_errors").alias("row_errors_json"))
@@ -123,17 +124,17 @@ def monthly_summary_accepted(spark, sf_dir):
 
 
 def checkpoint_snapshots(spark, sf_dir):
-    return summary.checkpoint_snapshots(_l2_classified(spark, sf_dir, staged=True), "blk", ["event_id"],
+    return summary.checkpoint_snapshots(_l2_classified(spark, sf_dir, blocks=True), "blk", ["event_id"],
                                         L.L2_CHECKPOINT_INTERVAL, L.L2_MAX_ROW_ERRORS)
 
 
 def resume_from_checkpoint(spark, sf_dir):
-    c = _l2_classified(spark, sf_dir, staged=True)
+    c = _l2_classified(spark, sf_dir, blocks=True)
     manifest, _, _ = L.file_states(spark, sf_dir)
     checkpoints = manifest.select("file_key", (F.col("file_key") % 30).alias("checkpoint_row"))
     rest = summary.resume_delta(c, checkpoints, "blk", ["event_id"])
     return rest.groupBy("account_id", "file_key").agg(
-        F.count(F.lit(1)).alias("txn_count"), F.sum("amount").cast("double").alias("balance"))
+        F.count(F.lit(1)).alias("txn_count"), total("amount").alias("balance"))
 
 
 def ledger_rollup(spark, sf_dir):
@@ -169,50 +170,69 @@ def _status_rows(outcome):
         F.to_json("row_errors").alias("row_errors_json"), F.lit(None).cast("string").alias("reason"))
 
 
-_L5_WRITTEN: dict[tuple, tuple[str, list[str]]] = {}
-
-
-def _exists(spark, path):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _l5_files(spark, sf_dir):
-    """Write the L5 CSV files once per session and source table version."""
-    import os
-    src = os.path.join(sf_dir, "events.parquet")
-    st = os.stat(src) if os.path.exists(src) else None
-    key = (id(spark.sparkContext), os.path.abspath(sf_dir), st.st_size if st else None, st.st_mtime if st else None)
-    if key not in _L5_WRITTEN or not _exists(spark, _L5_WRITTEN[key][0]):
-        base = scratch_path(spark, "ledger-csv")
-        L.write_csv_ledgers(spark, sf_dir, base)
-        _L5_WRITTEN[key] = (base, list_files(spark, base, ".txt"))
-    return _L5_WRITTEN[key]
+def _l5_folder(spark, sf_dir):
+    base = scratch_path(spark, "ledger-csv")
+    L.write_csv_ledgers(spark, sf_dir, base)
+    return base
 
 
 def csv_file_status(spark, sf_dir):
     """S1/S2/S4/P4 + A9-A11: ledger CSV files read back and judged per file."""
-    base, paths = _l5_files(spark, sf_dir)
-    lf = read_ledger_files(spark, paths)
+    lf = read_ledger_files(spark, _l5_folder(spark, sf_dir), multi_line=True, suffix=".txt")
     c = validate.stage_classified(validate.classify(lf.raw), "csv-rows")
     _, outcome = validate.error_report(c, "blk", ["blk", "mid"], L.L2_MAX_ROW_ERRORS, carry=["file_path"],
                                        files=lf.files)
     return _status_rows(outcome).unionByName(_rejected_rows(lf.rejected)).select(*FILE_STATUS_COLS)
 
 
-def stream_file_status(spark, sf_dir):
-    """The same files through the Structured Streaming intake
-    (``availableNow``, two micro-batches), read back from its tables.
-    Replays and late files are covered by ``tests/test_streaming.py``."""
-    base, paths = _l5_files(spark, sf_dir)
-    # Two micro-batches: the tables accumulate across batches and are merged
-    # on read.
+def manifest_files(spark, sf_dir):
+    """The same files with their accounts from a manifest that lacks the
+    files of some users and lists those of others twice."""
+    base = _l5_folder(spark, sf_dir)
+    listed = list_ledgers(spark, base, ".txt").withColumn("_user", _account_of("file_path"))
+    listed = listed.filter(F.col("_user") % 11 != 3)
+    again = listed.filter(F.col("_user") % 13 == 5)
+    manifest = listed.unionByName(again).select(
+        "file_path", F.concat(F.lit("ACC-"), F.col("_user").cast("string")).alias("account_id"))
+    lf = read_ledger_files(spark, base, manifest=manifest, multi_line=True, suffix=".txt")
+    counts = lf.raw.groupBy("file_path").agg(F.count(F.lit(1)).alias("records"))
+    good = lf.files.join(counts, "file_path", "left").select(
+        "file_path", "account_id", F.coalesce("records", F.lit(0)).alias("records"),
+        F.lit(None).cast("string").alias("reason"))
+    bad = lf.rejected.select("file_path", F.lit(None).cast("string").alias("account_id"),
+                             F.lit(0).cast("bigint").alias("records"), F.col("reject_reason").alias("reason"))
+    return good.unionByName(bad).select(_account_of("file_path").alias("user_id"), _chunk_of("file_path").alias("chunk"),
+                                        "account_id", "records", "reason")
+
+
+def _intake(spark, sf_dir):
+    """The L5 files through the Structured Streaming intake (``availableNow``,
+    two micro-batches, whose tables are merged on read)."""
+    base = _l5_folder(spark, sf_dir)
+    n = list_ledgers(spark, base, ".txt").count()
     intake = LedgerIntake(spark, base, scratch_path(spark, "intake-out"), max_errors=L.L2_MAX_ROW_ERRORS,
-                          max_files_per_trigger=max(1, (len(paths) + 1) // 2), suffix=".txt")
+                          max_files_per_trigger=max(1, (n + 1) // 2), suffix=".txt", multi_line=True)
     intake.run_available()
-    st = intake.file_status()
-    return _status_rows(st).unionByName(_rejected_rows(intake.table("rejected_files"))).select(*FILE_STATUS_COLS)
+    return intake
+
+
+def stream_file_status(spark, sf_dir):
+    """Every file's outcome, read back from the stream's tables."""
+    intake = _intake(spark, sf_dir)
+    return (_status_rows(intake.file_status()).unionByName(_rejected_rows(intake.table("rejected_files")))
+            .select(*FILE_STATUS_COLS))
+
+
+def stream_account_monthly(spark, sf_dir):
+    """Per (account, month) over all accepted files, after the first
+    batch was delivered a second time."""
+    intake = _intake(spark, sf_dir)
+    first = (intake.table("file_status").filter("batch_id = 0").select(F.col("file_path").alias("path"))
+             .unionByName(intake.table("rejected_files").filter("batch_id = 0").select(F.col("file_path").alias("path"))))
+    intake.process_batch(stage(first, "replayed"), 0)
+    return intake.account_monthly_summary().select(
+        F.col("account_id").cast("bigint").alias("account_id"), "year", "month_num", "txn_count", "credit_count",
+        "debit_count", "credit_sum", "debit_sum")
 
 
 # --- L3 / L4: state tables --------------------------------------------------
@@ -236,15 +256,13 @@ def pending_statements(spark, sf_dir):
 
 def statement_payloads(spark, sf_dir):
     """R4 + K6: due statements (L3 files, accounts with a usable address)
-    with their payload from the accepted L2 ledger summaries."""
+    with their payload from the accepted L2 ledger summaries: one scan of the
+    ledger, the number of skipped rows comes with the month rows."""
     _, status, summaries = L.file_states(spark, sf_dir)
     due = report.outbox(status, summaries, L.account_registry(spark, sf_dir)).select(
         "file_key", "account_id", "email")
-    c = _l2_classified(spark, sf_dir, staged=True)
-    monthly = summary.accepted_monthly_summary(c, L.L2_MAX_ROW_ERRORS)
-    _, outcome = validate.error_report(c, "blk", ["event_id"], L.L2_MAX_ROW_ERRORS)
-    done = outcome.filter(F.col("status") == "done").select("account_id", "file_key", "invalid_rows")
-    rows = report.statements(due, report.statement_payloads(monthly, done))
+    monthly = summary.accepted_monthly_summary(_l2_classified(spark, sf_dir), L.L2_MAX_ROW_ERRORS)
+    rows = report.statements(due, report.statement_payloads(monthly))
     return rows.select("file_key", "account_id", "to", "subject",
                        F.col("payload.TotalBalance").alias("total_balance"),
                        F.size("payload.ByYear").alias("months"),
@@ -252,6 +270,53 @@ def statement_payloads(spark, sf_dir):
                        F.col("payload.InvalidRows").alias("invalid_rows"))
 
 
+def statement_payload_json(spark, sf_dir):
+    """K6: the payload text of every L1 file."""
+    payloads = report.statement_payloads(summary.monthly_summary(L.orders_ledger(spark, sf_dir)))
+    return payloads.select("account_id", "file_key", "payload_json")
+
+
+def statement_notes(spark, sf_dir):
+    """statements of the accepted L2 files; those with skipped rows carry
+    a note."""
+    monthly = summary.accepted_monthly_summary(_l2_classified(spark, sf_dir), L.L2_MAX_ROW_ERRORS)
+    html = report.statement_html(monthly)
+    note = F.regexp_extract("html", '<p class="note">([0-9]+) row', 1)
+    return html.select("account_id", "file_key", F.contains("html", F.lit('class="note"')).alias("has_note"),
+                       F.when(note == "", F.lit(0)).otherwise(note.try_cast("bigint")).cast("bigint").alias("skipped"),
+                       F.regexp_count("html", F.lit("<tr><td>")).cast("bigint").alias("months"))
+
+
+def merge_stored_summaries(spark, sf_dir):
+    """A stored month state (orders before 1997) merged with the state of
+    the orders since."""
+    ledger = L.orders_ledger(spark, sf_dir)
+    cut = F.lit("1997-01-01").cast("date")
+    stored = stage(summary.monthly_state(ledger.filter(F.col("date") < cut)), "month-state")
+    delta = summary.monthly_state(ledger.filter(F.col("date") >= cut))
+    return summary.finish_monthly(summary.merge_states(stored, delta)).select(*MONTHLY_COLS)
+
+
+K5_BUCKETS = 16
+K5_ACCOUNT = 7
+
+
+def account_summaries(spark, sf_dir):
+    """K5: all month summaries written by account bucket, one account read."""
+    monthly = summary.monthly_summary(L.orders_ledger(spark, sf_dir)).select(*MONTHLY_COLS)
+    path = state.write_by_account(monthly, scratch_path(spark, "summaries"), K5_BUCKETS)
+    return state.read_account(spark, path, K5_ACCOUNT, K5_BUCKETS)
+
+
+def outbox_after_delivery(spark, sf_dir):
+    """Due statements after those of even files were acknowledged."""
+    _, status, summaries = L.file_states(spark, sf_dir)
+    accounts = L.account_registry(spark, sf_dir)
+    due = report.outbox(status, summaries, accounts)
+    marked = state.mark_delivered(summaries, due.filter(F.col("file_key") % 2 == 0).select("file_key"))
+    return report.outbox(status, marked, accounts).select("file_key", "account_id", "email")
+
+
 def summary_upsert(spark, sf_dir):
     old, new = L.summary_snapshots(spark, sf_dir)
     return state.upsert_summaries(old, new)
@@ -272,10 +337,8 @@ def file_keys(spark, sf_dir):
 
 
 def constraint_report(spark, sf_dir):
-    raw = L.events_raw_ledger(spark, sf_dir)
-    _, status, summaries = L.file_states(spark, sf_dir)
-    acc = L.account_registry(spark, sf_dir)
-    tables = [
+    raw, status, summaries, acc = L.flawed_tables(spark, sf_dir)
+    return quality.constraint_report([
         (raw, {"ledger_id_missing": F.col("id").isNull() | (F.trim(F.col("id")) == ""),
                "ledger_date_missing": F.col("date").isNull() | (F.trim(F.col("date")) == "")},
          "ledger_file_date_repeats", ["file_key", "date"]),
@@ -284,8 +347,7 @@ def constraint_report(spark, sf_dir):
          "status_key_duplicates", ["file_key"]),
         (summaries, {"email_sent_null": F.col("email_sent").isNull()}, "summary_key_duplicates", ["file_key"]),
         (acc, {"email_null": F.col("email").isNull()}, "account_key_duplicates", ["account_id"]),
-    ]
-    return quality.constraint_report([], tables=tables)
+    ])
 
 
 QUERIES: dict[str, Query] = {
@@ -315,7 +377,14 @@ QUERIES: dict[str, Query] = {
     "summary_json": summary_json,
     "summary_roundtrip": summary_roundtrip,
     "statement_html": statement_html,
+    "statement_payload_json": statement_payload_json,
+    "statement_notes": statement_notes,
+    "merge_stored_summaries": merge_stored_summaries,
+    "account_summaries": account_summaries,
+    "outbox_after_delivery": outbox_after_delivery,
     "csv_file_status": csv_file_status,
+    "manifest_files": manifest_files,
     "stream_file_status": stream_file_status,
+    "stream_account_monthly": stream_account_monthly,
 }
 

@@ -20,14 +20,17 @@ l1 AS (
 L2 = r"""
 raw AS (
   SELECT user_id AS account_id, user_id AS file_key, event_id,
-         CASE WHEN event_id % 97 = 0 THEN '' ELSE CAST(event_id AS VARCHAR) END AS id,
+         CASE WHEN event_id % 97 = 0 THEN '' WHEN event_id % 103 = 0 THEN chr(1) || CAST(event_id AS VARCHAR)
+              WHEN event_id % 107 = 0 THEN chr(160) || CAST(event_id AS VARCHAR) || chr(8195)
+              ELSE CAST(event_id AS VARCHAR) END AS id,
          CASE WHEN event_id % 89 = 0 THEN '32/01/2024' ELSE strftime(ts, '%d/%m/%Y') END AS date,
-         CASE WHEN event_id % 83 = 0 THEN 'not-a-number'
+         CASE WHEN event_id % 83 = 0 THEN 'not-a-number' WHEN event_id % 109 = 0 THEN '1e20'
+              WHEN event_id % 113 = 0 THEN '+1e-7' WHEN event_id % 127 = 0 THEN '-1e-7'
               ELSE (CASE WHEN event_type IN ('purchase', 'error') THEN '-' ELSE '+' END)
                    || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) END AS "transaction"
   FROM events),
 trimmed AS (
-  SELECT *, trim(id) AS tid, trim(date) AS tdate, trim("transaction") AS tamt,
+  SELECT *, trim(id, ' ' || chr(160) || chr(8195)) AS tid, trim(date) AS tdate, trim("transaction") AS tamt,
          CASE WHEN starts_with(trim("transaction"), '+') THEN substr(trim("transaction"), 2)
               ELSE trim("transaction") END AS samt
   FROM raw),
@@ -37,7 +40,7 @@ parsed AS (
     CASE WHEN regexp_full_match(tdate, '[0-9]{2}/[0-9]{2}/[0-9]{4}')
          THEN CAST(try_strptime(tdate, '%d/%m/%Y') AS DATE) END AS pdate,
     CASE WHEN regexp_full_match(samt, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')
-         THEN TRY_CAST(samt AS DECIMAL(24,6)) END AS amount
+         THEN TRY_CAST(samt AS DOUBLE) END AS amount
   FROM trimmed),
 classified AS (
   SELECT *,
@@ -51,7 +54,8 @@ ordered AS (
   SELECT *,
     CAST(sum(CASE WHEN error_field IS NULL THEN 1 ELSE 0 END) OVER w AS BIGINT) AS row_no,
     CAST(sum(CASE WHEN error_field IS NULL THEN 0 ELSE 1 END) OVER w AS BIGINT) AS err_no,
-    sum(CASE WHEN error_field IS NULL THEN amount ELSE 0 END) OVER w AS run_balance,
+    sum(CASE WHEN error_field IS NULL AND abs(amount) < 1e16 THEN CAST(amount AS DECIMAL(38,12)) ELSE 0 END) OVER w AS run_exact,
+    sum(CASE WHEN error_field IS NULL AND abs(amount) >= 1e16 THEN amount ELSE 0 END) OVER w AS run_rest,
     CAST(sum(CASE WHEN error_field IS NULL AND amount > 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS run_credits
   FROM classified
   WINDOW w AS (PARTITION BY file_key ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -85,7 +89,13 @@ accounts AS (
     CASE WHEN c_custkey % 13 = 0 THEN 'not-an-email'
          ELSE lower(replace(c_name, '#', '.')) || '@example.com' END AS email,
     c_name AS name, c_mktsegment AS segment
-  FROM customer WHERE c_custkey % 10 <> 0)"""
+  FROM customer)"""
+
+
+def _sum(x: str, where: str = "true") -> str:
+    """Sum as a double: exact decimals, plus what no decimal holds."""
+    return (f"(CAST(coalesce(sum(CAST({x} AS DECIMAL(38,12))) FILTER (WHERE ({where}) AND abs({x}) < 1e16), 0) AS DOUBLE)"
+            f" + coalesce(sum(CAST({x} AS DOUBLE)) FILTER (WHERE ({where}) AND abs({x}) >= 1e16), 0))")
 
 
 def _fmt2(x: str) -> str:
@@ -105,10 +115,9 @@ SELECT account_id, file_key, CAST(year(date) AS INT) AS year, CAST(month(date) A
   CAST(count(*) AS BIGINT) AS txn_count,
   CAST(count(*) FILTER (WHERE amount > 0) AS BIGINT) AS credit_count,
   CAST(count(*) FILTER (WHERE amount <= 0) AS BIGINT) AS debit_count,
-  CAST(coalesce(sum(amount) FILTER (WHERE amount > 0), 0) AS DOUBLE) AS credit_sum,
-  CAST(coalesce(sum(amount) FILTER (WHERE amount <= 0), 0) AS DOUBLE) AS debit_sum,
-  coalesce(CAST(sum(amount) FILTER (WHERE amount > 0) AS DOUBLE) / count(*) FILTER (WHERE amount > 0), 0.0) AS avg_credit,
-  coalesce(CAST(sum(amount) FILTER (WHERE amount <= 0) AS DOUBLE) / count(*) FILTER (WHERE amount <= 0), 0.0) AS avg_debit
+  {_sum("amount", "amount > 0")} AS credit_sum, {_sum("amount", "amount <= 0")} AS debit_sum,
+  coalesce({_sum("amount", "amount > 0")} / nullif(count(*) FILTER (WHERE amount > 0), 0), 0.0) AS avg_credit,
+  coalesce({_sum("amount", "amount <= 0")} / nullif(count(*) FILTER (WHERE amount <= 0), 0), 0.0) AS avg_debit
 FROM {src}
 GROUP BY account_id, file_key, year(date), month(date)"""
 
@@ -119,27 +128,30 @@ l1_totals AS (
   FROM l1 GROUP BY account_id, file_key)"""
 
 
-L5_STATUS = r"""
-WITH ev AS (
+L5 = r"""
+ev AS (
   SELECT user_id AS account_id, CAST(floor(event_id / 1048576) AS BIGINT) AS chunk, event_id,
-         CASE WHEN event_id % 97 = 0 THEN '' ELSE CAST(event_id AS VARCHAR) END AS id,
+         CASE WHEN event_id % 97 = 0 THEN '' WHEN event_id % 103 = 0 THEN chr(1) || CAST(event_id AS VARCHAR)
+              WHEN event_id % 107 = 0 THEN chr(160) || CAST(event_id AS VARCHAR) || chr(8195)
+              ELSE CAST(event_id AS VARCHAR) END AS id,
          CASE WHEN event_id % 89 = 0 THEN '32/01/2024' ELSE strftime(ts, '%d/%m/%Y') END AS date,
-         CASE WHEN event_id % 83 = 0 THEN 'not-a-number'
+         CASE WHEN event_id % 83 = 0 THEN 'not-a-number' WHEN event_id % 109 = 0 THEN '1e20'
+              WHEN event_id % 113 = 0 THEN '+1e-7' WHEN event_id % 127 = 0 THEN '-1e-7'
               ELSE (CASE WHEN event_type IN ('purchase', 'error') THEN '-' ELSE '+' END)
                    || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) END AS "transaction",
          (event_id % 101 = 0) AS malformed
   FROM events),
 parsed AS (
   SELECT *,
-    CASE WHEN regexp_full_match(trim(id), '[+-]?[0-9]+') THEN TRY_CAST(trim(id) AS BIGINT) END AS pid,
+    CASE WHEN regexp_full_match(trim(id, ' ' || chr(160) || chr(8195)), '[+-]?[0-9]+') THEN TRY_CAST(trim(id, ' ' || chr(160) || chr(8195)) AS BIGINT) END AS pid,
     CASE WHEN regexp_full_match(trim(date), '[0-9]{2}/[0-9]{2}/[0-9]{4}')
          THEN CAST(try_strptime(trim(date), '%d/%m/%Y') AS DATE) END AS pdate,
     CASE WHEN regexp_full_match(CASE WHEN starts_with(trim("transaction"), '+') THEN substr(trim("transaction"), 2)
                                      ELSE trim("transaction") END,
                                 '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')
          THEN TRY_CAST(CASE WHEN starts_with(trim("transaction"), '+') THEN substr(trim("transaction"), 2)
-                            ELSE trim("transaction") END AS DECIMAL(24,6)) END AS amount
-  FROM ev WHERE account_id % 5 <> 0),
+                            ELSE trim("transaction") END AS DOUBLE) END AS amount
+  FROM ev WHERE account_id % 50 <> 10),
 classified AS (
   SELECT *,
     CASE WHEN malformed THEN 'Record' WHEN pid IS NULL THEN 'ID' WHEN pdate IS NULL THEN 'Date'
@@ -166,7 +178,9 @@ outcome AS (
   FROM classified GROUP BY account_id, chunk),
 lists AS (
   SELECT account_id, chunk, CAST(to_json(list({'row': "row", 'error': error} ORDER BY err_no)) AS VARCHAR) AS j
-  FROM errors GROUP BY account_id, chunk)
+  FROM errors GROUP BY account_id, chunk)"""
+
+L5_STATUS = _with(L5) + r"""
 SELECT o.account_id, o.chunk,
   CASE WHEN o.invalid_rows > 3 THEN 'to_review' ELSE 'done' END AS status,
   CAST(CASE WHEN o.invalid_rows > 3 THEN 0 ELSE o.valid_rows END AS BIGINT) AS checkpoint_row,
@@ -175,7 +189,7 @@ FROM outcome o LEFT JOIN lists l ON o.account_id = l.account_id AND o.chunk = l.
 UNION ALL
 SELECT DISTINCT account_id, chunk, 'rejected', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '[]',
   'parser: missing required column "date"'
-FROM ev WHERE account_id % 5 = 0"""
+FROM ev WHERE account_id % 50 = 10"""
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -199,7 +213,7 @@ FROM l1 GROUP BY account_id, file_key""",
 
     "ledger_rollup": _with(L2) + """
 SELECT account_id, year, month_num, CAST(GROUPING(account_id, year, month_num) AS INT) AS level,
-  CAST(count(*) AS BIGINT) AS txn_count, CAST(sum(amount) AS DOUBLE) AS balance
+  CAST(count(*) AS BIGINT) AS txn_count, """ + _sum("amount") + """ AS balance
 FROM (SELECT account_id, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month_num, amount FROM valid) v
 GROUP BY ROLLUP (account_id, year, month_num)""",
 
@@ -209,7 +223,7 @@ FROM l1_totals t JOIN accounts a ON t.account_id = a.account_id""",
 
     "orphan_accounts": _with(L1, ACCOUNTS) + """
 SELECT account_id, CAST(count(*) AS BIGINT) AS txn_count FROM l1
-WHERE account_id NOT IN (SELECT account_id FROM accounts)
+WHERE account_id NOT IN (SELECT account_id FROM accounts WHERE account_id % 10 <> 0)
 GROUP BY account_id""",
 
     "ledger_valid_rows": _with(L2) + """
@@ -233,13 +247,13 @@ SELECT * FROM (""" + _monthly("valid") + """) m
 WHERE file_key IN (SELECT file_key FROM outcome WHERE invalid_rows <= 3)""",
 
     "checkpoint_snapshots": _with(L2) + """
-SELECT account_id, file_key, row_no AS checkpoint_row, CAST(run_balance AS DOUBLE) AS balance,
+SELECT account_id, file_key, row_no AS checkpoint_row, CAST(run_exact AS DOUBLE) + run_rest AS balance,
   run_credits AS credit_count, row_no - run_credits AS debit_count
 FROM ordered
 WHERE error_field IS NULL AND row_no % 20 = 0 AND err_no <= 3""",
 
     "resume_from_checkpoint": _with(L2) + """
-SELECT account_id, file_key, CAST(count(*) AS BIGINT) AS txn_count, CAST(sum(amount) AS DOUBLE) AS balance
+SELECT account_id, file_key, CAST(count(*) AS BIGINT) AS txn_count, """ + _sum("amount") + """ AS balance
 FROM ordered
 WHERE error_field IS NULL AND row_no > file_key % 30
 GROUP BY account_id, file_key""",
@@ -294,16 +308,25 @@ WHERE NOT coalesce(f.email_sent, false)
   AND regexp_full_match(trim(a.email), '[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+(\.[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+)*@[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+(\.[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+)*')""",
 
     "constraint_report": _with(L2, L3, ACCOUNTS) + """
-SELECT 'ledger_id_missing' AS rule, CAST(count(*) FILTER (WHERE id IS NULL OR trim(id) = '') AS BIGINT) AS violations FROM raw
-UNION ALL SELECT 'ledger_date_missing', CAST(count(*) FILTER (WHERE date IS NULL OR trim(date) = '') AS BIGINT) FROM raw
-UNION ALL SELECT 'status_not_in_enum', CAST(count(*) FILTER (WHERE status IS NULL OR status NOT IN ('processing', 'done', 'failed', 'to_review')) AS BIGINT) FROM fstatus
-UNION ALL SELECT 'heartbeat_null', CAST(count(*) FILTER (WHERE heartbeat_at IS NULL) AS BIGINT) FROM fstatus
-UNION ALL SELECT 'email_sent_null', CAST(count(*) FILTER (WHERE email_sent IS NULL) AS BIGINT) FROM fsummary
-UNION ALL SELECT 'email_null', CAST(count(*) FILTER (WHERE email IS NULL) AS BIGINT) FROM accounts
-UNION ALL SELECT 'ledger_file_date_repeats', CAST(count(*) AS BIGINT) FROM (SELECT file_key, date FROM raw GROUP BY ALL HAVING count(*) > 1)
-UNION ALL SELECT 'status_key_duplicates', CAST(count(*) AS BIGINT) FROM (SELECT file_key FROM fstatus GROUP BY ALL HAVING count(*) > 1)
-UNION ALL SELECT 'summary_key_duplicates', CAST(count(*) AS BIGINT) FROM (SELECT file_key FROM fsummary GROUP BY ALL HAVING count(*) > 1)
-UNION ALL SELECT 'account_key_duplicates', CAST(count(*) AS BIGINT) FROM (SELECT account_id FROM accounts GROUP BY ALL HAVING count(*) > 1)""",
+, raw2 AS (SELECT file_key, id, CASE WHEN event_id % 101 = 3 THEN ' ' ELSE date END AS date FROM raw),
+status1 AS (
+  SELECT file_key, CASE WHEN file_key % 13 = 6 THEN 'lost' ELSE status END AS status,
+         CASE WHEN file_key % 11 <> 2 THEN heartbeat_at END AS heartbeat_at FROM fstatus),
+status2 AS (SELECT * FROM status1 UNION ALL SELECT * FROM status1 WHERE file_key % 17 = 5),
+summary1 AS (SELECT file_key, CASE WHEN file_key % 5 <> 1 THEN email_sent END AS email_sent FROM fsummary),
+summary2 AS (SELECT * FROM summary1 UNION ALL SELECT * FROM summary1 WHERE file_key % 9 = 5),
+account1 AS (SELECT account_id, CASE WHEN account_id % 53 <> 9 THEN email END AS email FROM accounts),
+account2 AS (SELECT * FROM account1 UNION ALL SELECT * FROM account1 WHERE account_id % 71 = 5)
+SELECT 'ledger_id_missing' AS rule, CAST(count(*) FILTER (WHERE id IS NULL OR trim(id) = '') AS BIGINT) AS violations FROM raw2
+UNION ALL SELECT 'ledger_date_missing', CAST(count(*) FILTER (WHERE date IS NULL OR trim(date) = '') AS BIGINT) FROM raw2
+UNION ALL SELECT 'status_not_in_enum', CAST(count(*) FILTER (WHERE status IS NULL OR status NOT IN ('processing', 'done', 'failed', 'to_review')) AS BIGINT) FROM status2
+UNION ALL SELECT 'heartbeat_null', CAST(count(*) FILTER (WHERE heartbeat_at IS NULL) AS BIGINT) FROM status2
+UNION ALL SELECT 'email_sent_null', CAST(count(*) FILTER (WHERE email_sent IS NULL) AS BIGINT) FROM summary2
+UNION ALL SELECT 'email_null', CAST(count(*) FILTER (WHERE email IS NULL) AS BIGINT) FROM account2
+UNION ALL SELECT 'ledger_file_date_repeats', CAST(count(*) AS BIGINT) FROM (SELECT file_key, date FROM raw2 GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'status_key_duplicates', CAST(count(*) AS BIGINT) FROM (SELECT file_key FROM status2 GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'summary_key_duplicates', CAST(count(*) AS BIGINT) FROM (SELECT file_key FROM summary2 GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'account_key_duplicates', CAST(count(*) AS BIGINT) FROM (SELECT account_id FROM account2 GROUP BY ALL HAVING count(*) > 1)""",
 
     "statement_rows": _with(L1, L1_TOTALS) + """
 SELECT m.account_id, m.file_key,
@@ -333,7 +356,7 @@ first_month AS (
   SELECT file_key, CAST(arg_min(n, y * 12 + m) AS BIGINT) AS first_month_txns, CAST(count(*) AS INT) AS months
   FROM months GROUP BY file_key),
 totals AS (
-  SELECT file_key, CAST(sum(amount) AS DOUBLE) AS total_balance FROM valid GROUP BY file_key)
+  SELECT file_key, """ + _sum("amount") + r""" AS total_balance FROM valid GROUP BY file_key)
 SELECT d.file_key, d.account_id, d.email AS "to", 'Account statement ' || CAST(d.account_id AS VARCHAR) AS subject,
   t.total_balance, fm.months, fm.first_month_txns, o.invalid_rows
 FROM due d
@@ -374,4 +397,57 @@ SELECT t.account_id, t.file_key,
   || '</p><table><tr><th>Month</th><th>Transactions</th><th>Average credit</th><th>Average debit</th></tr>'
   || r.body || '</table></body></html>' AS html
 FROM tot t JOIN rows r ON t.account_id = r.account_id AND t.file_key = r.file_key""",
+    "merge_stored_summaries": _with(L1) + _monthly("l1"),
+
+    "account_summaries": _with(L1) + """
+SELECT * FROM (""" + _monthly("l1") + """) m WHERE account_id = 7""",
+
+    "outbox_after_delivery": _with(L3, ACCOUNTS) + r"""
+SELECT f.file_key, f.account_id, a.email
+FROM fsummary f
+JOIN accounts a ON f.account_id = a.account_id
+WHERE NOT coalesce(f.email_sent, false) AND f.file_key % 2 <> 0
+  AND f.file_key IN (SELECT file_key FROM fstatus WHERE status = 'done')
+  AND regexp_full_match(trim(a.email), '[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+(\.[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+)*@[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+(\.[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+)*')""",
+
+    "statement_notes": _with(L2) + """
+SELECT o.account_id, o.file_key, o.invalid_rows > 0 AS has_note, o.invalid_rows AS skipped, m.months
+FROM outcome o
+JOIN (SELECT file_key, CAST(count(DISTINCT year(date) * 12 + month(date)) AS BIGINT) AS months
+      FROM valid GROUP BY file_key) m ON m.file_key = o.file_key
+WHERE o.invalid_rows <= 3""",
+
+    "statement_payload_json": _with(L1) + """
+, m AS (""" + _monthly("l1") + """),
+files AS (
+  SELECT account_id, file_key,
+    list({'Year': year, 'MonthNum': month_num, 'Month': month, 'TxnCount': txn_count, 'AvgCredit': avg_credit,
+          'AvgDebit': avg_debit} ORDER BY year, month_num) AS months
+  FROM m GROUP BY ALL),
+tot AS (SELECT account_id, file_key, CAST(sum(amount) AS DOUBLE) AS total FROM l1 GROUP BY ALL)
+SELECT t.account_id, t.file_key,
+  CAST(to_json({'TotalBalance': t.total, 'ByYear': f.months, 'InvalidRows': CAST(0 AS BIGINT)}) AS VARCHAR)
+    AS payload_json
+FROM tot t JOIN files f ON t.account_id = f.account_id AND t.file_key = f.file_key""",
+
+    "manifest_files": """
+SELECT user_id, CAST(floor(event_id / 1048576) AS BIGINT) AS chunk,
+  CASE WHEN user_id % 11 <> 3 AND user_id % 13 <> 5 AND user_id % 50 <> 10
+       THEN 'ACC-' || CAST(user_id AS VARCHAR) END AS account_id,
+  CAST(CASE WHEN user_id % 11 <> 3 AND user_id % 13 <> 5 AND user_id % 50 <> 10 THEN count(*) ELSE 0 END AS BIGINT)
+    AS records,
+  CASE WHEN user_id % 11 = 3 THEN 'manifest: file not listed'
+       WHEN user_id % 13 = 5 THEN 'manifest: file listed more than once'
+       WHEN user_id % 50 = 10 THEN 'parser: missing required column "date"' END AS reason
+FROM events GROUP BY user_id, floor(event_id / 1048576)""",
+
+    "stream_account_monthly": _with(L5) + """
+SELECT account_id, CAST(year(pdate) AS INT) AS year, CAST(month(pdate) AS INT) AS month_num,
+  CAST(count(*) AS BIGINT) AS txn_count,
+  CAST(count(*) FILTER (WHERE amount > 0) AS BIGINT) AS credit_count,
+  CAST(count(*) FILTER (WHERE amount <= 0) AS BIGINT) AS debit_count,
+  """ + _sum("amount", "amount > 0") + """ AS credit_sum, """ + _sum("amount", "amount <= 0") + """ AS debit_sum
+FROM classified c JOIN outcome o USING (account_id, chunk)
+WHERE c.error_field IS NULL AND o.invalid_rows <= 3
+GROUP BY account_id, year(pdate), month(pdate)""",
 }

@@ -1,45 +1,47 @@
-"""One idempotent batch run over ledger files, with keyed state snapshots.
-
-This is the reference's main flow (account check, idempotency key, triage,
-compute, persist the summary, hand the statement to delivery, mark it sent),
-re-aimed at many files per run:
-
-1. ``read_headers`` for every path, which is cheap, gives each file its
-   ``file_key``; a file whose account is missing or has an unusable address
-   is left alone (``missing_account`` / ``invalid_email``); otherwise
-   ``triage`` against the latest ``file_status`` and
-   ``file_summary`` snapshots decides per file: skip, send_only, process,
-   error_already_processed, locked or resume.
-2. Only files to *process* or *resume* are read (pruning at the file level,
-   before any record is scanned). A resumed file is recomputed whole from
-   its source; that is idempotent, so no partial state is carried over.
-3. Validation, per-file outcome and month summaries for those files.
-4. New versions of ``file_status`` and ``file_summary`` are written under
-   ``<state_dir>/<table>/v=<n>``. A delivered summary is never replaced, and
-   the folders being read are never written.
+"""One idempotent batch run over ledger files, with keyed state tables.
+
+This is the main flow (account check, idempotency key, triage, compute,
+persist the summary, hand the statement to delivery, mark it sent), re-aimed
+at many files per run:
+
+1. Every path gets its ``file_key``; a file whose account is missing or has an
+   unusable address is left alone (``missing_account`` / ``invalid_email``);
+   otherwise ``triage`` against the stored ``file_status`` and
+   ``file_summary`` decides per file: skip, send_only, process,
+   error_already_processed, locked or resume. No file is opened for that.
+2. Only files to *process* or *resume* are read, ``batch_files`` at a time: a
+   batch bounds the path list on the driver and the layout table that its
+   records look up. A resumed file is recomputed whole from its source; that
+   is idempotent, so no partial state is carried over.
+3. Validation, per-file outcome and month summaries for those files. A file
+   with an unusable header is listed in ``rejected`` and leaves no state: it
+   is looked at again by the next run.
+4. The rows that changed are appended as ``<state_dir>/<table>/v=<n>``: what a
+   run writes follows its own files, not the history. A reader merges the
+   versions since the last ``compact``, the latest row of a key wins. A
+   delivered summary is never replaced.
 5. ``statements`` lists the due statements (finished file, stored summary,
    not delivered, usable address), built from the stored JSON summaries.
-   ``acknowledge`` marks delivered keys in a new ``file_summary`` version.
-
-Driver-side data is file metadata only: the path lists of the files to read
-(grouped by header layout).
+   ``acknowledge`` marks delivered keys in a new version.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import file_key
 from ..functions.predicates import (DEFAULT_HEARTBEAT_TIMEOUT_SECS, DEFAULT_MAX_ROW_ERRORS, STATUS_DONE, as_timestamp,
                                     valid_email)
 from ..operators import report, state, summary, validate
 from ..operators.state import ACTION_PROCESS, ACTION_RESUME
-from ..sources.csv_ledger import account_from_path, read_layouts, read_ledger_files
-from ..functions.keys import file_key
-from ..session import remove_path, scratch_path
+from ..session import release_scratch, scratch_mark, stage
+from ..sources.csv_ledger import account_from_path, list_ledgers, qualified, read_ledger_files
 
 # --- fixed values -----------------------------------------------------------
 # Account errors, checked before the file triage.
@@ -51,113 +53,142 @@ STATUS_SCHEMA = ("file_key string, account_id string, file_path string, status s
                  "valid_rows bigint, invalid_rows bigint, row_errors_json string, heartbeat_at timestamp_ntz, "
                  "version bigint")
 SUMMARY_SCHEMA = ("file_key string, account_id string, email_sent boolean, summary_json string, "
-                  "created_at timestamp_ntz, updated_at timestamp_ntz")
+                  "created_at timestamp_ntz, updated_at timestamp_ntz, version bigint")
+REJECTED_SCHEMA = "file_path string, reject_reason string"
+SCHEMAS = {"file_status": STATUS_SCHEMA, "file_summary": SUMMARY_SCHEMA}
+TABLES = tuple(SCHEMAS)
 
 
 @dataclass
 class RunResult:
     version: int
     triage: DataFrame       # file_key, account_id, file_path, status, action
-    file_status: DataFrame  # the new snapshot
-    file_summary: DataFrame  # the new snapshot
+    file_status: DataFrame  # the table as of this version
+    file_summary: DataFrame  # the table as of this version
     statements: DataFrame   # due statements: file_key, account_id, to, subject, payload_json, html
+    rejected: DataFrame     # file_path, reject_reason: files whose header is unusable
 
 
-TABLES = ("file_status", "file_summary")
-
-
-def committed_version(spark: SparkSession, state_dir: str) -> int:
-    """The state version: the highest ``v=<n>`` committed for *both* tables.
+def committed_versions(spark: SparkSession, state_dir: str) -> list[int]:
+    """The versions committed for *both* tables.
 
     Both tables of a version are written by the same run; a run that died
     between the two writes leaves an uncommitted pair, which is ignored (the
     next run takes that version number again and overwrites it).
     """
-    sets = [set(state.snapshot_versions(spark, f"{state_dir}/{t}")) for t in TABLES]
-    both = set.intersection(*sets)
-    return max(both) if both else 0
-
-
-def _table(spark: SparkSession, state_dir: str, name: str, schema: str, version: int) -> DataFrame:
-    if version == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{state_dir}/{name}/v={version}")
+    both = set.intersection(*[set(state.snapshot_versions(spark, f"{state_dir}/{t}")) for t in TABLES])
+    return sorted(both)
 
 
-def run_batch(spark: SparkSession, paths: list[str], state_dir: str, accounts: DataFrame,
+def committed_version(spark: SparkSession, state_dir: str) -> int:
+    """The state version, 0 before the first run."""
+    return max(committed_versions(spark, state_dir), default=0)
+
+
+def read_state(spark: SparkSession, state_dir: str, name: str) -> DataFrame:
+    """A state table: the latest row of every key, over the committed versions
+    since the last compaction."""
+    versions = committed_versions(spark, state_dir)
+    bases = [v for v in state.snapshot_versions(spark, f"{state_dir}/compacted") if v in versions]
+    wanted = [v for v in versions if v >= max(bases, default=0)]
+    if not wanted:
+        return spark.createDataFrame([], SCHEMAS[name])
+    rows = spark.read.schema(SCHEMAS[name]).parquet(*[f"{state_dir}/{name}/v={v}" for v in wanted])
+    return rows if len(wanted) == 1 else state.latest_per_key(rows, ["file_key"], ["version"])
+
+
+def write_state(spark: SparkSession, state_dir: str, version: int, status: DataFrame, summaries: DataFrame) -> None:
+    for name, df in (("file_status", status), ("file_summary", summaries)):
+        rows = df.withColumn("version", F.lit(version).cast("bigint"))
+        cols = spark.createDataFrame([], SCHEMAS[name]).columns
+        state.write_snapshot(rows.select(*cols), f"{state_dir}/{name}", version)
+
+
+def compact(spark: SparkSession, state_dir: str) -> int:
+    """Write both tables whole as a new version, from which readers start."""
+    version = committed_version(spark, state_dir) + 1
+    status, summaries = (read_state(spark, state_dir, t) for t in TABLES)
+    write_state(spark, state_dir, version, status, summaries)
+    state.write_snapshot(spark.range(1), f"{state_dir}/compacted", version)
+    return version
+
+
+def in_batches(rows: Iterable, size: int) -> Iterator[list]:
+    rows = iter(rows)
+    while batch := list(islice(rows, size)):
+        yield batch
+
+
+def process_files(spark: SparkSession, paths: list[str], ts, max_errors: int, multi_line: bool):
+    """``(status rows, summary rows, rejected)`` of one batch of files."""
+    lf = read_ledger_files(spark, paths, multi_line=multi_line)
+    # parse the CSV once; every later scan reads the staged parquet
+    rows = validate.stage_classified(validate.classify(lf.raw), "run-rows")
+    _, outcome = validate.error_report(rows, "blk", ["blk", "mid"], max_errors, carry=["file_path"], files=lf.files)
+    status = outcome.select(
+        "file_key", "account_id", "file_path", "status", "checkpoint_row", "valid_rows", "invalid_rows",
+        F.to_json("row_errors").alias("row_errors_json"), ts.alias("heartbeat_at"))
+    done = outcome.filter(F.col("status") == STATUS_DONE).select("account_id", "file_key", "invalid_rows")
+    docs = report.summary_documents(summary.accepted_monthly_summary(rows, max_errors), done)
+    summaries = docs.select("file_key", "account_id", F.lit(False).alias("email_sent"), "summary_json",
+                            ts.alias("created_at"), ts.alias("updated_at"))
+    return status, summaries, lf.rejected
+
+
+def run_batch(spark: SparkSession, paths: str | list[str], state_dir: str, accounts: DataFrame,
               now: dt.datetime, max_errors: int = DEFAULT_MAX_ROW_ERRORS,
-              timeout_secs: int = DEFAULT_HEARTBEAT_TIMEOUT_SECS) -> RunResult:
-    """Run once over ``paths`` (files under ``account_id=<id>/`` folders).
+              timeout_secs: int = DEFAULT_HEARTBEAT_TIMEOUT_SECS, multi_line: bool = False, suffix: str = "",
+              batch_files: int = 50_000) -> RunResult:
+    """Run once over ``paths``: a folder, or a list of files, under
+    ``account_id=<id>/`` folders.
 
     ``accounts`` has ``account_id, email``, one row per account (the command
     line keeps it that way with a last-write-wins upsert). ``now`` stamps
     heartbeats and summaries and decides stale leases, so a run is
-    reproducible.
+    reproducible. ``multi_line`` reads quoted new lines.
     """
-    current = committed_version(spark, state_dir)
-    version = current + 1
+    version = committed_version(spark, state_dir) + 1
     ts = as_timestamp(now)
-    old_status = _table(spark, state_dir, "file_status", STATUS_SCHEMA, current)
-    old_summary = _table(spark, state_dir, "file_summary", SUMMARY_SCHEMA, current)
-
-    # 1. every file of the run with its key, then triage (J2); headers are
-    #    read once (checkpointed layouts) and reused for the files to read
-    layouts = read_layouts(spark, paths)
-    manifest = layouts.select("file_path").withColumn(
-        "account_id", account_from_path(F.col("file_path"))).withColumn(
+    old_status, old_summary = (read_state(spark, state_dir, t) for t in TABLES)
+
+    # 1. every file of the run with its key, then triage
+    files = list_ledgers(spark, paths, suffix) if isinstance(paths, str) else spark.createDataFrame(
+        [(p,) for p in paths], "file_path string").select(qualified(spark, F.col("file_path")).alias("file_path"))
+    manifest = files.distinct().withColumn("account_id", account_from_path(F.col("file_path"))).withColumn(
         "file_key", file_key(F.col("account_id"), F.col("file_path")))
     tri = state.triage(manifest, old_status.select("file_key", "status", "heartbeat_at"),
                        old_summary.select("file_key", "email_sent"), ts, timeout_secs)
-    # J1 + P10 come first, as in the reference: a file whose account is
-    # missing or has an unusable address is not touched at all.
+    # J1 + P10 come first: a file whose account is missing or has an unusable
+    # address is not touched at all.
     acc = accounts.select("account_id", valid_email("email").alias("_ok"))
     tri = tri.join(acc, "account_id", "left").withColumn(
         "action", F.when(F.col("_ok").isNull(), F.lit(ACTION_MISSING_ACCOUNT))
         .when(~F.col("_ok"), F.lit(ACTION_INVALID_EMAIL)).otherwise(F.col("action"))).drop("_ok")
-    tri = tri.checkpoint(eager=True)  # one row per file, reused below and returned
-    todo_files = tri.filter(F.col("action").isin(ACTION_PROCESS, ACTION_RESUME)).select("file_path")
-    todo = todo_files.count() > 0
-
-    new_status = spark.createDataFrame([], STATUS_SCHEMA)
-    new_summary = spark.createDataFrame([], SUMMARY_SCHEMA)
-    if todo:
-        # 2-3. read only the files to (re)process
-        lf = read_ledger_files(spark, layouts=layouts.join(todo_files, "file_path", "inner"))
-        # parse the CSV once; every later scan reads the staged parquet
-        staging = scratch_path(spark, f"run-{version}-rows")
-        rows = validate.stage_classified(validate.classify(lf.raw), path=staging)
-        _, outcome = validate.error_report(rows, "blk", ["blk", "mid"], max_errors, carry=["file_path"],
-                                           files=lf.files)
-        new_status = outcome.select(
-            "file_key", "account_id", "file_path", "status", "checkpoint_row", "valid_rows", "invalid_rows",
-            F.to_json("row_errors").alias("row_errors_json"), ts.alias("heartbeat_at"),
-            F.lit(version).cast("bigint").alias("version"))
-        done = outcome.filter(F.col("status") == STATUS_DONE).select("account_id", "file_key", "invalid_rows")
-        monthly = summary.accepted_monthly_summary(rows, max_errors)
-        docs = report.summary_documents(monthly, done)
-        new_summary = docs.select("file_key", "account_id", F.lit(False).alias("email_sent"), "summary_json",
-                                  ts.alias("created_at"), ts.alias("updated_at"))
-        # rejected files (unusable header) are recorded as failed
-        rejected = lf.rejected.select(
-            F.col("file_path"), account_from_path(F.col("file_path")).alias("account_id")).withColumn(
-            "file_key", file_key(F.col("account_id"), F.col("file_path")))
-        new_status = new_status.unionByName(rejected.select(
-            "file_key", "account_id", "file_path", F.lit("failed").alias("status"),
-            F.lit(0).cast("bigint").alias("checkpoint_row"), F.lit(0).cast("bigint").alias("valid_rows"),
-            F.lit(0).cast("bigint").alias("invalid_rows"), F.lit("[]").alias("row_errors_json"),
-            ts.alias("heartbeat_at"), F.lit(version).cast("bigint").alias("version")))
-
-    # 4. next snapshots (K2, K3)
-    status_next = state.latest_per_key(old_status.unionByName(new_status), ["file_key"], ["version"])
-    summary_next = state.upsert_summaries(old_summary, new_summary).drop("source")
-    st_path = state.write_snapshot(status_next, f"{state_dir}/file_status", version)
-    sm_path = state.write_snapshot(summary_next, f"{state_dir}/file_summary", version)
-    status_snap, summary_snap = spark.read.parquet(st_path), spark.read.parquet(sm_path)
-    if todo:
-        remove_path(spark, staging)  # the snapshots are written; nothing reads the staged rows any more
+    tri = stage(tri, "triage")  # one row per file, reused below and returned
+
+    # 2-4. read the files to (re)process, a bounded batch at a time
+    mark = scratch_mark()
+    kept: list[list[DataFrame]] = []
+    try:
+        todo = tri.filter(F.col("action").isin(ACTION_PROCESS, ACTION_RESUME)).select("file_path").toLocalIterator()
+        for batch in in_batches((r["file_path"] for r in todo), batch_files):
+            inner = scratch_mark()
+            found = process_files(spark, batch, ts, max_errors, multi_line)
+            kept.append([stage(df, "run-result") for df in found])
+            release_scratch(spark, inner, keep=3)
+        empty = [spark.createDataFrame([], s) for s in (STATUS_SCHEMA, SUMMARY_SCHEMA, REJECTED_SCHEMA)]
+        new = [empty[i].drop("version") if i < 2 else empty[i] for i in range(3)]
+        for part in kept:
+            new = [a.unionByName(b) for a, b in zip(new, part)]
+        touched = old_summary.join(new[1].select("file_key"), "file_key", "left_semi").drop("version")
+        write_state(spark, state_dir, version, new[0], state.upsert_summaries(touched, new[1]).drop("source"))
+        rejected = spark.createDataFrame(new[2].toLocalIterator(), REJECTED_SCHEMA)
+    finally:
+        release_scratch(spark, mark)
 
     # 5. due statements from the stored documents
-    return RunResult(version, tri, status_snap, summary_snap, statements(status_snap, summary_snap, accounts))
+    status, summaries = (read_state(spark, state_dir, t) for t in TABLES)
+    return RunResult(version, tri, status, summaries, statements(status, summaries, accounts), rejected)
 
 
 def statements(status: DataFrame, summaries: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -170,12 +201,11 @@ def statements(status: DataFrame, summaries: DataFrame, accounts: DataFrame) ->
 
 
 def acknowledge(spark: SparkSession, state_dir: str, delivered: DataFrame, now: dt.datetime) -> DataFrame:
-    """Mark ``delivered`` keys (``file_key``) as sent in a new version
-    (both tables advance together; ``file_status`` is carried over)."""
-    current = committed_version(spark, state_dir)
-    summaries = _table(spark, state_dir, "file_summary", SUMMARY_SCHEMA, current)
-    status = _table(spark, state_dir, "file_status", STATUS_SCHEMA, current)
-    marked = state.mark_delivered(summaries, delivered, now=as_timestamp(now))
-    state.write_snapshot(status, f"{state_dir}/file_status", current + 1)
-    path = state.write_snapshot(marked, f"{state_dir}/file_summary", current + 1)
-    return spark.read.parquet(path)
+    """Mark ``delivered`` keys (``file_key``) as sent in a new version,
+    which holds only their rows. Returns the table."""
+    version = committed_version(spark, state_dir) + 1
+    keys = delivered.select("file_key").distinct()
+    mine = read_state(spark, state_dir, "file_summary").join(keys, "file_key", "left_semi")
+    marked = state.mark_delivered(mine, keys, now=as_timestamp(now))
+    write_state(spark, state_dir, version, spark.createDataFrame([], STATUS_SCHEMA), marked)
+    return read_state(spark, state_dir, "file_summary")

@@ -65,7 +65,7 @@ def cluster_conf(total_cores: int, input_bytes: int) -> dict[str, str]:
     """
     mb = 1 << 20
     by_size = max(1, input_bytes // (128 * mb))
-    partitions = max(3 * total_cores, min(by_size, 100_000))
+    partitions = max(3 * total_cores, by_size)
     return {
         **SESSION_DEFAULTS,
         "spark.sql.shuffle.partitions": str(partitions),
@@ -111,11 +111,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+#: Scratch folders handed out and not yet released.
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables
-    (stream checkpoints, sink outputs, lineage cuts)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    (stream checkpoints, sink outputs, lineage cuts). ``release_scratch``
+    removes it."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Remove the scratch folders handed out by this process from the
+    ``since``-th on, but for the last ``keep``, once what they hold is written
+    or collected."""
+    end = max(since, len(_scratch) - keep)
+    gone, _scratch[since:end] = _scratch[since:end], []
+    for path in gone:
+        remove_path(spark, path)
+
+
+def scratch_mark() -> int:
+    """The point to which a later ``release_scratch(spark, mark)`` goes back."""
+    return len(_scratch)
 
 
 def stage(df, name: str, path: str | None = None):

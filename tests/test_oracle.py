@@ -4,6 +4,7 @@ import os
 import pytest
 
 from conftest import SF_CHECK, SF_SMALL
+from tally.plans.catalog import QUERIES
 
 
 def test_entry_smoke(spark):
@@ -13,16 +14,22 @@ def test_entry_smoke(spark):
     assert "avg_credit" in df.columns
 
 
+NAMES = list(QUERIES)
+
+
 def test_queries_have_oracles():
     from __spark_entry__ import oracle_sql, queries
-    missing = set(queries()) - set(oracle_sql())
-    assert missing == set()
+    assert set(NAMES) <= set(queries()) and set(NAMES) <= set(oracle_sql())
 
 
 @pytest.mark.skipif(not os.path.exists(SF_CHECK), reason="driver data not present")
 def test_all_queries_match_duckdb(spark):
     from oracle_check import compare
-    res = compare(spark, SF_CHECK, verbose=False)
+    from tally.session import _scratch, release_scratch
+    res = compare(spark, SF_CHECK, NAMES, verbose=False)
+    left = list(_scratch)
+    release_scratch(spark)
+    assert left and not any(os.path.exists(p.removeprefix("file:")) for p in left)
     bad = {k: v for k, v in res.items() if v[0] == "MISMATCH"}
     assert not bad
     assert all(v[1] > 0 for v in res.values())
@@ -31,7 +38,7 @@ def test_all_queries_match_duckdb(spark):
 @pytest.mark.skipif(not os.path.exists(SF_SMALL), reason="driver data not present")
 def test_all_queries_match_duckdb_small(spark):
     from oracle_check import compare
-    res = compare(spark, SF_SMALL, verbose=False)
+    res = compare(spark, SF_SMALL, NAMES, verbose=False)
     assert not {k: v for k, v in res.items() if v[0] == "MISMATCH"}
 
 

@@ -54,7 +54,9 @@ def test_latest_per_key_has_no_window(spark):
 
 
 @pytest.mark.parametrize("name", ["row_error_details", "checkpoint_snapshots"])
-def test_ledger_windows_are_per_block(spark, name):
+def test_ledger_windows_are_per_block(spark, name, monkeypatch):
+    from tally.operators.ordinals import with_blocks
+    monkeypatch.setattr(catalog.L, "l2_blocks", lambda df: with_blocks(df, ["file_key"], "event_id", block_rows=5))
     plan = _plan(spark, name)
     specs = re.findall(r"windowspecdefinition\(([^)]*)\)", plan)
     row_windows = [s for s in specs if "event_id" in s]
@@ -62,9 +64,10 @@ def test_ledger_windows_are_per_block(spark, name):
 
 
 def test_queries_stay_in_the_jvm(spark):
-    """No Python operator in any registered query's plan. (The CSV header
-    reader runs once, in its own job, and its result is checkpointed.)"""
-    python_ops = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
+    """No Python operator in any job of any registered query, the header and
+    layout jobs included."""
+    python_ops = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "PythonMapIn",
+                  "FlatMapGroupsInPandas", "PythonUDF")
     offenders = {}
     for name in catalog.QUERIES:
         plan = _plan(spark, name)
@@ -72,3 +75,17 @@ def test_queries_stay_in_the_jvm(spark):
         if hits:
             offenders[name] = hits
     assert offenders == {}
+    import tally.sources.csv_ledger as C
+    for module in (C, catalog):
+        text = open(module.__file__).read()
+        assert not any(w in text for w in ("mapIn", "pandas_udf", "applyIn", ".rdd", "F.udf"))
+
+
+@pytest.mark.parametrize("name,scans,shuffles", [("statement_payloads", 1, None), ("summary_json", None, 2)])
+def test_scans_and_shuffles(spark, name, scans, shuffles):
+    plan = _plan(spark, name)
+    final = plan[:plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    if scans is not None:
+        assert len(re.findall(r"FileScan parquet [^\n]*value", final)) == scans  # the ledger cells
+    if shuffles is not None:
+        assert len(re.findall(r"Exchange hashpartitioning", final)) <= shuffles

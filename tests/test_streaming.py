@@ -24,7 +24,7 @@ def test_stream_once_per_file_replay_and_batch_equality(spark, write_csv, tmp_pa
     assert st == {"A": ("done", 1), "B": ("to_review", 2), "C": ("done", 0)}
 
     # The stream's accepted monthly summary equals the batch computation
-    raw, _ = read_ledger_csv(spark, paths, base_path=base)
+    raw, _ = read_ledger_csv(spark, paths)
     c = validate.classify(raw)
     outcome = validate.file_outcome(c, validate.row_error_details(c, "blk", ["blk", "mid"], 1), 1)
     want = validate.accepted(summary.monthly_summary(validate.valid_rows(c)), outcome)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tally.llm.common import stage
 
 CENTRES = 8
-NEIGHBOURS = 12
+NEIGHBOURS = 8
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def test_every_query_runs_over_its_table(spark):
             assert n == docs, name
         elif name == "op7_html_extract":
             assert n == pages
-        else:
+        elif name != "op6_warc_audit":  # fifty pages may hold no damage
             assert n > 0, name
 
 

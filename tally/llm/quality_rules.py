@@ -146,7 +146,7 @@ def line_stats(parts: DataFrame) -> DataFrame:
 
 
 def judge(parts: DataFrame, *, min_words: int = 20, max_repeat_pct: int = 30, min_docs: int = 20,
-          host_share: float = 0.01, max_lost: float = 0.7) -> DataFrame:
+          host_share: float = 0.01, max_lost: float = 0.9) -> DataFrame:
     """Verdicts of ``parts`` (``doc_id, part, text, host``, see
     ``number_parts``): the counts, ``base_failed``, ``lost_words`` (words in
     removed lines) and ``kept``.

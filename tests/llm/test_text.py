@@ -72,7 +72,7 @@ def test_frequent_lines_reject_depleted_documents_only(spark):
         own = cases.prose(rng, 60)
         rows.append((i, own + "\n" + boiler[0].upper().replace(" ", "  "), "x"))  # one common line: fine
     for i in range(120, 420):  # four common lines and little else
-        rows.append((i, "\n".join(rng.sample(boiler, 4)) + "\n" + cases.prose(rng, 8), "x"))
+        rows.append((i, "\n".join(rng.sample(boiler, 4)) + "\n" + cases.prose(rng, 5), "x"))
     copied = cases.prose(rng, 50) + "\n" + cases.prose(rng, 50)
     rows += [(i, copied, "x") for i in range(500, 600)]  # many copies of one text are one document
     rows += [(i, "\n".join(rng.sample(boiler, 4)), "y") for i in range(600, 605)]  # rare on this host

@@ -167,7 +167,7 @@ def line_decisions(parts: DataFrame, *, max_edits: int = 1, near_bytes: int = 32
     table = stage_as_is(line_table(parts, max_edits, near_bytes), "lines")
     members = table.select("id", F.explode("keys").alias("key")).withColumn("near", F.col("id"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def measure(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         place = (table.join(wanted, "id").groupBy("id")
                  .agg(F.min(F.struct("digest", "doc_id", "part", "line_no")).alias("_at")))
@@ -193,13 +193,14 @@ def line_decisions(parts: DataFrame, *, max_edits: int = 1, near_bytes: int = 32
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = [edit_distance(a, b, max_edits) <= max_edits
+                away = [float(edit_distance(a, b, max_edits))
                         for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(away, pa.float64())],
+                                                 ["a", "b", "d"])
 
-        return both.select("a", "b", "_la", "_lb").mapInArrow(compare, "a long, b long")
+        return both.select("a", "b", "_la", "_lb").mapInArrow(compare, "a long, b long, d double")
 
-    classes = link_classes(members, verify)
+    classes = link_classes(members, measure, max_edits)
     # The half digest names the class; a line that only shares the half digest
     # with a verified one stays on its own.
     known = (table.join(classes, "id").groupBy("id").agg(F.min("digest").alias("_digest"), F.min("root").alias("root")))

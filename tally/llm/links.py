@@ -9,6 +9,10 @@ which brings members that share more than this key side by side. Groups of up
 to ``NEIGHBOURS`` + 1 members are so compared in full; in larger ones a link is
 lost only if no chain of compared members, in this or another group, leads
 from one of its ends to the other. The number of comparisons stays linear.
+
+Pairs that the triangle inequality rules out are not compared: all members of
+a group know their distance to its first centre, and two whose distances
+differ by more than the bound cannot be that near.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tally.llm.common import stage
 
 CENTRES = 8
-NEIGHBOURS = 8
+NEIGHBOURS = 12
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -48,17 +52,22 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
 
 
-def link_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_classes(members: DataFrame, measure: Callable[[DataFrame], DataFrame], bound: float) -> DataFrame:
     """``id, root`` of the items in ``members`` (``key, id, near``, all long)
-    that have a link. ``verify`` keeps of distinct pairs ``a, b`` those that
-    are links."""
+    that have a link. ``measure`` adds the distance ``d`` (a metric) to distinct
+    pairs ``a, b``; pairs within ``bound`` are links. A distance beyond the bound
+    may be given as any value from there to the true one."""
     groups = (members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("_z")).filter("a < _z")
               .select("key", "a"))
     live = stage(members.join(groups, "key").select("key", "id", "near", "a"), "group-members")
-    first = stage(live.filter("id != a").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    links = stage(verify(first), "links")
+    first = live.filter("id != a").select("a", F.col("id").alias("b")).distinct()
+    first = stage(measure(first), "pairs")
+    within = F.col("d") <= bound + 1e-9
+    links = first.filter(within).select("a", "b")
     classes = stage(components(links), "classes")
-    rooted = live.join(classes, "id", "left").select("key", "id", "near", F.coalesce("root", "id").alias("root"))
+    away = first.select("a", F.col("b").alias("id"), F.col("d").alias("_d"))
+    rooted = live.join(away, ["a", "id"], "left").join(classes, "id", "left").select(
+        "key", "id", "near", F.coalesce("root", "id").alias("root"), F.coalesce("_d", F.lit(0.0)).alias("away"))
     open_ = (rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_z"))
              .filter("_a < _z").select("key"))
     rooted = stage(rooted.join(open_, "key").distinct(), "group-open")
@@ -66,14 +75,18 @@ def link_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
         return classes
     here = Window.partitionBy("key")
     ranked = stage(rooted.select(
-        "key", "id", "root", F.row_number().over(here.orderBy("root", "id")).alias("rank"),
-        *[F.lag(F.struct("id", "root"), k).over(here.orderBy("near", "id")).alias(f"_n{k}")
+        "key", "id", "root", "away", F.row_number().over(here.orderBy("root", "id")).alias("rank"),
+        *[F.lag(F.struct("id", "root", "away"), k).over(here.orderBy("near", "id")).alias(f"_n{k}")
           for k in range(1, NEIGHBOURS + 1)]), "group-ranked")
     centres = ranked.filter(F.col("rank") <= CENTRES).select(
-        "key", F.col("id").alias("_b"), F.col("root").alias("_root"), F.col("rank").alias("_rank"))
-    wanted = ranked.join(centres, "key").filter("rank > _rank and root != _root").select("id", "_b")
-    beside = ranked.select("id", "root", F.explode(F.array(*[f"_n{k}" for k in range(1, NEIGHBOURS + 1)])).alias("_n"))
-    wanted = wanted.unionByName(beside.filter("_n is not null and _n.root != root").select("id", F.col("_n.id").alias("_b")))
+        "key", F.col("id").alias("_b"), F.col("root").alias("_root"), F.col("rank").alias("_rank"),
+        F.col("away").alias("_away"))
+    possible = F.abs(F.col("away") - F.col("_away")) <= bound + 1e-9
+    wanted = ranked.join(centres, "key").filter("rank > _rank and root != _root").filter(possible).select("id", "_b")
+    beside = ranked.select("id", "root", "away", F.explode(F.array(*[f"_n{k}" for k in range(1, NEIGHBOURS + 1)])).alias("_n"))
+    wanted = wanted.unionByName(
+        beside.filter("_n is not null and _n.root != root").withColumn("_away", F.col("_n.away")).filter(possible)
+        .select("id", F.col("_n.id").alias("_b")))
     more = wanted.select(F.least("id", "_b").alias("a"), F.greatest("id", "_b").alias("b")).distinct()
-    more = stage(more.join(first, ["a", "b"], "left_anti"), "pairs")
-    return components(links.unionByName(stage(verify(more), "links")))
+    more = stage(measure(more.join(first, ["a", "b"], "left_anti")), "pairs")
+    return components(links.unionByName(more.filter(within).select("a", "b")))

@@ -128,14 +128,13 @@ def test_components_and_classes_without_all_pairs(spark):
     spots = spark.createDataFrame(list(place.items()), "id long, at double")
     told = []
 
-    def verify(pairs):
+    def measure(pairs):
         told.append(pairs.count())
         return (pairs.join(spots.withColumnsRenamed({"id": "a", "at": "pa"}), "a")
-                .join(spots.withColumnsRenamed({"id": "b", "at": "pb"}), "b").filter("abs(pa - pb) < 0.6")
-                .select("a", "b"))
+                .join(spots.withColumnsRenamed({"id": "b", "at": "pb"}), "b").selectExpr("a", "b", "abs(pa - pb) as d"))
 
     rows = [(k, i, int(place[i] * 1000)) for k, i in members]
-    classes = link_classes(spark.createDataFrame(rows, "key long, id long, near long"), verify)
+    classes = link_classes(spark.createDataFrame(rows, "key long, id long, near long"), measure, 0.6)
     got = {r.id: r.root for r in classes.collect()}
     want = _classes([(a, b) for a in place for b in place if a < b and abs(place[a] - place[b]) < 0.6], place)
     assert all(got.get(i, i) == want[i] for i in place)

@@ -49,7 +49,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    out = mix_sources(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +86,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    out = quality_rules(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return out.select(*[c for c in out.columns if c != "lost_words"], "lost_words")
 
 
 def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,13 +17,13 @@ COLUMNS = {
                         "rejected_mask", "trainable"],
     "op2_minhash_dedup": ["doc_id", "class_id", "class_size", "kept"],
     "op3_decontaminate": ["doc_id", "item_id", "lcs", "item_words", "first_word", "answer_found", "verbatim"],
-    "op4_mixing": ["doc_id", "source", "size", "source_size", "target", "taken"],
+    "op4_mixing": ["doc_id", "size", "source_size", "target", "taken", "source"],
     "op5_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op6_warc_audit": ["file", "offset", "status", "length", "digest", "found_length", "found_digest"],
     "op7_html_extract": ["page_id", "url", "text", "n_chars"],
     "op8_line_dedup": ["doc_id", "n_lines", "n_removed", "n_near"],
     "op9_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                          "base_failed", "lost_words", "kept"],
+                          "base_failed", "kept", "lost_words"],
     "op10_chunk_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]}
 
 

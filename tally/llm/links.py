@@ -61,7 +61,7 @@ def link_classes(members: DataFrame, measure: Callable[[DataFrame], DataFrame],
               .select("key", "a"))
     live = stage(members.join(groups, "key").select("key", "id", "near", "a"), "group-members")
     first = live.filter("id != a").select("a", F.col("id").alias("b")).distinct()
-    first = stage(measure(first), "pairs")
+    first = stage(measure(stage(first, "pairs")), "measured")
     within = F.col("d") <= bound + 1e-9
     links = first.filter(within).select("a", "b")
     classes = stage(components(links), "classes")
@@ -88,5 +88,6 @@ def link_classes(members: DataFrame, measure: Callable[[DataFrame], DataFrame],
         beside.filter("_n is not null and _n.root != root").withColumn("_away", F.col("_n.away")).filter(possible)
         .select("id", F.col("_n.id").alias("_b")))
     more = wanted.select(F.least("id", "_b").alias("a"), F.greatest("id", "_b").alias("b")).distinct()
-    more = stage(measure(more.join(first, ["a", "b"], "left_anti")), "pairs")
+    more = stage(more.join(first, ["a", "b"], "left_anti"), "pairs")
+    more = stage(measure(more), "measured")
     return components(links.unionByName(more.filter(within).select("a", "b")))

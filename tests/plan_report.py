@@ -34,7 +34,8 @@ def summarise(plan: str) -> dict:
 
 def main():
     from tally.session import build_session
-    from __spark_entry__ import queries
+    from tally.plans.catalog import QUERIES
+    from tally.session import release_scratch
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session("local[8]", shuffle_partitions=8)
     print(f"# Physical plans (AQE final plans at {os.path.basename(sf)})\n")
@@ -44,9 +45,9 @@ def main():
     print("Reading notes: each driver table is one parquet row group, so scans are single tasks here. Windows "
           "keyed by `file_key, blk` run over ledger rows and are bounded by one ordinal block. Windows keyed by "
           "`account_id, file_key` run over aggregated month rows (at most one per calendar month per file). "
-          "Broadcasts are chosen by Spark from measured sizes (no hints), and per-block tables cut by "
+          "Broadcasts are chosen by Spark from measured sizes, and per-block tables cut by "
           "`checkpoint()` appear as scans of checkpointed data.\n")
-    for name, q in queries().items():
+    for name, q in QUERIES.items():
         df = q(spark, sf)
         df.write.format("noop").mode("overwrite").save()
         s = summarise(df._jdf.queryExecution().executedPlan().toString())
@@ -59,6 +60,7 @@ def main():
         for fmt, n, pushed in s["scans"]:
             print(f"- scan {fmt}: {n} columns read; pushed filters: [{pushed}]")
         print()
+        release_scratch(spark)
 
 
 if __name__ == "__main__":

@@ -28,13 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tally.llm.chunk_dedup import number_parts
 from tally.llm.common import pack, ship, stage, stage_as_is, unpack
 from tally.llm.links import link_classes
 from tally.llm.textkernel import lines, mix64, slices, span_hashes
 
+#: Words of 64 bits in a line's sign.
+SIGN = 4
+
 _BLANK = b"\t\n\x0b\x0c\r "
 
 
@@ -75,6 +78,45 @@ def join_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, edits: int,
     return np.concatenate(found), np.concatenate(keys)
 
 
+def sign(line: bytes) -> np.ndarray:
+    """Parity of the byte pairs of a line in 256 buckets, as four words. An
+    edit takes away at most two pairs and adds two, so it turns at most four
+    bits."""
+    raw = np.frombuffer(line, np.uint8).astype(np.uint64)
+    pair = mix64((raw[:-1] << np.uint64(8)) + raw[1:] + np.uint64(1)) >> np.uint64(56)
+    bits = np.bincount(pair.astype(np.int64), minlength=64 * SIGN) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def possible_edits(edits: int):
+    """Which lines of two blocks of signs may be within ``edits``."""
+
+    def possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((a[:, None] ^ b[None]).view(np.uint64)).sum(axis=2, dtype=np.int64) <= 4 * edits
+
+    return possible
+
+
+def sign_parts(edits: int):
+    """A sign cut into one part more than ``edits`` edits can change bits."""
+
+    def finer(sign: Column) -> Column:
+        n = 4 * edits + 1
+        cuts = [64 * SIGN * i // n for i in range(n + 1)]
+        parts = []
+        for low, high in zip(cuts, cuts[1:]):
+            words = []
+            while low < high:
+                word, at = divmod(low, 64)
+                size = min(high - low, 64 - at)
+                words.append(F.shiftright(F.get(sign, F.lit(word)), at).bitwiseAND(F.lit((1 << size) - 1 if size < 64 else -1)))
+                low += size
+            parts.append(F.xxhash64(*words))
+        return F.array(*parts)
+
+    return finer
+
+
 def edit_distance(a: bytes, b: bytes, most: int) -> int:
     """Edits between ``a`` and ``b``, or ``most + 1`` if there are more.
 
@@ -165,9 +207,10 @@ def line_decisions(parts: DataFrame, *, max_edits: int = 1, near_bytes: int = 32
     ``near`` tells lines whose class holds different lines."""
     ship("tally.llm.textkernel", __name__)
     table = stage_as_is(line_table(parts, max_edits, near_bytes), "lines")
-    members = table.select("id", F.explode("keys").alias("key")).withColumn("near", F.col("id"))
+    members = table.select("id", F.explode("keys").alias("key"))
+    texts: list[DataFrame] = []  # of all lines that met another, from the first call on
 
-    def measure(pairs: DataFrame) -> DataFrame:
+    def fetch(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         place = (table.join(wanted, "id").groupBy("id")
                  .agg(F.min(F.struct("digest", "doc_id", "part", "line_no")).alias("_at")))
@@ -182,12 +225,20 @@ def line_decisions(parts: DataFrame, *, max_edits: int = 1, near_bytes: int = 32
                     for w in wanted:
                         ids.append(w["id"])
                         texts.append(all_lines[w["line_no"]].strip(_BLANK))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())],
-                                                 ["id", "line"])
+                signs = pa.array(np.concatenate([np.zeros(0, np.int64), *map(sign, texts)]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(texts, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * SIGN), signs)],
+                    ["id", "line", "sign"])
 
-        found = stage(parts.select("doc_id", "part", "text").join(
+        return stage(parts.select("doc_id", "part", "text").join(
             by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("part") == F.col("_p")))
-            .select("text", "_lines").mapInArrow(pick, "id long, line binary"), "candidate-lines")
+            .select("text", "_lines").mapInArrow(pick, "id long, line binary, sign array<long>"), "candidate-lines")
+
+    def measure(pairs: DataFrame) -> DataFrame:
+        if not texts:
+            texts.append(fetch(pairs))
+        found = texts[0]
         both = (pairs.join(found.select(F.col("id").alias("b"), F.col("line").alias("_lb")), "b")
                 .join(found.select(F.col("id").alias("a"), F.col("line").alias("_la")), "a"))
 
@@ -200,7 +251,8 @@ def line_decisions(parts: DataFrame, *, max_edits: int = 1, near_bytes: int = 32
 
         return both.select("a", "b", "_la", "_lb").mapInArrow(compare, "a long, b long, d double")
 
-    classes = link_classes(members, measure, max_edits)
+    classes = link_classes(members, measure, max_edits, signs=lambda: texts[0].select("id", "sign"),
+                           possible=possible_edits(max_edits), finer=sign_parts(max_edits))
     # The half digest names the class; a line that only shares the half digest
     # with a verified one stays on its own.
     known = (table.join(classes, "id").groupBy("id").agg(F.min("digest").alias("_digest"), F.min("root").alias("root")))

@@ -1,30 +1,34 @@
-"""Classes of near-equal items from candidate groups, without all pairs.
+"""Classes of near-equal items from candidate groups.
 
 Members of a group (items that share a key) are first compared with one
 centre, the smallest id, so a group of n gives n - 1 comparisons and a large
 family of copies is joined at once. In groups whose members are not all in one
-class by then, every member is compared with ``CENTRES`` centres, taken class
-by class, and with its ``NEIGHBOURS`` predecessors by the ``near`` column,
-which brings members that share more than this key side by side. Groups of up
-to ``NEIGHBOURS`` + 1 members are so compared in full; in larger ones a link is
-lost only if no chain of compared members, in this or another group, leads
-from one of its ends to the other. The number of comparisons stays linear.
+class by then, every member is compared with every member of another class:
+no link of a group is lost, whatever its size.
 
-Pairs that the triangle inequality rules out are not compared: all members of
-a group know their distance to its first centre, and two whose distances
-differ by more than the bound cannot be that near.
+Three things keep that small, and none of them rules out a link. Members that
+the triangle inequality holds apart are not compared: all know their distance
+to the first centre, and two whose distances differ by more than the bound
+cannot be that near. ``possible`` rules out pairs by short signs of the items
+before any row is made of them. And ``finer`` cuts a group of over ``BLOCK``
+members into smaller ones by further keys, of which near members share one.
+What is left of a large group is compared in cells of two salted blocks of
+about ``BLOCK`` members, so a hot group is spread over tasks; without ``finer``
+the cells of a group grow with the square of its size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tally.llm.common import stage
+from tally.llm.common import ship, stage
 
-CENTRES = 8
-NEIGHBOURS = 12
+BLOCK = 512
+_MANY = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -52,14 +56,69 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
 
 
-def link_classes(members: DataFrame, measure: Callable[[DataFrame], DataFrame], bound: float) -> DataFrame:
-    """``id, root`` of the items in ``members`` (``key, id, near``, all long)
-    that have a link. ``measure`` adds the distance ``d`` (a metric) to distinct
+def _between_classes(group: DataFrame, bound: float,
+                     possible: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> DataFrame:
+    """``a, b`` (ids, ``a < b``) of the members of a group (``key, id, root,
+    away, sign``) that are of different classes and may be within ``bound``."""
+    ship(__name__)
+    sizes = group.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    salted = group.join(sizes, "key").withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    cells = (salted.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+             .groupBy("key", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
+             .agg(F.collect_list(F.struct("id", "root", "away", "_block", "sign")).alias("_m"))
+             .filter(F.size("_m") > 1))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        n = 0
+        for batch in batches:
+            ends = np.asarray(batch.column(2).offsets)
+            ids, root, away, block, sign = batch.column(2).flatten().flatten()
+            ids, root, away, block = (np.asarray(x) for x in (ids, root, away, block))
+            ends = ends - ends[0]
+            sign = np.asarray(sign.flatten()).reshape(len(ids), -1)
+            for k, (i, j) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                here = np.arange(ends[k], ends[k + 1])
+                one, two = (here, here) if i == j else (here[block[here] == i], here[block[here] == j])
+                for at in range(0, len(one), 64):
+                    some = one[at:at + 64]
+                    ok = root[some][:, None] != root[two][None]
+                    ok &= np.abs(away[some][:, None] - away[two][None]) <= bound + 1e-9
+                    if i == j:
+                        ok &= ids[some][:, None] < ids[two][None]
+                    if possible is not None and ok.any():
+                        ok &= possible(sign[some], sign[two])
+                    x, y = np.nonzero(ok)
+                    if len(x):
+                        x, y = ids[some[x]], ids[two[y]]
+                        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+                        n += len(x)
+                if n > _MANY:
+                    a, b = np.concatenate(found, axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    found, n = [], 0
+        if found:
+            a, b = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return cells.select("_i", "_j", "_m").mapInArrow(compare, "a long, b long")
+
+
+def link_classes(members: DataFrame, measure: Callable[[DataFrame], DataFrame], bound: float, *,
+                 signs: Callable[[], DataFrame] | None = None,
+                 possible: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+                 finer: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``id, root`` of the items in ``members`` (``key, id``, both long) that
+    have a link. ``measure`` adds the distance ``d`` (a metric) to distinct
     pairs ``a, b``; pairs within ``bound`` are links. A distance beyond the bound
-    may be given as any value from there to the true one."""
+    may be given as any value from there to the true one. ``signs``, called
+    after the first round, has one ``sign`` (array of numbers, all of one length)
+    per ``id``; ``possible`` tells
+    for two blocks of signs which pairs may be links, and ``finer`` makes an array
+    of longs of a sign, one of which two linked items share at the same place."""
     groups = (members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("_z")).filter("a < _z")
               .select("key", "a"))
-    live = stage(members.join(groups, "key").select("key", "id", "near", "a"), "group-members")
+    live = stage(members.join(groups, "key").select("key", "id", "a"), "group-members")
     first = live.filter("id != a").select("a", F.col("id").alias("b")).distinct()
     first = stage(measure(stage(first, "pairs")), "measured")
     within = F.col("d") <= bound + 1e-9
@@ -67,27 +126,28 @@ def link_classes(members: DataFrame, measure: Callable[[DataFrame], DataFrame],
     classes = stage(components(links), "classes")
     away = first.select("a", F.col("b").alias("id"), F.col("d").alias("_d"))
     rooted = live.join(away, ["a", "id"], "left").join(classes, "id", "left").select(
-        "key", "id", "near", F.coalesce("root", "id").alias("root"), F.coalesce("_d", F.lit(0.0)).alias("away"))
-    open_ = (rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_z"))
-             .filter("_a < _z").select("key"))
+        "key", "id", F.coalesce("root", "id").alias("root"), F.coalesce("_d", F.lit(0.0)).alias("away"))
+    several = F.col("_a") < F.col("_z")
+    open_ = (rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).filter(several)
+             .select("key"))
     rooted = stage(rooted.join(open_, "key").distinct(), "group-open")
     if rooted.isEmpty():
         return classes
-    here = Window.partitionBy("key")
-    ranked = stage(rooted.select(
-        "key", "id", "root", "away", F.row_number().over(here.orderBy("root", "id")).alias("rank"),
-        *[F.lag(F.struct("id", "root", "away"), k).over(here.orderBy("near", "id")).alias(f"_n{k}")
-          for k in range(1, NEIGHBOURS + 1)]), "group-ranked")
-    centres = ranked.filter(F.col("rank") <= CENTRES).select(
-        "key", F.col("id").alias("_b"), F.col("root").alias("_root"), F.col("rank").alias("_rank"),
-        F.col("away").alias("_away"))
-    possible = F.abs(F.col("away") - F.col("_away")) <= bound + 1e-9
-    wanted = ranked.join(centres, "key").filter("rank > _rank and root != _root").filter(possible).select("id", "_b")
-    beside = ranked.select("id", "root", "away", F.explode(F.array(*[f"_n{k}" for k in range(1, NEIGHBOURS + 1)])).alias("_n"))
-    wanted = wanted.unionByName(
-        beside.filter("_n is not null and _n.root != root").withColumn("_away", F.col("_n.away")).filter(possible)
-        .select("id", F.col("_n.id").alias("_b")))
-    more = wanted.select(F.least("id", "_b").alias("a"), F.greatest("id", "_b").alias("b")).distinct()
-    more = stage(more.join(first, ["a", "b"], "left_anti"), "pairs")
+    if signs is None:
+        rooted = rooted.withColumn("sign", F.array(F.lit(0).cast("long")))
+    else:
+        rooted = stage(rooted.join(signs(), "id").select("key", "id", "root", "away", "sign"), "group-signs")
+    wanted = rooted
+    if finer is not None:
+        size = rooted.groupBy("key").agg((F.count(F.lit(1)) > BLOCK).alias("_large"))
+        sized = rooted.join(size, "key")
+        cut = sized.filter("_large").select("key", "id", "root", "away", "sign",
+                                            F.posexplode(finer(F.col("sign"))).alias("_at", "_part"))
+        cut = cut.select(F.xxhash64("key", "_at", "_part").alias("key"), "id", "root", "away", "sign")
+        met = (cut.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).filter(several)
+               .select("key"))
+        wanted = stage(sized.filter("not _large").select(*rooted.columns)
+                       .unionByName(cut.join(met, "key").select(*rooted.columns)), "group-finer")
+    more = stage(_between_classes(wanted, bound, possible).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     more = stage(measure(more), "measured")
     return components(links.unionByName(more.filter(within).select("a", "b")))

@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 
 from tally.llm.chunk_dedup import chunk_ends, dedup_chunks, gear_cuts, number_parts
-from tally.llm.line_dedup import dedup_lines, edit_distance, line_decisions, line_report
+from tally.llm.line_dedup import dedup_lines, edit_distance, line_decisions, line_report, possible_edits, sign
 from tally.llm.links import components, link_classes
-from tally.llm.minhash_dedup import (Weights, drop_near_duplicates, find_near_duplicates, frequent_shingles, sample,
-                                     weighted_jaccard, weighted_rows)
+from tally.llm.minhash_dedup import (MASSES, Weights, drop_near_duplicates, find_near_duplicates, frequent_shingles,
+                                     possible_similarity, sample, weighted_jaccard, weighted_rows)
 from tally.llm.suffix_dedup import dedup_substrings, repeated_starts
 from tests_llm import cases
 
@@ -141,6 +141,55 @@ def test_components_and_classes_without_all_pairs(spark):
     assert told[0] < 2 * len(members)
 
 
+def test_large_groups_are_compared_in_full(spark):
+    rng = random.Random(16)
+    half = bytes(rng.choice(b"abcdefgh") for _ in range(16))
+    # Lines with one half in common; each of the last 60 differs from one of the first by a byte.
+    lines = [half + bytes(rng.choice(b"abcdefgh") for _ in range(16)) for _ in range(1100)]
+    for s in lines[:60]:
+        at = rng.randrange(16, 32)
+        lines.append(s[:at] + b"z" + s[at + 1:])
+    order = list(range(len(lines)))
+    rng.shuffle(order)
+    df = spark.createDataFrame([(k, lines[i].decode()) for k, i in enumerate(order)], "doc_id long, text string")
+    rows = line_decisions(number_parts(df.repartition(3)), max_edits=1, near_bytes=32).collect()
+    where = {i: k for k, i in enumerate(order)}
+    assert {r.doc_id for r in rows if r.removed} == {max(where[i], where[1100 + i]) for i in range(60)}
+
+    # Without further keys: one group of 700 items, links between few of them.
+    spot = {i: (rng.random() * 1000, rng.random() * 1000) for i in range(700)}
+    where = spark.createDataFrame([(i, *xy) for i, xy in spot.items()], "id long, x double, y double")
+
+    def measure(pairs):
+        return (pairs.join(where.withColumnsRenamed({"id": "a", "x": "xa", "y": "ya"}), "a")
+                .join(where.withColumnsRenamed({"id": "b", "x": "xb", "y": "yb"}), "b")
+                .selectExpr("a", "b", "sqrt((xa - xb) * (xa - xb) + (ya - yb) * (ya - yb)) as d"))
+
+    members = spark.createDataFrame([(0, i, hash((i, 5))) for i in spot], "key long, id long, near long")
+    got = {r.id: r.root for r in link_classes(members, measure, 12.0).collect()}
+    want = _classes([(a, b) for a in spot for b in spot if a < b
+                     and (spot[a][0] - spot[b][0]) ** 2 + (spot[a][1] - spot[b][1]) ** 2 <= 144], spot)
+    assert all(got.get(i, i) == want[i] for i in spot)
+
+
+def test_signs_never_rule_out_a_link():
+    rng = random.Random(3)
+    for _ in range(2000):
+        a = bytes(rng.choice(b"abcd ") for _ in range(rng.randint(8, 60)))
+        n = rng.randint(0, 3)
+        assert possible_edits(n)(sign(a)[None], sign(_edited(rng, a, n))[None]).all()
+    weigh = Weights(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, 0.1)
+    possible = possible_similarity(0.8)
+    for _ in range(200):
+        words = cases.prose(rng, 60).split()
+        other = words[:]
+        for _ in range(rng.randint(0, 4)):
+            other[rng.randrange(60)] = "x"
+        two = [_vector(" ".join(w), weigh) for w in (words, other)]
+        masses = [np.bincount((s % np.uint64(MASSES)).astype(int), w, MASSES).astype(np.float32)[None] for s, w in two]
+        assert weighted_jaccard(*two) < 0.8 or possible(*masses).all()
+
+
 # Near-duplicates.
 
 def _vector(text, weights, k=5):

@@ -1,9 +1,11 @@
 """Line dedup by a segment-partition edit join.
 
 A line is near another when few edits (bytes inserted, deleted or replaced)
-turn one into the other: ``max_edits`` for lines of at least ``near_bytes``
-bytes, none for shorter ones. A line cut into threshold-plus-one segments must
-share one of them, at nearly the same place, with any line that near. So every
+turn one into the other: one for lines of 16 bytes and more, two from 32 and
+three from 64 (``BOUNDS``, by the shorter line), none below. A line cut into
+threshold-plus-one segments must share one of them, at nearly the same place,
+with any line that near. So
+every
 line files its segments under (length, segment number, bytes) and looks up,
 for every length it may be near to, the substrings that can match a segment
 (the multi-match-aware window). Lines that meet are verified with a banded
@@ -35,6 +37,8 @@ from tally.llm.common import pack, ship, stage, stage_as_is, unpack
 from tally.llm.links import link_classes
 from tally.llm.textkernel import lines, mix64, slices, span_hashes
 
+#: Least bytes of a line (of the shorter of two) and the edits from there on.
+BOUNDS = ((16, 1), (32, 2), (64, 3))
 #: Words of 64 bits in a line's sign.
 SIGN = 4
 
@@ -49,30 +53,32 @@ def segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndar
     return i * size + np.maximum(0, i - shorter), size + (i >= shorter)
 
 
-def join_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, edits: int,
-              near_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+def join_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray,
+              bounds: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
     """(line, key) of what the lines file and look up."""
     found: list[np.ndarray] = []
     keys: list[np.ndarray] = []
     length = end - start
-    for less in range(edits + 1):  # the other line is so many bytes shorter
-        for i in range(edits + 1):
-            here = np.flatnonzero(length - less >= near_bytes)
+    above = [low for low, _ in bounds[1:]] + [np.iinfo(np.int64).max]
+    for (least, edits), most in zip(bounds, above):
+        for less in range(edits + 1):  # the other line is so many bytes shorter
+            here = np.flatnonzero((length - less >= least) & (length - less < most))
             other = length[here] - less
-            place, size = segment(other, i, edits)
-            low = np.maximum(place - i, place + less - (edits - i))
-            high = np.minimum(place + i, place + less + (edits - i))
-            for step in range(2 * edits + 1):
-                at = low + step
-                ok = (at <= high) & (at >= 0) & (at + size <= length[here])
-                if not ok.any():
-                    continue
-                line = here[ok]
-                begin = start[line] + at[ok]
-                value = span_hashes(data, begin, begin + size[ok])
-                salt = (other[ok] * (edits + 1) + i).astype(np.uint64)
-                found.append(line)
-                keys.append(mix64(value ^ mix64(salt + np.uint64(1))))
+            for i in range(edits + 1):
+                place, size = segment(other, i, edits)
+                low = np.maximum(place - i, place + less - (edits - i))
+                high = np.minimum(place + i, place + less + (edits - i))
+                for step in range(2 * edits + 1):
+                    at = low + step
+                    ok = (at <= high) & (at >= 0) & (at + size <= length[here])
+                    if not ok.any():
+                        continue
+                    line = here[ok]
+                    begin = start[line] + at[ok]
+                    value = span_hashes(data, begin, begin + size[ok])
+                    salt = (other[ok] * (edits + 1) + i).astype(np.uint64)
+                    found.append(line)
+                    keys.append(mix64(value ^ mix64(salt + np.uint64(1))))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(found), np.concatenate(keys)
@@ -169,7 +175,7 @@ def edit_distance(a: bytes, b: bytes, most: int) -> int:
     return min(distance, most + 1)
 
 
-def line_table(parts: DataFrame, edits: int, near_bytes: int) -> DataFrame:
+def line_table(parts: DataFrame, bounds: tuple[tuple[int, int], ...]) -> DataFrame:
     """``doc_id, part, line_no, digest, id, keys`` of every line with a word;
     ``id`` is half of the digest. A line that stands twice in one slice of a
     task has its keys once."""
@@ -185,7 +191,7 @@ def line_table(parts: DataFrame, edits: int, near_bytes: int) -> DataFrame:
                 ids = np.frombuffer(joined, np.int64).reshape(n, 2)[:, 0]
                 _, one = np.unique(ids, return_index=True)
                 one.sort()
-                which, key = join_keys(data, start[one], end[one], edits, near_bytes)
+                which, key = join_keys(data, start[one], end[one], bounds)
                 order = np.argsort(which, kind="stable")
                 ends = np.zeros(n + 1, np.int64)
                 np.add.at(ends, one[which] + 1, 1)
@@ -202,11 +208,16 @@ def line_table(parts: DataFrame, edits: int, near_bytes: int) -> DataFrame:
         scan, "doc_id long, part int, line_no int, digest binary, id long, keys array<long>")
 
 
-def line_decisions(parts: DataFrame, *, max_edits: int = 1, near_bytes: int = 32) -> DataFrame:
+def line_decisions(parts: DataFrame, *, max_edits: int | None = None, near_bytes: int = 32,
+                   bounds: tuple[tuple[int, int], ...] = BOUNDS) -> DataFrame:
     """``doc_id, part, line_no, removed, near`` of every line with a word;
-    ``near`` tells lines whose class holds different lines."""
+    ``near`` tells lines whose class holds different lines. ``max_edits`` sets
+    one bound for all lines of at least ``near_bytes`` in place of ``bounds``."""
     ship("tally.llm.textkernel", __name__)
-    table = stage_as_is(line_table(parts, max_edits, near_bytes), "lines")
+    if max_edits is not None:
+        bounds = ((near_bytes, max_edits),)
+    max_edits = max(edits for _, edits in bounds)
+    table = stage_as_is(line_table(parts, bounds), "lines")
     members = table.select("id", F.explode("keys").alias("key"))
     texts: list[DataFrame] = []  # of all lines that met another, from the first call on
 
@@ -244,12 +255,14 @@ def line_decisions(parts: DataFrame, *, max_edits: int = 1, near_bytes: int = 32
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                away = [float(edit_distance(a, b, max_edits))
-                        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(away, pa.float64())],
-                                                 ["a", "b", "d"])
-
-        return both.select("a", "b", "_la", "_lb").mapInArrow(compare, "a long, b long, d double")
+                away, link = [], []
+                for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    away.append(float(edit_distance(a, b, max_edits)))
+                    link.append(away[-1] <= max((e for low, e in bounds if min(len(a), len(b)) >= low), default=0))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(away, pa.float64()),
+                                                  pa.array(link, pa.bool_())], ["a", "b", "d", "link"])
+
+        return both.select("a", "b", "_la", "_lb").mapInArrow(compare, "a long, b long, d double, link boolean")
 
     classes = link_classes(members, measure, max_edits, signs=lambda: texts[0].select("id", "sign"),
                            possible=possible_edits(max_edits), finer=sign_parts(max_edits))

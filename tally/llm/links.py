@@ -110,7 +110,8 @@ def link_classes(members: DataFrame, measure: Callable[[DataFrame], DataFrame],
                  finer: Callable[[Column], Column] | None = None) -> DataFrame:
     """``id, root`` of the items in ``members`` (``key, id``, both long) that
     have a link. ``measure`` adds the distance ``d`` (a metric) to distinct
-    pairs ``a, b``; pairs within ``bound`` are links. A distance beyond the bound
+    pairs ``a, b``; pairs within ``bound`` are links, or those it marks ``link``
+    if the bound differs among pairs (``bound`` is then the greatest). A distance beyond the bound
     may be given as any value from there to the true one. ``signs``, called
     after the first round, has one ``sign`` (array of numbers, all of one length)
     per ``id``; ``possible`` tells
@@ -121,7 +122,7 @@ def link_classes(members: DataFrame, measure: Callable[[DataFrame], DataFrame],
     live = stage(members.join(groups, "key").select("key", "id", "a"), "group-members")
     first = live.filter("id != a").select("a", F.col("id").alias("b")).distinct()
     first = stage(measure(stage(first, "pairs")), "measured")
-    within = F.col("d") <= bound + 1e-9
+    within = F.col("link") if "link" in first.columns else F.col("d") <= bound + 1e-9
     links = first.filter(within).select("a", "b")
     classes = stage(components(links), "classes")
     away = first.select("a", F.col("b").alias("id"), F.col("d").alias("_d"))

@@ -299,6 +299,25 @@ def test_lines_against_brute_force(spark, edits):
                    for i, t in enumerate(texts)}
 
 
+def test_edits_grow_with_the_line(spark):
+    rng = random.Random(19)
+    lines, want = [], set()
+    for size in (12, 16, 31, 32, 40, 63, 64, 100, 400):
+        bound = 0 if size < 16 else 1 if size < 32 else 2 if size < 64 else 3
+        for n in range(1, 5):
+            s = [rng.choice("abcdefgh") for _ in range(size)]
+            lines.append("".join(s))
+            for at in rng.sample(range(size), n):
+                s[at] = "z"
+            if n <= bound:
+                want.add(len(lines))
+            lines.append("".join(s))
+    lines += ["Ein Satz, der zweimal vorkommt, mit \u0434", "Ein Satz, der zweimal vorkommt, mit \u00e9"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(2)
+    want.add(len(lines) - 1)
+    assert {r.doc_id for r in line_decisions(number_parts(df)).collect() if r.removed} == want
+
+
 # Awkward rows.
 
 def test_awkward_cases(spark):

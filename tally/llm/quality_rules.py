@@ -43,7 +43,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 _STATS = ("doc_id long, part int, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-          "n_repeat_words long, sketch long, lines array<struct<hash:long,words:int,sketch:long>>")
+          "n_repeat_words long, sketch long, lines array<struct<hash:long,words:int,sketch:long,number:int>>")
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -98,6 +98,7 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     lower = sequence_hashes(span_hashes(_LOWER[data], starts, ends), low, high)
 
     line_first = np.searchsorted(line_row, np.arange(n_rows + 1))
+    number = np.searchsorted(feeds, line_start) - np.searchsorted(feeds, offsets[line_row])
     # The least window of a row, and the least one outside the line that holds it.
     line_of = np.full(n_words + 1, -1, np.int64)
     line_of[:n_words] = np.repeat(np.arange(len(low)), high - low)
@@ -118,7 +119,7 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             "n_symbols": _sums(_SYMBOL[data], offsets), "n_dup_lines": _sums(before, line_first),
             "n_repeat_words": _sums(covered, first), "sketch": sketch.view(np.int64),
             "line_first": line_first, "line_hash": lower.view(np.int64), "line_words": high - low,
-            "line_sketch": line_sketch.view(np.int64)}
+            "line_sketch": line_sketch.view(np.int64), "line_number": number}
 
 
 def line_stats(parts: DataFrame) -> DataFrame:
@@ -133,7 +134,9 @@ def line_stats(parts: DataFrame) -> DataFrame:
                     pa.array(s["line_first"].astype(np.int32)),
                     pa.StructArray.from_arrays([pa.array(s["line_hash"]),
                                                 pa.array(s["line_words"].astype(np.int32)),
-                                                pa.array(s["line_sketch"])], ["hash", "words", "sketch"]))
+                                                pa.array(s["line_sketch"]),
+                                                pa.array(s["line_number"].astype(np.int32))],
+                                               ["hash", "words", "sketch", "number"]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, n), batch.column(1).slice(row, n), batch.column(3).slice(row, n)]
                     + [pa.array(s[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -149,7 +152,8 @@ def judge(parts: DataFrame, *, min_words: int = 20, max_repeat_pct: int = 30, mi
           host_share: float = 0.01, max_lost: float = 0.9) -> DataFrame:
     """Verdicts of ``parts`` (``doc_id, part, text, host``, see
     ``number_parts``): the counts, ``base_failed``, ``lost_words`` (words in
-    removed lines) and ``kept``.
+    removed lines) and ``kept`` and ``gone`` (numbers of the removed
+    lines, counted by line feeds from 0; null for none).
 
     A line is removed on a host when more than ``min_docs`` and more than
     ``host_share`` of the host's distinct documents hold it. A document is
@@ -162,7 +166,7 @@ def judge(parts: DataFrame, *, min_words: int = 20, max_repeat_pct: int = 30, mi
                      .alias("_limit")))
     hosts = small(stage(hosts, "quality-hosts"), 10_000)
     lines = stats.select("doc_id", "part", "host", F.explode("lines").alias("_l")).select(
-        "doc_id", "part", "host", "_l.sketch", "_l.hash", "_l.words")
+        "doc_id", "part", "host", "_l.sketch", "_l.hash", "_l.words", "_l.number")
     frequent = (lines.groupBy("host", "hash", "sketch").agg(F.lit(1).alias("_one"))
                 .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("_n"))
                 .filter(F.col("_n") > min_docs)
@@ -170,26 +174,31 @@ def judge(parts: DataFrame, *, min_words: int = 20, max_repeat_pct: int = 30, mi
                 .filter(F.col("_n") > F.col("_limit"))
                 .select(F.col("_host"), F.col("hash").alias("_hash")))
     lost = (lines.join(frequent, (F.col("hash") == F.col("_hash")) & F.col("host").eqNullSafe(F.col("_host")))
-            .groupBy(F.col("doc_id").alias("_id"), F.col("part").alias("_p")).agg(F.sum("words").alias("_lost")))
+            .groupBy(F.col("doc_id").alias("_id"), F.col("part").alias("_p")).agg(F.sum("words").alias("_lost"),
+                                                                       F.collect_set("number").alias("gone")))
     failed = ((F.col("n_words") < min_words)
               | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words")))
     lost_words = F.coalesce("_lost", F.lit(0)).cast("long")
     return (stats.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("part") == F.col("_p")), "left")
             .select("doc_id", "part", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     failed.alias("base_failed"), lost_words.alias("lost_words"),
-                    (~failed & (lost_words <= max_lost * F.col("n_words"))).alias("kept")))
+                    (~failed & (lost_words <= max_lost * F.col("n_words"))).alias("kept"), "gone"))
 
 
 def quality_rules(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """One row per row of ``docs``; see ``judge``."""
     parts = number_parts(docs.select("doc_id", "text", F.col(host).alias("host")), "host")
-    return judge(parts, **limits).drop("part")
+    return judge(parts, **limits).drop("part", "gone")
 
 
 def keep_good(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns and the
+    texts without the removed lines."""
     parts = number_parts(pack(docs), "rest")
     verdict = judge(parts.select("doc_id", "part", "text", F.col("rest")[host].alias("host")), **limits)
-    bad = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("part").alias("_p"))
+    changed = verdict.filter(~F.col("kept") | F.col("gone").isNotNull()).select(
+        F.col("doc_id").alias("_id"), F.col("part").alias("_p"), F.col("kept").alias("_kept"), F.col("gone").alias("_gone"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("part") == F.col("_p"))
-    return unpack(parts.join(bad, same, "left_anti"), docs.columns)
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
+    return unpack(parts.join(changed, same, "left").filter(F.coalesce("_kept", F.lit(True))), docs.columns,
+                  F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))

@@ -86,6 +86,19 @@ def test_frequent_lines_reject_depleted_documents_only(spark):
     assert all(out[i].base_failed and not out[i].kept for i in (700, 701, 702))
 
 
+def test_frequent_lines_leave_the_kept_texts(spark):
+    rng = random.Random(5)
+    header, footer = cases.prose(rng, 9), cases.prose(rng, 12)
+    own = {i: [cases.prose(rng, 40), "", cases.prose(rng, 40)] for i in range(60)}
+    rows = [(i, "\n".join([header.upper(), *own[i], "  " + footer, ""]), "x", i) for i in own]
+    rows += [(90, "\n".join([header, *own[0]]), "y", 90)]  # rare on this host
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, gone int").repartition(3)
+    out = keep_good(df)
+    assert out.columns == df.columns
+    assert {r.doc_id: (r.text, r.gone) for r in out.collect()} == {
+        **{i: ("\n".join([*own[i], ""]), i) for i in own}, 90: ("\n".join([header, *own[0]]), 90)}
+
+
 # Chat format.
 
 def _chat(spark, rows):

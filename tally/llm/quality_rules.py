@@ -6,9 +6,8 @@ counted; lines above the host's limit are removed, and a document that loses
 too many of its words is rejected. A few counts over the single text (words,
 symbols, repeated lines and windows) come from the same pass.
 
-Distinct documents are told apart, for each line, by the smallest hash of the
-eight-word windows that do not lie inside the line, so copies and most light
-edits of one document count once: a text that was copied a thousand times is
+Distinct documents are those of different texts (by a digest of the whole
+text), so exact copies count once: a text that was copied a thousand times is
 not boilerplate, a line that stands in a thousand different texts is.
 
 Scale: one pass over the texts gives a narrow table (counts and line hashes);
@@ -24,6 +23,7 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +43,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 _STATS = ("doc_id long, part int, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-          "n_repeat_words long, sketch long, lines array<struct<hash:long,words:int,sketch:long,number:int>>")
+          "n_repeat_words long, digest long, lines array<struct<hash:long,words:int,number:int>>")
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -99,27 +99,11 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
     line_first = np.searchsorted(line_row, np.arange(n_rows + 1))
     number = np.searchsorted(feeds, line_start) - np.searchsorted(feeds, offsets[line_row])
-    # The least window of a row, and the least one outside the line that holds it.
-    line_of = np.full(n_words + 1, -1, np.int64)
-    line_of[:n_words] = np.repeat(np.arange(len(low)), high - low)
-    within = np.where(line_of[begin] == line_of[begin + WINDOW - 1], line_of[begin], -1)
-    most = np.iinfo(np.uint64).max
-    sketch, beside, owner = np.full(n_rows, most, np.uint64), np.full(n_rows, most, np.uint64), np.full(n_rows, -1)
-    at = row[begin]
-    np.minimum.at(sketch, at, window)
-    least = window == sketch[at]
-    owner[at[least]] = within[least]
-    outside = (within < 0) | (within != owner[at])
-    np.minimum.at(beside, at[outside], window[outside])
-    short = np.flatnonzero(np.diff(first) < WINDOW)  # no window: the whole text
-    if len(short):
-        sketch[short] = sequence_hashes(span_hashes(data, starts, ends), first[short], first[short + 1])
-    line_sketch = np.where(owner[line_row] == np.arange(len(line_row)), beside[line_row], sketch[line_row])
     return {"n_words": np.diff(first), "word_chars": _sums(inside & (data & 0xC0 != 0x80), offsets),
             "n_symbols": _sums(_SYMBOL[data], offsets), "n_dup_lines": _sums(before, line_first),
-            "n_repeat_words": _sums(covered, first), "sketch": sketch.view(np.int64),
+            "n_repeat_words": _sums(covered, first),
             "line_first": line_first, "line_hash": lower.view(np.int64), "line_words": high - low,
-            "line_sketch": line_sketch.view(np.int64), "line_number": number}
+            "line_number": number}
 
 
 def line_stats(parts: DataFrame) -> DataFrame:
@@ -130,26 +114,28 @@ def line_stats(parts: DataFrame) -> DataFrame:
             for row, data, offsets in slices(batch.column(2)):
                 n = len(offsets) - 1
                 s = text_stats(data, offsets)
+                raw = data.tobytes()
+                s["digest"] = np.frombuffer(b"".join(hashlib.blake2b(raw[offsets[i]:offsets[i + 1]], digest_size=8)
+                                                     .digest() for i in range(n)), np.int64)
                 lines = pa.ListArray.from_arrays(
                     pa.array(s["line_first"].astype(np.int32)),
                     pa.StructArray.from_arrays([pa.array(s["line_hash"]),
                                                 pa.array(s["line_words"].astype(np.int32)),
-                                                pa.array(s["line_sketch"]),
                                                 pa.array(s["line_number"].astype(np.int32))],
-                                               ["hash", "words", "sketch", "number"]))
+                                               ["hash", "words", "number"]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, n), batch.column(1).slice(row, n), batch.column(3).slice(row, n)]
                     + [pa.array(s[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
-                                                                 "n_repeat_words", "sketch")] + [lines],
+                                                                 "n_repeat_words", "digest")] + [lines],
                     ["doc_id", "part", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                     "sketch", "lines"])
+                     "digest", "lines"])
 
     ship("tally.llm.textkernel", __name__)
     return parts.select("doc_id", "part", "text", "host").mapInArrow(scan, _STATS)
 
 
 def judge(parts: DataFrame, *, min_words: int = 20, max_repeat_pct: int = 30, min_docs: int = 20,
-          host_share: float = 0.01, max_lost: float = 0.9) -> DataFrame:
+          host_share: float = 0.01, max_lost: float = 0.7, short_words: int = 100) -> DataFrame:
     """Verdicts of ``parts`` (``doc_id, part, text, host``, see
     ``number_parts``): the counts, ``base_failed``, ``lost_words`` (words in
     removed lines) and ``kept`` and ``gone`` (numbers of the removed
@@ -158,16 +144,18 @@ def judge(parts: DataFrame, *, min_words: int = 20, max_repeat_pct: int = 30, mi
     A line is removed on a host when more than ``min_docs`` and more than
     ``host_share`` of the host's distinct documents hold it. A document is
     kept unless it fails the base rules or loses over ``max_lost`` of its words.
+    A document of up to ``short_words`` words that loses one line only is kept as
+    long as it has words of its own: a single common line outweighs little text.
     """
     stats = stage_as_is(line_stats(parts), "quality-stats")
-    hosts = (stats.groupBy("host", "sketch").agg(F.lit(1).alias("_one"))
+    hosts = (stats.groupBy("host", "digest").agg(F.lit(1).alias("_one"))
              .groupBy("host").agg(F.count(F.lit(1)).alias("_docs"))
              .select(F.col("host").alias("_host"), F.greatest(F.lit(float(min_docs)), F.col("_docs") * host_share)
                      .alias("_limit")))
     hosts = small(stage(hosts, "quality-hosts"), 10_000)
-    lines = stats.select("doc_id", "part", "host", F.explode("lines").alias("_l")).select(
-        "doc_id", "part", "host", "_l.sketch", "_l.hash", "_l.words", "_l.number")
-    frequent = (lines.groupBy("host", "hash", "sketch").agg(F.lit(1).alias("_one"))
+    lines = stats.select("doc_id", "part", "host", "digest", F.explode("lines").alias("_l")).select(
+        "doc_id", "part", "host", "digest", "_l.hash", "_l.words", "_l.number")
+    frequent = (lines.groupBy("host", "hash", "digest").agg(F.lit(1).alias("_one"))
                 .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("_n"))
                 .filter(F.col("_n") > min_docs)
                 .join(hosts, F.col("host").eqNullSafe(F.col("_host")))
@@ -179,10 +167,12 @@ def judge(parts: DataFrame, *, min_words: int = 20, max_repeat_pct: int = 30, mi
     failed = ((F.col("n_words") < min_words)
               | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words")))
     lost_words = F.coalesce("_lost", F.lit(0)).cast("long")
+    short = (F.col("n_words") <= short_words) & (F.size("gone") == 1) & (lost_words < F.col("n_words"))
+    rich = (lost_words <= max_lost * F.col("n_words")) | F.coalesce(short, F.lit(False))
     return (stats.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("part") == F.col("_p")), "left")
             .select("doc_id", "part", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     failed.alias("base_failed"), lost_words.alias("lost_words"),
-                    (~failed & (lost_words <= max_lost * F.col("n_words"))).alias("kept"), "gone"))
+                    (~failed & rich).alias("kept"), "gone"))
 
 
 def quality_rules(docs: DataFrame, host: str = "source", **limits) -> DataFrame:

@@ -86,6 +86,20 @@ def test_frequent_lines_reject_depleted_documents_only(spark):
     assert all(out[i].base_failed and not out[i].kept for i in (700, 701, 702))
 
 
+def test_documents_that_share_most_lines_all_count(spark):
+    rng = random.Random(9)
+    boiler = [cases.prose(rng, 25) for _ in range(8)]
+    # Few own words beside eight lines that all have in common.
+    rows = [(i, "\n".join([*boiler, cases.prose(rng, 12)]), "x") for i in range(30)]
+    rows += [(40, "\n".join([boiler[0], *[cases.prose(rng, 25) for _ in range(2)]]), "x")]  # 50 of 75 words left
+    rows += [(41, boiler[0] + "\n" + cases.prose(rng, 8), "x")]  # short, one common line
+    rows += [(42, "\n".join([*boiler[:4], cases.prose(rng, 30)]), "x")]  # loses 100 of 130 words
+    out = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")
+                                              ).collect()}
+    assert all(not out[i].kept and out[i].lost_words == 200 for i in range(30))
+    assert [(out[i].kept, out[i].lost_words) for i in (40, 41, 42)] == [(True, 25), (True, 25), (False, 100)]
+
+
 def test_frequent_lines_leave_the_kept_texts(spark):
     rng = random.Random(5)
     header, footer = cases.prose(rng, 9), cases.prose(rng, 12)

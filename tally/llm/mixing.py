@@ -95,21 +95,26 @@ def _number(text: Column, start: int = 1) -> Column:
 
 
 def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, seed: int = 17,
-                n_blocks: int = 20_000, docs_per_shard: int = 5_000, broadcast_rows: int = 10_000) -> DataFrame:
+                n_blocks: int = 20_000, docs_per_shard: int = 5_000, broadcast_rows: int = 10_000,
+                shard_blocks: int = 400) -> DataFrame:
     """How many words of each document the mix takes.
 
     ``docs`` has ``doc_id``, ``text`` and ``source``. The result has one row
     per row of ``docs``: ``doc_id``, ``source``, ``size``, ``source_size``,
     ``target`` and ``taken`` (a word taken twice counts twice; at most
     ``max_repeats`` times ``size``). ``n_blocks`` sets the block length, the
-    total divided by it.
+    total divided by it, or less where the mean shard of some source would have
+    under ``shard_blocks`` blocks: the short last block of a shard counts as a
+    whole one, and a source gets whole blocks.
     """
     sized = stage_as_is(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    shard = F.when(F.col("source_size") > 0, F.col("source_size") / F.col("shards"))
+    most = F.floor(F.min(shard).over(Window.partitionBy(F.lit(0))) / shard_blocks)
     targets = (source_targets(sources, weights, max_repeats)
-               .withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("total") / n_blocks)).cast("long"))
-               .withColumn("_all", F.round(F.col("total") / F.col("block")).cast("long"))
-               .withColumn("shards", F.ceil(F.col("n_docs") / docs_per_shard).cast("long")))
+               .withColumn("shards", F.ceil(F.col("n_docs") / docs_per_shard).cast("long"))
+               .withColumn("block", F.greatest(F.lit(1), F.least(F.ceil(F.col("total") / n_blocks), most)).cast("long"))
+               .withColumn("_all", F.round(F.col("total") / F.col("block")).cast("long")))
     # Whole words as votes: their sums do not depend on the order of addition.
     targets = targets.withColumn("votes", F.round("target"))
     plan = stage(apportion(targets, [], "sid", "votes", "_all", "seats"), "mix-targets")

@@ -67,6 +67,19 @@ def test_mix_meets_targets_and_caps(spark):
         assert sum(r.taken for r in mine) == pytest.approx(mine[0].target, rel=0.02)
 
 
+def test_many_shards_and_a_tiny_source_meet_their_targets(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randint(20, 60)), "ab"[i % 2]) for i in range(2000)]
+    rows += [(5000 + i, "w w w w", "tiny") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    # Two blocks a shard of the large sources, less than one of the tiny source.
+    out = mix_sources(df, docs_per_shard=50, n_blocks=90).collect()
+    assert all(0 <= r.taken <= 3 * r["size"] for r in out)
+    for s in ("a", "b", "tiny"):
+        mine = [r for r in out if r.source == s]
+        assert sum(r.taken for r in mine) == pytest.approx(mine[0].target, rel=0.01)
+
+
 def test_awkward_cases(spark):
     out = mix_sources(cases.docs(spark)).collect()
     assert len(out) == len(cases.rows())

@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from conftest import SF_CHECK, SF_SMALL
+from sf_paths import SF_CHECK, SF_SMALL
 from tally.plans.catalog import QUERIES
 
 

@@ -152,7 +152,7 @@ def test_account_bucket_layout_prunes(spark, tmp_path):
 
 def test_results_independent_of_partitioning(spark):
     """Aggregates and ordinals do not change when the ledger is spread differently."""
-    from conftest import SF_SMALL
+    from sf_paths import SF_SMALL
     from tally.plans import ledgers as L
     base = L.events_raw_ledger(spark, SF_SMALL).withColumn("blk", F.floor(F.col("event_id") / 64))
     outs = []
@@ -179,7 +179,7 @@ def test_table_checks_one_scan_and_empty_table(spark):
 
 
 def test_blocks_follow_the_rows_of_a_file(spark):
-    from conftest import SF_CHECK
+    from sf_paths import SF_CHECK
     from tally.plans import ledgers as L
     rows = [("hot", i * 3 - 500) for i in range(1000)] + [(f"f{i % 50}", i) for i in range(400)]
     df = spark.createDataFrame(rows, "f string, k long")

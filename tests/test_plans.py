@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from tally.plans import catalog
 
 

@@ -158,4 +158,16 @@ FROM mine m LEFT JOIN found f ON f.page_id IS NOT DISTINCT FROM m.page_id
 WHERE f.found_digest IS DISTINCT FROM m.digest
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1, "op4_mixing": OP4, "op6_warc_audit": OP6}
+OP11 = r"""
+WITH texts AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+  FROM documents)
+SELECT doc_id, first_value(doc_id) OVER same AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER same = 1 AS kept, sha256(norm) AS text_sha256
+FROM texts
+WINDOW same AS (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1, "op4_mixing": OP4, "op6_warc_audit": OP6,
+                              "op11_exact_dedup": OP11}

@@ -12,6 +12,7 @@ from tally.llm.chat_format import conversations, format_preferences, swapped_rep
 from tally.llm.chunk_dedup import dedup_chunks
 from tally.llm.common import read
 from tally.llm.decontaminate import find_leaks
+from tally.llm.exact_dedup import find_copies
 from tally.llm.html_extract import extract_main_text
 from tally.llm.line_dedup import line_report
 from tally.llm.minhash_dedup import find_near_duplicates
@@ -94,6 +95,10 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept_digest(dedup_chunks(read(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_copies(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_minhash_dedup, op3_decontaminate, op4_mixing, op5_suffix_dedup, op6_warc_audit,
-    op7_html_extract, op8_line_dedup, op9_quality_rules, op10_chunk_dedup)}
+    op7_html_extract, op8_line_dedup, op9_quality_rules, op10_chunk_dedup, op11_exact_dedup)}

@@ -24,7 +24,8 @@ COLUMNS = {
     "op8_line_dedup": ["doc_id", "n_lines", "n_removed", "n_near"],
     "op9_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                           "base_failed", "kept", "lost_words"],
-    "op10_chunk_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]}
+    "op10_chunk_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op11_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]}
 
 
 @pytest.mark.skipif(not os.path.exists(SF_SMALL), reason="driver data not present")
@@ -36,7 +37,7 @@ def test_every_query_runs_over_its_table(spark):
         out = query(spark, SF_SMALL)
         assert out.columns == COLUMNS[name]
         n = out.count()
-        if name.split("_")[0] in ("op2", "op4", "op5", "op8", "op9", "op10"):
+        if name.split("_")[0] in ("op2", "op4", "op5", "op8", "op9", "op10", "op11"):
             assert n == docs, name
         elif name == "op7_html_extract":
             assert n == pages
@@ -47,7 +48,7 @@ def test_every_query_runs_over_its_table(spark):
 @pytest.mark.skipif(not os.path.exists(SF_SMALL), reason="driver data not present")
 def test_queries_match_their_sql(spark):
     from oracle_check import compare
-    names = ["op1_chat_format", "op4_mixing", "op6_warc_audit"]
+    names = ["op1_chat_format", "op4_mixing", "op6_warc_audit", "op11_exact_dedup"]
     assert {k: v[0] for k, v in compare(spark, SF_SMALL, names, verbose=False).items()} == {k: "ok" for k in names}
 
 

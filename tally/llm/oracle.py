@@ -169,5 +169,61 @@ FROM texts
 WINDOW same AS (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST)
 """
 
+_VECTORS = """
+  SELECT {columns}, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE))))"""
+
+OP12 = f"""
+WITH rows AS ({_VECTORS.format(columns="vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label")}
+    AND label IS NOT NULL),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+found AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM positives p JOIN scores s USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 10
+"""
+
+
+def _lloyd(rounds: int) -> str:
+    """CTEs ``near0`` .. ``near<rounds>`` and ``book0`` .. ``book<rounds>``."""
+    out = ["book0 AS (SELECT rn - 1 AS entry, p, j, x AS c FROM cells WHERE rn <= 64)"]
+    for i in range(rounds + 1):
+        out.append(f"""near{i} AS (
+  SELECT rn, p, entry, far FROM (
+    SELECT rn, p, entry, sum((x - c) * (x - c)) AS far FROM cells JOIN book{i} USING (p, j) GROUP BY rn, p, entry)
+  QUALIFY row_number() OVER (PARTITION BY rn, p ORDER BY far, entry) = 1)""")
+        if i < rounds:
+            out.append(f"""book{i + 1} AS (
+  SELECT b.entry, b.p, b.j, coalesce(m.c, b.c) AS c FROM book{i} b LEFT JOIN (
+    SELECT entry, p, j, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS c
+    FROM cells JOIN near{i} USING (rn, p) GROUP BY entry, p, j) m USING (entry, p, j))""")
+    return ",\n".join(out)
+
+
+OP13 = f"""
+WITH rows AS ({_VECTORS.format(columns="row_number() OVER (ORDER BY vec_id) AS rn, vec_id, label")}),
+wide AS (SELECT max(len(v)) // 16 AS per FROM rows),
+cells AS (
+  SELECT rn, i // per AS p, i % per AS j, v[i + 1] AS x
+  FROM (SELECT rn, v, per, unnest(range(len(v))) AS i FROM rows, wide)),
+{_lloyd(2)},
+codes AS (
+  SELECT rn, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error
+  FROM near2 GROUP BY rn),
+books AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, entry, j)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM rows JOIN codes USING (rn), books
+"""
+
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1, "op4_mixing": OP4, "op6_warc_audit": OP6,
-                              "op11_exact_dedup": OP11}
+                              "op11_exact_dedup": OP11, "op12_hard_negatives": OP12, "op13_vector_codes": OP13}

@@ -13,12 +13,14 @@ from tally.llm.chunk_dedup import dedup_chunks
 from tally.llm.common import read
 from tally.llm.decontaminate import find_leaks
 from tally.llm.exact_dedup import find_copies
+from tally.llm.hard_negatives import mine_hard_negatives
 from tally.llm.html_extract import extract_main_text
 from tally.llm.line_dedup import line_report
 from tally.llm.minhash_dedup import find_near_duplicates
 from tally.llm.mixing import mix_sources
 from tally.llm.quality_rules import quality_rules
 from tally.llm.suffix_dedup import dedup_substrings
+from tally.llm.vector_codes import compress_vectors, label_errors
 from tally.llm.warc_audit import audit, write_order
 
 
@@ -99,6 +101,20 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_copies(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth id as anchor; labels of every seventh id are off by one."""
+    rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False)), (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", label), anchors=F.col("vec_id") % 100 == 0).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return label_errors(codes).select("vec_id", "code", "error", "label_error",
+                                      F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_minhash_dedup, op3_decontaminate, op4_mixing, op5_suffix_dedup, op6_warc_audit,
-    op7_html_extract, op8_line_dedup, op9_quality_rules, op10_chunk_dedup, op11_exact_dedup)}
+    op7_html_extract, op8_line_dedup, op9_quality_rules, op10_chunk_dedup, op11_exact_dedup, op12_hard_negatives, op13_vector_codes)}

@@ -25,7 +25,9 @@ COLUMNS = {
     "op9_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                           "base_failed", "kept", "lost_words"],
     "op10_chunk_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-    "op11_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]}
+    "op11_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    "op12_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+    "op13_vector_codes": ["vec_id", "code", "error", "label_error", "codebooks_sha256"]}
 
 
 @pytest.mark.skipif(not os.path.exists(SF_SMALL), reason="driver data not present")
@@ -48,7 +50,8 @@ def test_every_query_runs_over_its_table(spark):
 @pytest.mark.skipif(not os.path.exists(SF_SMALL), reason="driver data not present")
 def test_queries_match_their_sql(spark):
     from oracle_check import compare
-    names = ["op1_chat_format", "op4_mixing", "op6_warc_audit", "op11_exact_dedup"]
+    names = ["op1_chat_format", "op4_mixing", "op6_warc_audit", "op11_exact_dedup", "op12_hard_negatives",
+             "op13_vector_codes"]
     assert {k: v[0] for k, v in compare(spark, SF_SMALL, names, verbose=False).items()} == {k: "ok" for k in names}
 
 

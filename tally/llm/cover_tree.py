@@ -12,8 +12,8 @@ cover. Level radii shrink by ``BASE``. A covering radius ``rho`` is the angle
 inner products below a node lie between ``|q| M cos(theta + phi)`` and
 ``|q| M cos(theta - phi)``.
 
-The descent takes the node with the highest upper bound first. A node is
-skipped when no window of the query meets its bounds: it lies above the window,
+The descent takes the node with the highest upper bound first. A query skips a
+node when none of its windows meets the bounds: the node lies above the window,
 below it, or below what the window's best rows reach already. Members of leaves
 are verified by their exact integer products.
 """
@@ -122,72 +122,100 @@ class CoverTree:
             self._ready = x, norm, cos, np.sqrt(1.0 - cos * cos)
         return self._ready
 
-    def search(self, query: np.ndarray, best: Best, label: int, same: bool, uid: int) -> None:
-        """Offers ``best`` every row that can be in its windows, of the query's
-        label (``same``) or of others; the row ``uid`` is left out."""
+    def search(self, queries: np.ndarray, best: Best, labels: np.ndarray, same: bool, uids: np.ndarray) -> None:
+        """Offers ``best`` every row that can be in a window of a query, of the
+        query's label (``same``) or of others; the row with the query's own uid
+        is left out. All queries descend together: a node carries those that
+        may not skip it, and the node with the highest bound of any is next."""
         x, norm, cos, sin = self._bounds()
-        q = query.astype(np.float64)
-        length = float(np.sqrt(q @ q))
-        scale = max(length * norm, 1e-300)
-        slack = 1e-9 * scale + 1e-6
-        exact = length * norm < EXACT / 4
-        heap = [(-np.inf, 0)]
+        q = queries.astype(np.float64)
+        lengths = np.sqrt((q * q).sum(1))
+        scales = np.maximum(lengths * norm, 1e-300)
+        exact = bool((lengths * norm).max(initial=0) < EXACT / 4)
+        all_queries = np.arange(len(q))
+        heap = [(-np.inf, 0, all_queries, np.full(len(q), np.inf))]
         while heap:
-            above, node = heapq.heappop(heap)
-            if -above < best.least():
-                return
-            first, n = self.child[node], self.children[node]
-            if not n:  # a leaf: verified as it is
-                verify = np.arange(self.start[node], self.end[node])
-            else:
-                kids = np.arange(first, first + n)
-                label_ok = ((self.low[kids] <= label) & (label <= self.high[kids]) if same
-                            else (self.low[kids] != label) | (self.high[kids] != label))
-                kids = kids[label_ok]
-                cos_q = np.clip(x[self.centre[kids]] @ q / scale, -1.0, 1.0)
-                sin_q = np.sqrt(1.0 - cos_q * cos_q)
-                c, s = cos[kids], sin[kids]
-                upper = np.where(cos_q < c, cos_q * c + sin_q * s, 1.0) * scale + slack
-                lower = np.where(cos_q > -c, cos_q * c - sin_q * s, -1.0) * scale - slack
-                keep = best.meets(lower, upper)
-                kids, upper = kids[keep], upper[keep]
-                leaf = self.children[kids] == 0
-                for u, k in zip(upper[~leaf].tolist(), kids[~leaf].tolist()):
-                    heapq.heappush(heap, (-u, k))
-                # Leaves of one member are verified at once, larger ones in their turn.
-                one = leaf & (self.end[kids] - self.start[kids] == 1)
-                for u, k in zip(upper[leaf & ~one].tolist(), kids[leaf & ~one].tolist()):
-                    heapq.heappush(heap, (-u, k))
-                verify = self.start[kids[one]]
-            verify = verify[((self.labels[verify] == label) == same) & (self.uids[verify] != uid)]
-            if len(verify):
-                scores = (np.rint(x[verify] @ q).astype(np.int64) if exact else
-                          (self.points[verify].astype(object) @ query.astype(object)).astype(np.int64))
-                best.offer(scores, self.ids[verify], self.uids[verify])
+            _, node, asks, upper = heapq.heappop(heap)
+            asks = asks[upper >= best.reached[asks].min(1)]
+            if not len(asks):
+                continue
+            if not self.children[node]:  # a leaf: verified as it is
+                self._verify(np.arange(self.start[node], self.end[node]), asks, queries, q, best, labels, same, uids, exact)
+                continue
+            kids = np.arange(self.child[node], self.child[node] + self.children[node])
+            low, high, label = self.low[kids][:, None], self.high[kids][:, None], labels[asks]
+            alive = (low <= label) & (label <= high) if same else (low != label) | (high != label)
+            scale = scales[asks]
+            slack = 1e-9 * scale + 1e-6
+            cos_q = np.clip(x[self.centre[kids]] @ q[asks].T / scale, -1.0, 1.0)
+            sin_q = np.sqrt(1.0 - cos_q * cos_q)
+            c, s = cos[kids][:, None], sin[kids][:, None]
+            upper = np.where(cos_q < c, cos_q * c + sin_q * s, 1.0) * scale + slack
+            lower = np.where(cos_q > -c, cos_q * c - sin_q * s, -1.0) * scale - slack
+            alive &= best.meets(asks, lower, upper)
+            some = alive.any(1)
+            # Leaves of one member are verified at once, all others in their turn.
+            one = some & (self.end[kids] - self.start[kids] == 1)
+            for k in np.flatnonzero(some & ~one).tolist():
+                own = alive[k]
+                heapq.heappush(heap, (-float(upper[k, own].max()), int(kids[k]), asks[own], upper[k, own]))
+            if one.any():
+                met = alive[one].any(0)
+                self._verify(self.start[kids[one]], asks[met], queries, q, best, labels, same, uids, exact)
+
+    def _verify(self, members, asks, queries, q, best: Best, labels, same, uids, exact) -> None:
+        if exact:
+            scores = np.rint(self._bounds()[0][members] @ q[asks].T).astype(np.int64)
+        else:
+            scores = (self.points[members].astype(object) @ queries[asks].T.astype(object)).astype(np.int64)
+        fits = ((self.labels[members][:, None] == labels[asks]) == same) & (self.uids[members][:, None] != uids[asks])
+        best.offer(asks, scores, fits, self.ids[members], self.uids[members])
 
 
 class Best:
     """The best ``k`` rows of every window ``[low, high]`` of scores (long
-    integers): highest score first, then smallest id, then smallest uid."""
+    integers, a row per query, a column per window): highest score first, then
+    smallest id, then smallest uid."""
 
     def __init__(self, low: np.ndarray, high: np.ndarray, k: int):
-        self.low, self.high, self.k = low, high, k
-        self.reached = self.low.copy()  # below it nothing enters any more
-        none = np.zeros(0, np.int64)
-        self.rows = [(none, none, none)] * len(low)
-
-    def least(self) -> float:
-        return float(self.reached.min())
-
-    def meets(self, lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
-        return ((upper[:, None] >= self.reached) & (lower[:, None] <= self.high)).any(1)
-
-    def offer(self, scores: np.ndarray, ids: np.ndarray, uids: np.ndarray) -> None:
-        fits = (scores >= self.reached[:, None]) & (scores <= self.high[:, None])
-        for w in np.flatnonzero(fits.any(1)).tolist():
-            new = fits[w]
-            s, i, u = (np.concatenate([a, b[new]]) for a, b in zip(self.rows[w], (scores, ids, uids)))
-            first = np.lexsort((u, i, -s))[:self.k]
-            self.rows[w] = s[first], i[first], u[first]
-            if len(first) == self.k:
-                self.reached[w] = s[first[-1]]
+        self.high, self.k = high, k
+        self.reached = low.copy()  # below it nothing enters a window any more
+        n = low.size
+        self.held = np.zeros(n, np.int64)
+        self.scores, self.ids, self.uids = (np.zeros((n, k), np.int64) for _ in range(3))
+
+    def meets(self, asks: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
+        return ((upper[:, :, None] >= self.reached[asks]) & (lower[:, :, None] <= self.high[asks])).any(2)
+
+    def offer(self, asks: np.ndarray, scores: np.ndarray, fits: np.ndarray, ids: np.ndarray, uids: np.ndarray) -> None:
+        inside = (fits[:, :, None] & (scores[:, :, None] >= self.reached[asks])
+                  & (scores[:, :, None] <= self.high[asks]))
+        row, ask, window = np.nonzero(inside)
+        if not len(row):
+            return
+        place = asks[ask] * self.high.shape[1] + window
+        hit = np.unique(place)
+        # What the windows hit hold already, and what comes.
+        n = self.held[hit]
+        old = np.repeat(hit, n)
+        at = np.arange(len(old)) - np.repeat(np.cumsum(n) - n, n)
+        place = np.concatenate([old, place])
+        s, i, u = (np.concatenate([a[old, at], b]) for a, b in
+                   ((self.scores, scores[row, ask]), (self.ids, ids[row]), (self.uids, uids[row])))
+        order = np.lexsort((u, i, -s, place))
+        place = place[order]
+        first = np.searchsorted(place, hit)
+        rank = np.arange(len(place)) - np.repeat(first, np.diff(np.append(first, len(place))))
+        keep = rank < self.k
+        order, place, rank = order[keep], place[keep], rank[keep]
+        self.scores[place, rank], self.ids[place, rank], self.uids[place, rank] = s[order], i[order], u[order]
+        self.held[hit] = np.minimum(self.k, np.diff(np.append(first, len(keep))))
+        full = hit[self.held[hit] == self.k]
+        self.reached.reshape(-1)[full] = self.scores[full, self.k - 1]
+
+    def found(self) -> tuple[np.ndarray, ...]:
+        """Query, window, score, id and uid of all rows held."""
+        place = np.repeat(np.arange(len(self.held)), self.held)
+        at = np.arange(len(place)) - np.repeat(np.cumsum(self.held) - self.held, self.held)
+        windows = self.high.shape[1]
+        return place // windows, place % windows, self.scores[place, at], self.ids[place, at], self.uids[place, at]

@@ -38,8 +38,9 @@ from tally.llm.cover_tree import LEAST, MOST, NO_ID, Best, CoverTree
 from tally.llm.vectors import integer_vectors, matrix
 
 BLOCK_ROWS = 2048
-QUERY_ROWS = 1024
+QUERY_ROWS = 512
 _TREE = ["points", "uids", "ids", "labels", "start", "end", "centre", "radius", "child", "children", "low", "high"]
+_QUERIES = ["queries", "q_uids", "q_labels", "q_low", "q_high"]
 _FOUND = "anchor long, window int, score long, id long, uid long"
 
 
@@ -77,21 +78,19 @@ def cover_trees(rows: DataFrame, width: int, n: int) -> DataFrame:
 
 
 def query_blocks(anchors: DataFrame, width: int) -> DataFrame:
-    """``queries, uids, labels, low, high, windows``: anchors (``uid, label, v,
-    low, high``) packed; ``windows`` says how many each of them has."""
+    """``queries, q_uids, q_labels, q_low, q_high``: anchors (``uid, label, v,
+    low, high``; as many windows each) packed in blocks."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, QUERY_ROWS):
             low, high = _column(block, "low"), _column(block, "high")
             arrays = [matrix(_column(block, "v"), width), _column(block, "uid").to_numpy(),
-                      _column(block, "label").to_numpy(), low.flatten().to_numpy(), high.flatten().to_numpy(),
-                      np.diff(low.offsets.to_numpy())]
+                      _column(block, "label").to_numpy(), low.flatten().to_numpy(), high.flatten().to_numpy()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([np.ascontiguousarray(a, np.int64).tobytes()], pa.binary()) for a in arrays],
-                ["queries", "q_uids", "q_labels", "q_low", "q_high", "q_windows"])
+                [pa.array([np.ascontiguousarray(a, np.int64).tobytes()], pa.binary()) for a in arrays], _QUERIES)
 
     return anchors.select("uid", "label", "v", "low", "high").mapInArrow(
-        build, "queries binary, q_uids binary, q_labels binary, q_low binary, q_high binary, q_windows binary")
+        build, ", ".join(f"{c} binary" for c in _QUERIES))
 
 
 def searched(trees: DataFrame, blocks: DataFrame, width: int, k: int, same: bool) -> DataFrame:
@@ -99,32 +98,27 @@ def searched(trees: DataFrame, blocks: DataFrame, width: int, k: int, same: bool
     of a window, at most ``k`` per window and group of trees."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, found = None, []
+        block, asked = None, None
 
         def emit() -> Iterator[pa.RecordBatch]:
-            out = [(np.full(len(s), uid), np.full(len(s), w), s, i, u)
-                   for uid, _, _, best in found for w, (s, i, u) in enumerate(best.rows) if len(s)]
-            if out:
+            if asked is not None:
+                ask, window, *rest = asked[3].found()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c), t) for c, t in
-                     zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
+                    [pa.array(asked[2][ask]), pa.array(window.astype(np.int32)), *map(pa.array, rest)],
                     ["anchor", "window", "score", "id", "uid"])
 
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                if block != (row["q_uids"], row["q_windows"]):
+                if block != (row["q_uids"], row["q_low"]):
                     yield from emit()
-                    block = row["q_uids"], row["q_windows"]
-                    q, uids, labels, windows = (np.frombuffer(row[c], np.int64) for c in
-                                                ("queries", "q_uids", "q_labels", "q_windows"))
-                    ends = np.cumsum(windows)
-                    low, high = (np.split(np.frombuffer(row[c], np.int64), ends[:-1]) for c in ("q_low", "q_high"))
-                    found = [(int(u), int(label), x, Best(a, b, k))
-                             for u, label, x, a, b in zip(uids, labels, q.reshape(-1, width), low, high)]
-                tree = CoverTree.from_binary(width, [row[c] for c in _TREE])
-                for uid, label, x, best in found:
-                    tree.search(x, best, label, same, uid)
+                    block = row["q_uids"], row["q_low"]
+                    q, uids, labels, low, high = (np.frombuffer(row[c], np.int64) for c in
+                                                  ("queries", "q_uids", "q_labels", "q_low", "q_high"))
+                    low, high = low.reshape(len(uids), -1), high.reshape(len(uids), -1)
+                    asked = q.reshape(-1, width), labels, uids, Best(low, high, k)
+                q, labels, uids, best = asked
+                CoverTree.from_binary(width, [row[c] for c in _TREE]).search(q, best, labels, same, uids)
         yield from emit()
 
     groups = max(1, 4 * trees.sparkSession.sparkContext.defaultParallelism)
@@ -165,12 +159,17 @@ def mine_hard_negatives(table: DataFrame, anchors: Column, *, vector: str = "emb
         F.struct("rank", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")))).alias("near")),
         "positives")
 
+    # Whole numbers: low * p <= 100 * score <= high * p. Anchors with fewer
+    # positives get empty windows for the rest.
     p = F.col("near.positive_score")
-    # Whole numbers: low * p <= 100 * score <= high * p.
+
+    def padded(c, empty):
+        return F.slice(F.concat(c, F.array_repeat(F.lit(int(empty)).cast("long"), positives)), 1, positives)
+
     windows = asked.join(near, F.col("uid") == F.col("anchor")).select(
         "uid", "label", "v",
-        F.transform(p, lambda s: F.ceil(s.cast("decimal(20,0)") * low / 100).cast("long")).alias("low"),
-        F.transform(p, lambda s: F.floor(s.cast("decimal(20,0)") * high / 100).cast("long")).alias("high"))
+        padded(F.transform(p, lambda s: F.ceil(s.cast("decimal(20,0)") * low / 100).cast("long")), MOST).alias("low"),
+        padded(F.transform(p, lambda s: F.floor(s.cast("decimal(20,0)") * high / 100).cast("long")), LEAST).alias("high"))
     found = _ranked(searched(trees, query_blocks(windows, width), width, negatives, False), ["anchor", "window"],
                     negatives)
     told = near.join(asked.select(F.col("uid").alias("_uid"), F.col("id").alias("anchor_id")),

@@ -80,19 +80,23 @@ def test_search_finds_every_window(seed):
     ids = rng.integers(0, 200, 400)
     trees = [CoverTree.build(x[a:b], uids[a:b], ids[a:b], labels[a:b]) for a, b in ((0, 170), (170, 171), (171, 400))]
     trees = [CoverTree.from_binary(6, t.to_binary()) for t in trees]
-    for q in range(0, 400, 37):
-        scores = [int(sum(int(a) * int(b) for a, b in zip(x[q], y))) for y in x]
-        cuts = sorted(scores)
-        low = np.array([LEAST, cuts[200], cuts[390], cuts[100]])
-        high = np.array([MOST, cuts[320], cuts[395], cuts[90]])
-        for same in (True, False):
-            best = Best(low, high, 7)
-            for t in trees:
-                t.search(x[q], best, int(labels[q]), same, int(uids[q]))
-            for w in range(4):
-                want = sorted((-s, i, u) for s, i, u, label, in zip(scores, ids, uids, labels)
-                              if (label == labels[q]) == same and u != uids[q] and low[w] <= s <= high[w])[:7]
-                assert [(-s, i, u) for s, i, u in zip(*best.rows[w])] == want
+    asks = np.arange(0, 400, 37)
+    scores = [[int(sum(int(a) * int(b) for a, b in zip(x[q], y))) for y in x] for q in asks]
+    cuts = [sorted(s) for s in scores]
+    low = np.array([[LEAST, c[200], c[390], c[100], MOST] for c in cuts])
+    high = np.array([[MOST, c[320], c[395], c[90], LEAST] for c in cuts])
+    for same in (True, False):
+        best = Best(low, high, 7)
+        for t in trees:
+            t.search(x[asks], best, labels[asks], same, uids[asks])
+        got = sorted(zip(*(c.tolist() for c in best.found())), key=lambda r: (r[0], r[1], -r[2], r[3], r[4]))
+        want = []
+        for n, q in enumerate(asks):
+            for w in range(5):
+                rows = sorted((-s, i, u) for s, i, u, label in zip(scores[n], ids.tolist(), uids.tolist(), labels)
+                              if (label == labels[q]) == same and u != uids[q] and low[n, w] <= s <= high[n, w])[:7]
+                want += [(n, w, -s, i, u) for s, i, u in rows]
+        assert got == want
 
 
 def test_search_skips_nodes_outside_the_windows():
@@ -103,13 +107,13 @@ def test_search_skips_nodes_outside_the_windows():
     tree, seen = CoverTree.build(x, n, n, n * 0), []
 
     class Watched(Best):
-        def offer(self, scores, ids, uids):
+        def offer(self, asks, scores, fits, ids, uids):
             seen.append(len(uids))
-            super().offer(scores, ids, uids)
+            super().offer(asks, scores, fits, ids, uids)
 
-    best = Watched(np.array([LEAST]), np.array([MOST]), 5)
-    tree.search(x[1000], best, 0, True, -1)
-    assert sorted(best.rows[0][2].tolist()) == sorted(np.lexsort((n, -(x @ x[1000])))[:5].tolist())
+    best = Watched(np.array([[LEAST]]), np.array([[MOST]]), 5)
+    tree.search(x[1000:1001], best, n[:1] * 0, True, n[:1] - 1)
+    assert sorted(best.found()[4].tolist()) == sorted(np.lexsort((n, -(x @ x[1000])))[:5].tolist())
     assert sum(seen) < len(x) / 3
 
 
@@ -211,9 +215,9 @@ def test_codes_of_odd_tables(spark):
 
 
 def test_nearest_takes_the_lowest_of_equals():
-    members, entries = np.array([[0, 0], [5, 5], [1 << 40, 0]]), np.array([[3, 0], [0, 3], [5, 5], [5, 5]])
+    members, entries = np.array([[0, 0], [5, 5], [1 << 30, 0]]), np.array([[3, 0], [0, 3], [5, 5], [5, 5]])
     best, far = nearest(members, entries)
-    assert best.tolist() == [0, 2, 2] and far.tolist() == [9, 0, (2 ** 40 - 5) ** 2 + 25]
+    assert best.tolist() == [0, 2, 2] and far.tolist() == [9, 0, (2 ** 30 - 5) ** 2 + 25]
 
 
 def test_only_members_that_change_entry_migrate(spark):

@@ -190,10 +190,10 @@ def write_snapshot(df: DataFrame, base: str, version: int, partition_by: Sequenc
     return path
 
 
-def snapshot_versions(spark, base: str, committed_only: bool = True) -> list[int]:
-    """Versions ``v=<n>`` under ``base`` (a listing, no scan). With
-    ``committed_only`` a version counts only when its write finished (the
-    ``_SUCCESS`` marker of the job commit), so a folder left by a failed or
+def snapshot_versions(spark, base: str, committed_only: bool = True, keep=lambda version: True) -> list[int]:
+    """Versions ``v=<n>`` under ``base`` that ``keep`` takes (a listing, no
+    scan). With ``committed_only`` a version counts only when its write finished
+    (the ``_SUCCESS`` marker of the job commit), so a folder left by a failed or
     killed job is never read."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -204,7 +204,7 @@ def snapshot_versions(spark, base: str, committed_only: bool = True) -> list[int
     out = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v=") and name[2:].isdigit():
+        if st.isDirectory() and name.startswith("v=") and name[2:].isdigit() and keep(int(name[2:])):
             if not committed_only or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
                 out.append(int(name[2:]))
     return sorted(out)

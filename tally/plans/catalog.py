@@ -7,6 +7,7 @@ used by the matching oracle SQL in ``oracle``.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,14 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import file_key
 from ..functions.money import total
+from ..functions.predicates import STATUS_DONE, STATUS_FAILED, STATUS_TO_REVIEW, as_timestamp
 from ..operators import quality, report, state, summary, validate
 from ..operators.state import KNOWN_STATUSES
 from ..session import scratch_path, stage
 from ..sources.csv_ledger import list_ledgers, read_ledger_files
 from ..streaming.intake import LedgerIntake
 from . import ledgers as L
+from .statestore import (Heartbeat, compact, read_state, snapshot, take_version, write_state)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -243,6 +246,79 @@ def file_triage(spark, sf_dir):
     return t.select("file_key", "account_id", "status", "action")
 
 
+def _status_of(files, status):
+    return files.select("file_key", "account_id", "file_path", F.lit(status).alias("status"),
+                        *[F.lit(0).cast("bigint").alias(c) for c in ("checkpoint_row", "valid_rows", "invalid_rows")],
+                        F.lit("[]").alias("row_errors_json"), as_timestamp(L.L3_NOW).alias("heartbeat_at"))
+
+
+def _summary_of(files, sent=None):
+    now = as_timestamp(L.L3_NOW)
+    return files.select("file_key", "account_id", (F.lit(False) if sent is None else sent).alias("email_sent"),
+                        F.lit("{}").alias("summary_json"), now.alias("created_at"), now.alias("updated_at"))
+
+
+def claimed_files(spark, sf_dir):
+    """Triage of every user's file while runs overlap. One run is
+    done; one died with a stale lease, another took half of its files over and
+    finished, and then the first one committed after all; one failed; one works
+    with a fresh lease; one died."""
+    folder = scratch_path(spark, "state")
+    manifest = stage(L.table(spark, sf_dir, "events").select("user_id").distinct().select(
+        F.concat(F.lit("k"), F.col("user_id")).alias("file_key"), F.col("user_id").cast("string").alias("account_id"),
+        F.concat(F.lit("ledgers/"), F.col("user_id")).alias("file_path"), "user_id"), "manifest")
+    k, even = F.col("user_id") % 7, F.col("user_id") % 2 == 0
+    none = manifest.limit(0)
+
+    def claim(run, files, seconds_ago):
+        files.select("file_key", "account_id", "file_path").write.parquet(f"{folder}/claims/{run}")
+        beat = L.L3_NOW - dt.timedelta(seconds=seconds_ago)
+        version = take_version(spark, folder, snapshot(spark, folder), run, beat, run)
+        Heartbeat(spark, folder, version, L.L3_TIMEOUT_SECS, lambda: beat).beat()
+        return version
+
+    first = claim("first", manifest.filter(k.isin(1, 2, 3)), 90)
+    dead = claim("dead", manifest.filter(k == 4), 60)
+    failed = claim("failed", manifest.filter(k == 6), 50)
+    claim("working", manifest.filter(k == 5), 5)
+    again = claim("again", manifest.filter((k == 4) & even), 30)
+    claim("died", manifest.filter((k == 0) & (F.col("user_id") % 3 == 0)), L.L3_TIMEOUT_SECS)
+    write_state(spark, folder, first, _status_of(manifest.filter(k.isin(1, 2, 3)), STATUS_DONE),
+                _summary_of(manifest.filter(k.isin(1, 2)), k == 1))
+    write_state(spark, folder, failed, _status_of(manifest.filter(k == 6), STATUS_FAILED), _summary_of(none))
+    mine = manifest.filter((k == 4) & even)
+    write_state(spark, folder, again, _status_of(mine, STATUS_DONE), _summary_of(mine))
+    write_state(spark, folder, dead, _status_of(manifest.filter(k == 4), STATUS_TO_REVIEW), _summary_of(none))
+    seen = snapshot(spark, folder)
+    status, summaries = (read_state(spark, folder, t, manifest, seen) for t in ("file_status", "file_summary"))
+    out = state.triage(manifest, status, summaries, as_timestamp(L.L3_NOW), L.L3_TIMEOUT_SECS)
+    return out.select("user_id", "status", F.col("heartbeat_at").cast("string").alias("heartbeat"), "action")
+
+
+def state_after_compaction(spark, sf_dir):
+    """K1-K4: three versions of every customer's row (years of orders), with a
+    compaction after the first and the second; the buckets of changed keys are
+    written again, more of them as rows come."""
+    folder = scratch_path(spark, "state")
+    o = L.table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("y"))
+    for low, high in ((0, 1993), (1994, 1994), (1995, 9999)):
+        per = o.filter(F.col("y").between(low, high)).groupBy("o_custkey").agg(
+            F.count(F.lit(1)).alias("n"), F.max("y").alias("y"))
+        files = per.select(F.concat(F.lit("k"), F.col("o_custkey")).alias("file_key"),
+                           F.col("o_custkey").cast("string").alias("account_id"),
+                           F.concat(F.lit("y"), F.col("y")).alias("file_path"), "n")
+        version = take_version(spark, folder, snapshot(spark, folder), "change", L.L3_NOW)
+        rows = _status_of(files, STATUS_DONE).join(files.select("file_key", "n"), "file_key").withColumn(
+            "valid_rows", F.col("n")).drop("n")
+        write_state(spark, folder, version, rows, _summary_of(files.limit(0)))
+        if high < 9999:
+            compact(spark, folder, L.L3_NOW, rows_per_bucket=200 * low + 200)
+    keys = L.table(spark, sf_dir, "customer").select(F.concat(F.lit("k"), F.col("c_custkey")).alias("file_key"))
+    return read_state(spark, folder, "file_status", keys).select(
+        F.col("account_id").cast("bigint").alias("customer"), F.col("file_path").alias("last_year"),
+        F.col("valid_rows").alias("orders"))
+
+
 def unprocessed_files(spark, sf_dir):
     manifest, status, _ = L.file_states(spark, sf_dir)
     return state.unprocessed(manifest, status)
@@ -370,6 +446,8 @@ QUERIES: dict[str, Query] = {
     "statement_payloads": statement_payloads,
     "file_keys": file_keys,
     "file_triage": file_triage,
+    "claimed_files": claimed_files,
+    "state_after_compaction": state_after_compaction,
     "unprocessed_files": unprocessed_files,
     "pending_statements": pending_statements,
     "constraint_report": constraint_report,

@@ -295,6 +295,25 @@ SELECT m.file_key, m.account_id, s.status,
        ELSE 'resume' END AS action
 FROM manifest m LEFT JOIN fstatus s ON m.file_key = s.file_key LEFT JOIN fsummary f ON m.file_key = f.file_key""",
 
+    "claimed_files": """
+WITH users AS (SELECT DISTINCT user_id, user_id % 7 AS k FROM events)
+SELECT user_id,
+       CASE WHEN k IN (1, 2, 3) OR (k = 4 AND user_id % 2 = 0) THEN 'done' WHEN k = 4 THEN 'to_review'
+            WHEN k = 5 THEN 'processing' WHEN k = 6 THEN 'failed' WHEN user_id % 3 = 0 THEN 'processing' END AS status,
+       CASE WHEN k = 5 THEN '2024-01-31 23:59:55' WHEN k <> 0 THEN '2024-02-01 00:00:00'
+            WHEN user_id % 3 = 0 THEN '2024-01-31 23:59:40' END AS heartbeat,
+       CASE WHEN k = 1 THEN 'skip' WHEN k = 2 OR (k = 4 AND user_id % 2 = 0) THEN 'send_only'
+            WHEN k = 3 THEN 'error_already_processed' WHEN k = 5 THEN 'locked'
+            WHEN k IN (4, 6) OR user_id % 3 = 0 THEN 'resume' ELSE 'process' END AS action
+FROM users""",
+
+    "state_after_compaction": """
+SELECT o_custkey AS customer, 'y' || max(year(o_orderdate)) AS last_year, CAST(count(*) AS BIGINT) AS orders
+FROM (SELECT *, CASE WHEN year(o_orderdate) <= 1993 THEN 1 WHEN year(o_orderdate) = 1994 THEN 2 ELSE 3 END AS part
+      FROM orders)
+GROUP BY o_custkey, part
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY part DESC) = 1""",
+
     "unprocessed_files": _with(L3) + """
 SELECT file_key, account_id FROM manifest
 WHERE file_key NOT IN (SELECT file_key FROM fstatus WHERE status = 'done')""",

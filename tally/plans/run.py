@@ -16,32 +16,38 @@ at many files per run:
 3. Validation, per-file outcome and month summaries for those files. A file
    with an unusable header is listed in ``rejected`` and leaves no state: it
    is looked at again by the next run.
-4. The rows that changed are appended as ``<state_dir>/<table>/v=<n>``: what a
-   run writes follows its own files, not the history. A reader merges the
-   versions since the last ``compact``, the latest row of a key wins. A
+4. The files to read are claimed first (``claim_files``): they are
+   ``processing`` under a lease that the run renews while it works, so another
+   run finds them ``locked``, or takes them over when the lease is stale.
+5. The rows that changed are appended as a version of the state (``statestore``):
+   what a run reads and writes follows its own files, not the history. A
    delivered summary is never replaced.
-5. ``statements`` lists the due statements (finished file, stored summary,
-   not delivered, usable address), built from the stored JSON summaries.
-   ``acknowledge`` marks delivered keys in a new version.
+6. ``statements`` lists the due statements of the run's files (finished file,
+   stored summary, not delivered, usable address), built from the stored JSON
+   summaries. ``acknowledge`` marks delivered keys in a new version.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import count, islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import file_key
-from ..functions.predicates import (DEFAULT_HEARTBEAT_TIMEOUT_SECS, DEFAULT_MAX_ROW_ERRORS, STATUS_DONE, as_timestamp,
-                                    valid_email)
+from ..functions.predicates import (DEFAULT_HEARTBEAT_TIMEOUT_SECS, DEFAULT_MAX_ROW_ERRORS, STATUS_DONE, STATUS_FAILED,
+                                    as_timestamp, valid_email)
 from ..operators import report, state, summary, validate
 from ..operators.state import ACTION_PROCESS, ACTION_RESUME
-from ..session import release_scratch, scratch_mark, stage
+from ..session import release_scratch, remove_path, scratch_mark, stage
 from ..sources.csv_ledger import account_from_path, list_ledgers, qualified, read_ledger_files
+from .statestore import (CLAIM_SCHEMA, STATUS_SCHEMA, SUMMARY_SCHEMA, TABLES, Heartbeat, committed_version,
+                         committed_versions, compact, next_version, read_state, running_clock, snapshot, take_version,
+                         vacuum, write_state)
 
 # --- fixed values -----------------------------------------------------------
 # Account errors, checked before the file triage.
@@ -49,14 +55,11 @@ ACTION_MISSING_ACCOUNT = "missing_account"
 ACTION_INVALID_EMAIL = "invalid_email"
 # ---------------------------------------------------------------------------
 
-STATUS_SCHEMA = ("file_key string, account_id string, file_path string, status string, checkpoint_row bigint, "
-                 "valid_rows bigint, invalid_rows bigint, row_errors_json string, heartbeat_at timestamp_ntz, "
-                 "version bigint")
-SUMMARY_SCHEMA = ("file_key string, account_id string, email_sent boolean, summary_json string, "
-                  "created_at timestamp_ntz, updated_at timestamp_ntz, version bigint")
 REJECTED_SCHEMA = "file_path string, reject_reason string"
-SCHEMAS = {"file_status": STATUS_SCHEMA, "file_summary": SUMMARY_SCHEMA}
-TABLES = tuple(SCHEMAS)
+CLAIM_COLS = ["file_key", "account_id", "file_path"]
+
+__all__ = ["Claim", "RunResult", "acknowledge", "claim_files", "committed_version", "committed_versions", "compact",
+           "process_claim", "read_state", "run_batch", "statements", "vacuum"]
 
 
 @dataclass
@@ -69,50 +72,6 @@ class RunResult:
     rejected: DataFrame     # file_path, reject_reason: files whose header is unusable
 
 
-def committed_versions(spark: SparkSession, state_dir: str) -> list[int]:
-    """The versions committed for *both* tables.
-
-    Both tables of a version are written by the same run; a run that died
-    between the two writes leaves an uncommitted pair, which is ignored (the
-    next run takes that version number again and overwrites it).
-    """
-    both = set.intersection(*[set(state.snapshot_versions(spark, f"{state_dir}/{t}")) for t in TABLES])
-    return sorted(both)
-
-
-def committed_version(spark: SparkSession, state_dir: str) -> int:
-    """The state version, 0 before the first run."""
-    return max(committed_versions(spark, state_dir), default=0)
-
-
-def read_state(spark: SparkSession, state_dir: str, name: str) -> DataFrame:
-    """A state table: the latest row of every key, over the committed versions
-    since the last compaction."""
-    versions = committed_versions(spark, state_dir)
-    bases = [v for v in state.snapshot_versions(spark, f"{state_dir}/compacted") if v in versions]
-    wanted = [v for v in versions if v >= max(bases, default=0)]
-    if not wanted:
-        return spark.createDataFrame([], SCHEMAS[name])
-    rows = spark.read.schema(SCHEMAS[name]).parquet(*[f"{state_dir}/{name}/v={v}" for v in wanted])
-    return rows if len(wanted) == 1 else state.latest_per_key(rows, ["file_key"], ["version"])
-
-
-def write_state(spark: SparkSession, state_dir: str, version: int, status: DataFrame, summaries: DataFrame) -> None:
-    for name, df in (("file_status", status), ("file_summary", summaries)):
-        rows = df.withColumn("version", F.lit(version).cast("bigint"))
-        cols = spark.createDataFrame([], SCHEMAS[name]).columns
-        state.write_snapshot(rows.select(*cols), f"{state_dir}/{name}", version)
-
-
-def compact(spark: SparkSession, state_dir: str) -> int:
-    """Write both tables whole as a new version, from which readers start."""
-    version = committed_version(spark, state_dir) + 1
-    status, summaries = (read_state(spark, state_dir, t) for t in TABLES)
-    write_state(spark, state_dir, version, status, summaries)
-    state.write_snapshot(spark.range(1), f"{state_dir}/compacted", version)
-    return version
-
-
 def in_batches(rows: Iterable, size: int) -> Iterator[list]:
     rows = iter(rows)
     while batch := list(islice(rows, size)):
@@ -135,60 +94,116 @@ def process_files(spark: SparkSession, paths: list[str], ts, max_errors: int, mu
     return status, summaries, lf.rejected
 
 
-def run_batch(spark: SparkSession, paths: str | list[str], state_dir: str, accounts: DataFrame,
-              now: dt.datetime, max_errors: int = DEFAULT_MAX_ROW_ERRORS,
-              timeout_secs: int = DEFAULT_HEARTBEAT_TIMEOUT_SECS, multi_line: bool = False, suffix: str = "",
-              batch_files: int = 50_000) -> RunResult:
-    """Run once over ``paths``: a folder, or a list of files, under
-    ``account_id=<id>/`` folders.
-
-    ``accounts`` has ``account_id, email``, one row per account (the command
-    line keeps it that way with a last-write-wins upsert). ``now`` stamps
-    heartbeats and summaries and decides stale leases, so a run is
-    reproducible. ``multi_line`` reads quoted new lines.
-    """
-    version = committed_version(spark, state_dir) + 1
-    ts = as_timestamp(now)
-    old_status, old_summary = (read_state(spark, state_dir, t) for t in TABLES)
-
-    # 1. every file of the run with its key, then triage
+@dataclass
+class Claim:
+    """Files that a run holds: nobody else processes them while its heartbeat is
+    fresh, and rows of its version never replace those of a later one."""
+    version: int
+    triage: DataFrame      # file_key, account_id, file_path, status, action
+    files: DataFrame       # the claimed ones: file_key, account_id, file_path
+    state_dir: str
+    accounts: DataFrame
+    now: dt.datetime
+    clock: Callable[[], dt.datetime]
+    timeout_secs: int
+
+
+def claim_files(spark: SparkSession, paths: str | list[str], state_dir: str, accounts: DataFrame, now: dt.datetime,
+                timeout_secs: int = DEFAULT_HEARTBEAT_TIMEOUT_SECS, suffix: str = "") -> Claim:
+    """Triage ``paths`` and take the files to process or resume. When another
+    run takes the version meanwhile, the state has changed and the triage is
+    made again; of any number of runs one gets each file."""
+    clock, run = running_clock(now), uuid.uuid4().hex[:12]
     files = list_ledgers(spark, paths, suffix) if isinstance(paths, str) else spark.createDataFrame(
         [(p,) for p in paths], "file_path string").select(qualified(spark, F.col("file_path")).alias("file_path"))
     manifest = files.distinct().withColumn("account_id", account_from_path(F.col("file_path"))).withColumn(
         "file_key", file_key(F.col("account_id"), F.col("file_path")))
-    tri = state.triage(manifest, old_status.select("file_key", "status", "heartbeat_at"),
-                       old_summary.select("file_key", "email_sent"), ts, timeout_secs)
+    mark = scratch_mark()
+    manifest = stage(manifest, "manifest")
+    triages = scratch_mark()
     # J1 + P10 come first: a file whose account is missing or has an unusable
     # address is not touched at all.
     acc = accounts.select("account_id", valid_email("email").alias("_ok"))
-    tri = tri.join(acc, "account_id", "left").withColumn(
-        "action", F.when(F.col("_ok").isNull(), F.lit(ACTION_MISSING_ACCOUNT))
-        .when(~F.col("_ok"), F.lit(ACTION_INVALID_EMAIL)).otherwise(F.col("action"))).drop("_ok")
-    tri = stage(tri, "triage")  # one row per file, reused below and returned
-
-    # 2-4. read the files to (re)process, a bounded batch at a time
+    for attempt in count(1):
+        seen = snapshot(spark, state_dir)
+        status, summaries = (read_state(spark, state_dir, t, manifest, seen) for t in TABLES)
+        tri = state.triage(manifest, status.select("file_key", "status", "heartbeat_at"),
+                           summaries.select("file_key", "email_sent"), as_timestamp(clock()), timeout_secs)
+        tri = tri.join(acc, "account_id", "left").withColumn(
+            "action", F.when(F.col("_ok").isNull(), F.lit(ACTION_MISSING_ACCOUNT))
+            .when(~F.col("_ok"), F.lit(ACTION_INVALID_EMAIL)).otherwise(F.col("action"))).drop("_ok")
+        tri = stage(tri, "triage")  # one row per file, reused below and returned
+        mine = tri.filter(F.col("action").isin(ACTION_PROCESS, ACTION_RESUME)).select(*CLAIM_COLS)
+        folder = f"{run}-{attempt}"
+        mine.write.parquet(f"{state_dir}/claims/{folder}")
+        version = take_version(spark, state_dir, seen, run, clock(), folder)
+        if version is not None:
+            release_scratch(spark, mark, keep=1)
+            held = spark.read.schema(CLAIM_SCHEMA).parquet(f"{state_dir}/claims/{folder}")
+            return Claim(version, tri, held, state_dir, accounts, now, clock, timeout_secs)
+        remove_path(spark, f"{state_dir}/claims/{folder}")
+        release_scratch(spark, triages)
+
+
+def process_claim(spark: SparkSession, claim: Claim, max_errors: int = DEFAULT_MAX_ROW_ERRORS,
+                  multi_line: bool = False, batch_files: int = 50_000) -> RunResult:
+    """Read the claimed files, a bounded batch at a time, and commit what they
+    gave. The lease is renewed meanwhile. A run that fails leaves its files
+    ``failed``, to be resumed by the next one."""
+    state_dir, version = claim.state_dir, claim.version
+    ts = as_timestamp(claim.now)
     mark = scratch_mark()
     kept: list[list[DataFrame]] = []
-    try:
-        todo = tri.filter(F.col("action").isin(ACTION_PROCESS, ACTION_RESUME)).select("file_path").toLocalIterator()
-        for batch in in_batches((r["file_path"] for r in todo), batch_files):
-            inner = scratch_mark()
-            found = process_files(spark, batch, ts, max_errors, multi_line)
-            kept.append([stage(df, "run-result") for df in found])
-            release_scratch(spark, inner, keep=3)
-        empty = [spark.createDataFrame([], s) for s in (STATUS_SCHEMA, SUMMARY_SCHEMA, REJECTED_SCHEMA)]
-        new = [empty[i].drop("version") if i < 2 else empty[i] for i in range(3)]
-        for part in kept:
-            new = [a.unionByName(b) for a, b in zip(new, part)]
-        touched = old_summary.join(new[1].select("file_key"), "file_key", "left_semi").drop("version")
-        write_state(spark, state_dir, version, new[0], state.upsert_summaries(touched, new[1]).drop("source"))
-        rejected = spark.createDataFrame(new[2].toLocalIterator(), REJECTED_SCHEMA)
-    finally:
-        release_scratch(spark, mark)
-
-    # 5. due statements from the stored documents
-    status, summaries = (read_state(spark, state_dir, t) for t in TABLES)
-    return RunResult(version, tri, status, summaries, statements(status, summaries, accounts), rejected)
+    with Heartbeat(spark, state_dir, version, claim.timeout_secs, claim.clock):
+        try:
+            todo = claim.files.select("file_path").toLocalIterator()
+            for batch in in_batches((r["file_path"] for r in todo), batch_files):
+                inner = scratch_mark()
+                found = process_files(spark, batch, ts, max_errors, multi_line)
+                kept.append([stage(df, "run-result") for df in found])
+                release_scratch(spark, inner, keep=3)
+            empty = [spark.createDataFrame([], s) for s in (STATUS_SCHEMA, SUMMARY_SCHEMA, REJECTED_SCHEMA)]
+            new = [empty[i].drop("version") if i < 2 else empty[i] for i in range(3)]
+            for part in kept:
+                new = [a.unionByName(b) for a, b in zip(new, part)]
+            state.write_snapshot(new[2], f"{state_dir}/rejected", version)
+            old = read_state(spark, state_dir, "file_summary", new[1]).join(new[1].select("file_key"), "file_key",
+                                                                           "left_semi").drop("version")
+            write_state(spark, state_dir, version, new[0], state.upsert_summaries(old, new[1]).drop("source"))
+        except Exception:
+            failed = claim.files.select(
+                "*", F.lit(STATUS_FAILED).alias("status"), *[F.lit(0).cast("bigint").alias(c) for c in (
+                    "checkpoint_row", "valid_rows", "invalid_rows")], F.lit("[]").alias("row_errors_json"),
+                ts.alias("heartbeat_at"))
+            write_state(spark, state_dir, version, failed, spark.createDataFrame([], SUMMARY_SCHEMA))
+            raise
+        finally:
+            release_scratch(spark, mark)
+
+    # due statements of the run's files from the stored documents
+    seen, keys = snapshot(spark, state_dir), claim.triage.select("file_key")
+    due = [read_state(spark, state_dir, t, keys, seen).join(keys, "file_key", "left_semi") for t in TABLES]
+    rejected = spark.read.schema(REJECTED_SCHEMA).parquet(f"{state_dir}/rejected/v={version}")
+    whole = [read_state(spark, state_dir, t, seen=seen) for t in TABLES]
+    return RunResult(version, claim.triage, *whole, statements(*due, claim.accounts), rejected)
+
+
+def run_batch(spark: SparkSession, paths: str | list[str], state_dir: str, accounts: DataFrame,
+              now: dt.datetime, max_errors: int = DEFAULT_MAX_ROW_ERRORS,
+              timeout_secs: int = DEFAULT_HEARTBEAT_TIMEOUT_SECS, multi_line: bool = False, suffix: str = "",
+              batch_files: int = 50_000) -> RunResult:
+    """Run once over ``paths``: a folder, or a list of files, under
+    ``account_id=<id>/`` folders. Runs over the same files may go on at the same
+    time: each file is processed by one of them.
+
+    ``accounts`` has ``account_id, email``, one row per account (the command
+    line keeps it that way with a last-write-wins upsert). ``now`` is the time
+    at the start: it decides about stale leases and stamps the rows, so a run is
+    reproducible; with what has passed since it renews the run's own lease.
+    ``multi_line`` reads quoted new lines.
+    """
+    claim = claim_files(spark, paths, state_dir, accounts, now, timeout_secs, suffix)
+    return process_claim(spark, claim, max_errors, multi_line, batch_files)
 
 
 def statements(status: DataFrame, summaries: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -203,9 +218,9 @@ def statements(status: DataFrame, summaries: DataFrame, accounts: DataFrame) ->
 def acknowledge(spark: SparkSession, state_dir: str, delivered: DataFrame, now: dt.datetime) -> DataFrame:
     """Mark ``delivered`` keys (``file_key``) as sent in a new version,
     which holds only their rows. Returns the table."""
-    version = committed_version(spark, state_dir) + 1
     keys = delivered.select("file_key").distinct()
-    mine = read_state(spark, state_dir, "file_summary").join(keys, "file_key", "left_semi")
+    version = next_version(spark, state_dir, now)
+    mine = read_state(spark, state_dir, "file_summary", keys).join(keys, "file_key", "left_semi")
     marked = state.mark_delivered(mine, keys, now=as_timestamp(now))
     write_state(spark, state_dir, version, spark.createDataFrame([], STATUS_SCHEMA), marked)
     return read_state(spark, state_dir, "file_summary")

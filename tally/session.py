@@ -6,8 +6,10 @@ Catalyst + Tungsten, we only pick sane defaults for a ledger workload.
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -111,8 +113,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
-#: Scratch folders handed out and not yet released.
+#: Scratch folders handed out and not yet released, and who asked for them.
 _scratch: list[str] = []
+_asked: dict[str, tuple[int, int]] = {}
+_numbers = itertools.count(1)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -120,23 +124,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     (stream checkpoints, sink outputs, lineage cuts). ``release_scratch``
     removes it."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _asked[path] = next(_numbers), threading.get_ident()
     _scratch.append(path)
     return path
 
 
 def release_scratch(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Remove the scratch folders handed out by this process from the
-    ``since``-th on, but for the last ``keep``, once what they hold is written
-    or collected."""
-    end = max(since, len(_scratch) - keep)
-    gone, _scratch[since:end] = _scratch[since:end], []
-    for path in gone:
+    """Remove the scratch folders that this thread was given since the mark
+    ``since`` (without one: all of the process), but for the last ``keep``, once
+    what they hold is written or collected."""
+    me = threading.get_ident()
+    mine = [p for p in _scratch if not since or (_asked[p][0] > since and _asked[p][1] == me)]
+    for path in mine[:max(0, len(mine) - keep)]:
+        _scratch.remove(path)
+        _asked.pop(path)
         remove_path(spark, path)
 
 
 def scratch_mark() -> int:
     """The point to which a later ``release_scratch(spark, mark)`` goes back."""
-    return len(_scratch)
+    return next(_numbers)
 
 
 def stage(df, name: str, path: str | None = None):

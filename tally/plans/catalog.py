@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from ..operators.state import KNOWN_STATUSES
 from ..session import scratch_path, stage
 from ..sources.csv_ledger import list_ledgers, read_ledger_files
 from ..streaming.intake import LedgerIntake
+from ..streaming.running import RunningMonths
 from . import ledgers as L
 from .statestore import (Heartbeat, compact, read_state, snapshot, take_version, write_state)
 
@@ -184,7 +186,7 @@ def csv_file_status(spark, sf_dir):
     lf = read_ledger_files(spark, _l5_folder(spark, sf_dir), multi_line=True, suffix=".txt")
     c = validate.stage_classified(validate.classify(lf.raw), "csv-rows")
     _, outcome = validate.error_report(c, "blk", ["blk", "mid"], L.L2_MAX_ROW_ERRORS, carry=["file_path"],
-                                       files=lf.files)
+                                       files=lf.files, blank_lines=lf.blank_lines)
     return _status_rows(outcome).unionByName(_rejected_rows(lf.rejected)).select(*FILE_STATUS_COLS)
 
 
@@ -238,6 +240,30 @@ def stream_account_monthly(spark, sf_dir):
         "debit_count", "credit_sum", "debit_sum")
 
 
+def stream_running_months(spark, sf_dir):
+    """T3 without a threshold: all orders through the stateful stream in some
+    micro-batches. The query dies after the second one was written and before it
+    was committed, and goes on from its checkpoint."""
+    folder, out, checkpoint = (scratch_path(spark, n) for n in ("ledger", "running", "running-checkpoint"))
+    ledger = L.orders_ledger(spark, sf_dir).select("account_id", "date", "amount")
+    ledger.repartition(3).write.parquet(folder)
+    stream = spark.readStream.schema(ledger.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+    def killed(batch_id):
+        if batch_id == 1:
+            raise RuntimeError("killed after the write of batch 1")
+
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        RunningMonths(spark, stream, out, checkpoint, partitions, after_write=killed).run_available()
+    except StreamingQueryException:
+        pass
+    months = RunningMonths(spark, stream, out, checkpoint, partitions, fold_every=2)
+    months.run_available()
+    return months.account_monthly_summary().select("account_id", "year", "month_num", "month", "txn_count", "credit_count",
+                                                   "debit_count", "credit_sum", "debit_sum", "avg_credit", "avg_debit")
+
+
 # --- L3 / L4: state tables --------------------------------------------------
 
 def file_triage(spark, sf_dir):
@@ -464,5 +490,6 @@ QUERIES: dict[str, Query] = {
     "manifest_files": manifest_files,
     "stream_file_status": stream_file_status,
     "stream_account_monthly": stream_account_monthly,
+    "stream_running_months": stream_running_months,
 }
 

@@ -139,7 +139,9 @@ ev AS (
               WHEN event_id % 113 = 0 THEN '+1e-7' WHEN event_id % 127 = 0 THEN '-1e-7'
               ELSE (CASE WHEN event_type IN ('purchase', 'error') THEN '-' ELSE '+' END)
                    || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) END AS "transaction",
-         (event_id % 101 = 0) AS malformed
+         (event_id % 101 = 0) AS malformed,
+         CASE WHEN user_id % 2 = 1 AND event_id % 7 = 3 THEN 2 ELSE 1 END AS n_lines,
+         CASE WHEN user_id % 4 = 3 THEN 2 ELSE 1 END AS head_lines
   FROM events),
 parsed AS (
   SELECT *,
@@ -161,12 +163,12 @@ ordered AS (
   SELECT *,
     CAST(sum(CASE WHEN error_field IS NULL THEN 1 ELSE 0 END) OVER w AS BIGINT) AS row_no,
     CAST(sum(CASE WHEN error_field IS NULL THEN 0 ELSE 1 END) OVER w AS BIGINT) AS err_no,
-    CAST(row_number() OVER w AS BIGINT) AS rec_no
+    CAST(head_lines + sum(n_lines) OVER w - n_lines + 1 AS BIGINT) AS line_no
   FROM classified
   WINDOW w AS (PARTITION BY account_id, chunk ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 errors AS (
   SELECT account_id, chunk, err_no, row_no AS "row",
-    CASE WHEN error_field = 'Record' THEN 'record on line ' || CAST(rec_no + 1 AS VARCHAR) || ': wrong number of fields'
+    CASE WHEN error_field = 'Record' THEN 'record on line ' || CAST(line_no AS VARCHAR) || ': wrong number of fields'
          WHEN error_field = 'ID' THEN 'parser: field ID: expected int, got "' || coalesce(id, '') || '"'
          WHEN error_field = 'Date' THEN 'parser: field Date: expected dd/mm/yyyy, got "' || coalesce(date, '') || '"'
          ELSE 'parser: field Amount: expected float, got "' || coalesce(trim("transaction"), '') || '"' END AS error
@@ -460,6 +462,9 @@ SELECT user_id, CAST(floor(event_id / 1048576) AS BIGINT) AS chunk,
        WHEN user_id % 50 = 10 THEN 'parser: missing required column "date"' END AS reason
 FROM events GROUP BY user_id, floor(event_id / 1048576)""",
 
+    "stream_running_months": _with(L1) + """
+SELECT * EXCLUDE (file_key) FROM (""" + _monthly("l1") + """) m""",
+
     "stream_account_monthly": _with(L5) + """
 SELECT account_id, CAST(year(pdate) AS INT) AS year, CAST(month(pdate) AS INT) AS month_num,
   CAST(count(*) AS BIGINT) AS txn_count,

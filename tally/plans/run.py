@@ -83,7 +83,8 @@ def process_files(spark: SparkSession, paths: list[str], ts, max_errors: int, mu
     lf = read_ledger_files(spark, paths, multi_line=multi_line)
     # parse the CSV once; every later scan reads the staged parquet
     rows = validate.stage_classified(validate.classify(lf.raw), "run-rows")
-    _, outcome = validate.error_report(rows, "blk", ["blk", "mid"], max_errors, carry=["file_path"], files=lf.files)
+    _, outcome = validate.error_report(rows, "blk", ["blk", "mid"], max_errors, carry=["file_path"], files=lf.files,
+                                        blank_lines=lf.blank_lines)
     status = outcome.select(
         "file_key", "account_id", "file_path", "status", "checkpoint_row", "valid_rows", "invalid_rows",
         F.to_json("row_errors").alias("row_errors_json"), ts.alias("heartbeat_at"))

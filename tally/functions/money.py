@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 
 def _c(col) -> Column:
@@ -28,18 +29,28 @@ def rest_part(amount) -> Column:
     return F.when(exact_part(a).isNull(), a.cast("double"))
 
 
-def exact_sum(amount) -> Column:
-    return F.coalesce(F.sum(exact_part(amount)), F.lit(0).cast(EXACT_TYPE))
+def sums_exactly(df: DataFrame, column: str = "amount") -> bool:
+    """Whether the column is a decimal whose sums ``EXACT_TYPE`` holds: no amount
+    needs a look of its own then."""
+    kind = df.schema[column].dataType
+    return isinstance(kind, DecimalType) and kind.scale <= 12 and kind.precision - kind.scale <= 16
 
 
-def rest_sum(amount) -> Column:
-    return F.coalesce(F.sum(rest_part(amount)), F.lit(0.0))
+def exact_sum(amount, exact: bool = False) -> Column:
+    """Sum of the exact parts; ``exact``: of the amounts as they are (see
+    :func:`sums_exactly`)."""
+    whole = F.sum(_c(amount)).cast(EXACT_TYPE) if exact else F.sum(exact_part(amount))
+    return F.coalesce(whole, F.lit(0).cast(EXACT_TYPE))
 
 
-def total(amount) -> Column:
+def rest_sum(amount, exact: bool = False) -> Column:
+    return F.lit(0.0) if exact else F.coalesce(F.sum(rest_part(amount)), F.lit(0.0))
+
+
+def total(amount, exact: bool = False) -> Column:
     """Sum of amounts as a double: exact, and hence independent of the order
     of the rows, but for amounts that no decimal holds."""
-    return exact_sum(amount).cast("double") + rest_sum(amount)
+    return exact_sum(amount, exact).cast("double") + rest_sum(amount, exact)
 
 
 def two_decimals(x) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_num, year_of
-from ..functions.money import EXACT_TYPE, exact_part, exact_sum, rest_part, rest_sum, total
+from ..functions.money import EXACT_TYPE, exact_part, exact_sum, rest_part, rest_sum, sums_exactly, total
 from ..functions.predicates import DEFAULT_CHECKPOINT_INTERVAL, DEFAULT_MAX_ROW_ERRORS, is_credit, is_debit
 from ..session import ensure_checkpoint_dir
 from .ordinals import block_totals, running_totals
@@ -25,10 +25,10 @@ KEYS = ("account_id", "file_key")
 STATE_COLS = ("txn_count", "credit_count", "debit_count", "credit_sum", "debit_sum", "credit_rest", "debit_rest")
 
 
-def _sums(credit, debit) -> list:
+def _sums(credit, debit, exact: bool) -> list:
     """Exact decimal sums and the sums of amounts that no decimal holds."""
-    return [exact_sum(credit).alias("credit_sum"), exact_sum(debit).alias("debit_sum"),
-            rest_sum(credit).alias("credit_rest"), rest_sum(debit).alias("debit_rest")]
+    return [exact_sum(credit, exact).alias("credit_sum"), exact_sum(debit, exact).alias("debit_sum"),
+            rest_sum(credit, exact).alias("credit_rest"), rest_sum(debit, exact).alias("debit_rest")]
 
 
 def monthly_state(ledger: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -38,7 +38,7 @@ def monthly_state(ledger: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         F.count(F.lit(1)).alias("txn_count"),
         F.count_if(is_credit(amt)).alias("credit_count"),
         F.count_if(is_debit(amt)).alias("debit_count"),
-        *_sums(F.when(is_credit(amt), amt), F.when(is_debit(amt), amt)),
+        *_sums(F.when(is_credit(amt), amt), F.when(is_debit(amt), amt), sums_exactly(ledger)),
     )
 
 
@@ -98,7 +98,7 @@ def accepted_monthly_summary(classified: DataFrame, max_errors: int = DEFAULT_MA
         F.count_if(ok).alias("txn_count"),
         F.count_if(ok & is_credit(amt)).alias("credit_count"),
         F.count_if(ok & is_debit(amt)).alias("debit_count"),
-        *_sums(F.when(ok & is_credit(amt), amt), F.when(ok & is_debit(amt), amt)),
+        *_sums(F.when(ok & is_credit(amt), amt), F.when(ok & is_debit(amt), amt), sums_exactly(classified)),
         F.count_if(~ok).alias("_invalid"),
     )
     file_invalid = F.sum("_invalid").over(Window.partitionBy(*keys))
@@ -115,7 +115,7 @@ def monthly_summary(ledger: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def totals(ledger: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """A1: total balance and transaction count per (account, file)."""
     return ledger.groupBy(*keys).agg(
-        total("amount").alias("total_balance"),
+        total("amount", sums_exactly(ledger)).alias("total_balance"),
         F.count(F.lit(1)).alias("txn_count"),
     )
 
@@ -127,12 +127,12 @@ def yearly_counts(ledger: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def credit_debit_totals(ledger: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Credit and debit counts and totals per (account, file)."""
-    amt = F.col("amount")
+    amt, exact = F.col("amount"), sums_exactly(ledger)
     return ledger.groupBy(*keys).agg(
         F.count_if(is_credit(amt)).alias("credit_count"),
         F.count_if(is_debit(amt)).alias("debit_count"),
-        total(F.when(is_credit(amt), amt)).alias("credit_total"),
-        total(F.when(is_debit(amt), amt)).alias("debit_total"),
+        total(F.when(is_credit(amt), amt), exact).alias("credit_total"),
+        total(F.when(is_debit(amt), amt), exact).alias("debit_total"),
     )
 
 
@@ -144,7 +144,8 @@ def ledger_rollup(ledger: DataFrame, keys: Sequence[str] = ("account_id",)) -> D
     expansion applies to month rows, not to ledger rows.
     """
     month_rows = ledger.groupBy(*keys, year_of("date").alias("year"), month_num("date").alias("month_num")).agg(
-        F.count(F.lit(1)).alias("n"), exact_sum("amount").alias("s"), rest_sum("amount").alias("r"))
+        F.count(F.lit(1)).alias("n"), exact_sum("amount", sums_exactly(ledger)).alias("s"),
+        rest_sum("amount", sums_exactly(ledger)).alias("r"))
     return month_rows.rollup(*keys, "year", "month_num").agg(
         F.grouping_id().cast("int").alias("level"),
         F.sum("n").alias("txn_count"),

@@ -99,9 +99,8 @@ def _sum(x: str, where: str = "true") -> str:
 
 
 def _fmt2(x: str) -> str:
-    """``%.2f`` as Spark's ``format_string`` prints a double: the shortest
-    decimal text of the value, rounded half away from zero to 2 places."""
-    return f"CAST(CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,20)), 2) AS DECIMAL(38,2)) AS VARCHAR)"
+    """``%.2f`` of the exact binary value, as in C."""
+    return f"printf('%.2f', CAST({x} AS DOUBLE))"
 
 
 def _with(*ctes: str) -> str:

@@ -113,3 +113,21 @@ def test_parse_id_against_python(spark):
 
     got = {r["v"]: r["p"] for r in df.select("v", parse.parse_id("v").alias("p")).collect()}
     assert got == {v: want(v) for v in vals}
+
+
+def test_two_decimals_round_the_exact_value(spark):
+    """As C's ``%.2f`` (and Python's): from the exact binary value, ties to even."""
+    import math
+    import random
+
+    from tally.functions.money import two_decimals
+    rng = random.Random(5)
+    values = [0.125, 1.005, 12345678.9, 0.375, 0.005, 0.015, 2.675, -0.001, -0.0, 0.0, 1e-320, 99.995, 0.994999999, 0.995,
+              9007199254740991.0, 9007199254740992.0, 4503599627370495.5, 1e15 + 0.125, 1e20, 1e22, 1e23, -1e23, 2.0 ** 100 * 3,
+              4.2e37, 123456789012.345, -45.0, 1e16, 2.0 ** 63, 2.0 ** 64 - 2048]
+    values += [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randint(-4, 36) for _ in range(400)]
+    values += [k / 8 for k in range(-40, 40)] + [math.nextafter(k / 200, s * 9e9) for k in range(300) for s in (-1, 1)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = {r["i"]: r["t"] for r in df.select("i", two_decimals("v").alias("t")).collect()}
+    assert {i: (v, got[i]) for i, v in enumerate(values) if got[i] != "%.2f" % v} == {}
+    assert spark.range(1).select(two_decimals(F.lit(None).cast("double")).alias("t")).first()["t"] is None

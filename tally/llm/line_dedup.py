@@ -13,8 +13,12 @@ bit-parallel edit distance; linked lines form classes, and the first line of a
 class (smallest document, then place) stays.
 
 Scale: lines go by a digest, so a line that stands in a third of all documents
-is one item of the join and one partial aggregate elsewhere; ``links`` avoids
-all pairs; only lines that met another are fetched as text.
+is one item of the join and one partial aggregate elsewhere. Keys are shuffled
+once, in packs of 13 bytes a key dealt by ranges of keys; only those that two
+lines share become rows. A key that many lines of a pack hold is known there
+and does not go to its bucket but for two of them, and a bucket gives out what
+it knows to be shared before it holds too much, so no hot segment fills a task.
+``links`` avoids all pairs; only lines that met another are fetched as text.
 
 Defined cases: lines are compared without white space at their ends; blank
 lines are never removed; null texts stay null; a document may lose all its
@@ -35,13 +39,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tally.llm.chunk_dedup import number_parts
 from tally.llm.common import pack, ship, stage, stage_as_is, unpack
 from tally.llm.links import link_classes
-from tally.llm.textkernel import lines, mix64, slices, span_hashes
+from tally.llm.textkernel import lines, mix64, slices, span_hasher
 
 #: Least bytes of a line (of the shorter of two) and the edits from there on.
 BOUNDS = ((16, 1), (32, 2), (64, 3))
 #: Words of 64 bits in a line's sign.
 SIGN = 4
 
+#: Keys that a task packs together, and a bucket of keys on average.
+PACK = 1 << 19
+BUCKET = 1 << 17
+#: Lines of one pack that make a key known as shared on the spot.
+HOT = 64
+#: Keys of a bucket that a task holds before it gives out what is shared.
+HELD = 1 << 22
+
 _BLANK = b"\t\n\x0b\x0c\r "
 
 
@@ -59,6 +71,7 @@ def join_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray,
     found: list[np.ndarray] = []
     keys: list[np.ndarray] = []
     length = end - start
+    hashes = span_hasher(data)
     above = [low for low, _ in bounds[1:]] + [np.iinfo(np.int64).max]
     for (least, edits), most in zip(bounds, above):
         for less in range(edits + 1):  # the other line is so many bytes shorter
@@ -75,7 +88,7 @@ def join_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray,
                         continue
                     line = here[ok]
                     begin = start[line] + at[ok]
-                    value = span_hashes(data, begin, begin + size[ok])
+                    value = hashes(begin, begin + size[ok])
                     salt = (other[ok] * (edits + 1) + i).astype(np.uint64)
                     found.append(line)
                     keys.append(mix64(value ^ mix64(salt + np.uint64(1))))
@@ -175,37 +188,137 @@ def edit_distance(a: bytes, b: bytes, most: int) -> int:
     return min(distance, most + 1)
 
 
-def line_table(parts: DataFrame, bounds: tuple[tuple[int, int], ...]) -> DataFrame:
-    """``doc_id, part, line_no, digest, id, keys`` of every line with a word;
-    ``id`` is half of the digest. A line that stands twice in one slice of a
-    task has its keys once."""
+def line_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Digests (16 bytes each) of lines, and their first halves as numbers."""
+    raw = data.tobytes()
+    joined = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest()
+                      for a, b in zip(start.tolist(), end.tolist()))
+    return joined, np.frombuffer(joined, np.int64).reshape(-1, 2)[:, 0]
+
+
+def line_table(parts: DataFrame) -> DataFrame:
+    """``doc_id, part, line_no, digest, id`` of every line with a word; ``id`` is
+    half of the digest."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in slices(batch.column(2)):
                 start, end, line_row, number = lines(data, offsets)
-                n = len(start)
-                raw = data.tobytes()
-                joined = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest()
-                                  for a, b in zip(start.tolist(), end.tolist()))
-                ids = np.frombuffer(joined, np.int64).reshape(n, 2)[:, 0]
-                _, one = np.unique(ids, return_index=True)
-                one.sort()
-                which, key = join_keys(data, start[one], end[one], bounds)
-                order = np.argsort(which, kind="stable")
-                ends = np.zeros(n + 1, np.int64)
-                np.add.at(ends, one[which] + 1, 1)
+                joined, ids = line_ids(data, start, end)
                 take = pa.array(line_row + row)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array(number.astype(np.int32)),
-                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(joined)])
-                     .cast(pa.binary()), pa.array(ids),
-                     pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)),
-                                              pa.array(key[order].view(np.int64)))],
-                    ["doc_id", "part", "line_no", "digest", "id", "keys"])
+                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(start), [None, pa.py_buffer(joined)])
+                     .cast(pa.binary()), pa.array(ids)],
+                    ["doc_id", "part", "line_no", "digest", "id"])
 
     return parts.select("doc_id", "part", "text").mapInArrow(
-        scan, "doc_id long, part int, line_no int, digest binary, id long, keys array<long>")
+        scan, "doc_id long, part int, line_no int, digest binary, id long")
+
+
+def distinct_members(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (key, id) in order, and how many ids the key of each has."""
+    order = np.argsort(key)
+    key, ids = key[order], ids[order]
+    run = np.cumsum(np.concatenate([np.zeros(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    many = np.flatnonzero(np.bincount(run)[run] > 1) if len(key) else run
+    ids[many] = ids[many[np.lexsort((ids[many], run[many]))]]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+    key, ids, run = key[new], ids[new], run[new]
+    return key, ids, np.bincount(run)[run] if len(key) else run
+
+
+def _ends_of_runs(key: np.ndarray) -> np.ndarray:
+    """Which entries are the first or the last of their key."""
+    edge = np.ones(len(key) + 1, bool)
+    edge[1:-1] = key[1:] != key[:-1]
+    return edge[:-1] | edge[1:]
+
+
+def shared_members(parts: DataFrame, bounds: tuple[tuple[int, int], ...], n_lines: int) -> DataFrame:
+    """``key, id`` (perhaps repeated) of the lines and their keys, for the keys
+    that two different lines have. A key is cut to 40 bits and those of its
+    bucket: keys that are the same by chance only give a pair more to verify."""
+    edits = max(e for _, e in bounds)
+    bits = min(24, max(6, (2 * (edits + 1) ** 2 * n_lines // BUCKET).bit_length()))
+    buckets = 1 << bits
+
+    def pack(key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        key, ids, size = distinct_members(key >> np.uint64(24 - bits), ids)
+        rows, keys, lines_ = [], [], []
+        hot = size > HOT
+        here, who = key[hot], ids[hot]
+        for at in range(0, len(here), 1 << 16):
+            rows.append(buckets + int(who[at]) % buckets)
+            keys.append(here[at:at + (1 << 16)].tobytes())
+            lines_.append(who[at:at + (1 << 16)].tobytes())
+        stay = ~hot | _ends_of_runs(key)
+        key, ids = key[stay], ids[stay]
+        bucket = (key >> np.uint64(40)).astype(np.int64)
+        low = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :5])
+        cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(key)).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            rows.append(int(bucket[a]))
+            keys.append(low[a:b].tobytes())
+            lines_.append(ids[a:b].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(keys, pa.binary()),
+                                           pa.array(lines_, pa.binary())], ["bucket", "keys", "ids"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        n = 0
+        for batch in batches:
+            for _, data, offsets in slices(batch.column(0)):
+                start, end, _, _ = lines(data, offsets)
+                whose, one = np.unique(line_ids(data, start, end)[1], return_index=True)
+                which, key = join_keys(data, start[one], end[one], bounds)
+                keys.append(key)
+                ids.append(whose[which])
+                n += len(key)
+                if n >= PACK:
+                    yield pack(np.concatenate(keys), np.concatenate(ids))
+                    keys, ids, n = [], [], 0
+        if n:
+            yield pack(np.concatenate(keys), np.concatenate(ids))
+
+    def told(key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids)], ["key", "id"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, n, most = -1, [], 0, HELD
+
+        def close() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return distinct_members(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held]))
+
+        for batch in batches:
+            for bucket, keys, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.frombuffer(ids, np.int64)
+                if bucket >= buckets:
+                    yield told(np.frombuffer(keys, np.uint64), ids)
+                    continue
+                if bucket != now:
+                    if held:
+                        key, who, size = close()
+                        yield told(key[size > 1], who[size > 1])
+                    now, held, n, most = bucket, [], 0, HELD
+                key = np.zeros((len(ids), 8), np.uint8)
+                key[:, :5] = np.frombuffer(keys, np.uint8).reshape(-1, 5)
+                held.append((key.view(np.uint64).ravel() | np.uint64(bucket << 40), ids))
+                n += len(ids)
+                if n > most:
+                    key, who, size = close()
+                    yield told(key[size > 1], who[size > 1])
+                    stay = (size == 1) | _ends_of_runs(key)
+                    held, n = [(key[stay], who[stay])], int(stay.sum())
+                    most = max(HELD, 2 * n)
+        if held:
+            key, who, size = close()
+            yield told(key[size > 1], who[size > 1])
+
+    packs = parts.select("text").mapInArrow(scan, "bucket int, keys binary, ids binary")
+    return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, id long")
 
 
 def line_decisions(parts: DataFrame, *, max_edits: int | None = None, near_bytes: int = 32,
@@ -217,8 +330,8 @@ def line_decisions(parts: DataFrame, *, max_edits: int | None = None, near_bytes
     if max_edits is not None:
         bounds = ((near_bytes, max_edits),)
     max_edits = max(edits for _, edits in bounds)
-    table = stage_as_is(line_table(parts, bounds), "lines")
-    members = table.select("id", F.explode("keys").alias("key"))
+    table = stage_as_is(line_table(parts), "lines")
+    members = stage(shared_members(parts, bounds, table.count()), "line-keys")
     texts: list[DataFrame] = []  # of all lines that met another, from the first call on
 
     def fetch(pairs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ of its own. A null text counts as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,14 +87,25 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every byte span: a polynomial in the bytes, by prefix sums."""
+def span_hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of byte starts and ends that gives the 64-bit hash of every
+    span: a polynomial in the bytes, by prefix sums taken once."""
     n = len(data)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power(_BASE, n)[:n], out=total[1:])
-    value = (total[ends] - total[starts]) * _power(_INVERSE, n + 1)[starts]
-    value += (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    return mix64(value)
+    shift = _power(_INVERSE, n + 1)
+
+    def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        value = (total[ends] - total[starts]) * shift[starts]
+        value += (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        return mix64(value)
+
+    return hashes
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``span_hasher`` for one set of spans."""
+    return span_hasher(data)(starts, ends)
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:

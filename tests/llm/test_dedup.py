@@ -343,3 +343,31 @@ def test_awkward_cases(spark):
     assert same == "Same line that stands here twice, word for word.\n"
     for op in (dedup_substrings, dedup_chunks, find_near_duplicates, line_report, dedup_lines, drop_near_duplicates):
         assert op(none).count() == 0
+
+
+@pytest.mark.parametrize("held, pack, hot", [(1 << 22, 1 << 19, 64), (50, 1 << 19, 64), (50, 300, 3)])
+def test_shared_keys_against_all_keys(spark, monkeypatch, held, pack, hot):
+    """Keys of two different lines are found, whatever a task holds at once and
+    however many lines share one."""
+    from tally.llm import line_dedup as m
+
+    monkeypatch.setattr(m, "HELD", held)
+    monkeypatch.setattr(m, "PACK", pack)
+    monkeypatch.setattr(m, "HOT", hot)
+    rng = random.Random(11)
+    head = "the same opening of a great many lines, "
+    all_lines = [head + "".join(rng.choices("abcdefgh", k=24)) for _ in range(150)]
+    all_lines += ["".join(rng.choices("abcdefgh ", k=rng.randrange(10, 90))).strip() or "x" for _ in range(150)]
+    docs = ["\n".join(rng.choices(all_lines, k=20)) for _ in range(40)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    have = {(r.key, r.id) for r in m.shared_members(number_parts(df), m.BOUNDS, 800).collect()}
+
+    of_key: dict[int, set[int]] = {}
+    bits = min(24, max(6, (2 * 16 * 800 // m.BUCKET).bit_length()))
+    for text in {x.strip() for d in docs if d for x in d.split("\n")}:
+        data = np.frombuffer(text.encode(), np.uint8)
+        start, end = np.array([0]), np.array([len(data)])
+        one = int(m.line_ids(data, start, end)[1][0])
+        for key in m.join_keys(data, start, end, m.BOUNDS)[1]:
+            of_key.setdefault(int(np.uint64(key) >> np.uint64(24 - bits)), set()).add(one)
+    assert have == {(k, i) for k, ids in of_key.items() if len(ids) > 1 for i in ids}

@@ -65,14 +65,14 @@ def damaged(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     every 97 ids one record has a byte overwritten and one is lost."""
     primary = write_order(pages)
     turn = F.pmod(F.col("page_id") * 31 + 7, F.lit(97))
-    rot = pages.withColumn("html", F.when((turn == 5) & (F.length("html") > 0),
-                                          F.concat(F.lit("\u007f"), F.expr("substring(html, 2)")))
-                           .otherwise(F.col("html")))
-    # The replica's records lie where the catalogue puts them.
-    place = primary.select("file", "offset", F.col("page_id").alias("_id"))
-    seen = (write_order(rot).select("page_id", "length", "digest").filter(F.coalesce(turn, F.lit(0)) != 11)
-            .join(place, F.col("page_id").eqNullSafe(F.col("_id"))))
-    return primary, seen.select("file", "offset", "length", "digest", "page_id")
+    rot = F.when((turn == 5) & (F.length("html") > 0), F.concat(F.lit("\u007f"), F.expr("substring(html, 2)"))).otherwise(
+        F.col("html"))
+    # The replica's records lie where the catalogue puts them: both are written
+    # from the same row, so repeated and missing ids need no join.
+    both = write_order(pages, replica=rot)
+    seen = both.filter(F.coalesce(turn, F.lit(0)) != 11)
+    return primary, seen.select("file", "offset", F.col("replica_length").alias("length"),
+                                F.col("replica_digest").alias("digest"), "page_id")
 
 
 def op6_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

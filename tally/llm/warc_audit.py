@@ -35,20 +35,27 @@ def record_bytes(record_id: Column, url: Column, payload: Column) -> Column:
     return F.concat(F.encode(text, "UTF-8"), F.coalesce(payload, F.lit(b"")), F.lit(b"\r\n\r\n"))
 
 
-def write_order(pages: DataFrame, per_file: int = 256) -> DataFrame:
+def write_order(pages: DataFrame, per_file: int = 256, replica: Column | None = None) -> DataFrame:
     """``file, offset, length, digest, page_id`` of the pages as WARC records.
     A file holds ``per_file`` ids; pages without an id are dealt to 4,096 files by
-    their url. Inside a file records are ordered by id, then by content."""
+    their url. Inside a file records are ordered by id, then by content.
+    ``replica`` (another html of a page) adds ``replica_length, replica_digest``
+    of the record that a copy holds at the same place."""
     body = record_bytes(F.col("page_id"), F.col("url"), F.encode(F.col("html"), "UTF-8"))
     file = F.when(F.col("page_id").isNull(),
                   F.concat(F.lit("crawl-n"), F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 3))).otherwise(
         F.concat(F.lit("crawl-"), F.floor(F.col("page_id") / per_file).cast("string")))
-    records = (pages.select("page_id", file.alias("file"), body.alias("_body"))
+    copy = [] if replica is None else [record_bytes(F.col("page_id"), F.col("url"),
+                                                    F.encode(replica, "UTF-8")).alias("_copy")]
+    found = [] if replica is None else [F.octet_length("_copy").cast("long").alias("replica_length"),
+                                        F.sha2("_copy", 256).alias("replica_digest")]
+    records = (pages.select("page_id", file.alias("file"), body.alias("_body"), *copy)
                .select("page_id", "file", F.octet_length("_body").cast("long").alias("length"),
-                       F.sha2("_body", 256).alias("digest")))
+                       F.sha2("_body", 256).alias("digest"), *found))
     ends = F.sum("length").over(Window.partitionBy("file").orderBy("page_id", "digest")
                                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return records.select("file", (ends - F.col("length")).alias("offset"), "length", "digest", "page_id")
+    return records.select("file", (ends - F.col("length")).alias("offset"), "length", "digest", "page_id",
+                          *([] if replica is None else ["replica_length", "replica_digest"]))
 
 
 def _up(children: DataFrame, keys: list[Column], fanout: int) -> DataFrame:

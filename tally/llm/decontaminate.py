@@ -33,13 +33,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tally.llm.chunk_dedup import number_parts
 from tally.llm.common import pack, ship, unpack
 from tally.llm.textkernel import mix64, slices, span_hashes, words
 
 BLOCK = 16
 PASSAGE = 64
 BUCKETS = 1 << 16
-_RESULT = ("doc_id long, item_id long, lcs int, item_words int, first_word long, answer_found boolean, "
+_RESULT = ("doc_id long, part int, item_id long, lcs int, item_words int, first_word long, answer_found boolean, "
            "verbatim boolean")
 _SENTENCE = re.compile(r"[.!?…]\s+|\n+")
 _FIXED = float(1 << 16)
@@ -221,9 +222,9 @@ def search(texts: DataFrame, items: list[Item], idf: np.ndarray, basis: np.ndarr
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            ids, parts = batch.column(0), batch.column(1)
             found: list[dict] = []
-            for row, data, offsets in slices(batch.column(1)):
+            for row, data, offsets in slices(batch.column(2)):
                 h, first = text_words(data, offsets)
                 if not len(h):
                     continue
@@ -247,25 +248,32 @@ def search(texts: DataFrame, items: list[Item], idf: np.ndarray, basis: np.ndarr
                             score = (common, told, -a)
                             if score > best.get((r, x.item_id), ((-1,),))[0]:
                                 best[r, x.item_id] = (score, len(x.words), exact)
-                found += [{"doc_id": ids[row + r].as_py(), "item_id": item, "lcs": score[0], "item_words": n,
+                found += [{"doc_id": ids[row + r].as_py(), "part": parts[row + r].as_py(), "item_id": item, "lcs": score[0], "item_words": n,
                            "first_word": int(-score[2] - first[r]), "answer_found": score[1], "verbatim": exact}
                           for (r, item), (score, n, exact) in best.items()]
             yield pa.RecordBatch.from_pylist(found, schema=pa.schema(
-                [("doc_id", pa.int64()), ("item_id", pa.int64()), ("lcs", pa.int32()), ("item_words", pa.int32()),
+                [("doc_id", pa.int64()), ("part", pa.int32()), ("item_id", pa.int64()), ("lcs", pa.int32()), ("item_words", pa.int32()),
                  ("first_word", pa.int64()), ("answer_found", pa.bool_()), ("verbatim", pa.bool_())]))
 
     return texts.mapInArrow(scan, _RESULT)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, features: int = 1024, rank: int = 128, seed: int = 5,
-               cosine: float = 0.35, verbatim: float = 0.8, paraphrase: float = 0.6, answer_share: float = 0.8,
-               margin: int = 8, min_words: int = 5, items_per_scan: int = 4096) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, **rules) -> DataFrame:
     """Documents (``doc_id``, ``text``) that hold benchmark items (``item_id``,
     ``text``, perhaps ``answer``): ``doc_id, item_id, lcs, item_words,
-    first_word`` (of the best window), ``answer_found, verbatim``."""
+    first_word`` (of the best window), ``answer_found, verbatim``; a row of its
+    own for each of several rows that share a ``doc_id``."""
+    return leaks(docs.select("doc_id", F.lit(0).alias("part"), "text"), benchmark, **rules).drop("part")
+
+
+def leaks(parts: DataFrame, benchmark: DataFrame, *, features: int = 1024, rank: int = 128, seed: int = 5,
+               cosine: float = 0.35, verbatim: float = 0.8, paraphrase: float = 0.6, answer_share: float = 0.8,
+               margin: int = 8, min_words: int = 5, items_per_scan: int = 4096) -> DataFrame:
+    """``find_leaks`` for rows told apart by ``doc_id`` and ``part``; the result
+    has both."""
     ship("tally.llm.textkernel", __name__)
-    spark: SparkSession = docs.sparkSession
-    texts = docs.select("text")
+    spark: SparkSession = parts.sparkSession
+    texts = parts.select("text")
     total = document_frequencies(texts)
     passages = max(1, int(total[BUCKETS]))
     # Smoothed, and zero for a word in every passage.
@@ -274,7 +282,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, features: int = 1024, r
     out = spark.createDataFrame([], _RESULT)
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     block: list[Item] = []
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    both = parts.select(F.col("doc_id").cast("long").alias("doc_id"), "part", "text")
     rules = {"cosine": cosine, "verbatim": verbatim, "paraphrase": paraphrase, "answer_share": answer_share,
              "margin": margin}
     stated = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer"))
@@ -291,6 +299,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, features: int = 1024, r
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **rules) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    bad = find_leaks(docs, benchmark, **rules).select(F.col("doc_id").alias("_id")).distinct()
-    return unpack(pack(docs).join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti"), docs.columns)
+    """``docs`` without the rows that hold a benchmark item. Rows that share a
+    ``doc_id`` (or have none) are told apart by ``part``, so the clean ones stay."""
+    rows = number_parts(pack(docs), "rest")
+    bad = leaks(rows, benchmark, **rules).select(F.col("doc_id").alias("_id"), F.col("part").alias("_p")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("part") == F.col("_p"))
+    return unpack(rows.join(bad, same, "left_anti"), docs.columns)

@@ -300,3 +300,28 @@ def test_awkward_rows(spark):
         assert op(none).count() == 0
     bench = spark.createDataFrame([(1, cases.rows()[1][1])], "item_id long, text string")
     assert {r.doc_id for r in find_leaks(docs, bench).collect()} >= {1, 2}
+
+
+def test_clean_rows_that_share_an_id_with_a_leak_stay(spark):
+    rng = random.Random(8)
+    items = [" ".join(_word_list(rng, 30)) for _ in range(3)]
+    clean = [" ".join(_word_list(rng, 80)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(clean[:36])]
+    rows += [(7, items[0]), (None, items[1]), (None, clean[36]), (7, clean[37])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    kept = [(r.doc_id, r.text) for r in drop_leaks(df.repartition(3), bench).collect()]
+    assert sorted(kept, key=str) == sorted((r for r in rows if r[1] not in items), key=str)
+
+
+def test_replica_of_repeated_and_missing_ids(spark):
+    """Only the records that were damaged are reported, whatever the ids."""
+    from tally.llm.queries import damaged
+    hit = [i for i in range(200) if (i * 31 + 7) % 97 == 5]
+    lost = [i for i in range(200) if (i * 31 + 7) % 97 == 11]
+    rows = [(i, f"u{i}", f"<p>page {i}</p>") for i in range(200)]
+    rows += [(3, "again", "<p>other</p>"), (3, "again", "<p>other</p>"), (3, "u", None)]
+    rows += [(None, f"n{i}", "<p>none</p>") for i in range(4)] + [(None, None, None)] * 2
+    rows += [(hit[0], "second", "<p>second</p>")]
+    out = audit(*damaged(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert sorted(r.status for r in out) == sorted(["corrupt"] * (len(hit) + 1) + ["missing"] * len(lost))

@@ -3,7 +3,9 @@
 Every text is cut, as UTF-8 bytes, where the low bits of a gear hash of the
 last 32 bytes are zero, so an insertion moves only the cuts near it. Chunks are
 keyed by a 128-bit digest; the first occurrence of a chunk (smallest document,
-then smallest offset) stays and all others are removed.
+then smallest offset) stays. The others go where adjacent ones make a run of at
+least ``min_run`` bytes or the whole text: a shorter run is a phrase that texts
+share by chance, and cutting it out would leave a broken sentence.
 
 Scale: digests are reduced by a partial aggregation to those that occur twice
 (count and first place), a hot digest is one number per task; only occurrences
@@ -13,7 +15,8 @@ Defined cases: a null or empty text has no chunk; a text shorter than
 ``min_bytes`` is one chunk; very long texts are cut like any other, a chunk ends
 after ``max_bytes`` at the latest; documents that share a ``doc_id`` are treated
 as one document's parts: pass a unique id (repeated rows then differ by
-``part``, which numbers the rows of an id by text). An empty table gives an
+``part``, which numbers the rows of an id by text). Among occurrences of a
+chunk there is no tie, as no two have the same place. An empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -29,6 +32,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tally.llm.common import ship, stage, stage_as_is
 from tally.llm.textkernel import mix64, slices
 
+#: Bytes of the shortest passage to remove, some twenty words.
+MIN_RUN = 128
+
 _GEAR = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 
 
@@ -107,10 +113,24 @@ def number_parts(docs: DataFrame, *others: str) -> DataFrame:
     return once.unionByName(again.select("doc_id", "part", "text", *others))
 
 
-def remove_spans(parts: DataFrame, spans: DataFrame) -> DataFrame:
+def span_runs(spans: list[dict] | None, size: int, min_run: int) -> list[tuple[int, int]]:
+    """Maximal runs (start, end) that sorted, perhaps overlapping spans cover,
+    of ``min_run`` bytes at least or of the whole text."""
+    runs: list[list[int]] = []
+    for span in spans or ():
+        start, end = span["start"], span["start"] + span["length"]
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([start, end])
+    return [(a, b) for a, b in runs if b - a >= min(min_run, size)]
+
+
+def remove_spans(parts: DataFrame, spans: DataFrame, min_run: int = 0) -> DataFrame:
     """Texts without the byte spans (``doc_id, part, start, length``; they may
-    overlap): ``doc_id, n_bytes, n_removed, n_spans, kept`` (binary), where
-    ``n_spans`` counts maximal removed runs."""
+    overlap) that make runs of ``min_run`` bytes or the whole text: ``doc_id,
+    n_bytes, n_removed, n_spans, kept`` (binary), where ``n_spans`` counts
+    maximal removed runs."""
     key = ["doc_id", "part"]
     lists = spans.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_spans"))
     joined = (parts.select(F.col("doc_id"), F.col("part"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_b"))
@@ -121,19 +141,12 @@ def remove_spans(parts: DataFrame, spans: DataFrame) -> DataFrame:
         for batch in batches:
             sizes, removed, runs, kept = [], [], [], []
             for raw, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                out, at, cut, n = [], 0, 0, 0
-                for span in spans or ():
-                    start, end = span["start"], span["start"] + span["length"]
-                    if start > at or not n:
-                        out.append(raw[at:start])
-                        n += 1
-                    cut += max(0, end - max(at, start))
-                    at = max(at, end)
-                out.append(raw[at:])
+                gone = span_runs(spans, len(raw), min_run)
+                edges = [0, *(x for run in gone for x in run), len(raw)]
                 sizes.append(len(raw))
-                removed.append(cut)
-                runs.append(n)
-                kept.append(b"".join(out))
+                removed.append(sum(b - a for a, b in gone))
+                runs.append(len(gone))
+                kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
                  pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
@@ -144,9 +157,10 @@ def remove_spans(parts: DataFrame, spans: DataFrame) -> DataFrame:
         apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def dedup_chunks(docs: DataFrame, *, mask_bits: int = 6, min_bytes: int = 16, max_bytes: int = 512) -> DataFrame:
-    """Documents without the chunks seen before: one row per row of ``docs``
-    (``doc_id, n_bytes, n_removed, n_spans, kept``)."""
+def dedup_chunks(docs: DataFrame, *, mask_bits: int = 6, min_bytes: int = 16, max_bytes: int = 512,
+                 min_run: int = 0) -> DataFrame:
+    """Documents without the runs of chunks seen before: one row per row of
+    ``docs`` (``doc_id, n_bytes, n_removed, n_spans, kept``)."""
     parts = number_parts(docs)
     found = stage_as_is(chunks(parts, mask_bits=mask_bits, min_bytes=min_bytes, max_bytes=max_bytes), "chunks")
     first = (found.groupBy("digest").agg(F.min(F.struct("doc_id", "part", "start")).alias("_first"),
@@ -157,4 +171,4 @@ def dedup_chunks(docs: DataFrame, *, mask_bits: int = 6, min_bytes: int = 16, ma
     again = (found.join(first, "digest")
              .filter(~F.struct("doc_id", "part", "start").eqNullSafe(F.col("_first")))
              .select("doc_id", "part", "start", "length"))
-    return remove_spans(parts, again)
+    return remove_spans(parts, again, min_run)

@@ -8,7 +8,12 @@
 3. Every document is a run of blocks of ``BLOCK`` words in the latent space
    (scaled by the singular values); windows of blocks, as long as an item and
    one block more, are compared with the items by cosine.
-4. Candidates are checked on the words themselves: the longest common
+4. Beside the cosine, whatever it is, a stretch of text as long as an item is a
+   candidate where it shares ``shared`` runs of ``GRAM`` words with the item,
+   or as few as a verbatim copy of the item may (every lost or replaced word
+   breaks ``GRAM`` runs at most), so no verbatim passage depends on the latent
+   space.
+5. Candidates are checked on the words themselves: the longest common
    subsequence of the item and the window with a margin, and whether the
    item's answer (its ``answer`` column, else its last sentence) stands there.
    A document holds an item when ``verbatim`` of the item's words are common,
@@ -18,14 +23,17 @@ Scale: three scans of the texts and no shuffle of them; what is summed has a
 fixed size. Items are a stated query set and go to the tasks in blocks of
 ``items_per_scan``; every block is compared with all rows.
 
-Defined cases: null and empty texts hold nothing; items under ``min_words``
-words cannot be told from chance and are not searched; null item texts
-likewise; repeated rows give a row each; an empty corpus or benchmark gives an
-empty result; other columns are ignored.
+Defined cases: null and empty texts hold nothing; very long texts are searched
+whole; an item under ``min_words`` words is held where all its words stand side
+by side; null and empty item texts are not searched; of windows of equal score
+the first is reported; repeated rows give a row each; an empty corpus or
+benchmark gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -35,10 +43,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tally.llm.chunk_dedup import number_parts
 from tally.llm.common import pack, ship, unpack
-from tally.llm.textkernel import mix64, slices, span_hashes, words
+from tally.llm.textkernel import mix64, sequence_hashes, slices, span_hashes, words
 
 BLOCK = 16
 PASSAGE = 64
+GRAM = 3
 BUCKETS = 1 << 16
 _RESULT = ("doc_id long, part int, item_id long, lcs int, item_words int, first_word long, answer_found boolean, "
            "verbatim boolean")
@@ -182,6 +191,70 @@ class Item:
         self.answer_masks = lcs_masks(self.answer)
 
 
+class ItemGrams:
+    """Runs of ``q`` words of a block of items: sorted hashes, and for each the
+    items and places that have it."""
+
+    def __init__(self, q: int, members: list[tuple[int, Item]], need: list[int]) -> None:
+        self.q = q
+        sizes = [len(x.words) for _, x in members]
+        item = np.repeat([k for k, _ in members], [n - q + 1 for n in sizes])
+        place = np.concatenate([np.arange(n - q + 1) for n in sizes])
+        grams = []
+        for _, x in members:
+            at = np.arange(len(x.words) - q + 1)
+            grams.append(sequence_hashes(np.array(x.words, np.uint64), at, at + q))
+        order = np.argsort(np.concatenate(grams), kind="stable")
+        self.item, self.place = item[order], place[order]
+        self.hash, begin = np.unique(np.concatenate(grams)[order], return_index=True)
+        self.first = np.append(begin, len(order))
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(self.hash >> np.uint64(44)).astype(np.int64)] = True
+        last = max(k for k, _ in members) + 1
+        self.length, self.need = np.zeros(last, np.int64), np.zeros(last, np.int64)
+        for (k, x), n in zip(members, need):
+            self.length[k], self.need[k] = len(x.words), n
+
+    def candidates(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, items, first words) of the stretches that share enough runs;
+        the first word is where the item would begin, perhaps before its row."""
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        at = np.flatnonzero(np.arange(len(h)) + self.q <= first[1:][row])
+        gram = sequence_hashes(h, at, at + self.q)
+        maybe = self.seen[(gram >> np.uint64(44)).astype(np.int64)]
+        at, gram = at[maybe], gram[maybe]
+        slot = np.minimum(np.searchsorted(self.hash, gram), len(self.hash) - 1)
+        hit = self.hash[slot] == gram
+        at, slot = at[hit], slot[hit]
+        many = self.first[slot + 1] - self.first[slot]
+        entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[slot], many)
+        at, item = np.repeat(at, many), self.item[entry]
+        start, row = at - self.place[entry], row[at]
+        width = len(h) + int(self.length.max()) + 1
+        key = (row * len(self.length) + item) * width + at
+        order = np.argsort(key, kind="stable")
+        key, row, item, start = key[order], row[order], item[order], start[order]
+        enough = np.searchsorted(key, key + self.length[item]) - np.arange(len(key)) >= self.need[item]
+        found = np.unique(np.stack([row[enough], item[enough], start[enough]]), axis=1)
+        return found[0], found[1], found[2]
+
+
+def item_grams(items: list[Item], *, verbatim: float, shared: int, min_words: int) -> list[ItemGrams]:
+    """The look-ups of a block: items of ``min_words`` words and more by at most
+    ``GRAM`` words, so few that a verbatim copy must hold one such run; shorter
+    items by all their words."""
+    families: dict[int, list[tuple[int, Item, int]]] = {}
+    for k, x in enumerate(items):
+        n = len(x.words)
+        q, need = n, 1
+        if n >= min_words:
+            lost = n - math.ceil(verbatim * n - 1e-9)
+            q = max(1, min(GRAM, n // (lost + 1)))
+            need = max(1, min(shared, n - q + 1 - q * lost))
+        families.setdefault(q, []).append((k, x, need))
+    return [ItemGrams(q, [m[:2] for m in members], [m[2] for m in members]) for q, members in families.items()]
+
+
 def lcs_masks(pattern: list[int]) -> dict[int, int]:
     masks: dict[int, int] = {}
     for i, w in enumerate(pattern):
@@ -203,22 +276,42 @@ def lcs_length(masks: dict[int, int], n: int, text: list[int]) -> int:
 
 
 def search(texts: DataFrame, items: list[Item], idf: np.ndarray, basis: np.ndarray, *, cosine: float,
-           verbatim: float, paraphrase: float, answer_share: float, margin: int) -> DataFrame:
+           verbatim: float, paraphrase: float, answer_share: float, margin: int, shared: int,
+           min_words: int) -> DataFrame:
     """Rows of ``_RESULT`` for one block of items against all texts."""
-    sizes = sorted({x.blocks for x in items})
-    groups = [(s, [x for x in items if x.blocks == s]) for s in sizes]
+    long_items = [x for x in items if len(x.words) >= min_words]
+    sizes = sorted({x.blocks for x in long_items})
+    groups = [(s, [x for x in long_items if x.blocks == s]) for s in sizes]
     vectors = [np.stack([x.vector for x in g]).T.astype(np.float32) for _, g in groups]
+    grams = item_grams(items, verbatim=verbatim, shared=shared, min_words=min_words)
 
-    def candidates(latent: np.ndarray, run_first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """(runs, items, group) above the cosine."""
+    def near(h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, Item, int, int]]:
+        """(row, item, first word, end) of the windows above the cosine."""
+        at, real, run_first = grid(first, BLOCK)
+        latent = latent_blocks(h, at, real, idf, basis)
         total = np.concatenate([np.zeros((1, latent.shape[1])), np.cumsum(latent, axis=0, dtype=np.float64)])
-        end = np.repeat(run_first[1:], np.diff(run_first))
+        run_end = np.repeat(run_first[1:], np.diff(run_first))
         at = np.arange(len(latent))
-        for g, (size, _) in enumerate(groups):
-            window = (total[np.minimum(at + size, end)] - total[at]).astype(np.float32)
+        for (size, members), vector in zip(groups, vectors):
+            window = (total[np.minimum(at + size, run_end)] - total[at]).astype(np.float32)
             window /= np.maximum(np.sqrt((window * window).sum(axis=1, keepdims=True)), 1e-12)
-            run, item = np.nonzero(window @ vectors[g] >= cosine)
-            yield run, item, g
+            runs, hits = np.nonzero(window @ vector >= cosine)
+            rows = np.searchsorted(run_first, runs, "right") - 1
+            begin = first[rows] + (runs - run_first[rows]) * BLOCK
+            low = np.maximum(begin - margin, first[rows])
+            high = np.minimum(begin + size * BLOCK + margin, first[rows + 1])
+            for r, k, a, b in zip(rows.tolist(), hits.tolist(), low.tolist(), high.tolist()):
+                yield r, members[k], a, b
+
+    def alike(h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, Item, int, int]]:
+        """The same of the stretches that share runs of words with an item."""
+        for family in grams:
+            rows, hits, start = family.candidates(h, first)
+            spare = np.where(family.length[hits] < min_words, 0, margin)
+            low = np.maximum(start - spare, first[rows])
+            high = np.minimum(start + family.length[hits] + spare, first[rows + 1])
+            for r, k, a, b in zip(rows.tolist(), hits.tolist(), low.tolist(), high.tolist()):
+                yield r, items[k], a, b
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,26 +321,18 @@ def search(texts: DataFrame, items: list[Item], idf: np.ndarray, basis: np.ndarr
                 h, first = text_words(data, offsets)
                 if not len(h):
                     continue
-                at, real, run_first = grid(first, BLOCK)
                 best: dict[tuple[int, int], tuple] = {}
-                for runs, hits, g in candidates(latent_blocks(h, at, real, idf, basis), run_first):
-                    size, members = groups[g]
-                    rows = np.searchsorted(run_first, runs, "right") - 1
-                    begin = first[rows] + (runs - run_first[rows]) * BLOCK
-                    low = np.maximum(begin - margin, first[rows])
-                    high = np.minimum(begin + size * BLOCK + margin, first[rows + 1])
-                    for r, k, a, b in zip(rows.tolist(), hits.tolist(), low.tolist(), high.tolist()):
-                        x = members[k]
-                        text = h[a:b].tolist()
-                        common = lcs_length(x.masks, len(x.words), text)
-                        if common < paraphrase * len(x.words):
-                            continue
-                        told = bool(x.answer) and lcs_length(x.answer_masks, len(x.answer), text) >= answer_share * len(x.answer)
-                        exact = common >= verbatim * len(x.words)
-                        if exact or told:
-                            score = (common, told, -a)
-                            if score > best.get((r, x.item_id), ((-1,),))[0]:
-                                best[r, x.item_id] = (score, len(x.words), exact)
+                for r, x, a, b in itertools.chain(near(h, first), alike(h, first)):
+                    text, n = h[a:b].tolist(), len(x.words)
+                    common = lcs_length(x.masks, n, text)
+                    if common < (paraphrase * n if n >= min_words else n):
+                        continue
+                    told = bool(x.answer) and lcs_length(x.answer_masks, len(x.answer), text) >= answer_share * len(x.answer)
+                    exact = common >= verbatim * n
+                    if exact or told:
+                        score = (common, told, -a)
+                        if score > best.get((r, x.item_id), ((-1,),))[0]:
+                            best[r, x.item_id] = (score, n, exact)
                 found += [{"doc_id": ids[row + r].as_py(), "part": parts[row + r].as_py(), "item_id": item, "lcs": score[0], "item_words": n,
                            "first_word": int(-score[2] - first[r]), "answer_found": score[1], "verbatim": exact}
                           for (r, item), (score, n, exact) in best.items()]
@@ -268,7 +353,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **rules) -> DataFrame:
 
 def leaks(parts: DataFrame, benchmark: DataFrame, *, features: int = 1024, rank: int = 128, seed: int = 5,
                cosine: float = 0.35, verbatim: float = 0.8, paraphrase: float = 0.6, answer_share: float = 0.8,
-               margin: int = 8, min_words: int = 5, items_per_scan: int = 4096) -> DataFrame:
+               margin: int = 8, min_words: int = 5, shared: int = 2, items_per_scan: int = 4096) -> DataFrame:
     """``find_leaks`` for rows told apart by ``doc_id`` and ``part``; the result
     has both."""
     ship("tally.llm.textkernel", __name__)
@@ -284,11 +369,11 @@ def leaks(parts: DataFrame, benchmark: DataFrame, *, features: int = 1024, rank:
     block: list[Item] = []
     both = parts.select(F.col("doc_id").cast("long").alias("doc_id"), "part", "text")
     rules = {"cosine": cosine, "verbatim": verbatim, "paraphrase": paraphrase, "answer_share": answer_share,
-             "margin": margin}
+             "margin": margin, "shared": shared, "min_words": min_words}
     stated = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer"))
     for r in stated.filter(F.col("text").isNotNull()).toLocalIterator():
         item = Item(r.item_id, r.text, r.answer, basis, idf)
-        if len(item.words) >= min_words:
+        if item.words:
             block.append(item)
         if len(block) == items_per_scan:
             out = out.unionByName(search(both, block, idf, basis, **rules))

@@ -112,6 +112,30 @@ def test_chunks_against_brute_force(spark):
     assert len(got[7]) == 0 and len(got[1]) < 0.7 * len(texts[1])
 
 
+def test_only_long_runs_of_chunks_go(spark):
+    rng = random.Random(7)
+    shared, phrase = cases.prose(rng, 90), cases.prose(rng, 9)
+    texts = [cases.prose(rng, 40) + (shared if i % 2 else phrase) + cases.prose(rng, 40) for i in range(8)]
+    texts += [phrase, phrase, shared, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in dedup_chunks(df, mask_bits=4, min_bytes=8, max_bytes=64, min_run=100).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        raw, at, repeated = t.encode(), 0, np.zeros(len(t.encode()), bool)
+        for end in chunk_ends(np.frombuffer(raw, np.uint8), 4, 8, 64):
+            digest = hashlib.blake2b(raw[at:end]).digest()
+            repeated[at:end] = digest in seen
+            seen.add(digest)
+            at = end
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], repeated.view(np.int8), [0]]))).reshape(-1, 2)
+        for a, b in edges.tolist():
+            if b - a < min(100, len(raw)):
+                repeated[a:b] = False
+        assert bytes(got[i].kept) == np.frombuffer(raw, np.uint8)[~repeated].tobytes()
+        assert got[i].n_removed == repeated.sum()
+    assert not any(got[i].n_removed for i in (0, 2, 4, 6, 11)) and len(got[9].kept) == 0 and got[3].n_removed >= 100
+
+
 # Links.
 
 def test_components_and_classes_without_all_pairs(spark):

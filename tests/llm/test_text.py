@@ -289,6 +289,65 @@ def test_leaks_and_paraphrases_are_found_and_clean_documents_left(spark):
     assert find_leaks(df.limit(0), bench).count() == 0 and find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_verbatim_passages_need_no_latent_space(spark):
+    """With no cosine at all, every document is found of which brute force over
+    all windows finds an item that lost at most a fifth of its words."""
+    rng = random.Random(9)
+    items = [" ".join(_word_list(rng, n)) for n in (5, 7, 10, 13, 15, 19, 25, 40, 59)]
+    docs, want = [], set()
+    for i in range(300):
+        body, k = _word_list(rng, rng.choice([0, 3, 60, 700])), i % 12
+        if k < len(items):
+            item = items[k].split()
+            for at in rng.sample(range(len(item)), rng.choice([0, len(item) // 10, len(item) // 5])):
+                item[at] = rng.choice(["other", ""])
+            at = rng.randint(0, len(body))
+            body[at:at] = [w for w in item if w]
+            want.add((i, k))
+        docs.append((i, " ".join(body)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(df, bench, cosine=2.0).collect() if r.verbatim}
+    assert got >= want
+    for i, k in got - want:
+        item, words = items[k].split(), docs[i][1].split()
+        assert any(_lcs(item, words[a:a + len(item) + 16]) >= 0.8 * len(item) for a in range(len(words)))
+
+
+def test_recall_by_kind_and_length(spark):
+    """Share of planted items found, by share of words kept and length."""
+    rng = random.Random(12)
+    items = [_word_list(rng, n) for n in [12] * 40 + [20] * 40 + [45] * 40]
+    docs, kinds = [], {}
+    for kept in (1.0, 0.82, 0.7, 0.63):
+        for k, item in enumerate(items):
+            lost = set(rng.sample(range(len(item) - 3), int(len(item) * (1 - kept))))
+            body = _word_list(rng, 500)
+            at = rng.randint(0, len(body))
+            body[at:at] = [f"x{rng.randrange(99)}" if j in lost else w for j, w in enumerate(item)]
+            kinds[len(docs)] = (kept, k)
+            docs.append((len(docs), " ".join(body)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(x), " ".join(x[-3:])) for k, x in enumerate(items)],
+                                  "item_id long, text string, answer string")
+    found = {(r.doc_id, r.item_id) for r in find_leaks(df, bench).collect()}
+    share = defaultdict(list)
+    for i, (kept, k) in kinds.items():
+        share[kept, len(items[k])].append((i, k) in found)
+    share = {k: sum(v) / len(v) for k, v in share.items()}
+    assert all(v == 1.0 for (kept, _), v in share.items() if kept > 0.8), share
+    assert all(v >= 0.95 for v in share.values()), share
+
+
+def test_short_items_and_few_documents(spark):
+    docs = spark.createDataFrame([(1, "It is the red house here"), (2, "the house is red"), (3, "yes"), (4, None),
+                                  (5, "first words of an item " + " ".join(f"w{i}" for i in range(50)))],
+                                 "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "the red house"), (2, "yes"), (3, ""), (4, "first words of an item"), (5, "red the")],
+                                  "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in find_leaks(docs, bench).collect()} == {(1, 1), (3, 2), (5, 4)}
+
+
 def test_awkward_rows(spark):
     docs, none, n = cases.docs(spark), cases.empty(spark), len(cases.rows())
     out = quality_rules(docs).collect()

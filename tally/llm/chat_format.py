@@ -11,7 +11,7 @@ conversation is one record, so its turns meet in one row); pairs are joined by
 key, nothing is compared with more than its partner, so a first turn or a
 whole conversation that many share costs nothing extra.
 
-Defined cases: a null role reads ``unknown``, a null text is empty; turns with
+Defined cases: very long texts are rendered whole; a null role reads ``unknown``, a null text is empty; turns with
 equal numbers are ordered by role and text, repeated rows are kept as turns;
 rows without ``conv_id`` belong to no conversation and give no row; when one
 side is a prefix of the other (or equal) its completion is empty with no mask
@@ -24,6 +24,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tally.llm.common import stage
+
 END = "<|end|>\n"
 
 
@@ -95,22 +97,37 @@ def format_preferences(pairs: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("trainable", (F.size("chosen_mask") > 0) & (F.size("rejected_mask") > 0))
 
 
-def swapped_replies(convs: DataFrame, block: int = 512) -> DataFrame:
+def _digits(c: Column, at: int, n: int) -> Column:
+    """``n`` hex digits of the MD5 of ``c`` from ``at`` on, as a number."""
+    return F.conv(F.substring(F.md5(c.cast("string")), at, n), 16, 10).cast("long")
+
+
+def swapped_replies(convs: DataFrame, block: int = 256, earlier: bool = False) -> DataFrame:
     """Preference pairs from plain conversations: chosen is a conversation up
     to its last assistant turn; rejected is the same with that reply replaced
-    by the last reply of the next conversation (by id, inside blocks of
-    ``block`` ids, the last one takes the first's). Conversations without a
-    reply, or alone in their block, give no pair."""
-    at = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)))
-    told = (convs.withColumn("_at", at).filter(F.col("_at").isNotNull())
-            .withColumn("_reply", F.get(F.col("turns"), F.col("_at")))
-            .withColumn("_block", F.floor(F.col("conv_id") / block)))
-    w = Window.partitionBy("_block").orderBy("conv_id")
+    by the last reply of the next conversation. With ``earlier`` a digest of
+    the id names the assistant turn at which rejected leaves and ends, so that
+    chosen may go on for several turns.
+
+    Conversations with a reply are dealt by a digest of their id to groups of
+    ``block`` in the mean (one group below twice as many), whatever the ids;
+    the next one is the next id of the group, for the last one the first. A
+    group is never a single one but where a table has a single conversation
+    with a reply; that one, and those without a reply, give no pair."""
+    replies = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)), lambda i: i.isNotNull())
+    told = stage(convs.withColumn("_replies", replies).filter(F.size("_replies") > 0), "told")
+    groups = max(1, told.count() // block)
+    told = (told.withColumn("_last", F.element_at("_replies", -1))
+            .withColumn("_reply", F.get(F.col("turns"), F.col("_last")))
+            .withColumn("_group", _digits(F.col("conv_id"), 1, 15) % groups))
+    leaves = F.get("_replies", (_digits(F.col("conv_id"), 17, 8) % F.size("_replies")).cast("int"))
+    told = told.withColumn("_at", leaves if earlier else F.col("_last"))
+    w = Window.partitionBy("_group").orderBy("conv_id")
     all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     other = F.struct(F.col("conv_id").alias("donor"), F.col("_reply").alias("reply"))
     told = (told.withColumn("_next", F.coalesce(F.lead(other).over(w), F.first(other).over(all_)))
             .filter(F.col("_next.donor") != F.col("conv_id")))
     before = F.when(F.col("_at") > 0, F.slice("turns", F.lit(1), F.col("_at"))).otherwise(F.slice("turns", 1, 0))
     return told.select("conv_id", F.col("_next.donor").alias("donor_id"),
-                       F.slice("turns", F.lit(1), F.col("_at") + 1).alias("chosen"),
+                       F.slice("turns", F.lit(1), F.col("_last") + 1).alias("chosen"),
                        F.concat(before, F.array("_next.reply")).alias("rejected"))

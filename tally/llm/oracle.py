@@ -108,25 +108,41 @@ WITH turns AS (
          row_number() OVER (PARTITION BY conv_id
                             ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
   FROM conversations WHERE conv_id IS NOT NULL),
-ends AS (SELECT conv_id, max(k) AS k FROM turns WHERE role = 'assistant' GROUP BY conv_id),
-replies AS (SELECT t.conv_id, t.k, t.text, t.r FROM turns t JOIN ends USING (conv_id, k)),
+digests AS (SELECT DISTINCT conv_id, md5(CAST(conv_id AS VARCHAR)) AS h FROM turns),
+ends AS (
+  SELECT conv_id, max(k) AS k, list(k ORDER BY k) AS ks,
+         CAST('0x' || substr(any_value(h), 1, 15) AS BIGINT) AS deal, CAST('0x' || substr(any_value(h), 17, 8) AS BIGINT) AS pick
+  FROM turns JOIN digests USING (conv_id) WHERE role = 'assistant' GROUP BY conv_id),
+replies AS (
+  SELECT t.conv_id, t.k, e.ks[1 + e.pick % len(e.ks)] AS at,
+         e.deal % greatest(1, (SELECT count(*) FROM ends) // 256) AS grp, t.text, t.r
+  FROM turns t JOIN ends e USING (conv_id, k)),
 paired AS (
-  SELECT conv_id, k, text, r,
-         coalesce(lead(conv_id) OVER w, first_value(conv_id) OVER w) AS donor_id
-  FROM replies WINDOW w AS (PARTITION BY CAST(floor(conv_id / 512.0) AS BIGINT) ORDER BY conv_id)),
+  SELECT conv_id, k, at, coalesce(lead(conv_id) OVER w, first_value(conv_id) OVER w) AS donor_id
+  FROM replies WINDOW w AS (PARTITION BY grp ORDER BY conv_id)),
 told AS (
-  SELECT p.conv_id, p.donor_id, p.k, p.r AS mine, o.r AS other, p.text IS NOT DISTINCT FROM o.text AS same
-  FROM paired p JOIN replies o ON o.conv_id = p.donor_id WHERE p.donor_id <> p.conv_id),
+  SELECT p.conv_id, p.donor_id, p.k, o.r AS other, l.text IS NOT DISTINCT FROM o.text AS same,
+         CASE WHEN l.text IS NOT DISTINCT FROM o.text THEN p.at ELSE p.at - 1 END AS n
+  FROM paired p JOIN replies o ON o.conv_id = p.donor_id JOIN turns l ON l.conv_id = p.conv_id AND l.k = p.at
+  WHERE p.donor_id <> p.conv_id),
 prompts AS (
   SELECT d.conv_id, coalesce(string_agg(t.r, '' ORDER BY t.k), '') AS prompt
-  FROM told d LEFT JOIN turns t ON t.conv_id = d.conv_id AND (t.k < d.k OR (d.same AND t.k = d.k))
-  GROUP BY d.conv_id)
-SELECT conv_id, donor_id, CAST(CASE WHEN same THEN k ELSE k - 1 END AS INTEGER) AS n_prompt_turns, prompt,
-       CASE WHEN same THEN '' ELSE mine END AS chosen, CASE WHEN same THEN '' ELSE other END AS rejected,
-       CASE WHEN same THEN '' ELSE '14-' || CAST(length(mine) - 1 AS VARCHAR) END AS chosen_mask,
+  FROM told d LEFT JOIN turns t ON t.conv_id = d.conv_id AND t.k <= d.n GROUP BY d.conv_id),
+rests AS (
+  SELECT d.conv_id, t.k, t.role, t.r,
+         coalesce(sum(length(t.r)) OVER (PARTITION BY d.conv_id ORDER BY t.k
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+  FROM told d JOIN turns t ON t.conv_id = d.conv_id AND t.k > d.n AND t.k <= d.k),
+chosen AS (
+  SELECT conv_id, string_agg(r, '' ORDER BY k) AS chosen,
+         string_agg(CAST(CAST(off + 14 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(off + length(r) - 1 AS BIGINT) AS VARCHAR),
+                    ',' ORDER BY k) FILTER (WHERE role = 'assistant') AS chosen_mask
+  FROM rests GROUP BY conv_id)
+SELECT conv_id, donor_id, CAST(n AS INTEGER) AS n_prompt_turns, prompt, coalesce(chosen, '') AS chosen,
+       CASE WHEN same THEN '' ELSE other END AS rejected, coalesce(chosen_mask, '') AS chosen_mask,
        CASE WHEN same THEN '' ELSE '14-' || CAST(length(other) - 1 AS VARCHAR) END AS rejected_mask,
        NOT same AS trainable
-FROM told JOIN prompts USING (conv_id)
+FROM told JOIN prompts USING (conv_id) LEFT JOIN chosen USING (conv_id)
 """
 
 _RECORD = r"""'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)

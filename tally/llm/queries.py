@@ -34,10 +34,10 @@ def _ranges(spans: Column) -> Column:
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preference pairs made from all conversations (the last reply against
-    the next conversation's), formatted."""
+    """Preference pairs made from all conversations (from one of its replies
+    on against the next conversation's last reply), formatted."""
     told = conversations(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
-    out = format_preferences(swapped_replies(told), "conv_id", "donor_id")
+    out = format_preferences(swapped_replies(told, earlier=True), "conv_id", "donor_id")
     return out.select("conv_id", "donor_id", "n_prompt_turns", "prompt", "chosen", "rejected",
                       _ranges(F.col("chosen_mask")).alias("chosen_mask"),
                       _ranges(F.col("rejected_mask")).alias("rejected_mask"), "trainable")

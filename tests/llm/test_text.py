@@ -150,6 +150,26 @@ def test_conversations_and_swapped_replies(spark):
     assert format_preferences(swapped_replies(conversations(_chat(spark, []))), "conv_id").count() == 0
 
 
+def test_every_conversation_finds_a_donor(spark):
+    """Whatever the ids; and rejected may leave at any reply."""
+    rows = [(i * 100_003, t, "assistant" if t % 2 else "user", f"{i} {t}", 0) for i in range(700) for t in range(6)]
+    told = conversations(_chat(spark, rows).repartition(3))
+    for earlier in (False, True):
+        pairs = swapped_replies(told, earlier=earlier).collect()
+        assert {r.conv_id for r in pairs} == {i * 100_003 for i in range(700)}
+        assert all(r.donor_id != r.conv_id for r in pairs) and len({r.donor_id for r in pairs}) == 700
+        out = format_preferences(swapped_replies(told, earlier=earlier), "conv_id").collect()
+        lengths = {r.n_prompt_turns for r in out}
+        assert lengths == ({1, 3, 5} if earlier else {5})
+        for r in out:
+            n = (6 - r.n_prompt_turns + 1) // 2
+            assert r.trainable and len(r.chosen_mask) == n and len(r.rejected_mask) == 1
+            want = [f"{r.conv_id // 100_003} {t}\n<|end|>" for t in range(r.n_prompt_turns, 6) if t % 2]
+            assert [r.chosen[m.start:m.end] for m in r.chosen_mask] == want
+    one = conversations(_chat(spark, rows[:6] + [(5, 0, "user", "no reply", 0)]))
+    assert swapped_replies(one).count() == 0
+
+
 # WARC audit.
 
 def _pages(spark, n=700):

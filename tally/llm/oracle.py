@@ -114,16 +114,16 @@ ends AS (
          CAST('0x' || substr(any_value(h), 1, 15) AS BIGINT) AS deal, CAST('0x' || substr(any_value(h), 17, 8) AS BIGINT) AS pick
   FROM turns JOIN digests USING (conv_id) WHERE role = 'assistant' GROUP BY conv_id),
 replies AS (
-  SELECT t.conv_id, t.k, e.ks[1 + e.pick % len(e.ks)] AS at,
+  SELECT t.conv_id, t.k, e.ks[1 + e.pick % len(e.ks)] AS leave,
          e.deal % greatest(1, (SELECT count(*) FROM ends) // 256) AS grp, t.text, t.r
   FROM turns t JOIN ends e USING (conv_id, k)),
 paired AS (
-  SELECT conv_id, k, at, coalesce(lead(conv_id) OVER w, first_value(conv_id) OVER w) AS donor_id
+  SELECT conv_id, k, leave, coalesce(lead(conv_id) OVER w, first_value(conv_id) OVER w) AS donor_id
   FROM replies WINDOW w AS (PARTITION BY grp ORDER BY conv_id)),
 told AS (
   SELECT p.conv_id, p.donor_id, p.k, o.r AS other, l.text IS NOT DISTINCT FROM o.text AS same,
-         CASE WHEN l.text IS NOT DISTINCT FROM o.text THEN p.at ELSE p.at - 1 END AS n
-  FROM paired p JOIN replies o ON o.conv_id = p.donor_id JOIN turns l ON l.conv_id = p.conv_id AND l.k = p.at
+         CASE WHEN l.text IS NOT DISTINCT FROM o.text THEN p.leave ELSE p.leave - 1 END AS n
+  FROM paired p JOIN replies o ON o.conv_id = p.donor_id JOIN turns l ON l.conv_id = p.conv_id AND l.k = p.leave
   WHERE p.donor_id <> p.conv_id),
 prompts AS (
   SELECT d.conv_id, coalesce(string_agg(t.r, '' ORDER BY t.k), '') AS prompt

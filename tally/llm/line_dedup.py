@@ -359,6 +359,12 @@ def line_decisions(parts: DataFrame, *, max_edits: int | None = None, near_bytes
             by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("part") == F.col("_p")))
             .select("text", "_lines").mapInArrow(pick, "id long, line binary, sign array<long>"), "candidate-lines")
 
+    def bound_of(a: bytes, b: bytes) -> int:
+        return max((e for low, e in bounds if min(len(a), len(b)) >= low), default=0)
+
+    def linked(found: list[bytes]):
+        return lambda i, j: edit_distance(found[i], found[j], max_edits) <= bound_of(found[i], found[j])
+
     def measure(pairs: DataFrame) -> DataFrame:
         if not texts:
             texts.append(fetch(pairs))
@@ -371,14 +377,14 @@ def line_decisions(parts: DataFrame, *, max_edits: int | None = None, near_bytes
                 away, link = [], []
                 for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                     away.append(float(edit_distance(a, b, max_edits)))
-                    link.append(away[-1] <= max((e for low, e in bounds if min(len(a), len(b)) >= low), default=0))
+                    link.append(away[-1] <= bound_of(a, b))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(away, pa.float64()),
                                                   pa.array(link, pa.bool_())], ["a", "b", "d", "link"])
 
         return both.select("a", "b", "_la", "_lb").mapInArrow(compare, "a long, b long, d double, link boolean")
 
-    classes = link_classes(members, measure, max_edits, signs=lambda: texts[0].select("id", "sign"),
-                           possible=possible_edits(max_edits), finer=sign_parts(max_edits))
+    classes = link_classes(members, measure, max_edits, signs=lambda: texts[0].select("id", "sign", F.col("line").alias("item")),
+                           possible=possible_edits(max_edits), finer=sign_parts(max_edits), linked=linked)
     # The half digest names the class; a line that only shares the half digest
     # with a verified one stays on its own.
     known = (table.join(classes, "id").groupBy("id").agg(F.min("digest").alias("_digest"), F.min("root").alias("root")))

@@ -1,14 +1,14 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF
 shingles, banded, verified by weighted Jaccard similarity.
 
-A document is its shingles of five words; a shingle weighs its count times an
-inverse document frequency that saturates: ``min(ln(n / df), ln(1 / share)) /
-ln(1 / share)``. Only shingles in more than ``share`` of the documents weigh
-under 1, and there are at most (mean shingles per document) / ``share`` of
-them, whatever the corpus, so they fit in every task. They are found exactly:
-every task marks the hash buckets in which over ``share`` of its own documents
-fall (a frequent shingle must do so in some task), then the shingles in marked
-buckets are counted.
+A document is its shingles of five words; a shingle weighs its count times its
+inverse document frequency, ``ln(n / df) / ln(1 / share)`` (1 for a shingle in
+``share`` of the documents; the scale changes no similarity). Document
+frequencies are taken over distinct texts, so a family of equal texts does not
+lower its own weights, and kept in a table of ``1 << DF_BITS`` hash buckets,
+whatever the corpus, so that every task can hold it. Shingles of one bucket
+share its count: a shingle's frequency is never taken too low, and too high by
+as many documents as hold the others of its bucket.
 
 Each of ``bands * rows`` samples draws one (shingle, level) pair such that two
 documents agree with the probability of their weighted Jaccard similarity.
@@ -17,7 +17,7 @@ them without all pairs and every pair is verified on the whole texts.
 
 Scale: equal texts are one item (by digest), so a text copied a million times
 is sampled but never compared; sketches are narrow; only texts of candidates
-are shuffled. Bands and joins on them tolerate hot keys (partial aggregation,
+are compared. Bands and joins on them tolerate hot keys (partial aggregation,
 joins that Spark may split).
 
 Defined cases: null texts are empty; equal texts are one class, the empty text
@@ -41,8 +41,10 @@ from tally.llm.common import pack, ship, stage, stage_as_is, unpack
 from tally.llm.links import link_classes
 from tally.llm.textkernel import mix64, shingles, slices, span_hashes, words
 
-BUCKET_BITS = 18
 _SHINGLE_BITS = 44
+#: Buckets of document frequencies, and those counted in one row.
+DF_BITS = 21
+_STRIPE_BITS = 12
 _SLICE = 1 << 18
 #: Buckets of a document's sign: the weights of its shingles by their last bits.
 MASSES = 128
@@ -65,51 +67,65 @@ def weighted_rows(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nda
 
 
 def _bucket(shingle: np.ndarray) -> np.ndarray:
-    return (shingle >> np.uint64(_SHINGLE_BITS - BUCKET_BITS)).astype(np.int64)
+    return (shingle >> np.uint64(_SHINGLE_BITS - DF_BITS)).astype(np.int64)
 
 
 def frequent_shingles(texts: DataFrame, n_docs: int, share: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in more than ``share`` of the documents, sorted, and their
-    document frequencies."""
+    """Buckets of shingles (sorted) and in how many distinct texts they are:
+    document frequencies of all shingles, frequent or not. ``n_docs`` and
+    ``share`` only bear on the weights made of them."""
+    stripe = 1 << _STRIPE_BITS
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs = np.zeros(1 << BUCKET_BITS, np.int64), 0
-        for batch in batches:
-            for _, data, offsets in slices(batch.column(0), _SLICE):
-                shingle, _, _ = weighted_rows(data, offsets, k)
-                total += np.bincount(_bucket(shingle), minlength=len(total))
-                docs += len(offsets) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total > share * docs))], ["bucket"])
-
-    marked = np.zeros(1 << BUCKET_BITS, bool)
-    marked[texts.mapInArrow(mark, "bucket long").distinct().toPandas()["bucket"].to_numpy()] = True
+    def rows(stripes: list[int], counts: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(stripes, pa.int32()), pa.array(
+            [c.astype(np.uint32).tobytes() for c in counts], pa.binary())], ["stripe", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << DF_BITS, np.uint32)
         for batch in batches:
-            for _, data, offsets in slices(batch.column(0), 1 << 20):
-                shingle, _, _ = weighted_rows(data, offsets, k)
-                value, n = np.unique(shingle[marked[_bucket(shingle)]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(n)], ["shingle", "df"])
-
-    rows = (texts.mapInArrow(count, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
-            .filter(F.col("df") > share * n_docs).orderBy("shingle").toPandas())
-    return rows["shingle"].to_numpy().astype(np.uint64), rows["df"].to_numpy().astype(np.int64)
+            for _, data, offsets in slices(batch.column(0), _SLICE):
+                shingle, _, first = weighted_rows(data, offsets, k)
+                # Sorted by document and shingle, so the shingles of a bucket are neighbours.
+                bucket = _bucket(shingle)
+                new = np.ones(len(bucket), bool)
+                new[1:] = bucket[1:] != bucket[:-1]
+                new[first[:-1][np.diff(first) > 0]] = True
+                np.add.at(total, bucket[new], np.uint32(1))
+        total = total.reshape(-1, stripe)
+        some = np.flatnonzero(total.any(axis=1)).tolist()
+        yield from (rows(some[at:at + 256], total[some[at:at + 256]]) for at in range(0, len(some), 256))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                here = np.frombuffer(counts, np.uint32)
+                total[at] = total[at] + here if at in total else here
+        for at, here in total.items():
+            yield rows([at], [here])
+
+    # Copies are counted once.
+    found = (texts.dropDuplicates().mapInArrow(count, "stripe int, counts binary").repartition("stripe")
+             .mapInArrow(add, "stripe int, counts binary").toPandas())
+    df = np.zeros(1 << DF_BITS, np.uint32)
+    for at, counts in zip(found["stripe"], found["counts"]):
+        df[at * stripe:(at + 1) * stripe] = np.frombuffer(counts, np.uint32)
+    bucket = np.flatnonzero(df).astype(np.int32)
+    return bucket, df[bucket]
 
 
 class Weights:
-    """Saturated TF-IDF weights."""
+    """TF-IDF weights from the document frequencies of the shingles' buckets."""
 
-    def __init__(self, shingle: np.ndarray, df: np.ndarray, n_docs: int, share: float) -> None:
-        self.shingle = shingle
-        self.idf = np.maximum(np.log(n_docs / np.maximum(df, 1)) / np.log(1 / share), 1e-3)
+    def __init__(self, bucket: np.ndarray, df: np.ndarray, n_docs: int, share: float) -> None:
+        self.idf = None
+        if len(bucket):
+            self.idf = np.ones(1 << DF_BITS, np.float32)
+            self.idf[bucket] = np.maximum(np.log(n_docs / df) / np.log(1 / share), 1e-3)
 
     def __call__(self, shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
         weight = count.astype(np.float64)
-        if len(self.shingle):
-            at = np.minimum(np.searchsorted(self.shingle, shingle), len(self.shingle) - 1)
-            hit = self.shingle[at] == shingle
-            weight[hit] *= self.idf[at[hit]]
-        return weight
+        return weight if self.idf is None else weight * self.idf[_bucket(shingle)]
 
 
 @lru_cache(maxsize=1)
@@ -246,23 +262,33 @@ def near_classes(parts: DataFrame, *, k: int = 5, similarity: float = 0.8, share
                           first["doc_id"].alias("doc_id"), first["part"].alias("part"), "keys", "sign"), "items")
     members = items.select("id", F.explode("keys").alias("key"))
 
-    def measure(pairs: DataFrame) -> DataFrame:
+    texts_of: list[DataFrame] = []  # of all items that met another, from the first call on
+
+    def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        shingle, count, _ = weighted_rows(raw, np.array([0, len(raw)]), k)
+        return shingle, weights(shingle, count)
+
+    def linked(found: list[str]):
+        of = lru_cache(maxsize=None)(lambda i: vector(found[i]))
+        return lambda i, j: weighted_jaccard(of(i), of(j)) >= similarity - 1e-9
+
+    def fetch(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         place = items.select("id", F.col("doc_id").alias("_d"), F.col("part").alias("_p")).join(wanted, "id")
-        found = stage(parts.select("doc_id", "part", "text").join(
+        return stage(parts.select("doc_id", "part", "text").join(
             place, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("part") == F.col("_p")))
             .select("id", "text"), "candidate-texts")
+
+    def measure(pairs: DataFrame) -> DataFrame:
+        if not texts_of:
+            texts_of.append(fetch(pairs))
+        found = texts_of[0]
         both = (pairs.join(found.select(F.col("id").alias("b"), F.col("text").alias("_tb")), "b")
                 .join(found.select(F.col("id").alias("a"), F.col("text").alias("_ta")), "a"))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last: tuple[str, tuple[np.ndarray, np.ndarray]] | None = None
-
-            def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-                raw = np.frombuffer((text or "").encode(), np.uint8)
-                shingle, count, _ = weighted_rows(raw, np.array([0, len(raw)]), k)
-                return shingle, weights(shingle, count)
-
             for batch in batches:
                 away = []
                 for i in range(batch.num_rows):
@@ -276,8 +302,9 @@ def near_classes(parts: DataFrame, *, k: int = 5, similarity: float = 0.8, share
         return both.select("a", "b", "_ta", "_tb").mapInArrow(compare, "a long, b long, d double")
 
     # One minus the weighted Jaccard similarity is a metric.
-    classes = link_classes(members, measure, 1 - similarity, signs=lambda: items.select("id", "sign"),
-                           possible=possible_similarity(similarity))
+    classes = link_classes(members, measure, 1 - similarity, possible=possible_similarity(similarity), linked=linked,
+                           signs=lambda: items.select("id", "sign").join(
+                               texts_of[0].select("id", F.coalesce("text", F.lit("")).alias("item")), "id"))
     rooted = (items.select("digest", "id").join(classes, "id", "left")
               .select("digest", F.coalesce("root", "id").alias("root")))
     placed = sketch.select("doc_id", "part", "digest").join(rooted, "digest")

@@ -7,7 +7,7 @@ import pytest
 
 from tally.llm.chunk_dedup import chunk_ends, dedup_chunks, gear_cuts, number_parts
 from tally.llm.line_dedup import dedup_lines, edit_distance, line_decisions, line_report, possible_edits, sign
-from tally.llm.links import components, link_classes
+from tally.llm.links import components, joining_links, link_classes
 from tally.llm.minhash_dedup import (MASSES, Weights, drop_near_duplicates, find_near_duplicates, frequent_shingles,
                                      possible_similarity, sample, weighted_jaccard, weighted_rows)
 from tally.llm.suffix_dedup import dedup_substrings, repeated_starts
@@ -259,6 +259,46 @@ def test_near_duplicates_against_brute_force(spark):
     assert drop_near_duplicates(df).count() == len(sizes)
 
 
+def test_rare_shingles_weigh_more(spark):
+    rng = random.Random(21)
+    texts = [cases.prose(rng, 40) for _ in range(60)]
+    texts = [t + " one two three four five" if i % 20 == 0 else t for i, t in enumerate(texts)]
+    texts += [texts[1]] * 30  # copies do not make a shingle frequent
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    weights = Weights(*frequent_shingles(df, len(texts), 0.1, 5), len(texts), 0.1)
+    three, _ = _vector("one two three four five", weights)
+    scale = np.log(10)
+    assert np.allclose(weights(three, np.array([2])), 2 * np.log(len(texts) / 3) / scale, rtol=1e-4)
+    # Alone in its text: all of the copied one's.
+    shingle, weight = _vector(texts[1], weights)
+    assert np.isclose(np.median(weight), np.log(len(texts)) / scale, rtol=1e-4)
+
+
+def test_links_of_a_large_group_make_few_rows():
+    # A family around one item that is near to all; the others are far from each other.
+    n = 400
+    ids, root = np.arange(n) * 3 + 7, np.arange(n)
+    x, y = np.triu_indices(n, 1)
+    tried = []
+
+    def test(i, j):
+        tried.append((i, j))
+        return i == 250 or j == 250
+
+    assert len(joining_links(ids, root, x, y, test)) == n - 1
+    # Pairs that are joined already are not tested.
+    tried.clear()
+    assert len(joining_links(ids, root, x, y, lambda i, j: not tried.append((i, j)))) == n - 1 == len(tried)
+    # Random links: the classes of all of them.
+    rng = random.Random(5)
+    links = {(i, j) for i, j in zip(x.tolist(), y.tolist()) if rng.random() < 0.003}
+    known = np.array([i // 4 * 4 if i % 4 < 2 else i for i in range(n)])
+    got = joining_links(ids, known, x, y, lambda i, j: (min(i, j), max(i, j)) in links)
+    joined = [(i, int(known[i])) for i in range(n)]
+    want = _classes(joined + sorted(links), range(n))
+    assert _classes(joined + [((a - 7) // 3, (b - 7) // 3) for a, b in got], range(n)) == want
+
+
 # Lines.
 
 def _distance(a, b):

@@ -5,11 +5,14 @@ last 32 bytes are zero, so an insertion moves only the cuts near it. Chunks are
 keyed by a 128-bit digest; the first occurrence of a chunk (smallest document,
 then smallest offset) stays. The others go where adjacent ones make a run of at
 least ``min_run`` bytes or the whole text: a shorter run is a phrase that texts
-share by chance, and cutting it out would leave a broken sentence.
+share by chance, and cutting it out would leave a broken sentence. A passage
+begins and ends within chunks, so with ``reach`` a run first grows at both ends,
+byte by byte, as far as the text beside it is that beside the first occurrence.
 
 Scale: digests are reduced by a partial aggregation to those that occur twice
 (count and first place), a hot digest is one number per task; only occurrences
-of such digests are joined back, where Spark may split a hot digest.
+of such digests are joined back, where Spark may split a hot digest. To grow
+runs, ``reach`` bytes beside first occurrences go to the ends of runs.
 
 Defined cases: a null or empty text has no chunk; a text shorter than
 ``min_bytes`` is one chunk; very long texts are cut like any other, a chunk ends
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ from tally.llm.textkernel import mix64, slices
 
 #: Bytes of the shortest passage to remove, some twenty words.
 MIN_RUN = 128
+#: Bytes by which a run grows at most at an end: those of the longest chunk.
+REACH = 512
 
 _GEAR = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 
@@ -126,13 +132,31 @@ def span_runs(spans: list[dict] | None, size: int, min_run: int) -> list[tuple[i
     return [(a, b) for a, b in runs if b - a >= min(min_run, size)]
 
 
+def grown_spans(text: bytes, spans: list[dict] | None) -> list[dict]:
+    """Spans, sorted; those with ``beside`` (the bytes before, ``side`` -1, or
+    after ``start`` at another place) as long as the text agrees with these."""
+    out = []
+    for span in spans or ():
+        at, beside = span["start"], span["beside"]
+        if beside is not None:
+            if span["side"] < 0:
+                n = len(commonprefix([text[max(0, at - len(beside)):at][::-1], beside[::-1]]))
+                span = {"start": at - n, "length": n}
+            else:
+                span = {"start": at, "length": len(commonprefix([text[at:at + len(beside)], beside]))}
+        out.append(span)
+    return sorted(out, key=lambda span: span["start"])
+
+
 def remove_spans(parts: DataFrame, spans: DataFrame, min_run: int = 0) -> DataFrame:
     """Texts without the byte spans (``doc_id, part, start, length``; they may
     overlap) that make runs of ``min_run`` bytes or the whole text: ``doc_id,
     n_bytes, n_removed, n_spans, kept`` (binary), where ``n_spans`` counts
-    maximal removed runs."""
+    maximal removed runs. Spans may have ``side, beside`` (``grown_spans``)."""
     key = ["doc_id", "part"]
-    lists = spans.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_spans"))
+    grown = "beside" in spans.columns
+    told = F.collect_list(F.struct("start", "length", *(["side", "beside"] if grown else [])))
+    lists = spans.groupBy(*key).agg((told if grown else F.sort_array(told)).alias("_spans"))
     joined = (parts.select(F.col("doc_id"), F.col("part"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_b"))
               .join(lists.select(F.col("doc_id").alias("_id"), F.col("part").alias("_p"), "_spans"),
                     F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("part") == F.col("_p")), "left"))
@@ -141,7 +165,7 @@ def remove_spans(parts: DataFrame, spans: DataFrame, min_run: int = 0) -> DataFr
         for batch in batches:
             sizes, removed, runs, kept = [], [], [], []
             for raw, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                gone = span_runs(spans, len(raw), min_run)
+                gone = span_runs(grown_spans(raw, spans) if grown else spans, len(raw), min_run)
                 edges = [0, *(x for run in gone for x in run), len(raw)]
                 sizes.append(len(raw))
                 removed.append(sum(b - a for a, b in gone))
@@ -157,10 +181,43 @@ def remove_spans(parts: DataFrame, spans: DataFrame, min_run: int = 0) -> DataFr
         apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def beside_firsts(parts: DataFrame, again: DataFrame, reach: int) -> DataFrame:
+    """``doc_id, part, start, side, beside``: for both ends of every run of
+    adjacent chunks in ``again``, up to ``reach`` bytes beside the first
+    occurrence of the chunk there."""
+    run = Window.partitionBy("doc_id", "part").orderBy("start")
+    end = F.col("start") + F.col("length")
+    ends = again.withColumns({"_before": F.lag(end).over(run), "_after": F.lead("start").over(run), "_end": end})
+
+    def side(open_, at, first_at, sign):
+        return ends.filter(open_).select("doc_id", "part", at.alias("start"), F.lit(sign).alias("side"),
+                                         F.col("first.doc_id").alias("_id"), F.col("first.part").alias("_p"),
+                                         first_at.alias("_at"))
+
+    at = F.col("first.start")
+    wanted = stage(side(~F.col("_before").eqNullSafe(F.col("start")), F.col("start"), at, -1).unionByName(
+        side(~F.col("_after").eqNullSafe(F.col("_end")), F.col("_end"), at + F.col("length"), 1)), "run-ends")
+    places = wanted.groupBy("_id", "_p").agg(F.collect_set(F.struct("_at", "side")).alias("_places"))
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    low = F.when(F.col("_place.side") < 0, F.greatest(F.col("_place._at") - reach, F.lit(0))).otherwise(F.col("_place._at"))
+    size = F.when(F.col("_place.side") < 0, F.col("_place._at") - low).otherwise(F.lit(reach))
+    beside = (parts.select("doc_id", "part", "text")
+              .join(places, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("part") == F.col("_p")))
+              .select(F.col("doc_id").alias("f_id"), F.col("part").alias("f_p"), raw.alias("_b"),
+                      F.explode("_places").alias("_place"))
+              .select("f_id", "f_p", F.col("_place._at").alias("f_at"), F.col("_place.side").alias("f_side"),
+                      F.substring(F.col("_b"), (low + 1).cast("int"), size.cast("int")).alias("beside")))
+    # Written, so that the join shuffles both sides anew and may split a hot place.
+    beside = stage(beside, "beside-firsts")
+    return wanted.join(beside, F.col("_id").eqNullSafe(F.col("f_id")) & (F.col("_p") == F.col("f_p"))
+                       & (F.col("_at") == F.col("f_at")) & (F.col("side") == F.col("f_side"))).select(
+        "doc_id", "part", "start", "side", "beside")
+
+
 def dedup_chunks(docs: DataFrame, *, mask_bits: int = 6, min_bytes: int = 16, max_bytes: int = 512,
-                 min_run: int = 0) -> DataFrame:
-    """Documents without the runs of chunks seen before: one row per row of
-    ``docs`` (``doc_id, n_bytes, n_removed, n_spans, kept``)."""
+                 min_run: int = 0, reach: int = 0) -> DataFrame:
+    """Documents without the runs of chunks seen before (grown by up to
+    ``reach`` bytes at their ends): one row per row of ``docs`` (``doc_id, n_bytes, n_removed, n_spans, kept``)."""
     parts = number_parts(docs)
     found = stage_as_is(chunks(parts, mask_bits=mask_bits, min_bytes=min_bytes, max_bytes=max_bytes), "chunks")
     first = (found.groupBy("digest").agg(F.min(F.struct("doc_id", "part", "start")).alias("_first"),
@@ -170,5 +227,11 @@ def dedup_chunks(docs: DataFrame, *, mask_bits: int = 6, min_bytes: int = 16, ma
     first = stage(first, "chunk-firsts")
     again = (found.join(first, "digest")
              .filter(~F.struct("doc_id", "part", "start").eqNullSafe(F.col("_first")))
-             .select("doc_id", "part", "start", "length"))
-    return remove_spans(parts, again, min_run)
+             .select("doc_id", "part", "start", "length", F.col("_first").alias("first")))
+    spans = again.drop("first")
+    if reach:
+        again = stage(again, "chunks-again")
+        none = {"side": F.lit(None).cast("int"), "beside": F.lit(None).cast("binary")}
+        spans = again.drop("first").withColumns(none).unionByName(
+            beside_firsts(parts, again, reach).withColumn("length", F.lit(0).cast("long")))
+    return remove_spans(parts, spans, min_run)

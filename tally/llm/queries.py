@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tally.llm.chat_format import conversations, format_preferences, swapped_replies
-from tally.llm.chunk_dedup import MIN_RUN, dedup_chunks
+from tally.llm.chunk_dedup import MIN_RUN, REACH, dedup_chunks
 from tally.llm.common import read
 from tally.llm.decontaminate import find_leaks
 from tally.llm.exact_dedup import find_copies
@@ -94,7 +94,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept_digest(dedup_chunks(read(spark, sf_dir, "documents", "doc_id", "text"), min_run=MIN_RUN))
+    return _kept_digest(dedup_chunks(read(spark, sf_dir, "documents", "doc_id", "text"), min_run=MIN_RUN,
+                                      reach=REACH))
 
 
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

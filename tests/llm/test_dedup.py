@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tally.llm.chunk_dedup import chunk_ends, dedup_chunks, gear_cuts, number_parts
+from tally.llm.chunk_dedup import MIN_RUN, REACH, chunk_ends, dedup_chunks, gear_cuts, number_parts
 from tally.llm.line_dedup import dedup_lines, edit_distance, line_decisions, line_report, possible_edits, sign
 from tally.llm.links import components, joining_links, link_classes
 from tally.llm.minhash_dedup import (MASSES, Weights, drop_near_duplicates, find_near_duplicates, frequent_shingles,
@@ -136,6 +136,29 @@ def test_only_long_runs_of_chunks_go(spark):
     assert not any(got[i].n_removed for i in (0, 2, 4, 6, 11)) and len(got[9].kept) == 0 and got[3].n_removed >= 100
 
 
+def test_passages_are_removed_to_their_ends(spark):
+    rng = random.Random(11)
+    alone = [cases.prose(rng, 60) for _ in range(40)]
+    shared = [cases.prose(rng, 52) for _ in range(10)]
+    texts = [f"{i} {a} | {shared[i % 10]} # {cases.prose(rng, 30)} {i}" for i, a in enumerate(alone)]
+    texts += ["x" + shared[0][:100] + "y", None, shared[3], shared[3]]
+    rows = [*enumerate(texts), (50, shared[4]), (50, shared[4]), (None, shared[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_removed, bytes(r.kept)) for r in dedup_chunks(df, min_run=MIN_RUN, reach=REACH).collect()]
+    for i, removed, kept in got:
+        if i is not None and i < 40:
+            whole, passage = texts[i].encode(), f" | {shared[i % 10]} # ".encode()
+            if i < 10 and i != 5:
+                assert removed == 0 and kept == whole
+            else:
+                # Perhaps letters more: those beside two passages may agree.
+                least = len(shared[5]) if i % 10 == 5 else len(passage)  # the first of these stands alone
+                assert least <= removed < len(passage) + 40 and len(kept) == len(whole) - removed
+                assert kept[:60] == whole[:60] and kept[-60:] == whole[-60:]
+    assert [(removed, kept) for i, removed, kept in got if i == 40] == [(0, texts[40].encode())]
+    assert [kept for i, _, kept in got if i in (42, 43, 50)] == [b""] * 4
+
+
 # Links.
 
 def test_components_and_classes_without_all_pairs(spark):

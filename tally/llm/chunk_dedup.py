@@ -214,7 +214,7 @@ def beside_firsts(parts: DataFrame, again: DataFrame, reach: int) -> DataFrame:
         "doc_id", "part", "start", "side", "beside")
 
 
-def dedup_chunks(docs: DataFrame, *, mask_bits: int = 6, min_bytes: int = 16, max_bytes: int = 512,
+def dedup_chunks(docs: DataFrame, *, mask_bits: int = 5, min_bytes: int = 16, max_bytes: int = 512,
                  min_run: int = 0, reach: int = 0) -> DataFrame:
     """Documents without the runs of chunks seen before (grown by up to
     ``reach`` bytes at their ends): one row per row of ``docs`` (``doc_id, n_bytes, n_removed, n_spans, kept``)."""

@@ -159,6 +159,16 @@ def test_passages_are_removed_to_their_ends(spark):
     assert [kept for i, _, kept in got if i in (42, 43, 50)] == [b""] * 4
 
 
+def test_passages_of_fifty_words_are_found(spark):
+    rng = random.Random(13)
+    shared = [cases.prose(rng, 51) for _ in range(120)]
+    texts = [f"{cases.prose(rng, 30)} | {shared[i % 120]} # {cases.prose(rng, 30)}" for i in range(240)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_removed for r in dedup_chunks(df, min_run=MIN_RUN, reach=REACH).collect()}
+    missed = [i for i in range(120, 240) if got[i] < len(shared[i % 120])]
+    assert len(missed) <= 2 and not any(got[i] for i in range(120))
+
+
 # Links.
 
 def test_components_and_classes_without_all_pairs(spark):

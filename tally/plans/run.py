@@ -43,7 +43,7 @@ from ..functions.predicates import (DEFAULT_HEARTBEAT_TIMEOUT_SECS, DEFAULT_MAX_
                                     as_timestamp, valid_email)
 from ..operators import report, state, summary, validate
 from ..operators.state import ACTION_PROCESS, ACTION_RESUME
-from ..session import release_scratch, remove_path, scratch_mark, stage
+from ..session import many_files, release_scratch, remove_path, scratch_mark, stage
 from ..sources.csv_ledger import account_from_path, list_ledgers, qualified, read_ledger_files
 from .statestore import (CLAIM_SCHEMA, STATUS_SCHEMA, SUMMARY_SCHEMA, TABLES, Heartbeat, committed_version,
                          committed_versions, compact, next_version, read_state, running_clock, snapshot, take_version,
@@ -80,9 +80,10 @@ def in_batches(rows: Iterable, size: int) -> Iterator[list]:
 
 def process_files(spark: SparkSession, paths: list[str], ts, max_errors: int, multi_line: bool):
     """``(status rows, summary rows, rejected)`` of one batch of files."""
-    lf = read_ledger_files(spark, paths, multi_line=multi_line)
-    # parse the CSV once; every later scan reads the staged parquet
-    rows = validate.stage_classified(validate.classify(lf.raw), "run-rows")
+    with many_files(spark):
+        lf = read_ledger_files(spark, paths, multi_line=multi_line)
+        # parse the CSV once; every later scan reads the staged parquet
+        rows = validate.stage_classified(validate.classify(lf.raw), "run-rows")
     _, outcome = validate.error_report(rows, "blk", ["blk", "mid"], max_errors, carry=["file_path"], files=lf.files,
                                         blank_lines=lf.blank_lines)
     status = outcome.select(
@@ -120,7 +121,8 @@ def claim_files(spark: SparkSession, paths: str | list[str], state_dir: str, acc
     manifest = files.distinct().withColumn("account_id", account_from_path(F.col("file_path"))).withColumn(
         "file_key", file_key(F.col("account_id"), F.col("file_path")))
     mark = scratch_mark()
-    manifest = stage(manifest, "manifest")
+    with many_files(spark):
+        manifest = stage(manifest, "manifest")
     triages = scratch_mark()
     # J1 + P10 come first: a file whose account is missing or has an unusable
     # address is not touched at all.

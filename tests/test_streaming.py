@@ -77,3 +77,20 @@ def test_processed_files_can_be_archived(spark, write_csv, tmp_path):
         time.sleep(0.2)
     assert list(archive.rglob("1.csv"))
     assert intake.file_status().count() == 2
+
+
+def test_micro_batches_of_the_queries_are_bounded(spark, tmp_path, monkeypatch):
+    """Two micro-batches while they are small, then more, with the same rows."""
+    import datetime as dt
+    from tally.plans import catalog
+    rows = [(i, dt.datetime(2024, 3, 5), i % 8, "view", 2.5, None) for i in range(1, 25)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "events.parquet"))
+    seen = []
+    for most in (catalog.BATCH_FILES, 3):
+        monkeypatch.setattr(catalog, "BATCH_FILES", most)
+        intake = catalog._intake(spark, str(tmp_path))
+        sizes = sorted(r["count"] for r in intake.table("file_status").groupBy("batch_id").count().collect())
+        seen.append((sizes, _rows(intake.account_monthly_summary())))
+    assert [sizes for sizes, _ in seen] == [[4, 4], [2, 3, 3]]
+    assert seen[0][1] == seen[1][1] and sum(r[4] for r in seen[0][1]) == 24
